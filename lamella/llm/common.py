@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -23,17 +24,30 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset (tests, notebooks) an own one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+    """Checkpoint a small ``df`` in the shared folder and drop its lineage; Spark removes the files with the frame."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests, notebooks) is one made.
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: columnar, compressed and prunable.
+
+    For intermediate results as large as the corpus. The files stay until the
+    cluster clears its shared folder.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def free_of(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -132,3 +146,45 @@ def running(df: DataFrame, order: list[Column], total: Column) -> DataFrame:
         .withColumn("before", F.col("__sum1") + F.col("__sum0"))
         .drop("__range", "__total", "__rank", "__n0", "__sum1", "__sum0")
     )
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """Connected components: ``node, component`` (its smallest node) for every node with an edge to another.
+
+    Alternates the large-star and small-star steps of map-reduce connected
+    components, O(log n) rounds in practice. Each step is an aggregation with
+    map-side combine and a join that Spark splits when a hub is hot. Every
+    round is checkpointed; only a count and a checksum reach the driver.
+    """
+
+    def step(e: DataFrame, large: bool) -> DataFrame:
+        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        told = both.join(least, "a")
+        if large:
+            out = told.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            out = told.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
+                least.select("a", F.col("m").alias("b"))
+            )
+        return out.where("a > b").distinct()
+
+    def mark(e: DataFrame):
+        # xor of hashes: no overflow under ANSI, whatever the order of rows
+        return e.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
+
+    x, y = F.col(a), F.col(b)
+    now = cut(edges.where(x != y).select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).distinct())
+    seen = mark(now)
+    for _ in range(rounds if seen[0] else 0):
+        now = cut(step(step(now, True), False))
+        last, seen = seen, mark(now)
+        if last == seen:
+            break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    roots = now.select(F.col("b").alias("node")).distinct()
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        roots.withColumn("component", F.col("node"))
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, cut, free_of, running
@@ -14,6 +15,8 @@ CAP = 3
 #: A source's rows meet its statistics in this many groups, so that one source may hold most rows.
 SALTS = 32
 SEED = "mix-0"
+#: Draws are told apart this finely.
+BUCKETS = 4096
 
 
 def words(text: Column) -> Column:
@@ -46,7 +49,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     ordered = running(
         weighed.withColumn("full", F.col("source_size") * cap / F.col("weight")),
         [F.col("full").asc(), (~known).cast("int").asc(), F.col("source").asc()],
-        F.struct(F.col("source_size"), F.col("weight"))["weight"],
+        F.col("weight"),
     ).withColumnRenamed("before", "weight_before").drop("rank")
     ordered = (
         running(ordered, [F.col("full").asc(), (~known).cast("int").asc(), F.col("source").asc()], F.col("source_size"))
@@ -73,6 +76,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
+def thresholds(shares: DataFrame, stats: DataFrame) -> DataFrame:
+    """``stats`` plus ``rate`` and ``threshold``: a document's extra copy is taken if its draw's bucket is under it.
+
+    The threshold is the fraction of the rate, moved to where the words drawn
+    come closest to what the whole copies leave of the target: sources with
+    few or very long documents would miss it by chance alone.
+    """
+    own = F.col("__from").eqNullSafe(F.col("source"))
+    whole = F.floor(F.col("rate"))
+    rated = stats.withColumn(
+        "rate",
+        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0),
+    )
+    w = W.partitionBy("__from").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
+    reached = shares.withColumn("__until", F.sum("words").over(w)).join(rated, own)  # BUCKETS rows a source at most
+    gap = F.abs(F.col("__until") - (F.col("target") - whole * F.col("source_size")))
+    best = reached.groupBy("__from").agg(
+        F.min_by(F.col("bucket") + 1, F.struct(gap, "bucket")).alias("__at"), F.min(gap).alias("__gap")
+    )
+    extra = F.col("target") - whole * F.col("source_size")
+    at = F.when(F.col("__gap") < extra, F.col("__at")).otherwise(F.lit(0).cast("long"))  # none taken may be closest
+    return rated.join(best, own).withColumn("threshold", at).drop("__from", "__at", "__gap")
+
+
 def plan(
     docs: DataFrame,
     text: str = "text",
@@ -85,32 +112,36 @@ def plan(
     """Append ``size, source_size, target, rate, copies`` to every document.
 
     A source's rate is target / size; a document is taken floor(rate) times
-    and once more if its hash-seeded draw falls under the fraction. Rows of one
-    key share a draw, so a rerun takes the same rows. Null or empty texts have
-    size 0; a source of size 0 has target and rate 0. Columns of ``docs`` with
-    those names are replaced. No row is lost: zero copies are kept here.
+    and once more if its hash-seeded draw falls under the source's threshold,
+    which is the fraction of the rate up to the calibration of ``thresholds``.
+    Rows of one key share a draw, so a rerun takes the same rows. Null or empty
+    texts have size 0; a source of size 0 has target and rate 0. Columns of
+    ``docs`` with those names are replaced. No row is lost: zero copies are
+    kept here. Sources hold any share of the rows: their sums have map-side
+    combine, and their rows meet the statistics in ``SALTS`` groups.
     """
     base = free_of(docs, ["size", "source_size", "target", "rate", "copies"])
-    sized = base.withColumn("size", words(F.col(text)))
-    stats = cut(targets(sized.groupBy(F.col(source).alias("source")).agg(F.sum("size").alias("source_size")), weights, cap))
+    sized = base.withColumn("size", words(F.col(f"`{text}`"))).withColumn(
+        "__bucket", F.floor(draw(F.col(f"`{key}`"), seed) * BUCKETS)
+    )
+    shares = cut(
+        sized.groupBy(F.col(f"`{source}`").alias("__from"), F.col("__bucket").alias("bucket")).agg(F.sum("size").alias("words"))
+    )
+    sizes = shares.groupBy(F.col("__from").alias("source")).agg(F.sum("words").alias("source_size"))
+    stats = cut(thresholds(shares, targets(sizes, weights, cap)))
     salted = stats.select(
         F.col("source").alias("__source"),
         "source_size",
         "target",
-        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap))))
-        .otherwise(0.0)
-        .alias("rate"),
+        "rate",
+        "threshold",
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt_to"),
     )
-    u = draw(F.col(key), seed)
     return (
-        sized.withColumn("__salt", F.pmod(F.hash(F.col(key)), F.lit(SALTS)))
-        .join(salted, F.col(source).eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt_to")))
-        .withColumn(
-            "copies",
-            (F.floor("rate") + F.when(u < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("long"),
-        )
-        .drop("__source", "__salt", "__salt_to")
+        sized.withColumn("__salt", F.pmod(F.hash(F.col(f"`{key}`")), F.lit(SALTS)))
+        .join(salted, F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt_to")))
+        .withColumn("copies", F.floor("rate") + (F.col("__bucket") < F.col("threshold")).cast("long"))
+        .drop("__source", "__salt", "__salt_to", "__bucket", "threshold")
     )
 
 
