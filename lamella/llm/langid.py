@@ -14,7 +14,7 @@ from .common import add_columns, buffer_of, steps, utf8
 #: Context length in bytes at most.
 ORDER = 3
 #: Texts per language that statistics are taken from, the first by hash; a documented bound on the training sample.
-SAMPLE = 150
+SAMPLE = 600
 UNKNOWN = "und"
 #: Bytes scored at once, of one long text or of many.
 BLOCK = 1 << 20
