@@ -77,7 +77,7 @@ class Tree:
 
     def counts(self, leaves: list[str]) -> list[int]:
         self.encoded += sum(map(len, leaves))
-        return [sum(map(len, c)) // 4 for c in self.encode.chunks(leaves)]
+        return self.encode.counts(leaves)
 
     def edit(self, start: int, length: int, text: str) -> None:
         """Re-encodes the leaves that hold the edited span or the code point on either side of it."""
@@ -122,7 +122,7 @@ def plant(docs: DataFrame, text: str = "text", path: str | None = None) -> DataF
             for x in b.column(0):
                 leaves = leaves_of(x.as_py())
                 chars.append([len(v) for v in leaves])
-                counts.append([sum(map(len, c)) // 4 for c in encode.chunks(leaves)])
+                counts.append(encode.counts(leaves))
             return [pa.array(chars, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32())), pa.array(map(sum, counts), pa.int64())]
 
         return f

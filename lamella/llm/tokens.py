@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
+
 #: ASCII white space: every pre-token ends there, so what lies between is encoded on its own.
 SPACE = re.compile(r"[ \t-\r]+")
 #: Characters of cached chunks at most; past that the cache starts anew.
-CACHE_CHARS = 3_000_000
+CACHE_CHARS = 16_000_000
 #: Sentence marks that form a pre-token of their own after a letter.
 MARKS = (".", ",")
+#: Words in one call of the tokenizer.
+GROUP = 1000
+#: Marks that compose with the letter before them, and controls that only Python counts as white space.
+ODD = re.compile("[\u0300-\u036f\x1c-\x1f]")
 
 
 def default_path() -> str:
@@ -29,40 +36,73 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for lower-case ASCII letters, which need no normalising and no patterns.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        size = self.tokenizer.get_vocab_size()
+        #: Tokens that end a word, by id.
+        self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
         self.chars = 0
 
+    def encode(self, texts: list[str], plain: bool = False) -> Iterator[np.ndarray]:
+        for e in (self.plain if plain else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, "<u4")
+
     def learn(self, chunks: set[str]) -> None:
-        whole: dict[str, tuple[str, str]] = {}
-        for w in chunks:
-            body = w.lower() if w.isascii() and "<" not in w else w  # "<": special tokens are matched before lower-casing
-            tail = ""
-            if len(body) > 1 and body[-1] in MARKS and body[-2].isalpha():
-                body, tail = body[:-1], body[-1]
-            whole[w] = (body, tail)
-        parts = [p for p in {p for pair in whole.values() for p in pair} if p not in self.known]
-        for p, e in zip(parts, self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)):
-            self.known[p] = b"".join([i.to_bytes(4, "little") for i in e.ids])
-        for w, (body, tail) in whole.items():
-            self.known[w] = self.known[body] + self.known[tail]
-        self.chars += sum(map(len, chunks)) + sum(map(len, parts))
-
-    def chunks(self, texts: list[str]) -> list[list[bytes]]:
-        """The ids of each text, one bytes object for each run between white space."""
+        known = self.known
+        marked = [w for w in chunks if w[-1] in MARKS and w[:-1].isalpha()]
+        words = {w for w in chunks if w.isalpha()}
+        words.update([w[:-1] for w in marked])
+        words = [w for w in words if w not in known]
+        rest = [w for w in chunks if w not in known]
+        # Words of letters alone are one pre-token each: many fit into one call and come apart at their last tokens.
+        for plain in (True, False):
+            part = [w for w in words if (w.isascii() and w.islower()) == plain]
+            for i in range(0, len(part), 16 * GROUP):
+                groups = [part[j : j + GROUP] for j in range(i, min(i + 16 * GROUP, len(part)), GROUP)]
+                for group, ids in zip(groups, self.encode([" ".join(g) for g in groups], plain)):
+                    ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+                    if len(ends) == len(group):
+                        data = ids.tobytes()
+                        known.update(zip(group, [data[x:y] for x, y in zip([0, *ends], ends)]))
+        rest += MARKS
+        apart = {w for w in marked if w[:-1] in known}
+        rest = [w for w in rest if w not in known and w not in apart]
+        known.update(zip(rest, (ids.tobytes() for ids in self.encode(rest))))
+        for w in apart:
+            known[w] = known[w[:-1]] + known[w[-1]]
+        self.chars += sum(map(len, chunks)) + sum(map(len, words))
+
+    def split(self, text: str) -> list[str]:
+        # Lower case now saves chunks; not where special tokens, composing marks or separators that are no
+        # white space for the tokenizer might be met.
+        if "<" in text or ODD.search(text):
+            return SPACE.split(text)
+        return text.encode().lower().decode().split()  # A-Z only; the tokenizer drops all other white space, too
+
+    def known_words(self, texts: list[str]) -> list[list[str]]:
+        """The runs between white space of each text, all of them known from now on."""
         if self.chars > CACHE_CHARS:
             self.known, self.chars = {"": b""}, 0
-        words = [SPACE.split(t) for t in texts]
+        words = list(map(self.split, texts))
         fresh = set().union(*words).difference(self.known)
         if fresh:
             self.learn(fresh)
-        get = self.known.__getitem__
-        return [list(map(get, w)) for w in words]
+        return words
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        return [len(x) // 4 for x in self.ids(texts)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(c) for c in self.chunks(texts)]
+        words = self.known_words(texts)
+        get = self.known.__getitem__
+        return [b"".join(map(get, w)) for w in words]
 
 
 @cache
