@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokens
 from .common import add_columns, buffer_of, steps, utf8
 
 #: Context length in bytes at most.
@@ -154,6 +155,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
     def make():
         m: Model | None = held.value
+        tokens.forget()
 
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             data, at = buffer_of(b.column(0))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokens
 from .common import add_columns, components, stored, utf8
 
 SHINGLE = 3
@@ -41,6 +42,7 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = SHINGLE) -> D
     """Append ``fingerprint`` (long) of every whole text; null and wordless texts have 0."""
 
     def make():
+        tokens.forget()
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             return [pa.array([fingerprint(x.as_py(), words) for x in b.column(0)], pa.int64())]
 

@@ -12,7 +12,7 @@ import numpy as np
 #: ASCII white space: every pre-token ends there, so what lies between is encoded on its own.
 SPACE = re.compile(r"[ \t-\r]+")
 #: Characters of cached chunks at most; past that the cache starts anew.
-CACHE_CHARS = 16_000_000
+CACHE_CHARS = 8_000_000
 #: Sentence marks that form a pre-token of their own after a letter.
 MARKS = (".", ",")
 #: Words in one call of the tokenizer.
@@ -109,3 +109,11 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker: its cache outlives a task."""
     return Encoder(path)
+def encoder(path: str) -> Encoder:
+    """One encoder for each Python worker: its cache outlives a task."""
+    return Encoder(path)
+
+
+def forget() -> None:
+    """Free what earlier stages cached in this Python worker, which Spark reuses for other operators."""
+    encoder.cache_clear()

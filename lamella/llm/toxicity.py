@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tokens
 from .common import add_columns, cut
 
 #: Labelled documents that the lexicon and the weights are learned from, the first by hash; a documented bound.
@@ -132,7 +133,7 @@ class Lexicon:
     def kinds(self, words: set[str]) -> dict[str, int]:
         """The words among ``words`` that match."""
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > 150_000:
             known.clear()
         for w in words.difference(known):
             known[w] = self.match(w)
@@ -279,6 +280,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def make():
         m: Model = held.value
+        tokens.forget()
 
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             got = [m.score(x.as_py()) for x in b.column(0)]
