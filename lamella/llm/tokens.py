@@ -11,14 +11,17 @@ import numpy as np
 
 #: ASCII white space: every pre-token ends there, so what lies between is encoded on its own.
 SPACE = re.compile(r"[ \t-\r]+")
-#: Characters of cached chunks at most; past that the cache starts anew.
-CACHE_CHARS = 8_000_000
+#: Characters of cached chunks at most, in two generations: what the older one has and nobody meets again is forgotten.
+CACHE_CHARS = 10_000_000
 #: Sentence marks that form a pre-token of their own after a letter.
 MARKS = (".", ",")
+#: Such a mark after anything but a letter, where it may belong to a longer pre-token.
+ALONE = [re.compile(rf"\{m}(?=\s)(?<![^\W\d_]\{m})") for m in MARKS]
 #: Words in one call of the tokenizer.
 GROUP = 1000
-#: Marks that compose with the letter before them, and controls that only Python counts as white space.
-ODD = re.compile("[\u0300-\u036f\x1c-\x1f]")
+#: Marks that compose with the letter before them, a letter that ends in one in lower case, and controls that only
+#: Python counts as white space.
+ODD = re.compile("[\u0130\u0300-\u036f\x1c-\x1f]")
 
 
 def default_path() -> str:
@@ -47,6 +50,7 @@ class Encoder:
         #: Tokens that end a word, by id.
         self.last = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
         self.chars = 0
 
     def encode(self, texts: list[str], plain: bool = False) -> Iterator[np.ndarray]:
@@ -55,9 +59,11 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> None:
         known = self.known
-        marked = [w for w in chunks if w[-1] in MARKS and w[:-1].isalpha()]
+        marked = [w for w in chunks if w[-1] in MARKS and w[:-1].isalpha() and not ODD.search(w)]
         words = {w for w in chunks if w.isalpha()}
         words.update([w[:-1] for w in marked])
+        for w in words.intersection(self.older):
+            known[w] = self.older[w]
         words = [w for w in words if w not in known]
         rest = [w for w in chunks if w not in known]
         # Words of letters alone are one pre-token each: many fit into one call and come apart at their last tokens.
@@ -76,21 +82,29 @@ class Encoder:
         known.update(zip(rest, (ids.tobytes() for ids in self.encode(rest))))
         for w in apart:
             known[w] = known[w[:-1]] + known[w[-1]]
-        self.chars += sum(map(len, chunks)) + sum(map(len, words))
+        self.chars += sum(map(len, chunks))
 
     def split(self, text: str) -> list[str]:
         # Lower case now saves chunks; not where special tokens, composing marks or separators that are no
         # white space for the tokenizer might be met.
         if "<" in text or ODD.search(text):
             return SPACE.split(text)
-        return text.encode().lower().decode().split()  # A-Z only; the tokenizer drops all other white space, too
+        text = text.encode().lower().decode()  # A-Z only
+        if not any(alone.search(text) for alone in ALONE):
+            for mark in MARKS:
+                text = text.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark} ")
+        return text.split()  # the tokenizer drops all other white space, too
 
     def known_words(self, texts: list[str]) -> list[list[str]]:
         """The runs between white space of each text, all of them known from now on."""
-        if self.chars > CACHE_CHARS:
-            self.known, self.chars = {"": b""}, 0
+        if self.chars > CACHE_CHARS // 2:
+            self.older, self.known, self.chars = self.known, {"": b""}, 0
         words = list(map(self.split, texts))
         fresh = set().union(*words).difference(self.known)
+        again = fresh.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        self.chars += sum(map(len, again))
+        fresh -= again
         if fresh:
             self.learn(fresh)
         return words
@@ -109,9 +123,6 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker: its cache outlives a task."""
     return Encoder(path)
-def encoder(path: str) -> Encoder:
-    """One encoder for each Python worker: its cache outlives a task."""
-    return Encoder(path)
 
 
 def forget() -> None:
