@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from .common import add_columns, cut
 
 #: Labelled documents that the lexicon and the weights are learned from, the first by hash; a documented bound.
 SAMPLE = 6000
-#: A term is in this share of the toxic sample documents at least, and this many times likelier there than elsewhere.
-SHARE, RATIO = 0.01, 25.0
+#: A term is in this share and this many of the toxic sample texts at least, and so many times likelier there than elsewhere.
+SHARE, LEAST, RATIO = 0.01, 5, 25.0
+#: A stem counts in a text only if so many different words begin with it, and is in so many of those texts at least.
+KINDS, STEM_LEAST = 2, 4
 #: Terms at most, the most telling first: a bound on the model, not on what is scored.
 TERMS = 500
 #: Letters of a stem; a stem also matches the words that it begins.
@@ -32,7 +35,7 @@ QUOTES = "\"'«»„“”‘’`"
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 #: Words of a report or a discussion of words, in the languages of the corpus.
 REPORTS = frozenset("said says called quote quoted word term insult dijo dice palabra dit mot appelé sagte wort nannte".split())
-FEATURES = 9
+FEATURES = 11
 
 
 class Automaton:
@@ -63,10 +66,10 @@ class Automaton:
                     self.bound[node] = max(self.bound[node], most)
                 ends.add((node, most))
         self.letters = frozenset(c for d in self.children for c in d)
-        self.states: dict[frozenset, tuple[dict, int | None]] = {}
+        self.states: dict[frozenset, tuple[dict, tuple[int, bool]]] = {}
         self.start = self.closed({0: 0})
 
-    def closed(self, at: dict[int, int]) -> tuple[dict, int | None] | None:
+    def closed(self, at: dict[int, int]) -> tuple[dict, tuple[int, bool]] | None:
         """The state of the nodes in ``at`` and those reached by leaving out letters of terms; None if there are none."""
         todo = list(at.items())
         while todo:
@@ -84,11 +87,11 @@ class Automaton:
             return None
         key = frozenset(at.items())
         if key not in self.states:
-            good = [at[n] for n, most in self.ends if at.get(n, 9) <= most]
-            self.states[key] = ({"": at}, min([*good, at.get(self.WON, 9)]))
+            good = [(at[n], False) for n, most in self.ends if at.get(n, 9) <= most]
+            self.states[key] = ({"": at}, min([*good, (at.get(self.WON, 9), True)]))
         return self.states[key]
 
-    def next(self, state: tuple[dict, int | None], c: str) -> tuple[dict, int | None] | None:
+    def next(self, state: tuple[dict, tuple[int, bool]], c: str) -> tuple[dict, tuple[int, bool]] | None:
         at: dict[int, int] = {}
         for node, e in state[0][""].items():
             if node == self.WON:
@@ -100,8 +103,8 @@ class Automaton:
                     at[n] = cost
         return self.closed(at)
 
-    def errors(self, word: str) -> int | None:
-        """The fewest errors with which ``word`` is a term or goes on from a stem; None if there is no such."""
+    def find(self, word: str) -> tuple[int, bool] | None:
+        """The fewest errors with which ``word`` is a term or (True, if no term has as few) goes on from a stem."""
         state = self.start
         for c in word:
             c = c if c in self.letters else "?"
@@ -111,7 +114,7 @@ class Automaton:
             state = go[c]
             if state is None:
                 return None
-        return state[1] if state[1] < 9 else None
+        return state[1] if state[1][0] < 9 else None
 
 
 class Lexicon:
@@ -123,12 +126,14 @@ class Lexicon:
         self.known: dict[str, int] = {}
 
     def match(self, word: str) -> int:
-        """0 for no match, 1 for an exact one, 2 or 3 for one or two errors, or look-alikes of letters."""
+        """0 for no match, 1 for an exact one, 2 or 3 for one or two errors or look-alikes of letters, 4 for a stem as it is."""
         if self.empty or not 3 <= len(word) <= 40:
             return 0
         plain = word.translate(LOOKALIKES)
-        e = self.automaton.errors(plain)
-        return 0 if e is None else max(e + 1, 1 if plain == word else 2)
+        errors, stem = self.automaton.find(plain) or (9, True)
+        if stem:
+            return 4 if errors == 0 and plain == word else 0
+        return max(errors + 1, 1 if plain == word else 2)
 
     def kinds(self, words: set[str]) -> dict[str, int]:
         """The words among ``words`` that match."""
@@ -146,7 +151,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     words = LETTERS.findall(low)
     hits = lexicon.kinds(set(words))
     n = max(len(words), 1)
-    kinds = [0, 0, 0, 0]  # exact, one error, two errors, quoted
+    kinds = [0, 0, 0, 0, 0]  # exact, one error, two errors, stems, quoted
     distinct: set[str] = set()
     if hits:
         spans = [(i, m) for i, m in enumerate(LETTERS.finditer(low)) if m.group() in hits]
@@ -154,14 +159,14 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             near = low[max(m.start() - 2, 0) : m.start()], low[m.end() : m.end() + 2]
             told = REPORTS.intersection(words[max(i - WINDOW, 0) : i + WINDOW])
             if all(any(q in side for q in QUOTES) for side in near) or told:
-                kinds[3] += 1
+                kinds[4] += 1
             else:
                 kinds[hits[m.group()] - 1] += 1
             distinct.add(m.group())
-    total = sum(kinds)
+    sure = kinds[0] + kinds[1] + kinds[2]
     return [
-        np.log1p(kinds[0]), np.log1p(kinds[1]), np.log1p(kinds[2]), np.log1p(kinds[3]),
-        float(kinds[0] > 0), float(kinds[1] + kinds[2] > 0), np.log1p(len(distinct)), np.log1p(1000 * total / n), np.log1p(n),
+        *np.log1p(kinds), float(kinds[0] > 0), float(kinds[1] + kinds[2] > 0), np.log1p(len(distinct)),
+        np.log1p(1000 * sure / n), np.log1p(1000 * kinds[3] / n), np.log1p(n),
     ]
 
 
@@ -192,9 +197,10 @@ class Model:
 
 
 def terms_of(text: str) -> set[str]:
-    """Every word of a text and every stem that begins one."""
+    """Every word of a text, and every stem that begins ``KINDS`` of its words."""
     words = set(LETTERS.findall(text.lower()))
-    return words | {w[:n] + "+" for w in words for n in range(STEM[0], min(len(w), STEM[1]) + 1)}
+    begin = Counter(w[:n] for w in words for n in range(STEM[0], min(len(w), STEM[1]) + 1))
+    return words | {f"{s}+" for s, n in begin.items() if n >= KINDS}
 
 
 def lexicon_of(texts: DataFrame) -> tuple[list[str], list[str]]:
@@ -217,7 +223,7 @@ def lexicon_of(texts: DataFrame) -> tuple[list[str], list[str]]:
         .agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     )
     told = (
-        counted.where(F.col("a") >= max(3, SHARE * yes))
+        counted.where(F.col("a") >= F.when(F.col("term").endswith("+"), max(STEM_LEAST, SHARE * yes)).otherwise(max(LEAST, SHARE * yes)))
         .withColumn("ratio", ((F.col("a") + 0.5) / yes) / ((F.col("b") + 0.5) / no))
         .where(F.col("ratio") >= RATIO)
         .orderBy(F.desc("a"), F.desc("ratio"), "term")
@@ -230,13 +236,26 @@ def lexicon_of(texts: DataFrame) -> tuple[list[str], list[str]]:
         stem = r[0][:-1]
         if not any(stem.startswith(s) and r[1] < n * 1.01 for s, n in stems):
             stems.append((stem, r[1]))
-    words = [r[0] for r in told if not r[0].endswith("+")]
-    # A word that makes up nearly all of its stem is meant as the word.
-    count = {r[0]: r[1] for r in told}
-    plain = [w for w in words if any(w.startswith(s) and count[w] >= 0.8 * n for s, n in stems)]
-    covered = tuple(s for s, n in stems if not any(w.startswith(s) for w in plain))
-    rest = [w for w in words if w in plain or not (covered and w.startswith(covered))]
-    return rest[:TERMS], list(covered)[:TERMS]
+    begins = tuple(s for s, _ in stems)
+    words = [r[0] for r in told if not r[0].endswith("+") and not (begins and r[0].startswith(begins))]
+    return words[:TERMS], list(begins)[:TERMS]
+
+
+def without_copies(texts: DataFrame) -> DataFrame:
+    """One text of those with the same least hash of three words in a row: copies would make terms of all their words."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        for b in batches:
+            least = []
+            for text in b.column(0).to_pylist():
+                w = text.lower().split()
+                least.append(min(xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(len(w) - 2, 1))) >> 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least, pa.int64())], names=["text", "toxic", "least"])
+
+    marked = texts.select("text", "toxic").mapInArrow(mark, "text string, toxic int, least long")
+    return marked.groupBy("least").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("least")
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -254,7 +273,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
         .select(F.col(f"`{text}`").cast("string").alias("text"), "toxic")
         .where(F.col("text").isNotNull())
     )
-    model = Model(*lexicon_of(chosen))
+    model = Model(*lexicon_of(without_copies(chosen)))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
