@@ -120,6 +120,22 @@ def remainder(key: Column, of: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % of
 
 
+def lowest(keys: DataFrame, n: int, by: list[str], h: str = "h") -> DataFrame:
+    """The ``n`` rows of each group with the lowest hash ``h`` (all of a smaller group), with few rows in any task.
+
+    Groups are counted first; only hashes low enough for about ``4 n`` rows of
+    a group go on to be ranked, whatever the number of tasks and rows.
+    """
+    from pyspark.sql import Window as W
+
+    counts = keys.groupBy(*by).agg(F.count("*").alias("__n"))
+    low = F.col(h).cast("double") < (4.0 * n / F.col("__n") - 0.5) * 2.0**64
+    some = keys.join(F.broadcast(counts), by) if by else keys.join(F.broadcast(counts))  # one row a group
+    few = some.where((F.col("__n") <= 4 * n) | low).drop("__n")
+    rank = F.row_number().over(W.partitionBy(*by).orderBy(h))
+    return few.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
 def running(df: DataFrame, order: list[Column], total: Column) -> DataFrame:
     """Append ``rank`` (from 0) and ``before`` (sum of ``total`` over earlier rows) in a total order.
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import add_columns, buffer_of, steps, utf8
+from .common import add_columns, buffer_of, lowest, steps, utf8
 
 #: Context length in bytes at most.
 ORDER = 3
@@ -134,8 +133,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("h"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
     # Only keys are ranked; the texts of the few that remain are read by their hashes.
-    w = W.partitionBy("lang").orderBy("h")
-    picked = rows.select("lang", "h").withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample).drop("r").distinct()
+    picked = lowest(rows.select("lang", "h"), sample, ["lang"]).distinct()
     texts: dict[str, list[bytes]] = {}
     for r in rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", utf8(F.lower("text")).alias("t")).sort("h").collect():
         if len(texts.setdefault(r[0], [])) < sample:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import add_columns, cut
+from .common import add_columns, cut, lowest
 
 #: Labelled documents that the lexicon and the weights are learned from, the first by hash; a documented bound.
 SAMPLE = 6000
@@ -247,6 +247,7 @@ def without_copies(texts: DataFrame) -> DataFrame:
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
+        tokens.forget()
         for b in batches:
             least = []
             for text in b.column(0).to_pylist():
@@ -267,7 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     known = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__key")).agg(F.max((F.col(f"`{label}`") != 0).cast("int")).alias("toxic"))
     # Only keys are ranked. Labels need not be of documents that exist, so the join comes first, without texts.
     keys = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("__key")).join(known, "__key")
-    picked = keys.distinct().orderBy(F.xxhash64("__key"), "__key").limit(sample)
+    picked = lowest(keys.distinct().withColumn("h", F.xxhash64("__key")), sample, []).drop("h")
     chosen = cut(
         docs.join(F.broadcast(picked), F.col(f"`{key}`") == F.col("__key"))  # ``sample`` rows of two numbers
         .select(F.col(f"`{text}`").cast("string").alias("text"), "toxic")
