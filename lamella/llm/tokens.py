@@ -62,7 +62,7 @@ class Encoder:
         marked = [w for w in chunks if w[-1] in MARKS and w[:-1].isalpha() and not ODD.search(w)]
         words = {w for w in chunks if w.isalpha()}
         words.update([w[:-1] for w in marked])
-        for w in words.intersection(self.older):
+        for w in filter(self.older.__contains__, words):
             known[w] = self.older[w]
         words = [w for w in words if w not in known]
         rest = [w for w in chunks if w not in known]
@@ -101,10 +101,10 @@ class Encoder:
             self.older, self.known, self.chars = self.known, {"": b""}, 0
         words = list(map(self.split, texts))
         fresh = set().union(*words).difference(self.known)
-        again = fresh.intersection(self.older)
+        again = list(filter(self.older.__contains__, fresh))  # an intersection would go through all of the older ones
         self.known.update(zip(again, map(self.older.__getitem__, again)))
         self.chars += sum(map(len, again))
-        fresh -= again
+        fresh.difference_update(again)
         if fresh:
             self.learn(fresh)
         return words
