@@ -1,7 +1,10 @@
-"""SimHash near-duplicates by meeting in the middle of Hamming balls."""
+"""SimHash near-duplicates by meeting in the middle of Hamming balls, or by segments of wide fingerprints."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,13 +13,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import add_columns, components, stored, utf8
+from .common import add_columns, components, cut, stored, utf8
 
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
 #: Shingles whose bits are counted at once.
 STEP = 1 << 14
+#: Shingles and least similarity of the texts that ``deduplicate`` calls copies.
+WORDS, SIMILARITY = 5, 0.8
+#: 64-bit parts of a wide fingerprint, and the share of just similar pairs that may share no segment.
+PARTS, MISSED = 4, 0.01
+#: Texts after each in a segment's order that it is compared with; standard deviations that its radius allows for.
+NEXT, DEVIATIONS = 4, 4.0
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -91,14 +100,141 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     return kept.join(labels, F.col("fingerprint") == F.col("__print")).drop("__print")
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
-    """The documents without near-duplicates: of each component the one with the smallest key stays, whole.
+def shingles(text: bytes, words: int) -> set[bytes]:
+    """The different shingles of a text; a shorter one is one shingle, a wordless one has none."""
+    parts = text.lower().split()
+    return {b" ".join(parts[i : i + words]) for i in range(max(len(parts) - words + 1, 1))} if parts else set()
+
+
+def wide(text: bytes, words: int) -> list[int] | None:
+    """``PARTS`` signed numbers of 64 bits, the majorities over the different shingles; None without words."""
+    from xxhash import xxh64_intdigest
+
+    h = np.array([xxh64_intdigest(x, SEED) for x in shingles(text, words)], np.uint64)
+    if not len(h):
+        return None
+    out = []
+    for k in range(PARTS):
+        if k:  # mixed again: independent bits from the same hash
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(32)
+        count = np.zeros(64, np.int64)
+        for i in range(0, len(h), STEP):
+            count += np.unpackbits(h[i : i + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * count > len(h), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def text_hash(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+
+
+def candidates(prints: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a < b`` of nodes whose fingerprints are as near as those of similar texts (``node``, ``parts``, each node once).
+
+    Sets of equal size with Jaccard s have the cosine 2 s / (1 + s), other
+    sizes a larger one; a bit differs with the probability angle / pi. A ball
+    of that radius (about 10 of 64 bits at 0.8) is far too large to list, so
+    texts meet on segments instead: samples of as many bits as make chance
+    meetings rare, as many samples as leave ``MISSED`` of the pairs at the
+    threshold unmet. Those in a segment are compared with the next ``NEXT``
+    of them, so rows grow with the texts and not with their pairs.
+    """
+    n = prints.count()
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(max(math.ceil(math.log2(max(n, 2))), 8), 48)
+    tables = max(math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** bits))), 1)
+    radius = math.ceil(64 * p + DEVIATIONS * math.sqrt(64 * p * (1 - p)))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(SEED)
+        picks = [rng.choice(64 * PARTS, bits, replace=False) for _ in range(tables)]
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for whole in batches:
+            for i in range(0, len(whole), 2048):
+                b = whole.slice(i, 2048)
+                node = b.column(0).to_numpy()
+                parts = np.array(b.column(1).to_pylist(), "<i8")
+                ones = np.unpackbits(parts.view(np.uint8), axis=1, bitorder="little")
+                for t, pick in enumerate(picks):
+                    segment = (ones[:, pick] @ weights) + (t << bits)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (segment, node, parts[:, 0].copy())], names=["segment", "node", "first"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.zeros(0, np.int64)] * 3
+        for b in batches:
+            segment, node, first = (np.concatenate([t, c.to_numpy()]) for t, c in zip(tail, b.columns))
+            tail = [x[-NEXT:] for x in (segment, node, first)]
+            old = len(segment) - len(b)  # these have met each other before
+            found = []
+            for k in range(1, NEXT + 1):
+                at = np.arange(max(old - k, 0), len(segment) - k)
+                at = at[segment[at] == segment[at + k]]
+                at = at[np.bitwise_count((first[at] ^ first[at + k]).view(np.uint64)) <= radius]
+                found.append(np.column_stack([node[at], node[at + k]]))
+            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    rows = prints.select("node", "parts").mapInArrow(spread, "segment long, node long, first long")
+    dealt = rows.repartition("segment").sortWithinPartitions("segment", "node")
+    return dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+
+
+def similar(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs of text hashes ``a, b`` whose texts' shingles have that Jaccard similarity at least, exactly."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(text_hash(text).alias("node"), utf8(F.col(f"`{text}`")).alias("t")).join(nodes, "node", "left_semi")
+    texts = texts.groupBy("node").agg(F.min("t").alias("t"))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens.forget()
+        for batch in batches:
+            good, last, x = [], None, set()
+            for a, s, t in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
+                if a != last:
+                    last, x = a, shingles(s, words)
+                y = shingles(t, words)
+                both = len(x & y)
+                good.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left = texts.select(F.col("node").alias("a"), F.col("t").alias("s"))
+    right = texts.select(F.col("node").alias("b"), "t")
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
+
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``key, node, component``: equal components for documents linked by similar texts, null and wordless ones with each other.
+
+    ``node`` is the hash of the text, 0 without words. Equal texts are one
+    node, so thousands of copies cost what one does.
+    """
+
+    def make():
+        tokens.forget()
+
+        def f(b: pa.RecordBatch) -> list[pa.Array]:
+            return [pa.array([wide(x.as_py(), words) for x in b.column(0)], pa.list_(pa.int64()))]
+
+        return f
+
+    base = docs.select(F.col(f"`{key}`"), text_hash(text).alias("node"), F.col(f"`{text}`").alias("__text"))
+    marked = add_columns(base, {"bytes": utf8(F.col("__text"))}, [T.StructField("parts", T.ArrayType(T.LongType()))], make).drop("__text")
+    kept = stored(marked.withColumn("node", F.when(F.col("parts").isNull(), 0).otherwise(F.col("node"))))
+    prints = kept.where(F.col("parts").isNotNull()).groupBy("node").agg(F.min("parts").alias("parts"))
+    part = components(similar(cut(candidates(prints, similarity)), docs, text, words, similarity))
+    return kept.drop("parts").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The documents without near-duplicates: of each component of ``copies`` the one with the smallest key stays, whole.
 
     Of repeated keys one row stays; of documents without a key those whose
     component has no other.
     """
-    groups = near_duplicates(docs, key, text, words)
-    stay = groups.where(F.col(f"`{key}`").eqNullSafe(F.col("component_id"))).select(F.col(f"`{key}`").alias("__key")).distinct()
+    groups = copies(docs, key, text, words, similarity)
+    stay = groups.groupBy("component").agg(F.min(f"`{key}`").alias("__key")).select("__key").distinct()
     return docs.join(stay, F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left_semi").dropDuplicates([key])
 
 

@@ -544,6 +544,28 @@ def test_simhash_edges(edge, none):
     assert simhash.near_duplicates(none).count() == 0 and simhash.deduplicate(none).count() == 0
 
 
+def test_deduplicate_reaches_similar_texts(spark):
+    rng = np.random.default_rng(3)
+    rows, want = [], set()
+    for i in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 200)))]
+        rows.append((2 * i, " ".join(words)))
+        n, at = len(words) - 4, int(rng.integers(10, 50))
+        if i % 3 == 0:  # one word changed: 5 of n shingles differ, similarity (n - 5) / (n + 5) > 0.8
+            words[at] = "other"
+            assert (n - 5) / (n + 5) >= 0.8
+        elif i % 3 == 1:  # a piece of a fifth and more changed: less than 0.8 is left
+            words[at : at + n // 5] = ["new"] * (n // 5)
+            want.add(2 * i + 1)
+        else:
+            words = words[::-1]
+            want.add(2 * i + 1)
+        rows.append((2 * i + 1, " ".join(words)))
+    got = {r[0] for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    evens = {2 * i for i in range(300)}
+    assert evens | want <= got and len(got - evens - want) <= 3
+
+
 # ---- SQL and the pipeline
 
 
