@@ -204,11 +204,19 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity
     return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
-def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``key, node, component``: equal components for documents linked by similar texts, null and wordless ones with each other.
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a whole row; nulls count by their place, maps and the like can't be hashed and are left out."""
+    odd = ("map<", "variant")
+    names = [F.col(f"`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in odd)]
+    return F.xxhash64(*[x for c in names for x in (c, c.isNull())])
 
-    ``node`` is the hash of the text, 0 without words. Equal texts are one
-    node, so thousands of copies cost what one does.
+
+def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """``key, row, first, node`` of every document, and ``node, component`` of the nodes linked by similar texts.
+
+    ``row`` is the hash of the row, ``first`` 64 bits of the fingerprint and
+    ``node`` the hash of the text, 0 without words. Equal texts, and all
+    without words, are one node, so thousands of copies cost what one does.
     """
 
     def make():
@@ -219,23 +227,28 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
         return f
 
-    base = docs.select(F.col(f"`{key}`"), text_hash(text).alias("node"), F.col(f"`{text}`").alias("__text"))
+    base = docs.select(F.col(f"`{key}`").alias("key"), row_hash(docs).alias("row"), text_hash(text).alias("node"), F.col(f"`{text}`").alias("__text"))
     marked = add_columns(base, {"bytes": utf8(F.col("__text"))}, [T.StructField("parts", T.ArrayType(T.LongType()))], make).drop("__text")
     kept = stored(marked.withColumn("node", F.when(F.col("parts").isNull(), 0).otherwise(F.col("node"))))
     prints = kept.where(F.col("parts").isNotNull()).groupBy("node").agg(F.min("parts").alias("parts"))
     part = components(similar(cut(candidates(prints, similarity)), docs, text, words, similarity))
-    return kept.drop("parts").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = kept.select("key", "row", F.coalesce(F.col("parts")[0], F.lit(0).cast("long")).alias("first"), "node")
+    return rows, part
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near-duplicates: of each component of ``copies`` the one with the smallest key stays, whole.
+    """The documents without near-duplicates: of each component of ``copies`` one stays, whole.
 
-    Of repeated keys one row stays; of documents without a key those whose
-    component has no other.
+    It is the row with the least key (null last), then fingerprint, text hash
+    and row hash: rows that share a key, or have none, are documents of their
+    own, and each component keeps exactly one.
     """
-    groups = copies(docs, key, text, words, similarity)
-    stay = groups.groupBy("component").agg(F.min(f"`{key}`").alias("__key")).select("__key").distinct()
-    return docs.join(stay, F.col(f"`{key}`").eqNullSafe(F.col("__key")), "left_semi").dropDuplicates([key])
+    order = F.struct(F.col("key").isNull(), "key", "first", "node", "row")
+    rows, part = copies(docs, key, text, words, similarity)
+    least = rows.groupBy("node").agg(F.min(order).alias("o")).join(part, "node", "left")
+    stay = least.groupBy(F.coalesce("component", "node")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
+    marked = docs.withColumn("__row", row_hash(docs))
+    return marked.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hexadecimal(x: Column) -> Column:

@@ -566,6 +566,15 @@ def test_deduplicate_reaches_similar_texts(spark):
     assert evens | want <= got and len(got - evens - want) <= 3
 
 
+def test_deduplicate_keeps_one_row_a_group(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "red green blue white black grey")
+    rows = [(None, a, "x"), (None, b, None), (None, b, "x"), (7, c, "x"), (7, c + " seven words more", "y"), (8, c, "x"), (9, a[::-1], "x"), (9, a[::-1], "x")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        got = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.deduplicate(df).collect()))
+        assert got == sorted([(0, a), (0, b), (7, c), (7, c + " seven words more"), (9, a[::-1])])
+
+
 # ---- SQL and the pipeline
 
 
