@@ -35,7 +35,7 @@ QUOTES = "\"'«»„“”‘’`"
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 #: Words of a report or a discussion of words, in the languages of the corpus.
 REPORTS = frozenset("said says called quote quoted word term insult dijo dice palabra dit mot appelé sagte wort nannte".split())
-FEATURES = 11
+FEATURES = 12
 
 
 class Automaton:
@@ -126,13 +126,13 @@ class Lexicon:
         self.known: dict[str, int] = {}
 
     def match(self, word: str) -> int:
-        """0 for no match, 1 for an exact one, 2 or 3 for one or two errors or look-alikes of letters, 4 for a stem as it is."""
+        """0 for no match, 1 for an exact one, 2 or 3 for one or two errors or look-alikes of letters, 4 for a stem as it is, 5 for one with those."""
         if self.empty or not 3 <= len(word) <= 40:
             return 0
         plain = word.translate(LOOKALIKES)
         errors, stem = self.automaton.find(plain) or (9, True)
         if stem:
-            return 4 if errors == 0 and plain == word else 0
+            return 0 if errors == 9 else 4 if errors == 0 and plain == word else 5
         return max(errors + 1, 1 if plain == word else 2)
 
     def kinds(self, words: set[str]) -> dict[str, int]:
@@ -152,6 +152,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     hits = lexicon.kinds(set(words))
     n = max(len(words), 1)
     kinds = [0, 0, 0, 0, 0]  # exact, one error, two errors, stems, quoted
+    bent = 0  # stems with errors or look-alikes
     distinct: set[str] = set()
     if hits:
         spans = [(i, m) for i, m in enumerate(LETTERS.finditer(low)) if m.group() in hits]
@@ -160,13 +161,15 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
             told = REPORTS.intersection(words[max(i - WINDOW, 0) : i + WINDOW])
             if all(any(q in side for q in QUOTES) for side in near) or told:
                 kinds[4] += 1
+            elif hits[m.group()] == 5:
+                bent += 1
             else:
                 kinds[hits[m.group()] - 1] += 1
             distinct.add(m.group())
     sure = kinds[0] + kinds[1] + kinds[2]
     return [
         *np.log1p(kinds), float(kinds[0] > 0), float(kinds[1] + kinds[2] > 0), np.log1p(len(distinct)),
-        np.log1p(1000 * sure / n), np.log1p(1000 * kinds[3] / n), np.log1p(n),
+        np.log1p(1000 * sure / n), np.log1p(1000 * kinds[3] / n), np.log1p(n), np.log1p(bent),
     ]
 
 
@@ -237,7 +240,8 @@ def lexicon_of(texts: DataFrame) -> tuple[list[str], list[str]]:
         if not any(stem.startswith(s) and r[1] < n * 1.01 for s, n in stems):
             stems.append((stem, r[1]))
     begins = tuple(s for s, _ in stems)
-    words = [r[0] for r in told if not r[0].endswith("+") and not (begins and r[0].startswith(begins))]
+    # Words that begin with a stem stay, as they forgive errors anywhere.
+    words = [r[0] for r in told if not r[0].endswith("+")]
     return words[:TERMS], list(begins)[:TERMS]
 
 

@@ -314,6 +314,19 @@ def test_misspelled_and_quoted_terms():
     assert plain[0] > 0 and plain[4] == 0 and quoted[0] == 0 and quoted[4] > 0
 
 
+def test_misspelled_stems(spark):
+    m = toxicity.Model(["fool"], ["idiot"])
+    assert [m.lexicon.match(w) for w in ("idiots", "idiiots", "id1otic", "ideas", "fool")] == [4, 5, 5, 0, 1]
+    plain, bent = toxicity.features("you idiots", m.lexicon), toxicity.features("you idiiots", m.lexicon)
+    assert len(bent) == toxicity.FEATURES and bent[-1] > 0 == plain[-1] and bent[3] == 0 < plain[3]
+    bad = [(f"some text number x{i}y with idiot and idiots and more", 1) for i in range(40)]
+    good = [(f"some text number z{i}w with nothing much and more", 0) for i in range(60)]
+    words, stems = toxicity.lexicon_of(spark.createDataFrame(bad + good, "text string, toxic int"))
+    assert "idio" in stems and {"idiot", "idiots"} <= set(words)
+    found = toxicity.Lexicon(words, stems)
+    assert all(found.match(w) > 0 for w in ("idiiot", "id1ot", "iidiot"))
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, None), (6, 0), (6, 1), (None, 1)], "doc_id long, toxic int")
     for model in (toxicity.train(edge, labels), toxicity.train(edge, labels.limit(0)), toxicity.train(none, labels)):
