@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,6 +31,11 @@ ONE, TWO = 5, 9
 #: Words on either side of a match that tell quotation from abuse.
 WINDOW = 8
 LETTERS = re.compile(r"[^\W_]+", re.UNICODE)
+#: Words with signs between or before letters: looked up whole besides their parts (``*`` and ``_`` are errors, the others look-alikes).
+DISGUISED = re.compile(r"(?<![^\W_])(?:[^\W_]++[@$!*_]++|[@$!]++)[^\W_]++(?:[@$!*_]++[^\W_]++)*+", re.UNICODE)
+SIGN = re.compile(r"[@$!*_][^\W_]", re.UNICODE)
+#: Kinds of matches, the surest first: of a disguised word and its parts the surer counts.
+SURER = (0, 1, 4, 2, 3, 5)
 #: Marks of quotation, and look-alikes of letters in disguised words.
 QUOTES = "\"'«»„“”‘’`"
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -145,17 +151,39 @@ class Lexicon:
         return {w: known[w] for w in words if known[w]}
 
 
+def unmasked(low: str, spans: list[tuple[int, re.Match]], whole: list[re.Match], hits: dict[str, int]) -> list[tuple[int, re.Match]]:
+    """The matches ``spans`` (number of the word, place) with those of disguised words in place of less sure ones of their parts."""
+    out, at = [], 0
+    begins = [m.start() for m in LETTERS.finditer(low)]
+    for m in whole:
+        while at < len(spans) and spans[at][1].start() < m.start():
+            out.append(spans[at])
+            at += 1
+        parts = at
+        while at < len(spans) and spans[at][1].start() < m.end():
+            at += 1
+        inside = spans[parts:at]
+        if all(SURER.index(hits[m.group()]) < SURER.index(hits[p.group()]) for _, p in inside):
+            out.append((bisect_left(begins, m.start()), m))
+        else:
+            out += inside
+    return out + spans[at:]
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """Counts and shares of exact and of misspelled terms, each apart for quotation and abuse, and the text's size."""
     low = text.lower()
     words = LETTERS.findall(low)
-    hits = lexicon.kinds(set(words))
+    disguised = list(DISGUISED.finditer(low)) if SIGN.search(low) else []
+    hits = lexicon.kinds({*words, *(m.group() for m in disguised)})
     n = max(len(words), 1)
     kinds = [0, 0, 0, 0, 0]  # exact, one error, two errors, stems, quoted
     bent = 0  # stems with errors or look-alikes
     distinct: set[str] = set()
     if hits:
         spans = [(i, m) for i, m in enumerate(LETTERS.finditer(low)) if m.group() in hits]
+        whole = [m for m in disguised if m.group() in hits]
+        spans = unmasked(low, spans, whole, hits) if whole else spans
         for i, m in spans:
             near = low[max(m.start() - 2, 0) : m.start()], low[m.end() : m.end() + 2]
             told = REPORTS.intersection(words[max(i - WINDOW, 0) : i + WINDOW])

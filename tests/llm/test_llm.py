@@ -327,6 +327,19 @@ def test_misspelled_stems(spark):
     assert all(found.match(w) > 0 for w in ("idiiot", "id1ot", "iidiot"))
 
 
+def test_disguised_terms():
+    m = toxicity.Model(["idiot", "stupid", "scum", "worthless"], [])
+    seen = lambda t: toxicity.features(t, m.lexicon)
+    for term in ("idi@t", "stup!d", "$cum", "$tupid", "st*pid", "stup_d", "w*rthl3ss", "$tup!d"):
+        got = seen(f"you {term}, go")
+        assert sum(x > 0 for x in got[1:3]) == 1 and got[0] == 0 and got[7] == np.log1p(1), term
+    for clean in ("mail a@b.com or c$d", "snake_case *bold* words!", "hi!you", "$100 !wow"):
+        assert not any(seen(clean)[:9]), clean
+    assert seen("*stupid* and stupid!you")[0] == np.log1p(2) and seen("a stupid_thing")[:3] == seen("a stupid thing")[:3]
+    quoted, told = seen('the "stup!d" here'), seen("someone said stup!d here")
+    assert quoted[4] > 0 == quoted[1] and told[4] > 0 == told[1]
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, None), (6, 0), (6, 1), (None, 1)], "doc_id long, toxic int")
     for model in (toxicity.train(edge, labels), toxicity.train(edge, labels.limit(0)), toxicity.train(none, labels)):
