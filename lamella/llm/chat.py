@@ -97,49 +97,83 @@ def format_chats(
     )
 
 
-def parsed(before: str) -> str:
-    """The role that a turn's first segment marks."""
-    for k, t in TEMPLATE.items():
-        if k and before == t.before:
-            return k
-    return unescaped(before[len(TEMPLATE[""].before) : -len(NAMED)])
+def pattern() -> re.Pattern:
+    """One whole turn of formatted text: its role by the template's marks (a named one: its name) and its escaped text."""
+    known = [f"(?P<{k}>{re.escape(t.before)}(?P<{k}_text>.*?){re.escape(t.after)})" for k, t in TEMPLATE.items() if k]
+    other = TEMPLATE[""]
+    name = r"(?P<name>(?:[^\]\\]|\\.)*)"
+    named = f"{re.escape(other.before)}{name}{re.escape(NAMED)}(?P<other_text>.*?){re.escape(other.after)}"
+    return re.compile("|".join([*known, named]), re.DOTALL)
+
+
+class Reader:
+    """Reads one conversation back from its formatted text, piece by piece, each with its loss flag.
+
+    What has been joined is cut into turns by the template's marks alone, and
+    dropped with each turn that is whole; a text under the loss mask is what the
+    mask covers, unescaped.
+    """
+
+    TURN = pattern()
+
+    def __init__(self):
+        self.text, self.mask = "", []
+        self.turns, self.said = hashlib.sha256(), hashlib.sha256()
+        self.n_turns = self.loss_chars = self.formatted = 0
+
+    def feed(self, piece: str, loss: bool) -> None:
+        if loss:
+            self.mask.append((len(self.text), len(self.text) + len(piece)))
+        self.text += piece
+        self.formatted += len(piece)
+        if not any(piece.endswith(t.after) for t in TEMPLATE.values()):
+            return  # no turn ends here
+        at = 0
+        while m := self.TURN.match(self.text, at):
+            role = next((k for k in TEMPLATE if k and m[k] is not None), None)
+            text = m["other_text"] if role is None else m[f"{role}_text"]
+            role = unescaped(m["name"]) if role is None else role
+            self.n_turns += 1
+            self.turns.update(f"{role}\n{unescaped(text)}\n".encode())
+            at = m.end()
+        for i, j in self.mask:
+            plain = unescaped(self.text[i:j])
+            self.loss_chars += len(plain)
+            self.said.update(plain.encode())
+        if at != len(self.text):
+            raise ValueError(f"no turn at code point {at} of {self.text[:80]!r}")
+        self.text, self.mask = "", []
 
 
 def digests(segments: DataFrame, conversation: str = "conv_id") -> DataFrame:
-    """One row for each conversation, read back from formatted segments, which must be in order within partitions.
+    """One row for each conversation, read back from the joined text of its segments, which must be in order within partitions.
 
     ``n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, legal``;
-    a task holds one turn at a time, however long the conversation.
+    a task holds one turn at a time, however long the conversation. Text that
+    is no sequence of whole turns is an error.
     """
     kind = segments.schema[conversation].dataType.simpleString()
     names = [conversation, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "legal"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, None
+        now, state, fine = None, None, True
         done: list[list] = [[] for _ in names]
 
         def close() -> None:
-            for c, v in zip(done, (now, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4], state[5])):
+            if state.text:
+                raise ValueError(f"no turn in {state.text[:80]!r}")
+            row = (now, state.n_turns, state.turns.hexdigest(), state.loss_chars, state.said.hexdigest(), state.formatted, fine)
+            for c, v in zip(done, row):
                 c.append(v)
 
         for b in batches:
-            for key, segment, text, loss, legal in zip(*[c.to_pylist() for c in b.columns]):
+            for key, text, loss, legal in zip(*[c.to_pylist() for c in b.columns]):
                 if state is None or key != now:
                     if state is not None:
                         close()
-                    now, state = key, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, True]
-                state[4] += len(text)
-                if segment == 0:
-                    state[0] += 1
-                    state[1].update(parsed(text).encode() + b"\n")
-                    state[5] &= legal
-                elif segment == 1:
-                    plain = unescaped(text)
-                    state[1].update(plain.encode())
-                    state[1].update(b"\n")
-                    if loss:
-                        state[2] += len(plain)
-                        state[3].update(plain.encode())
+                    now, state, fine = key, Reader(), True
+                fine &= legal
+                state.feed(text, loss)
             yield batch(done)
         if state is not None:
             close()
@@ -155,4 +189,4 @@ def digests(segments: DataFrame, conversation: str = "conv_id") -> DataFrame:
 
     kinds = [to_arrow_type(segments.schema[conversation].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
     schema = f"`{conversation}` {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, legal boolean"
-    return segments.select(conversation, "segment", "text", "loss", "legal").mapInArrow(read, schema)
+    return segments.select(conversation, "text", "loss", "legal").mapInArrow(read, schema)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one numpy step works on at most (a single longer text is a step of its own).
 STEP_BYTES = 4 << 20
+#: Tables that ``stored`` has written and nothing has removed yet.
+WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -25,9 +29,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset (tests, notebooks) an own one."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; an own one where that is unset and Spark runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -39,15 +45,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: columnar, compressed and prunable.
 
-    For intermediate results as large as the corpus. The files stay until the
-    cluster clears its shared folder.
+    For intermediate results as large as the corpus. The files stay until
+    ``scratch`` removes them, or ``remove`` those at a ``path`` of the caller's
+    (from ``place``), or the cluster clears its shared folder.
     """
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = path or place(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(at)
+    if path is None:
+        WRITTEN.append(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def place(spark: SparkSession) -> str:
+    """The path of a new table in the shared folder."""
+    return f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``stored`` wrote within; for work whose result is written elsewhere before it ends."""
+    before = len(WRITTEN)
+    try:
+        yield
+    finally:
+        for path in WRITTEN[before:]:
+            remove(spark, path)
+        del WRITTEN[before:]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFrame], DataFrame]]:
+    """``df`` under private column names, the private name of each column, and what gives back its own columns.
+
+    For operators that decide on rows and keep them: no column of theirs can
+    meet one of ``df``, whatever it is called.
+    """
+    names = {c: f"__own_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names, lambda d: d.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def free_of(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -121,17 +162,20 @@ def remainder(key: Column, of: int) -> Column:
 
 
 def lowest(keys: DataFrame, n: int, by: list[str], h: str = "h") -> DataFrame:
-    """The ``n`` rows of each group with the lowest hash ``h`` (all of a smaller group), with few rows in any task.
+    """The ``n`` lowest different hashes ``h`` of each group (all of a smaller group), with few rows in any task.
 
-    Groups are counted first; only hashes low enough for about ``4 n`` rows of
-    a group go on to be ranked, whatever the number of tasks and rows.
+    The different hashes of a group are estimated first; only hashes low enough
+    for about ``4 n`` of them go on to be ranked, whatever the number of tasks
+    and rows. Repeated hashes count once, so a key that many rows share is one
+    of the ``n``. ``by`` are columns with few values (a row of each is broadcast).
     """
     from pyspark.sql import Window as W
 
-    counts = keys.groupBy(*by).agg(F.count("*").alias("__n"))
-    low = F.col(h).cast("double") < (4.0 * n / F.col("__n") - 0.5) * 2.0**64
+    most = 4 * n + 1000
+    counts = keys.groupBy(*by).agg(F.approx_count_distinct(h, 0.02).alias("__n"))
+    low = F.col(h).cast("double") < (float(most) / F.col("__n") - 0.5) * 2.0**64
     some = keys.join(F.broadcast(counts), by) if by else keys.join(F.broadcast(counts))  # one row a group
-    few = some.where((F.col("__n") <= 4 * n) | low).drop("__n")
+    few = some.where((F.col("__n") <= most) | low).drop("__n").distinct()
     rank = F.row_number().over(W.partitionBy(*by).orderBy(h))
     return few.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, components, cut, stored
+from .common import add_columns, components, cut, free_of, stored
 
 THRESHOLD = 0.98
 SEED = 7
@@ -16,10 +16,10 @@ SEED = 7
 EPSILON = 5.0
 #: Bits of a query's coordinate.
 BITS = 4
-#: Vectors in a block; a task compares two blocks.
-BLOCK = 2048
+#: Vectors in a block; a task compares two blocks. Each vector goes to as many tasks as its label has blocks.
+BLOCK = 4096
 #: Rows of a block compared at once.
-ROWS = 256
+ROWS = 64
 
 
 def width(dimension: int) -> int:
@@ -117,30 +117,32 @@ def near_duplicates(
     """Append ``n_links, component_id, kept`` to every vector.
 
     Vectors of one (non-null) label and dimension link if their cosine in
-    double precision reaches ``threshold``. Equal vectors of a label are one
-    before any comparison. What remains of a label is dealt into blocks of
-    about ``BLOCK`` vectors, each pair of blocks is a task, and a task returns a
-    count for each vector and links to the smallest member of its local
-    component, never pairs. Codes cost a 64th of the vectors to compare, but
-    the work still grows with the square of a label's different vectors.
+    double precision reaches ``threshold``. Equal vectors of a label, told by
+    128 bits of hash, are one before any comparison. What remains of a label is
+    dealt into blocks of about ``BLOCK`` vectors, each pair of blocks is a task,
+    and a task returns a count for each vector and links to the smallest member
+    of its local component, never pairs. Codes cost a 64th of the vectors to
+    compare, but the work still grows with the square of a label's different
+    vectors.
 
     Null, zero and non-finite vectors and those without a label have no links
-    and are components of their own. Repeated keys are vectors of their own,
-    in one component if they link; without any link a key is its own
-    component. Columns with the names of the result are replaced.
+    and are components of their own. Repeated keys are vectors of their own:
+    each row has the links of its own vector, and a component's id is the
+    smallest key in it. Rows without a key link like any other; a component of
+    such rows alone has no id, and they are never kept. An empty table gives no
+    rows. Columns with the names of the result are replaced.
     """
-    base = vectors.drop("n_links", "component_id", "kept")
+    base = free_of(vectors, ["n_links", "component_id", "kept"])
     x, name = F.col(f"`{vector}`"), F.col(f"`{key}`")
     ok = usable(x) & F.col(f"`{label}`").isNotNull()
+    hashes = [F.when(ok, F.xxhash64(F.lit(seed), F.col(f"`{label}`"), x)) for seed in (1, 2)]
+    marked = base.withColumns({"__h1": hashes[0], "__h2": hashes[1]})
     distinct = (
-        base.where(ok)
-        .groupBy(F.col(f"`{label}`").alias("label"), x.cast("array<double>").alias("vector"))
-        .agg(F.min(name).alias("id"), F.count("*").alias("copies"))
+        marked.where(ok)
+        .groupBy(F.col(f"`{label}`").alias("label"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
+        .agg(F.first(x).alias("vector"), F.min(name).alias("id"), F.count("*").alias("copies"))
         .withColumn("size", F.size("vector"))
-        .where(F.col("id").isNotNull())
     )
-    kind = distinct.schema["id"].dataType
-    number = T.LongType()
 
     def make():
         turns: dict[int, np.ndarray] = {}
@@ -160,66 +162,59 @@ def near_duplicates(
 
         return f
 
+    # Numbers of the different vectors: given once and written with them.
     coded = stored(
         add_columns(
             distinct,
             {"vector": F.col("vector")},
             [T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())],
             make,
-        )
+        ).withColumn("node", F.monotonically_increasing_id())
     )
     counts = coded.groupBy("label", "size").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     # a group's number of blocks: one row for each label and dimension
-    placed = coded.join(counts, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = coded.join(counts, ["label", "size"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     tiles = placed.withColumn("other", others).select(
         "label", "size", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-        "block", "id", "copies", "vector", "code", "factor",
+        "block", "node", "copies", "vector", "code", "factor",
     )
 
     def compare(t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("id")
+        t = t.combine_chunks().sort_by("node")
         n, size, i, j = len(t), t["size"][0].as_py(), t["i"][0].as_py(), t["j"][0].as_py()
         v = np.array(t["vector"].combine_chunks().values.to_numpy(zero_copy_only=False), np.float64).reshape(n, size)
         v = v / np.abs(v).max(axis=1)[:, None]
         v /= np.linalg.norm(v, axis=1)[:, None]
         code = np.frombuffer(b"".join(t["code"].to_pylist()), "<u8").reshape(n, -1)
-        factor, copies, block = t["factor"].to_numpy(), t["copies"].to_numpy(), t["block"].to_numpy()
+        factor, copies, block, node = t["factor"].to_numpy(), t["copies"].to_numpy(), t["block"].to_numpy(), t["node"].to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        links, a, b = np.zeros(n, np.int64), [], []
+        links, root = np.zeros(n, np.int64), np.arange(n)
         for p, q in linked(v[left], v[right], code[right], factor[right], rotation(size), threshold, i == j):
             p, q = left[p], right[q]
             np.add.at(links, p, copies[q])
             np.add.at(links, q, copies[p])
-            a.append(p)
-            b.append(q)
-        root = roots(n, np.concatenate(a or [np.zeros(0, int)]), np.concatenate(b or [np.zeros(0, int)]))
+            root = roots(n, np.concatenate([np.arange(n), p]), np.concatenate([root, q]))  # pairs are dropped with each batch
         some = np.flatnonzero(links)
-        ids = t["id"]
-        return pa.table({"id": ids.take(pa.array(some)), "n": pa.array(links[some]), "root": ids.take(pa.array(root[some]))})
+        return pa.table({"node": pa.array(node[some]), "n": pa.array(links[some]), "root": pa.array(node[root[some]])})
 
-    found = cut(
-        tiles.groupBy("label", "size", "i", "j").applyInArrow(
-            compare, T.StructType([T.StructField("id", kind), T.StructField("n", number), T.StructField("root", kind)])
-        )
-    )
-    totals = found.groupBy("id").agg(F.sum("n").alias("n"))
-    part = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    found = cut(tiles.groupBy("label", "size", "i", "j").applyInArrow(compare, "node long, n long, root long"))
+    totals = found.groupBy("node").agg(F.sum("n").alias("n"))
+    part = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     told = (
-        coded.select("label", "vector", "id", "copies")
-        .join(totals, "id", "left")
-        .join(part.withColumnRenamed("node", "id"), "id", "left")
-        .select(
-            F.col("label").alias("__label"),
-            F.col("vector").alias("__vector"),
-            (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-            F.coalesce("component", "id").alias("component_id"),
-        )
+        coded.select(F.col("label").alias("__label"), "h1", "h2", "node", "id", "copies")
+        .join(totals, "node", "left")
+        .join(part, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
     )
-    own = F.when(ok, x.cast("array<double>"))
-    out = base.join(told, (own == F.col("__vector")) & (F.col(f"`{label}`") == F.col("__label")), "left").drop("__label", "__vector")
+    least = told.groupBy("component").agg(F.min("id").alias("component_id"))
+    told = told.join(least, "component").select("__label", "h1", "h2", "n_links", "component_id", F.lit(True).alias("__found"))
+    same = (F.col("__h1") == F.col("h1")) & (F.col("__h2") == F.col("h2"))
+    out = marked.join(told, same, "left").drop("__label", "h1", "h2", "__h1", "__h2")
     return (
         out.withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
-        .withColumn("component_id", F.coalesce(F.col("component_id"), name))
+        .withColumn("component_id", F.when(F.col("__found"), F.col("component_id")).otherwise(name))
         .withColumn("kept", F.coalesce(name == F.col("component_id"), F.lit(False)))
+        .drop("__found")
     )

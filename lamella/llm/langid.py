@@ -15,7 +15,11 @@ from .common import add_columns, buffer_of, lowest, steps, utf8
 ORDER = 3
 #: Texts per language that statistics are taken from, the first by hash; a documented bound on the training sample.
 SAMPLE = 600
+#: Bytes of those texts together, and of one of them, at most; bounds on the training sample, too.
+SAMPLE_BYTES, LONGEST = 16 << 20, 1 << 18
 UNKNOWN = "und"
+#: Bits beyond those of its own bytes that the code of a text in a learned language may have.
+SLACK = 128.0
 #: Bytes scored at once, of one long text or of many.
 BLOCK = 1 << 20
 
@@ -116,37 +120,53 @@ class Model:
                 i += 1
         return out
 
-    def __call__(self, texts: list[np.ndarray]) -> tuple[list[str], list[float]]:
+    def __call__(self, texts: list[np.ndarray]) -> tuple[list[str], list[float], list[bool]]:
+        """The language with the shortest code, its share of 2^-length, and whether that code is no longer than the text itself."""
         bits = self.lengths(texts)
         best = bits.argmin(axis=1)
-        odds = np.exp2(np.maximum(bits[np.arange(len(texts)), best][:, None] - bits, -1000.0))
-        return [self.langs[i] for i in best], (1 / odds.sum(axis=1)).tolist()
+        least = bits[np.arange(len(texts)), best]
+        odds = np.exp2(np.maximum(least[:, None] - bits, -1000.0))
+        fits = least <= 8.0 * np.array([len(t) for t in texts]) + SLACK
+        return [self.langs[i] for i in best], (1 / odds.sum(axis=1)).tolist(), fits.tolist()
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE) -> Model | None:
-    """Statistics of every language from ``sample`` whole texts each (all, if it has fewer).
+    """Statistics of every language from ``sample`` different whole texts each (all, if it has fewer).
 
-    The texts are those whose key hashes lowest; rows without text or language
-    are no training rows. Without any there is no model.
+    The texts are those whose hash with their key is lowest, so rows that share
+    a key, or have none, are told apart and repeated rows teach once. Of those,
+    as many as ``SAMPLE_BYTES`` hold; texts over ``LONGEST`` bytes teach
+    nothing. Rows without text or language are no training rows. Without any
+    there is no model.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("h"))
-    rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    # Only keys are ranked; the texts of the few that remain are read by their hashes.
-    picked = lowest(rows.select("lang", "h"), sample, ["lang"]).distinct()
+    from pyspark.sql import Window as W
+
+    rows = docs.select(
+        F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"),
+        F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"),
+    )
+    size = F.octet_length("text")
+    rows = rows.where(F.col("lang").isNotNull() & (size > 0) & (size <= LONGEST))
+    # Only hashes are ranked; the texts of the few that remain are read by them. The languages are those of the model.
+    picked = lowest(rows.select("lang", "h"), sample, ["lang"])
+    few = rows.join(F.broadcast(picked), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    held = few.withColumn("__sum", F.sum(size).over(W.partitionBy("lang").orderBy("h"))).where(F.col("__sum") <= SAMPLE_BYTES)
     texts: dict[str, list[bytes]] = {}
-    for r in rows.join(F.broadcast(picked), ["lang", "h"]).select("lang", utf8(F.lower("text")).alias("t")).sort("h").collect():
-        if len(texts.setdefault(r[0], [])) < sample:
-            texts[r[0]].append(bytes(r[1]))
+    for name, t in held.sort("h").select("lang", utf8(F.lower("text"))).collect():
+        texts.setdefault(name, []).append(bytes(t))
     return Model(texts) if texts else None
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Append ``lang_pred`` and ``score`` (the share of 2^-code length that it holds) to every document.
+    """Append ``lang_pred``, ``score`` (the share of 2^-code length that it holds) and ``fits`` to every document.
 
     Whole texts, in lower case, are scored under every language; the shortest
-    code wins, ties by name. Null text, text without a letter, and any text without a model
-    get ``und`` and score 0. Columns with those names are replaced.
+    code wins, ties by name. ``fits`` says whether that code is no longer
+    than the text's own bytes (and ``SLACK``): texts of a learned language have
+    2 or 3 bits a byte, others and gibberish over 8. Null text, text without a letter,
+    and any text without a model get ``und`` and score 0 and don't fit. Every row stays, repeated ones and
+    those without a key too; an empty table gives none. Columns with those
+    names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     lettered: Column = F.coalesce(F.col(f"`{text}`").cast("string").rlike(r"\p{L}"), F.lit(False))
@@ -157,18 +177,20 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
         def f(b: pa.RecordBatch) -> list[pa.Array]:
             data, at = buffer_of(b.column(0))
-            names, scores = [], []
+            names, scores, fits = [], [], []
             for i, j in steps(at, BLOCK):
                 if m is None:
-                    got = ([UNKNOWN] * (j - i), [0.0] * (j - i))
+                    got = ([UNKNOWN] * (j - i), [0.0] * (j - i), [False] * (j - i))
                 else:
                     got = m([np.frombuffer(data[at[k] : at[k + 1]], np.uint8) for k in range(i, j)])
                 names += got[0]
                 scores += got[1]
+                fits += got[2]
             ok = b.column(1).to_pylist()
             return [
                 pa.array([n if o else UNKNOWN for n, o in zip(names, ok)], pa.string()),
                 pa.array([s if o else 0.0 for s, o in zip(scores, ok)], pa.float64()),
+                pa.array([x and o for x, o in zip(fits, ok)], pa.bool_()),
             ]
 
         return f
@@ -176,6 +198,6 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
     return add_columns(
         docs,
         {"bytes": utf8(F.lower(F.col(f"`{text}`"))), "lettered": lettered},
-        [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())],
+        [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())],
         make,
     )

@@ -18,10 +18,26 @@ UNIT, FILL = 576, 255
 #: Samples a second of stored payloads.
 RATE = 8000
 
+class Seen:
+    """What earlier checks of a blob have found out, so that many false beginnings cost one pass together."""
+
+    def __init__(self):
+        self.marks: dict[bytes, tuple[int, int]] = {}
+        self.dead: set[tuple[str, int]] = set()  # (format, place) of links of chains that end nowhere
+
+    def find(self, b: bytes, mark: bytes, at: int) -> int:
+        """``b.find(mark, at)``, remembering the last gap that was searched."""
+        since, place = self.marks.get(mark, (0, -2))
+        if place == -2 or not (since <= at and (at <= place or place == -1)):
+            place = b.find(mark, at)
+            self.marks[mark] = (at, place)
+        return place
+
+
 # ---- Formats: each check returns the length of a well-formed item that begins at ``at``, or None.
 
 
-def png(b: bytes, at: int) -> int | None:
+def png(b: bytes, at: int, seen: Seen) -> int | None:
     i = at + 8
     first = True
     while i + 12 <= len(b):
@@ -35,7 +51,7 @@ def png(b: bytes, at: int) -> int | None:
     return None
 
 
-def jpeg(b: bytes, at: int) -> int | None:
+def jpeg(b: bytes, at: int, seen: Seen) -> int | None:
     i, framed = at + 2, False
     while i + 4 <= len(b) and b[i] == 0xFF:
         kind = b[i + 1]
@@ -61,7 +77,7 @@ def jpeg(b: bytes, at: int) -> int | None:
     return i + 2 - at if framed and b[i : i + 2] == b"\xff\xd9" else None
 
 
-def gif(b: bytes, at: int) -> int | None:
+def gif(b: bytes, at: int, seen: Seen) -> int | None:
     def blocks(i: int) -> int:
         while i < len(b) and b[i]:
             i += b[i] + 1
@@ -85,7 +101,7 @@ def gif(b: bytes, at: int) -> int | None:
     return None
 
 
-def bmp(b: bytes, at: int) -> int | None:
+def bmp(b: bytes, at: int, seen: Seen) -> int | None:
     if at + 30 > len(b):
         return None
     size, zero, offset, header, planes = struct.unpack_from("<IIII8xH", b, at + 2)
@@ -93,7 +109,7 @@ def bmp(b: bytes, at: int) -> int | None:
 
 
 def riff(kind: bytes, need: bytes):
-    def check(b: bytes, at: int) -> int | None:
+    def check(b: bytes, at: int, seen: Seen) -> int | None:
         if b[at + 8 : at + 12] != kind:
             return None
         end = at + 8 + struct.unpack_from("<I", b, at + 4)[0]
@@ -107,16 +123,16 @@ def riff(kind: bytes, need: bytes):
     return check
 
 
-def pdf(b: bytes, at: int) -> int | None:
-    end = b.find(b"%%EOF", at)
-    if end < 0 or not b[at + 5 : at + 6].isdigit() or b.find(b"startxref", at, end) < 0:
+def pdf(b: bytes, at: int, seen: Seen) -> int | None:
+    end = seen.find(b, b"%%EOF", at)
+    if end < 0 or not b[at + 5 : at + 6].isdigit() or not 0 <= seen.find(b, b"startxref", at) < end:
         return None
     while (more := b.find(b"%%EOF", end + 5)) >= 0 and b.find(b"%PDF-", end, more) < 0:  # later revisions
         end = more
     return end + 5 - at
 
 
-def gzip(b: bytes, at: int) -> int | None:
+def gzip(b: bytes, at: int, seen: Seen) -> int | None:
     d = zlib.decompressobj(31)
     view = memoryview(b)
     try:
@@ -132,8 +148,8 @@ def gzip(b: bytes, at: int) -> int | None:
     return None
 
 
-def zipped(b: bytes, at: int) -> int | None:
-    end = b.find(b"PK\x05\x06", at)
+def zipped(b: bytes, at: int, seen: Seen) -> int | None:
+    end = seen.find(b, b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(b):
         return None
     _, _, _, entries, size, offset, note = struct.unpack_from("<HHHHIIH", b, end + 4)
@@ -141,30 +157,36 @@ def zipped(b: bytes, at: int) -> int | None:
     return end + 22 + note - at if ok else None
 
 
-def ogg(b: bytes, at: int) -> int | None:
-    i, serial, last = at, None, False
-    while b[i : i + 5] == b"OggS\0" and i + 27 <= len(b):
+def ogg(b: bytes, at: int, seen: Seen) -> int | None:
+    i, serial, pages = at, None, []
+    while b[i : i + 5] == b"OggS\0" and i + 27 <= len(b) and ("ogg", i) not in seen.dead:
         flags, number, count = b[i + 5], b[i + 14 : i + 18], b[i + 26]
         end = i + 27 + count + sum(b[i + 27 : i + 27 + count])
         if end > len(b) or (serial not in (None, number)) or (serial is None and not flags & 2):
-            return None
-        serial, i, last = number, end, bool(flags & 4)
-        if last:
+            break
+        pages.append(("ogg", i))
+        serial, i = number, end
+        if flags & 4:
             return i - at
+    seen.dead.update(pages)  # of one stream each: from none of them on does it end
     return None
 
 
-def mp4(b: bytes, at: int) -> int | None:
-    i, kinds = at, set()
-    while i + 8 <= len(b):
+def mp4(b: bytes, at: int, seen: Seen) -> int | None:
+    i, kinds, boxes = at, set(), []
+    while i + 8 <= len(b) and (("mp4", i) not in seen.dead or b"moov" in kinds):
         n, kind = struct.unpack_from(">I4s", b, i)
         if n == 1 and i + 16 <= len(b):
             n = struct.unpack_from(">Q", b, i + 8)[0]
         if n < 8 or i + n > len(b) or not (kind.isalnum() and kind.isascii()):
             break
         kinds.add(kind)
+        boxes.append(("mp4", i))
         i += n
-    return i - at if {b"ftyp", b"moov"} <= kinds else None
+    if {b"ftyp", b"moov"} <= kinds:
+        return i - at
+    seen.dead.update(boxes)  # no moov after any of them
+    return None
 
 
 #: Type, magic bytes, where the magic stands in an item, and its check.
@@ -206,12 +228,12 @@ def scan(blob: bytes, magics) -> list[tuple[str, int, int]]:
     An item that begins the blob may hold others; those are listed too.
     """
     found: list[tuple[str, int, int]] = []
-    free = 0
+    free, seen = 0, Seen()
     hits = sorted((end + 1 - reach, kind, check) for end, formats in magics.iter(blob.decode("latin-1")) for kind, reach, check in formats)
     for at, kind, check in hits:
         if at < free or at < 0:
             continue
-        n = check(blob, at)
+        n = check(blob, at, seen)
         if n:
             found.append((kind, at, n))
             free = at + n if at else 1
@@ -230,7 +252,9 @@ def sniff(media: DataFrame, blob: str = "media", declared: str = "declared") ->
     application/octet-stream) and ``structure_bytes`` its length by its own
     structure (else 0); ``corrected`` says that the declared type differs (or
     is null); ``carved`` lists well-formed items further on, with offset and
-    length. Null blobs count as empty. Columns with those names are replaced.
+    length. Null blobs count as empty, which are of no type. Repeated rows get
+    equal answers, an empty table gives no rows. Columns with those names are
+    replaced.
     """
 
     def make():
@@ -298,19 +322,23 @@ def wave(samples: Column) -> Column:
     )
 
 
-def samples_of(wav: bytes | memoryview) -> memoryview:
-    """The samples of a WAV file, found by its chunks."""
+def samples_of(wav: bytes | memoryview) -> memoryview | None:
+    """The samples of a WAV file, found by its chunks; None if it has none."""
     b, i = memoryview(wav), 12
-    while i + 8 <= len(b):
+    while b[:4] == b"RIFF" and i + 8 <= len(b):
         name, n = struct.unpack_from("<4sI", b, i)
         if name == b"data":
             return b[i + 8 : i + 8 + n]
         i += 8 + n + n % 2
-    raise ValueError("no data chunk")
+    return None
 
 
 def read_back(media: DataFrame, blob: str = "media") -> DataFrame:
-    """Append what the stored bytes hold: ``payload_bytes, payload_sha256, tail_crc32`` (of its last 32 bytes)."""
+    """Append what the stored bytes hold: ``payload_bytes, payload_sha256, tail_crc32`` (of its last 32 bytes).
+
+    All three are null for null and empty blobs and those that are no WAV file
+    with samples. Columns with those names are replaced.
+    """
 
     def make():
         def f(b: pa.RecordBatch) -> list[pa.Array]:
@@ -318,7 +346,7 @@ def read_back(media: DataFrame, blob: str = "media") -> DataFrame:
             rows = []
             for i in range(len(at) - 1):
                 x = samples_of(data[at[i] : at[i + 1]])
-                rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:])))
+                rows.append((None, None, None) if x is None else (len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:])))
             sizes, hashes, crcs = zip(*rows) if rows else ((), (), ())
             return [pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(crcs, pa.int64())]
 
@@ -329,4 +357,4 @@ def read_back(media: DataFrame, blob: str = "media") -> DataFrame:
         T.StructField("payload_sha256", T.StringType()),
         T.StructField("tail_crc32", T.LongType()),
     ]
-    return add_columns(media, {"blob": F.col(f"`{blob}`")}, fields, make)
+    return add_columns(media, {"blob": utf8(F.col(f"`{blob}`"))}, fields, make)

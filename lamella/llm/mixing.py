@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_of, running
+from .common import WORD, cut, free_of, renamed, running
 
 #: Weights by rank of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
 #: Repetitions at most.
 CAP = 3
-#: A source's rows meet its statistics in this many groups, so that one source may hold most rows.
+#: Sources whose statistics are broadcast at most, and bytes of their names.
+FEW, NAME = 10_000, 200
+#: With more of them, a source's rows meet its statistics in this many groups, so that one source may hold most rows.
 SALTS = 32
 SEED = "mix-0"
-#: Draws are told apart this finely.
+#: Steps of a calibrated probability.
 BUCKETS = 4096
 
 
@@ -76,28 +78,30 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def thresholds(shares: DataFrame, stats: DataFrame) -> DataFrame:
-    """``stats`` plus ``rate`` and ``threshold``: a document's extra copy is taken if its draw's bucket is under it.
+def thresholds(shares: DataFrame, stats: DataFrame, cap: int = CAP, calibrated: bool = False) -> DataFrame:
+    """``stats`` plus ``rate``, its ``fraction`` and the ``probability`` with which a document's extra copy is taken.
 
-    The threshold is the fraction of the rate, moved to where the words drawn
-    come closest to what the whole copies leave of the target: sources with
-    few or very long documents would miss it by chance alone.
+    The probability is the fraction of the rate. ``calibrated``, it is moved (in
+    steps of 1 / ``BUCKETS``) to where the words drawn come closest to what the
+    whole copies leave of the target: sources with few or very long documents
+    would miss it by chance alone. How far it moved shows beside the fraction.
     """
-    own = F.col("__from").eqNullSafe(F.col("source"))
-    whole = F.floor(F.col("rate"))
     rated = stats.withColumn(
         "rate",
-        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(CAP)))).otherwise(0.0),
-    )
+        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0),
+    ).withColumn("fraction", F.col("rate") - F.floor("rate"))
+    if not calibrated:
+        return rated.withColumn("probability", F.col("fraction"))
+    own = F.col("__from").eqNullSafe(F.col("source"))
+    extra = F.col("target") - F.floor("rate") * F.col("source_size")
     w = W.partitionBy("__from").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
     reached = shares.withColumn("__until", F.sum("words").over(w)).join(rated, own)  # BUCKETS rows a source at most
-    gap = F.abs(F.col("__until") - (F.col("target") - whole * F.col("source_size")))
+    gap = F.abs(F.col("__until") - extra)
     best = reached.groupBy("__from").agg(
         F.min_by(F.col("bucket") + 1, F.struct(gap, "bucket")).alias("__at"), F.min(gap).alias("__gap")
     )
-    extra = F.col("target") - whole * F.col("source_size")
     at = F.when(F.col("__gap") < extra, F.col("__at")).otherwise(F.lit(0).cast("long"))  # none taken may be closest
-    return rated.join(best, own).withColumn("threshold", at).drop("__from", "__at", "__gap")
+    return rated.join(best, own).withColumn("probability", at / F.lit(float(BUCKETS))).drop("__from", "__at", "__gap")
 
 
 def plan(
@@ -108,48 +112,49 @@ def plan(
     weights: tuple[int, ...] = WEIGHTS,
     cap: int = CAP,
     seed: str = SEED,
+    size: str | None = None,
+    calibrated: bool = False,
 ) -> DataFrame:
-    """Append ``size, source_size, target, rate, copies`` to every document.
-
-    A source's rate is target / size; a document is taken floor(rate) times
-    and once more if its hash-seeded draw falls under the source's threshold,
-    which is the fraction of the rate up to the calibration of ``thresholds``.
-    Rows of one key share a draw, so a rerun takes the same rows. Null or empty
-    texts have size 0; a source of size 0 has target and rate 0. Columns of
-    ``docs`` with those names are replaced. No row is lost: zero copies are
-    kept here. Sources hold any share of the rows: their sums have map-side
-    combine, and their rows meet the statistics in ``SALTS`` groups.
+    """Append ``size, source_size, target, rate, fraction, probability, copies`` to every document.
+
+    A source's rate is target / size; a document is taken floor(rate) times and
+    once more if its hash-seeded draw falls under the source's probability: the
+    fraction of the rate or, ``calibrated``, what ``thresholds`` makes of it.
+    Rows of one key (all without a key, too) share a draw, so a rerun takes the
+    same rows. ``size`` names a column that has the sizes; else words are
+    counted. Null, empty and wordless texts have size 0; a source of size 0 has
+    target and rate 0; documents without a source are one. Columns of ``docs``
+    with those names are replaced. No row is lost, repeated rows are documents
+    of their own, and zero copies are kept here; an empty table gives no rows.
+
+    Sources hold any share of the rows: their sums have map-side combine. Their
+    statistics ride along where they are few (``FEW`` rows of ``NAME`` letters
+    at most are broadcast), else rows meet them in ``SALTS`` groups a source.
     """
-    base = free_of(docs, ["size", "source_size", "target", "rate", "copies"])
-    sized = base.withColumn("size", words(F.col(f"`{text}`"))).withColumn(
-        "__bucket", F.floor(draw(F.col(f"`{key}`"), seed) * BUCKETS)
-    )
-    shares = cut(
-        sized.groupBy(F.col(f"`{source}`").alias("__from"), F.col("__bucket").alias("bucket")).agg(F.sum("size").alias("words"))
-    )
+    counted = F.col(f"`{size}`").cast("long") if size else words(F.col(f"`{text}`"))
+    base = docs.withColumn("__size", counted)
+    base = free_of(base, ["size", "source_size", "target", "rate", "fraction", "probability", "copies"])
+    sized = base.withColumnRenamed("__size", "size").withColumn("__draw", draw(F.col(f"`{key}`"), seed))
+    bucket = F.floor(F.col("__draw") * BUCKETS) if calibrated else F.lit(0).cast("long")
+    shares = cut(sized.groupBy(F.col(f"`{source}`").alias("__from"), bucket.alias("bucket")).agg(F.sum("size").alias("words")))
     sizes = shares.groupBy(F.col("__from").alias("source")).agg(F.sum("words").alias("source_size"))
-    stats = cut(thresholds(shares, targets(sizes, weights, cap)))
-    salted = stats.select(
-        F.col("source").alias("__source"),
-        "source_size",
-        "target",
-        "rate",
-        "threshold",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt_to"),
-    )
-    return (
-        sized.withColumn("__salt", F.pmod(F.hash(F.col(f"`{key}`")), F.lit(SALTS)))
-        .join(salted, F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__salt") == F.col("__salt_to")))
-        .withColumn("copies", F.floor("rate") + (F.col("__bucket") < F.col("threshold")).cast("long"))
-        .drop("__source", "__salt", "__salt_to", "__bucket", "threshold")
-    )
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every document as often as its plan says, in the columns of ``docs``."""
-    planned = plan(docs, **options)
-    return (
-        planned.where(F.col("copies") > 0)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
-    )
+    stats = cut(thresholds(shares, targets(sizes, weights, cap), cap, calibrated)).withColumnRenamed("source", "__source")
+    n, longest = stats.agg(F.count("*"), F.coalesce(F.max(F.octet_length(F.col("__source").cast("string"))), F.lit(0))).first()
+    same = F.col(f"`{source}`").eqNullSafe(F.col("__source"))
+    told = ["__source", "source_size", "target", "rate", "fraction", "probability"]
+    if n <= FEW and longest <= NAME:
+        met = sized.join(F.broadcast(stats.select(*told)), same)
+    else:
+        salted = stats.select(*told, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt_to"))
+        salt = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col("size")), F.lit(SALTS)).cast("int")
+        met = sized.withColumn("__salt", salt).join(salted, same & (F.col("__salt") == F.col("__salt_to"))).drop("__salt", "__salt_to")
+    extra = (F.col("__draw") < F.col("probability")).cast("long")
+    return met.withColumn("copies", F.floor("rate") + extra).drop("__source", "__draw")
+
+
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
+    """The mixed corpus: every document as often as its plan says, with the columns of ``docs`` as they are."""
+    private, names, own = renamed(docs)
+    planned = plan(private, names[text], names[source], names[key], **options)
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    return own(planned.where(F.col("copies") > 0).withColumn("__copy", each))

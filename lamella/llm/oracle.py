@@ -28,8 +28,8 @@ FROM v JOIN component ON component.a = v.vec_id
 
 SQL["op7_mixing"] = rf"""
 WITH sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    floor(('0x' || substr(md5('mix-0:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 * 4096)::BIGINT AS bucket
+  SELECT doc_id, source, ('0x' || substr(md5('mix-0:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS draw, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
+    floor(draw * 4096)::BIGINT AS bucket
   FROM documents
 ), sums AS (SELECT source, bucket, sum(size)::BIGINT AS words FROM sized GROUP BY ALL
 ), sizes AS (SELECT source, sum(words)::BIGINT AS source_size FROM sums GROUP BY source
@@ -55,10 +55,11 @@ WITH sized AS (
 ), best AS (
   SELECT source, arg_min(bucket + 1, (gap, bucket)) AS place, min(gap) AS gap, min(extra) AS extra FROM gaps GROUP BY source
 ), ready AS (
-  SELECT r.*, CASE WHEN gap < extra THEN place ELSE 0 END AS threshold FROM rated r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
+  SELECT r.*, CASE WHEN gap < extra THEN place ELSE 0 END / 4096.0::DOUBLE AS probability FROM rated r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
 )
 SELECT s.doc_id, s.size, r.source_size, r.target,
-  (s.size * (floor(r.rate)::BIGINT + (s.bucket < r.threshold)::INTEGER))::BIGINT AS taken
+  (s.size * (floor(r.rate)::BIGINT + (s.draw < r.probability)::INTEGER))::BIGINT AS taken,
+  rate - floor(rate) AS fraction, probability
 FROM sized s JOIN ready r ON s.source IS NOT DISTINCT FROM r.source
 """
 
@@ -81,7 +82,8 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(length(escaped) + CASE role WHEN 'system' THEN 20 WHEN 'user' THEN 22 WHEN 'assistant' THEN 20 END)::BIGINT AS formatted_chars,
+  sum(length(escaped) + CASE role WHEN 'system' THEN 20 WHEN 'user' THEN 22 WHEN 'assistant' THEN 20
+    ELSE 23 + length(replace({_escaped.replace('text', 'role', 1)}, ']', '\]')) END)::BIGINT AS formatted_chars,
   bool_and(CASE WHEN before IS NULL THEN role IN ('system', 'user')
     WHEN before = 'system' THEN role = 'user' WHEN before = 'user' THEN role = 'assistant'
     WHEN before = 'assistant' THEN role = 'user' ELSE false END) AS legal
@@ -95,6 +97,8 @@ WITH cut AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
   FROM cut
+), canonical AS (SELECT *, regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '') AS url FROM parts
+), listed AS (SELECT DISTINCT url FROM canonical WHERE starts_with(host, 'spam')
 ), rules AS (
   SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
     AS r(h, p, verdict)
@@ -103,5 +107,7 @@ WITH cut AS (
   FROM parts JOIN rules r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
   GROUP BY page_id
 )
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fits USING (page_id)
+SELECT page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN host <> '' AND url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM canonical LEFT JOIN fits USING (page_id)
 """

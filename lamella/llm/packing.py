@@ -198,8 +198,8 @@ def pack(
     workers = table.agg(F.coalesce(F.max("__worker"), F.lit(0))).first()[0] + 1
     rest = (
         table.where(F.col("sequence_id").isNull())
-        .repartition(-(-workers // MEET), F.floor(F.col("__worker") / MEET))
-        .sortWithinPartitions("__worker", key, "start", "length")
+        .repartitionByRange(-(-workers // MEET), F.floor(F.col("__worker") / MEET))  # a task for each group of workers
+        .sortWithinPartitions("__worker", F.col(f"`{key}`"), "start", "length")
         .drop("__worker")
         .mapInArrow(second, schema)
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, counting, embeddings, langid, media, mixing, packing, simhash, toxicity, urls
-from .common import remainder, table, utf8
+from .common import remainder, stored, table, utf8
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    planned = mixing.plan(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    """Words are counted once, into a narrow table; ``fraction`` and ``probability`` tell how far the calibration went."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    sized = stored(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("words")))
+    planned = mixing.plan(sized, size="words", calibrated=True)
     taken = (F.col("size") * F.col("copies")).alias("taken")
-    return planned.select("doc_id", "size", "source_size", "target", taken)
+    return planned.select("doc_id", "size", "source_size", "target", taken, "fraction", "probability")
 
 
 #: Turns of a conversation that holds the template's control strings.
@@ -109,9 +112,16 @@ RULES = (
 )
 
 
+#: Hosts whose crawled URLs the registered list holds begin like this.
+LISTED = "spam"
+
+
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's rules, and as the method's own verdict a list of canonical URLs: those crawled from the ``LISTED`` hosts."""
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
-    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages", "page_id", "url")
+    spam = pages.where(urls.host_of(F.col("url")).startswith(LISTED)).select("url")
+    return urls.judge(pages, rules, spam).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

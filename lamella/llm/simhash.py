@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,12 @@ STEP = 1 << 14
 WORDS, SIMILARITY = 5, 0.8
 #: 64-bit parts of a wide fingerprint, and the share of just similar pairs that may share no segment.
 PARTS, MISSED = 4, 0.01
-#: Texts after each in a segment's order that it is compared with; standard deviations that its radius allows for.
-NEXT, DEVIATIONS = 4, 4.0
+#: Texts after each in a segment's order that it is compared with; as many of a segment, its first ones, are all compared.
+NEXT, FIRST = 2, 17
+#: Segments of the first round; the others then compare only what it left in different components.
+EARLY = 8
+#: Standard deviations that the radius of the comparison allows for.
+DEVIATIONS = 4.0
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -69,6 +73,9 @@ def links(prints: DataFrame) -> DataFrame:
     within the radius of each other, so the chain links what the pairs would.
     """
     x = F.col("fingerprint")
+    spark = prints.sparkSession
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    prints = prints.select(x).repartition(wide, x)  # 8 bytes a row become 65 rows: dealt by rows, not by bytes
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
     variants = prints.select(x, F.explode(flips).alias("flip")).select(x, x.bitwiseXOR(F.col("flip")).alias("variant"))
     after = F.lead("fingerprint").over(W.partitionBy("variant").orderBy("fingerprint"))
@@ -130,55 +137,80 @@ def text_hash(text: str) -> Column:
     return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
 
 
-def candidates(prints: DataFrame, similarity: float) -> DataFrame:
-    """Pairs ``a < b`` of nodes whose fingerprints are as near as those of similar texts (``node``, ``parts``, each node once).
+def samples(n: int, similarity: float) -> tuple[int, int, Callable[[int], int]]:
+    """Bits of a segment, number of segments, and the radius by the number of bits compared, for ``n`` texts.
 
     Sets of equal size with Jaccard s have the cosine 2 s / (1 + s), other
     sizes a larger one; a bit differs with the probability angle / pi. A ball
     of that radius (about 10 of 64 bits at 0.8) is far too large to list, so
     texts meet on segments instead: samples of as many bits as make chance
     meetings rare, as many samples as leave ``MISSED`` of the pairs at the
-    threshold unmet. Those in a segment are compared with the next ``NEXT``
-    of them, so rows grow with the texts and not with their pairs.
+    threshold unmet.
     """
-    n = prints.count()
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = min(max(math.ceil(math.log2(max(n, 2))), 8), 48)
-    tables = max(math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** bits))), 1)
-    radius = math.ceil(64 * p + DEVIATIONS * math.sqrt(64 * p * (1 - p)))
+    tables = max(math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** bits))), EARLY + 1)
+    return bits, tables, lambda size: math.ceil(size * p + DEVIATIONS * math.sqrt(size * p * (1 - p)))
+
+
+def candidates(prints: DataFrame, bits: int, radius: Callable[[int], int], which: range, shuffled: bool) -> DataFrame:
+    """Pairs ``a < b`` of nodes that share one of the segments ``which`` and whose fingerprints are within the radius.
+
+    The first 64 bits ride along with the segments; the others are looked up for
+    the pairs that these leave.
+
+    ``prints`` has ``node, parts, component``, each node once; nodes of one
+    component are no pair. The first ``FIRST`` texts of a segment are all
+    compared (chance brings fewer together), further ones, which are families
+    of copies, with the ``NEXT`` ones before them. So rows grow with the texts
+    and not with their pairs. The order within a segment is that of the nodes
+    or, ``shuffled``, another in each.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED)
-        picks = [rng.choice(64 * PARTS, bits, replace=False) for _ in range(tables)]
+        picks = {t: np.random.default_rng([SEED, t]).choice(64 * PARTS, bits, replace=False) for t in which}
         weights = 1 << np.arange(bits, dtype=np.int64)
+        names = ["segment", "node", "first", "component"]
         for whole in batches:
             for i in range(0, len(whole), 2048):
                 b = whole.slice(i, 2048)
-                node = b.column(0).to_numpy()
+                node, component = b.column(0).to_numpy(), b.column(2).to_numpy()
                 parts = np.array(b.column(1).to_pylist(), "<i8")
                 ones = np.unpackbits(parts.view(np.uint8), axis=1, bitorder="little")
-                for t, pick in enumerate(picks):
+                for t, pick in picks.items():
                     segment = (ones[:, pick] @ weights) + (t << bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (segment, node, parts[:, 0].copy())], names=["segment", "node", "first"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (segment, node, parts[:, 0].copy(), component)], names=names)
+
+    near = radius(64)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 3
+        tail = [np.zeros(0, np.int64)] * 5
         for b in batches:
-            segment, node, first = (np.concatenate([t, c.to_numpy()]) for t, c in zip(tail, b.columns))
-            tail = [x[-NEXT:] for x in (segment, node, first)]
+            fresh = [c.to_numpy() for c in b.columns]
+            at = np.arange(len(b))
+            begin = np.maximum.accumulate(np.where(np.r_[True, fresh[0][1:] != fresh[0][:-1]], at, 0)) if len(b) else at
+            place = at - begin  # of each row in its segment
+            if len(tail[0]) and len(b) and tail[0][-1] == fresh[0][0]:
+                place[begin == 0] += tail[4][-1] + 1
+            segment, node, first, component, place = (np.concatenate([t, c]) for t, c in zip(tail, [*fresh, place]))
+            tail = [x[1 - FIRST :] for x in (segment, node, first, component, place)]
             old = len(segment) - len(b)  # these have met each other before
             found = []
-            for k in range(1, NEXT + 1):
+            for k in range(1, FIRST):
                 at = np.arange(max(old - k, 0), len(segment) - k)
-                at = at[segment[at] == segment[at + k]]
-                at = at[np.bitwise_count((first[at] ^ first[at + k]).view(np.uint64)) <= radius]
+                at = at[(segment[at] == segment[at + k]) & (component[at] != component[at + k]) & ((k <= NEXT) | (place[at + k] < FIRST))]
+                at = at[np.bitwise_count((first[at] ^ first[at + k]).view(np.uint64)) <= near]
                 found.append(np.column_stack([node[at], node[at + k]]))
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    rows = prints.select("node", "parts").mapInArrow(spread, "segment long, node long, first long")
-    dealt = rows.repartition("segment").sortWithinPartitions("segment", "node")
-    return dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    rows = prints.select("node", "parts", "component").mapInArrow(spread, "segment long, node long, first long, component long")
+    order = F.xxhash64("segment", "node") if shuffled else F.col("node")
+    dealt = rows.repartition("segment").sortWithinPartitions("segment", order)
+    met = dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+    own = lambda side: prints.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}"))
+    differ = sum((F.bit_count(F.col("parts_a")[k].bitwiseXOR(F.col("parts_b")[k])) for k in range(PARTS)), F.lit(0))
+    return met.join(own("a"), "a").join(own("b"), "b").where(differ <= radius(64 * PARTS)).select("a", "b")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
@@ -230,8 +262,14 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     base = docs.select(F.col(f"`{key}`").alias("key"), row_hash(docs).alias("row"), text_hash(text).alias("node"), F.col(f"`{text}`").alias("__text"))
     marked = add_columns(base, {"bytes": utf8(F.col("__text"))}, [T.StructField("parts", T.ArrayType(T.LongType()))], make).drop("__text")
     kept = stored(marked.withColumn("node", F.when(F.col("parts").isNull(), 0).otherwise(F.col("node"))))
-    prints = kept.where(F.col("parts").isNotNull()).groupBy("node").agg(F.min("parts").alias("parts"))
-    part = components(similar(cut(candidates(prints, similarity)), docs, text, words, similarity))
+    prints = cut(kept.where(F.col("parts").isNotNull()).groupBy("node").agg(F.min("parts").alias("parts")).withColumn("component", F.col("node")))
+    bits, tables, radius = samples(prints.count(), similarity)
+    # Families of copies are linked by a few segments; the others then look only for links between what is still apart.
+    linked = cut(similar(cut(candidates(prints, bits, radius, range(EARLY), False)), docs, text, words, similarity))
+    part = components(linked)
+    apart = prints.drop("component").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = similar(cut(candidates(apart, bits, radius, range(EARLY, tables), True)), docs, text, words, similarity)
+    part = components(linked.unionByName(more))
     rows = kept.select("key", "row", F.coalesce(F.col("parts")[0], F.lit(0).cast("long")).alias("first"), "node")
     return rows, part
 
@@ -247,8 +285,9 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     rows, part = copies(docs, key, text, words, similarity)
     least = rows.groupBy("node").agg(F.min(order).alias("o")).join(part, "node", "left")
     stay = least.groupBy(F.coalesce("component", "node")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
-    marked = docs.withColumn("__row", row_hash(docs))
-    return marked.join(stay, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # Repeated rows become one in each task before any text is moved; the join (each row of it once) finds them where they are.
+    marked = docs.withColumn("__row", row_hash(docs)).dropDuplicates(["__row"])
+    return marked.join(stay, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def hexadecimal(x: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from . import tokens
 from .common import add_columns, cut, lowest
 
-#: Labelled documents that the lexicon and the weights are learned from, the first by hash; a documented bound.
+#: Labelled texts that the lexicon and the weights are learned from, the first by hash; a documented bound.
 SAMPLE = 6000
 #: A term is in this share and this many of the toxic sample texts at least, and so many times likelier there than elsewhere.
 SHARE, LEAST, RATIO = 0.01, 5, 25.0
@@ -39,9 +39,13 @@ SURER = (0, 1, 4, 2, 3, 5)
 #: Marks of quotation, and look-alikes of letters in disguised words.
 QUOTES = "\"'«»„“”‘’`"
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
-#: Words of a report or a discussion of words, in the languages of the corpus.
+#: Words of a report or a discussion of words, in the languages of the corpus; the default of a parameter.
 REPORTS = frozenset("said says called quote quoted word term insult dijo dice palabra dit mot appelé sagte wort nannte".split())
 FEATURES = 12
+#: Automaton states, and letters of words, that a worker remembers at most; beyond that it begins anew.
+STATES, LETTERS_KNOWN = 50_000, 1_500_000
+#: Words with more letters are matched, but not remembered.
+LONG_WORD = 64
 
 
 class Automaton:
@@ -51,7 +55,8 @@ class Automaton:
     stand for. A term of fewer than ``ONE`` letters forgives no error, of fewer
     than ``TWO`` one, else two; nodes remember the most that a term below them
     forgives. Deterministic states are made when first reached and kept, so a
-    word costs a lookup for each letter until it can't match any more.
+    word costs a lookup for each letter until it can't match any more, or until
+    nothing but a stem that has been read is left.
     """
 
     WON = -1  # the node of a stem that has been read: the rest of the word is free
@@ -111,6 +116,9 @@ class Automaton:
 
     def find(self, word: str) -> tuple[int, bool] | None:
         """The fewest errors with which ``word`` is a term or (True, if no term has as few) goes on from a stem."""
+        if len(self.states) > STATES:
+            self.states.clear()
+            self.start = self.closed({0: 0})
         state = self.start
         for c in word:
             c = c if c in self.letters else "?"
@@ -120,20 +128,24 @@ class Automaton:
             state = go[c]
             if state is None:
                 return None
+            if len(go[""]) == 1 and self.WON in go[""]:
+                break  # a stem has been read and nothing else is left: no further letter matters
         return state[1] if state[1][0] < 9 else None
 
 
 class Lexicon:
     """Matches of words, remembered as corpora repeat their words."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, words: list[str], stems: list[str], reports: Iterable[str] = REPORTS):
         self.automaton = Automaton(words, stems)
         self.empty = not words and not stems
+        self.reports = frozenset(reports)
         self.known: dict[str, int] = {}
+        self.letters = 0
 
     def match(self, word: str) -> int:
         """0 for no match, 1 for an exact one, 2 or 3 for one or two errors or look-alikes of letters, 4 for a stem as it is, 5 for one with those."""
-        if self.empty or not 3 <= len(word) <= 40:
+        if self.empty or len(word) < 3:
             return 0
         plain = word.translate(LOOKALIKES)
         errors, stem = self.automaton.find(plain) or (9, True)
@@ -144,11 +156,20 @@ class Lexicon:
     def kinds(self, words: set[str]) -> dict[str, int]:
         """The words among ``words`` that match."""
         known = self.known
-        if len(known) > 150_000:
+        if self.letters > LETTERS_KNOWN:
             known.clear()
-        for w in words.difference(known):
-            known[w] = self.match(w)
-        return {w: known[w] for w in words if known[w]}
+            self.letters = 0
+        out = {}
+        for w in words:
+            kind = known.get(w)
+            if kind is None:
+                kind = self.match(w)
+                if len(w) <= LONG_WORD:
+                    known[w] = kind
+                    self.letters += len(w)
+            if kind:
+                out[w] = kind
+        return out
 
 
 def unmasked(low: str, spans: list[tuple[int, re.Match]], whole: list[re.Match], hits: dict[str, int]) -> list[tuple[int, re.Match]]:
@@ -186,7 +207,7 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
         spans = unmasked(low, spans, whole, hits) if whole else spans
         for i, m in spans:
             near = low[max(m.start() - 2, 0) : m.start()], low[m.end() : m.end() + 2]
-            told = REPORTS.intersection(words[max(i - WINDOW, 0) : i + WINDOW])
+            told = lexicon.reports.intersection(words[max(i - WINDOW, 0) : i + WINDOW])
             if all(any(q in side for q in QUOTES) for side in near) or told:
                 kinds[4] += 1
             elif hits[m.group()] == 5:
@@ -204,12 +225,12 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
 class Model:
     """A lexicon and logistic weights over ``features``."""
 
-    def __init__(self, words: list[str], stems: list[str], weights: np.ndarray | None = None):
-        self.words, self.stems, self.weights = words, stems, weights
-        self.lexicon = Lexicon(words, stems)
+    def __init__(self, words: list[str], stems: list[str], weights: np.ndarray | None = None, reports: Iterable[str] = REPORTS):
+        self.words, self.stems, self.weights, self.reports = words, stems, weights, frozenset(reports)
+        self.lexicon = Lexicon(words, stems, self.reports)
 
     def __reduce__(self):
-        return Model, (self.words, self.stems, self.weights)
+        return Model, (self.words, self.stems, self.weights, self.reports)
 
     def fit(self, x: np.ndarray, toxic: np.ndarray) -> None:
         x = np.column_stack([x, np.ones(len(x))])
@@ -291,22 +312,29 @@ def without_copies(texts: DataFrame) -> DataFrame:
     return marked.groupBy("least").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).drop("least")
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Learn from the ``sample`` labelled documents whose keys hash lowest (all, if there are fewer).
-
-    Rows without label or text teach nothing; without both kinds of labels the
-    lexicon is empty and every score 0.
+def train(
+    docs: DataFrame,
+    labels: DataFrame,
+    text: str = "text",
+    key: str = "doc_id",
+    label: str = "toxic",
+    sample: int = SAMPLE,
+    reports: Iterable[str] = REPORTS,
+) -> Model:
+    """Learn from the ``sample`` labelled texts whose hashes with their keys are lowest (all, if there are fewer).
+
+    ``reports`` are the words that tell a report of a term from its use. Rows
+    without key, label or text teach nothing; a key labelled twice is toxic if
+    one of them says so; repeated rows teach once. Without both kinds of labels
+    the lexicon is empty and every score 0.
     """
     known = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__key")).agg(F.max((F.col(f"`{label}`") != 0).cast("int")).alias("toxic"))
-    # Only keys are ranked. Labels need not be of documents that exist, so the join comes first, without texts.
-    keys = docs.where(F.col(f"`{text}`").isNotNull()).select(F.col(f"`{key}`").alias("__key")).join(known, "__key")
-    picked = lowest(keys.distinct().withColumn("h", F.xxhash64("__key")), sample, []).drop("h")
-    chosen = cut(
-        docs.join(F.broadcast(picked), F.col(f"`{key}`") == F.col("__key"))  # ``sample`` rows of two numbers
-        .select(F.col(f"`{text}`").cast("string").alias("text"), "toxic")
-        .where(F.col("text").isNotNull())
-    )
-    model = Model(*lexicon_of(without_copies(chosen)))
+    # Only hashes are ranked. Labels need not be of documents that exist, so the join comes first, without texts.
+    own = F.col(f"`{text}`").cast("string")
+    rows = docs.where(own.isNotNull()).select(F.col(f"`{key}`").alias("__key"), own.alias("text"), F.xxhash64(F.col(f"`{key}`"), own).alias("h"))
+    picked = lowest(rows.select("__key", "h").join(known, "__key").select("h", "toxic"), sample, [])
+    chosen = cut(rows.select("text", "h").join(F.broadcast(picked), "h").groupBy("h").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")))
+    model = Model(*lexicon_of(without_copies(chosen)), reports=reports)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +353,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Append ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) to every document.
 
-    Whole texts are scored, one at a time; null text counts as empty. Columns
-    with those names are replaced.
+    Whole texts are scored, one at a time, words of any length included; null
+    text counts as empty, and an empty or wordless text gets the score of no
+    match. Every row stays, repeated ones and those without a key too; an empty
+    table gives none. Columns with those names are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_of
-
-#: Bits for each entry, and words of 64 bits (one block each) at most: 8 MB, whatever the list.
-BITS_PER_ENTRY, WORDS = 16, 1 << 20
-#: Bits that an entry sets in its block.
-PROBES = 4
-#: Copies of the list's answers, so that a host and path with a third of all rows meets them in many tasks.
-SALTS = 16
+from .common import renamed
+
+#: Bits for each entry, whatever the list, and bits that an entry sets in its block of 64: of the keys that aren't listed
+#: about 1 in 100 pass.
+BITS_PER_ENTRY, PROBES = 16, 4
+#: Blocks that ride along as one array (8 MB, 4 million entries); those of a larger list are rows, met by block number.
+BLOCKS = 1 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -47,16 +46,50 @@ def mask(key: Column) -> Column:
     return out
 
 
-def bloom(keys: DataFrame, words: int) -> DataFrame:
-    """The filter as one row: ``words`` blocks in an array, a block for each key by its hash."""
-    blocks = keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(words)).alias("at")).agg(F.bit_or(mask(F.col("key"))).alias("word"))
+def blocks_of(keys: DataFrame, n: int) -> DataFrame:
+    """The filter's blocks that have a bit set: ``at`` of ``n``, and its ``word``; a key's block is chosen by its hash."""
+    return keys.groupBy(F.pmod(F.xxhash64("key"), F.lit(n)).alias("at")).agg(F.bit_or(mask(F.col("key"))).alias("word"))
+
+
+def array_of(blocks: DataFrame, n: int) -> DataFrame:
+    """All ``n`` blocks as one row with an array."""
     filled = F.map_from_entries(F.collect_list(F.struct("at", "word")))
-    every = F.sequence(F.lit(0).cast("long"), F.lit(words - 1).cast("long"))
+    every = F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     return blocks.agg(filled.alias("m")).select(
         F.transform(every, lambda i: F.coalesce(F.try_element_at(F.col("m"), i), F.lit(0).cast("long"))).alias("words")
     )
 
 
+def possible(places: DataFrame, keys: list[Column], listed: DataFrame) -> DataFrame:
+    """``host, path, key`` of the keys of each place that pass the blocked Bloom filter of the listed ones."""
+    every = lambda each: F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *each))).alias("key")
+    n = max(1, -(-listed.count() * BITS_PER_ENTRY // 64))
+    blocks = blocks_of(listed.select("key"), n)
+    at, bits = lambda key: F.pmod(F.xxhash64(key), F.lit(n)), mask
+    if n <= BLOCKS:
+        words = array_of(blocks, n).scalar()
+        hit = lambda key: F.element_at(words, (at(key) + 1).cast("int")).bitwiseAND(bits(key)) == bits(key)
+        return places.select("host", "path", every([F.when(hit(k), k) for k in keys]))
+    each = places.select("host", "path", every(keys)).withColumn("at", at(F.col("key")))
+    return each.join(blocks, "at").where(F.col("word").bitwiseAND(bits(F.col("key"))) == bits(F.col("key"))).select("host", "path", "key")
+
+
+def listing(rules: DataFrame, urls: DataFrame | None = None) -> DataFrame:
+    """What is listed, one row a ``key``: a rule's host and path, or a canonical URL's; ``rule, verdict, labels, length``."""
+    out = rules.dropna(subset=["host", "path", "verdict"]).select(
+        F.concat("host", "path").alias("key"),
+        F.concat("host", "path").alias("rule"),
+        "verdict",
+        F.size(F.split("host", r"\.")).alias("labels"),
+        F.length("path").alias("length"),
+    )
+    if urls is not None:
+        host, path = host_of(F.col("url")), path_of(F.col("url"))
+        own = urls.dropna(subset=["url"]).where(host != "").select(canonical(host, path).alias("key"), F.lit("block").alias("verdict"))
+        out = out.unionByName(own, allowMissingColumns=True)
+    return out.groupBy("key").agg(*[F.max(c).alias(c) for c in ("rule", "verdict", "labels", "length")])
+
+
 def judge(
     pages: DataFrame,
     rules: DataFrame,
@@ -69,27 +102,25 @@ def judge(
     the page's path starts with theirs; the longest wins, and of equal ones
     ``block``. Pages without a rule are blocked if ``urls`` (``url``) lists
     their canonical URL, else allowed. Each page's possible keys, as many as
-    the list has shapes (labels of the host, length of the path), are looked up
-    in the Bloom filter; those that pass meet the list in a hash join, one row
-    for each different host and path, and the answers go back to the pages.
-
-    Null urls and those without ``://`` have an empty host and path. Rows with
-    nulls in a rule's host, path or verdict don't count. Columns of ``pages``
-    with the names of the result are replaced; repeated rows all stay.
+    the rules have shapes (labels of the host, length of the path) and its
+    canonical URL, are looked up in the Bloom filter; those that pass meet the
+    list in a hash join, a row for each different host and path, and the
+    answers go back to the pages. A host and path that many pages share is one
+    row up to there; adaptive execution splits that last join where it is hot.
+
+    Null urls and those without ``://`` have an empty host and path and are
+    allowed. Rows with nulls in a rule's host, path or verdict, and null listed
+    urls, don't count; repeated ones count once. Columns of ``pages`` with the
+    names of the result are replaced; repeated pages all stay; an empty table
+    gives no rows, and without rules and urls every page is allowed.
     """
-    listed = rules.dropna(subset=["host", "path", "verdict"]).select(
-        F.concat("host", "path").alias("key"),
-        F.concat("host", "path").alias("rule"),
-        "verdict",
-        F.size(F.split("host", r"\.")).alias("labels"),
-        F.length("path").alias("length"),
-    )
-    base = free_of(pages, ["host", "path", "rule", "verdict"])
-    page = base.withColumn("host", host_of(F.coalesce(F.col(f"`{url}`"), F.lit("")))).withColumn(
-        "path", path_of(F.coalesce(F.col(f"`{url}`"), F.lit("")))
-    )
-    # Shapes: as many as hosts have numbers of labels and paths lengths, not as the list has entries.
-    shapes = [(r[0], r[1]) for r in listed.select("labels", "length").distinct().sort("labels", "length").collect()]
+    listed = listing(rules, urls)
+    result = ["host", "path", "rule", "verdict"]
+    base, names, _ = renamed(pages)
+    text = F.coalesce(F.col(names[url]).cast("string"), F.lit(""))
+    page = base.withColumns({"host": host_of(text), "path": path_of(text)})
+    # Shapes: as many as rules' hosts have numbers of labels and paths lengths, not as the list has entries.
+    shapes = [(r[0], r[1]) for r in listed.where("rule is not null").select("labels", "length").distinct().sort("labels", "length").collect()]
     parts = F.split("host", r"\.")
     fits = [
         F.when(
@@ -99,42 +130,12 @@ def judge(
         for n, m in shapes
     ]
     if urls is not None:
-        host, path = host_of(F.col("url")), path_of(F.col("url"))
-        listed = listed.unionByName(
-            urls.dropna(subset=["url"])
-            .where(host != "")
-            .select(canonical(host, path).alias("key"), F.lit("block").alias("verdict"))
-            .distinct(),
-            allowMissingColumns=True,
-        )
         fits.append(canonical(F.col("host"), F.col("path")))
-    listed = listed.groupBy("key").agg(F.max("rule").alias("rule"), F.max("verdict").alias("verdict"))
-    n = listed.count()
-    words = max(1, min(WORDS, -(-n * BITS_PER_ENTRY // 64)))
-    blocks = bloom(listed.select("key"), words).scalar()
-
-    def possible(key: Column) -> Column:
-        bits = mask(key)
-        word = F.element_at(blocks, (F.pmod(F.xxhash64(key), F.lit(words)) + 1).cast("int"))
-        return F.when(word.bitwiseAND(bits) == bits, key)
-
-    keys = F.array_compact(F.array(*[possible(k) for k in fits])) if fits else F.array().cast("array<string>")
     places = page.where(F.col("host") != "").select("host", "path").distinct()
-    hits = places.select("host", "path", F.explode(keys).alias("key")).join(listed, "key")
+    hits = possible(places, fits, listed).join(listed.select("key", "rule", F.col("verdict").alias("told")), "key")
     ruled = F.struct(F.col("rule").isNotNull(), F.length("rule"), "rule")
-    answers = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), ruled).alias("__answer"))
-    salted = answers.select(
-        F.col("host").alias("__host"),
-        F.col("path").alias("__path"),
-        "__answer",
-        F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__to"),
-    )
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in page.dtypes if "map" not in kind]), F.lit(SALTS))
-    same = (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")) & (F.col("__salt") == F.col("__to"))
-    return (
-        page.withColumn("__salt", salt.cast("int"))
-        .join(salted, same, "left")
-        .withColumn("rule", F.col("__answer")["rule"])
-        .withColumn("verdict", F.coalesce(F.col("__answer")["verdict"], F.lit("allow")))
-        .drop("__salt", "__host", "__path", "__answer", "__to")
+    answers = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "told"), ruled).alias("__answer"))
+    told = page.join(answers, ["host", "path"], "left").withColumns(
+        {"rule": F.col("__answer")["rule"], "verdict": F.coalesce(F.col("__answer")["told"], F.lit("allow"))}
     )
+    return told.select(*[F.col(n).alias(c) for c, n in names.items() if c.lower() not in result], *result)

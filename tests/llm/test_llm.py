@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lamella.llm import chat, counting, embeddings, langid, media, mixing, oracle, packing, queries, simhash, tokens, toxicity, urls
+from lamella.llm import chat, common, counting, embeddings, langid, media, mixing, oracle, packing, queries, simhash, tokens, toxicity, urls
 from lamella.llm.common import components, table
 
 LONG = " ".join(f"word{i % 977}" for i in range(60_000))
@@ -87,6 +87,40 @@ def test_encoder_forgets_and_stays_right(tokenizer, monkeypatch):
     assert len(e.known) + len(e.older) < 100
 
 
+def test_shared_folder_is_refused_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        common.shared_folder(Session())
+
+
+def test_scratch_removes_what_was_stored(spark):
+    kept = common.stored(spark.range(3))
+    with common.scratch(spark):
+        gone = common.stored(spark.range(5))
+        assert gone.count() == 5
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)exist|not found"):
+        spark.read.parquet(gone.inputFiles()[0]).count()
+
+
+def test_lowest_counts_a_hash_once(spark):
+    df = spark.range(40_000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.xxhash64("id")).alias("h"))
+    got = {}
+    for g, h in common.lowest(df, 10, ["g"]).collect():
+        got.setdefault(g, []).append(h)
+    every = sorted(r[0] for r in df.where("g = 1").select("h").collect())
+    assert got[0] == [7] and sorted(got[1]) == every[:10]
+
+
 # ---- 1 Packing
 
 
@@ -121,6 +155,13 @@ def test_packing(docs, texts, tokenizer):
     assert check_packing(rows, want) <= 0.02 * sum(map(len, want.values()))
 
 
+def test_packing_query(spark, sf_dir, texts, tokenizer):
+    ids = {k: np.array(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids + [1], "<u4") for k, r in texts.items()}
+    for r in queries.op1_packing(spark, sf_dir).collect():
+        own = ids[r["doc_id"]]
+        assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes()) and r["doc_tokens"] == len(own)
+
+
 def test_packing_edges(edge, none, tokenizer):
     rows = packing.pack(edge.repartition(3)).collect()
     want = {k: tokenizer.encode(t or "", add_special_tokens=False).ids + [1] for k, t in enumerate(EDGE)}
@@ -172,6 +213,64 @@ def test_code_lengths_equal_a_plain_model():
     assert np.allclose(got, [[bits(lang, t) for lang in ("x", "y")] for t in tests], atol=1e-3)
 
 
+def test_language_query_equals_a_plain_model(spark):
+    """All texts of the smallest tables teach, so the sample is all of them; scores are those of a plain context tree."""
+    sf_dir = "/root/testdata/sf0.001"
+    rows = table(spark, sf_dir, "documents", "doc_id", "text", "lang").collect()
+    train: dict = {}
+    for r in {(r["doc_id"], r["text"], r["lang"]): r for r in rows}.values():
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] and r["text"] and len(r["text"].encode()) <= langid.LONGEST:
+            train.setdefault(r["lang"], []).append(r["text"].lower().encode())
+    assert max(map(len, train.values())) <= langid.SAMPLE
+    counts = {k: Counter(t[i - o : i + 1] for t in texts for o in range(4) for i in range(o, len(t))) for k, texts in train.items()}
+    seen = {k: {} for k in counts}
+    for k, c in counts.items():
+        for g, n in c.items():
+            total, kinds = seen[k].get(g[:-1], (0, 0))
+            seen[k][g[:-1]] = (total + n, kinds + 1)
+
+    def bits(k, t):
+        out = 0.0
+        for i in range(len(t)):
+            for o in range(min(3, i), -1, -1):
+                if (context := t[i - o : i]) in seen[k]:
+                    total, kinds = seen[k][context]
+                    if n := counts[k].get(t[i - o : i + 1]):
+                        out -= math.log2(n / (total + kinds))
+                        break
+                    out -= math.log2(kinds / (total + kinds))
+            else:
+                out += 8
+        return out
+
+    texts = {r["doc_id"]: r["text"] for r in rows}
+    for r in queries.op2_language_id(spark, sf_dir).collect()[::4]:
+        t = texts[r["doc_id"]]
+        length = {k: bits(k, t.lower().encode()) for k in sorted(train)}
+        best = min(length, key=length.get)
+        assert r["lang_pred"] == best
+        assert math.isclose(r["score"], 1 / sum(2 ** max(length[best] - x, -1000) for x in length.values()), rel_tol=1e-2)
+
+
+@pytest.mark.parametrize("n", [150, 600, 6000])
+@pytest.mark.parametrize("key", ["null", "1", "id"])
+def test_language_sample_at_every_size(spark, n, key):
+    """Rows without a key, or with one key, teach like any others, however many there are."""
+    docs = spark.range(n).select(F.expr(f"cast({key} as long)").alias("doc_id"), F.concat(F.lit("some words here "), "id").alias("text"), F.lit("en").alias("lang"))
+    model = langid.train(docs, sample=150)
+    assert model.langs == ["en"] and {r[0] for r in langid.identify(docs, model).select("lang_pred").distinct().collect()} == {"en"}
+    assert langid.train(docs.withColumn("text", F.lit("all the same")), sample=150).langs == ["en"]
+
+
+def test_language_fits(spark, docs):
+    model = langid.train(docs)
+    rng = np.random.default_rng(4)
+    odd = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 400)), "это русский текст о погоде " * 9, "中文文本" * 30]
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string"), model).collect()
+    assert not any(r["fits"] for r in got)
+    assert langid.identify(docs, model).where("not fits").count() == 0
+
+
 def test_blocks_do_not_change_code_lengths(monkeypatch):
     model = langid.Model({"x": [b"abc abd abe"], "y": [b"xyz xyy"]})
     tests = [np.frombuffer(t, np.uint8) for t in (b"abcabcabcab", b"", b"xyzxyzxyzxyzxyz", b"a")]
@@ -216,6 +315,18 @@ def test_embeddings_against_all_pairs(spark, monkeypatch):
     assert got == want | {i: (0, i, True) for i in range(900, 905)}
 
 
+def test_embeddings_of_repeated_and_missing_keys(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = (rng.normal(size=64).tolist() for _ in range(3))
+    near = (np.array(a) + rng.normal(size=64) * 0.01).tolist()
+    rows = [(1, a, 5, "x"), (1, b, 5, "x"), (2, near, 5, "x"), (None, a, 5, "x"), (None, c, 5, "x"), (7, c, 6, "x"), (7, c, 6, "x")]
+    got = embeddings.near_duplicates(vectors_table(spark, rows)).collect()
+    seen = sorted((r["vec_id"] or 0, r["embedding"][0], r["n_links"], r["component_id"], r["kept"]) for r in got)
+    f = lambda v: float(np.float32(v[0]))
+    want = [(1, f(a), 2, 1, True), (1, f(b), 0, 1, True), (2, f(near), 2, 1, False), (0, f(a), 2, 1, False), (0, f(c), 0, None, False)]
+    assert seen == sorted([*want, (7, f(c), 1, 7, True), (7, f(c), 1, 7, True)], key=lambda r: r[:3])
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(5)
     u = rng.normal(size=(400, 64))
@@ -340,6 +451,77 @@ def test_disguised_terms():
     assert quoted[4] > 0 == quoted[1] and told[4] > 0 == told[1]
 
 
+def test_words_of_any_length(spark):
+    """Neither length nor the bound on what a worker remembers changes a match."""
+    m = toxicity.Model(["stupid"], ["worthless"])
+    for n in (0, 31, 32, 500, 100_000):
+        assert m.lexicon.match("worthless" + "x" * n) == 4 and m.lexicon.match("worthlss" + "x" * n) == 5, n
+    assert toxicity.features("a worthless" + "x" * 90, m.lexicon)[3] > 0
+    few = toxicity.Lexicon(["stupid"], ["worthless"])
+    words = ["stupid", "stuppid", "fine", "worthlessly", "stupif"] * 3
+    want = [few.match(w) for w in words]
+    many = toxicity.Automaton(["stupid"], ["worthless"])
+    toxicity.STATES, kept = 3, toxicity.STATES
+    try:
+        few.automaton = many
+        assert [few.match(w) for w in words] == want and len(many.states) < 60
+    finally:
+        toxicity.STATES = kept
+
+
+def test_toxicity_of_repeated_keys(spark):
+    bad = [(None if i % 2 else 1, f"text {i} with vilest word and more of {i}") for i in range(60)]
+    good = [(2, f"text {i} about nothing in particular {i}") for i in range(3000)]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    model = toxicity.train(spark.createDataFrame(bad + good, "doc_id long, text string"), labels, sample=500)
+    assert model.weights is None or np.isfinite(model.weights).all()
+    assert toxicity.Model(["stupid"], [], None, ["claims"]).lexicon.reports == {"claims"}
+
+
+def test_toxicity_query_equals_plain_features(spark):
+    """The query's scores from its lexicon and weights, with every match by edit distance and features counted plainly."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    model = toxicity.train(docs, labels.where(common.remainder(F.col("doc_id"), 5) != 0))
+    allow = lambda t: (len(t) >= toxicity.ONE) + (len(t) >= toxicity.TWO)
+
+    def kind(w):
+        if len(w) < 3:
+            return 0
+        plain = w.translate(toxicity.LOOKALIKES)
+        a = min((d for t in model.words if abs(len(t) - len(plain)) <= 2 and (d := distance(plain, t)) <= allow(t)), default=9)
+        b = min((d for t in model.stems if (d := min(distance(plain[:n], t) for n in range(len(t) - 2, len(t) + 3))) <= allow(t)), default=9)
+        if a == b == 9:
+            return 0
+        return max(a + 1, 1 if plain == w else 2) if a <= b else 4 if b == 0 and plain == w else 5
+
+    got = {r["doc_id"]: r["score"] for r in queries.op5_toxicity(spark, sf_dir).collect()}
+    seen = 0
+    for r in docs.where("doc_id % 20 = 0").collect():
+        low = (r["text"] or "").lower()
+        if toxicity.SIGN.search(low):
+            continue  # disguised words have a test of their own
+        words = [(m.group(), m.start(), m.end()) for m in toxicity.LETTERS.finditer(low)]
+        counts, bent, distinct = [0] * 5, 0, set()
+        kinds = {w: kind(w) for w in {w for w, _, _ in words}}
+        for i, (w, x, y) in enumerate(words):
+            if k := kinds[w]:
+                quoted = all(any(q in side for q in toxicity.QUOTES) for side in (low[max(x - 2, 0) : x], low[y : y + 2]))
+                told = {v for v, _, _ in words[max(i - 8, 0) : i + 8]} & toxicity.REPORTS
+                if quoted or told:
+                    counts[4] += 1
+                elif k == 5:
+                    bent += 1
+                else:
+                    counts[k - 1] += 1
+                distinct.add(w)
+        n, sure = max(len(words), 1), sum(counts[:3])
+        x = [*np.log1p(counts), counts[0] > 0, counts[1] + counts[2] > 0, *np.log1p([len(distinct), 1000 * sure / n, 1000 * counts[3] / n, n, bent])]
+        assert math.isclose(got[r["doc_id"]], 1 / (1 + math.exp(-np.clip(np.dot(model.weights[:-1], x) + model.weights[-1], -30, 30))), rel_tol=1e-9)
+        seen += 1
+    assert seen > 20
+
+
 def test_toxicity_edges(spark, edge, none):
     labels = spark.createDataFrame([(1, 1), (2, 0), (5, None), (6, 0), (6, 1), (None, 1)], "doc_id long, toxic int")
     for model in (toxicity.train(edge, labels), toxicity.train(edge, labels.limit(0)), toxicity.train(none, labels)):
@@ -402,6 +584,31 @@ def test_media_query(spark, sf_dir, texts):
         assert r["feature"].startswith(f"audio/wav;structure={len(payload) + 44};corrected=true;")
 
 
+def test_false_beginnings_take_one_pass():
+    import time
+
+    for blob in (b"%PDF-1 " * 300_000, b"%PDF-1 " * 200_000 + b"%%EOF", b"PK\x03\x04" * 300_000, (b"OggS\0\2" + b"\0" * 21) * 60_000, b"\0\0\0\x08ftyp" * 200_000):
+        began = time.perf_counter()
+        assert media.scan(blob, media.automaton()) == []
+        assert time.perf_counter() - began < 20
+
+
+def test_read_back_of_no_media(spark):
+    rows = [(None,), (bytearray(),), (bytearray(b"not a wave"),), (bytearray(samples()["image/png"]),), (bytearray(samples()["audio/wav"]),)]
+    got = [(r["payload_bytes"], r["tail_crc32"]) for r in media.read_back(spark.createDataFrame(rows, "media binary")).collect()]
+    assert got == [(None, None)] * 4 + [(4, zlib.crc32(b"abcd"))]
+
+
+def test_media_edges(edge, none):
+    """Nulls, empty and very long texts, repeated rows, clashing columns, an empty table."""
+    stored = edge.withColumns({"media": media.wave(media.payload(F.col("text"))), "type": F.lit("mine"), "carved": F.lit("mine"), "declared": F.lit(None).cast("string")})
+    rows = media.read_back(media.sniff(stored)).collect()
+    assert len(rows) == len(EDGE) + 2 and all(r["type"] == "audio/wav" and r["corrected"] for r in rows)
+    sizes = {r["doc_id"]: r["payload_bytes"] for r in rows}
+    assert sizes[0] == sizes[1] == 576 and sizes[9] == -(-len(LONG) // 576) * 576
+    assert media.read_back(media.sniff(stored.limit(0))).count() == media.sniff(none.withColumn("media", F.lit(None).cast("binary")), declared="lang").count() == 0
+
+
 def test_payload_of_empty_texts(spark):
     df = spark.createDataFrame([(None,), ("",), ("x" * 576,)], "text string")
     assert [r[0] for r in df.select(F.octet_length(media.payload(F.col("text")))).collect()] == [576, 576, 576]
@@ -429,8 +636,8 @@ def test_mixing(spark, n):
     rng = np.random.default_rng(n)
     rows = [(i, " ".join("w" * int(k) for k in rng.integers(1, 4, rng.integers(0, 60))), None if s == 3 else f"s{s}" if s % 2 else f"S{s}") for i, s in enumerate(rng.integers(0, n, 1500) ** 2 // max(n - 1, 1))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.plan(df).collect()
-    again = {r["doc_id"]: r["copies"] for r in mixing.plan(df.repartition(5)).collect()}
+    got = mixing.plan(df, calibrated=True).collect()
+    again = {r["doc_id"]: r["copies"] for r in mixing.plan(df.repartition(5), calibrated=True).collect()}
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(t.split())
@@ -440,7 +647,40 @@ def test_mixing(spark, n):
         assert 0 <= r["copies"] <= 3 and again[r["doc_id"]] == r["copies"]
         taken[r["source"]] += r["copies"] * r["size"]
     assert all(abs(taken[s] - t) <= 70 for s, t in want.items())
-    assert mixing.mix(df).count() == sum(again.values())
+    assert mixing.mix(df, calibrated=True).count() == sum(again.values())
+
+
+def draws(key):
+    return int(hashlib.md5(f"mix-0:{'' if key is None else key}".encode()).hexdigest()[:8], 16) / 2**32
+
+
+@pytest.mark.parametrize(("cap", "weights", "few"), [(3, (5, 2, 1), 10_000), (6, (1, 9), 10_000), (3, (5, 2, 1), 0)])
+def test_plain_draws(spark, monkeypatch, cap, weights, few):
+    """Without calibration the extra copy's probability is the fraction; other caps and weights, and many sources, too."""
+    monkeypatch.setattr(mixing, "FEW", few)
+    rows = [(i, "w " * (i % 7), f"s{i % 3 if i % 5 else 0}") for i in range(400)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), cap=cap, weights=weights).collect()
+    assert len(got) == 400
+    for r in got:
+        rate = min(r["target"] / r["source_size"], cap)
+        assert r["rate"] == rate and r["probability"] == rate - int(rate) == r["fraction"]
+        assert r["copies"] == int(rate) + (draws(r["doc_id"]) < rate - int(rate))
+    sizes = {r["source"]: r["source_size"] for r in got}
+    targets = {r["source"]: r["target"] for r in got}
+    assert math.isclose(sum(targets.values()), sum(sizes.values())) and all(t <= cap * sizes[s] for s, t in targets.items())
+
+
+def test_caps_beyond_three_are_reached(spark):
+    rows = [(i, "w", "a" if i < 100 else "b") for i in range(1100)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), cap=6).where("source = 'a'").first()
+    assert (got["target"], got["rate"], got["copies"]) == (600.0, 6.0, 6)
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = ["size", "SOURCE_SIZE", "target", "rate", "copies", "fraction", "probability", "__size", "__draw", "words"]
+    df = spark.createDataFrame([(i, "w w", "a") for i in range(9)], "doc_id long, text string, source string").withColumns({c: F.lit(f"my {c}") for c in names})
+    out = mixing.mix(df)
+    assert out.columns == df.columns and all(r[c] == f"my {c}" for r in out.collect() for c in names)
 
 
 def test_mixing_edges(edge, none):
@@ -473,6 +713,17 @@ def test_chat_round_trip(spark):
     assert chat.digests(chat.format_chats(df.limit(0))).count() == 0
 
 
+def test_long_chats_and_broken_escapes(spark):
+    texts = [LONG, "</s>" * 20_000, "\\" * 999]
+    df = spark.createDataFrame([(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    r = chat.digests(chat.format_chats(df)).first()
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{'assistant' if i % 2 else 'user'}\n{t}\n" for i, t in enumerate(texts)).encode()).hexdigest()
+    assert r["loss_sha256"] == hashlib.sha256(texts[1].encode()).hexdigest()
+    broken = spark.createDataFrame([(1, "<s>[INST] ", False, True), (1, "a [/INST]</s> b", False, True), (1, " [/INST]</s>", False, True)], "conv_id long, text string, loss boolean, legal boolean")
+    with pytest.raises(Exception, match="no turn"):
+        chat.digests(broken.coalesce(1)).collect()
+
+
 def test_turn_order(spark):
     for roles, ok in ((["system", "user", "assistant", "user"], True), (["assistant"], False), (["user", "user"], False), (["user", "assistant", "system"], False)):
         df = spark.createDataFrame([(1, i, r, "t") for i, r in enumerate(roles)], "conv_id long, turn long, role string, text string")
@@ -511,6 +762,33 @@ def test_listed_urls(spark):
     assert urls.judge(pages.limit(0), rules).count() == 0
 
 
+def test_a_list_larger_than_an_array(spark, monkeypatch):
+    """The filter grows with the list; beyond one array its blocks are rows. Either way the join decides."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id") % 50, F.lit(".com/p"), "id").alias("url"))
+    listed = pages.where("page_id % 3 = 0").select("url")
+    rules = spark.createDataFrame([("h7.com", "/p", "allow")], "host string, path string, verdict string")
+    want = {i: "block" if i % 3 == 0 and i % 50 != 7 else "allow" for i in range(3000)}
+    for most in (urls.BLOCKS, 8):
+        monkeypatch.setattr(urls, "BLOCKS", most)
+        assert {r["page_id"]: r["verdict"] for r in urls.judge(pages, rules, listed).collect()} == want
+    keys = urls.listing(rules, listed)
+    places = pages.select(F.concat(F.lit("h"), "page_id").alias("host"), F.lit("/other").alias("path"))
+    passed = urls.possible(places, [urls.canonical(F.col("host"), F.col("path"))], keys).count()
+    assert passed < 0.03 * 3000  # false positives
+
+
+def test_url_edges(spark):
+    """Repeated rows, a very long url, a host and path with most rows, clashing columns, nulls."""
+    long = "http://a.net/" + "x/" * 50_000
+    rows = [(1, long, "mine"), (1, long, "mine"), (2, None, "mine"), (None, "http://b.org/fr/", "mine")] + [(i, "http://hot.net/", "mine") for i in range(3, 500)]
+    df = spark.createDataFrame(rows, "page_id long, url string, __answer string").withColumns({"Host": F.lit("mine"), "key": F.lit("mine")})
+    rules = spark.createDataFrame(list(queries.RULES), "host string, path string, verdict string")
+    got = urls.judge(df, rules, df.select("url")).collect()
+    assert Counter((r["rule"], r["verdict"]) for r in got) == {("net/", "block"): 499, (None, "allow"): 1, ("org/fr/", "allow"): 1}
+    assert all(r["__answer"] == r["key"] == "mine" and r["host"] != "mine" for r in got)
+    assert all(r["path"] == long[12:] for r in got if r["page_id"] == 1)
+
+
 # ---- 10 SimHash
 
 
@@ -615,6 +893,58 @@ def test_sql(spark, sf_dir, name):
     assert sorted(mine.columns) == sorted(other.columns) and key(mine) == key(other)
 
 
+def similar_components(texts):
+    """The smallest key of each text's component: links are five-word shingle similarities of 0.8 and more, all pairs tried."""
+    sets, least = {}, {}
+    for k, t in sorted(texts.items()):
+        w = (t or "").lower().split()
+        s = frozenset(" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else frozenset()
+        least[k] = sets.setdefault(s, k)
+    root = {k: k for k in sets.values()}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    items = list(sets.items())
+    for i, (a, x) in enumerate(items):
+        for b, y in items[i + 1 :]:
+            if a and b and 0.8 <= len(a) / len(b) <= 1.25 and (n := len(a & b)) >= 0.8 * (len(a) + len(b) - n):
+                p, q = sorted((top(x), top(y)))
+                root[q] = p
+    return {k: top(v) for k, v in least.items()}
+
+
+def test_pipeline_edges(spark, edge, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns: every stage, and an empty table."""
+    import corpus_pipeline as cp
+
+    own = [c for c in edge.columns if c not in DOCS]
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = {"toxicity": len(EDGE) + 2, "language_id": 8, "simhash_dedup": 5}
+    docs = edge
+    for name, stage in cp.STAGES:
+        out = cp.stored(stage(spark, docs, str(tmp_path)))
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        if name != "packing":
+            assert out.columns == edge.columns
+            assert all(r[c] == "mine" for r in out.select(*own).distinct().collect() for c in own if c in ("score", "predicted", "size", "lang_pred", "target", "copies"))
+            assert out.count() == want.get(name, out.count())
+            docs = out
+    assert docs.where("text is not null").count() <= 3 * 5
+
+
+def test_run_removes_what_it_wrote(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    before = list(common.WRITTEN)
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() > 0 and common.WRITTEN == before
+
+
 def test_pipeline(spark, sf_dir, tokenizer):
     import corpus_pipeline as cp
 
@@ -635,9 +965,8 @@ def test_pipeline(spark, sf_dir, tokenizer):
     assert len(gone) > 0.6 * sum(labels.values())
     assert set(ids["language_id"][1]) == {r[0] for r in kept["language_id"][0].where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
     before = {r[0]: r[1] for r in kept["simhash_dedup"][0].select("doc_id", "text").collect()}
-    groups = brute_components({k: plain_print(t) for k, t in before.items()})
-    assert sorted(ids["simhash_dedup"][1]) == sorted(set(groups.values()))
-    plan = {r["doc_id"]: r["copies"] for r in mixing.plan(kept["mixing"][0]).collect()}
+    assert sorted(ids["simhash_dedup"][1]) == sorted(set(similar_components(before).values()))
+    plan = {r["doc_id"]: r["copies"] for r in mixing.plan(kept["mixing"][0], calibrated=True).collect()}
     assert Counter(ids["mixing"][1]) == Counter({k: n for k, n in plan.items() if n})
     want = {r[0]: tokenizer.encode(r[1], add_special_tokens=False).ids + [1] for r in kept["packing"][0].select("doc_id", "text").distinct().collect()}
     check_packing(kept["packing"][1].collect(), want, Counter(ids["packing"][0]))
