@@ -66,3 +66,23 @@ def distance2(a: Column, b: Column) -> Column:
 def confidence(nearest: Column, second: Column) -> Column:
     """1 - d1/d2, clipped: near 1 for a clear assignment."""
     return F.lit(1.0) - clip(nearest / (second + 1e-6), 0.0, 1.0)
+
+
+def prefixed_name(sample: Column, index: Column, name: Column) -> Column:
+    """``<sample>_<two-digit index>_<name>.png``."""
+    return F.format_string("%s_%02d_%s.png", sample, index.cast("int"), name)
+
+
+def clamped(start: Column, size: Column, length: int) -> Column:
+    """The first place of a window of ``length`` that stays within ``size``."""
+    return F.greatest(F.lit(0), F.least(start, size - F.lit(length)))
+
+
+def centred(size: Column, length: int) -> Column:
+    """Where a window of ``length`` in the middle of ``size`` begins."""
+    return F.greatest(F.lit(0), F.floor((size - F.lit(length)) / 2))
+
+
+def lot(key: Column, seed: int) -> Column:
+    """A number from 0 to 2^32 - 1 by the MD5 of seed and key: the same in any engine, however rows are dealt."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")

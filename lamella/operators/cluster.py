@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean, confidence, distance2
+from ..functions.columns import clean, confidence, distance2, lot
+from ..functions.ranks import ranked
 
 #: Columns that are never features, in any case of letters; ``pca_*`` neither.
-NOT_FEATURES = ("cell_id", "tile_x", "tile_y", "label", "local_x", "local_y", "cluster", "confidence", "source_csv", "__source_csv")
+NOT_FEATURES = (
+    "cell_id", "tile_x", "tile_y", "label", "local_x", "local_y", "x", "y", "centroid_x", "centroid_y", "cluster", "confidence",
+    "source_csv", "__source_csv",
+)
+#: Vectors in a block of the silhouette; a task compares two blocks.
+BLOCK = 2048
 
 
 def feature_columns(df: DataFrame, with_positions: bool = False) -> list[str]:
@@ -24,11 +33,48 @@ def vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     return df.select(F.col(key).alias("id"), F.array(*[clean(F.col(c)) for c in columns]).alias("v"))
 
 
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """A column of equally long arrays as rows."""
+    n = len(column)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+
+
+def products(points: DataFrame) -> DataFrame:
+    """``i, j, n, mean_i, mean_j, c`` for ``i <= j``: means and the sum of products of deviations, in one pass.
+
+    Each task sums its own deviations from its own means and gives one row for
+    each two dimensions; these add up exactly, whatever the number of rows.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, mean, c = 0, None, None
+        for b in batches:
+            x = matrix_of(b.column(0))
+            if not len(x):
+                continue
+            m = x.mean(axis=0)
+            own = (x - m).T @ (x - m)
+            if mean is None:
+                n, mean, c = len(x), m, own
+            else:
+                shift, total = m - mean, n + len(x)
+                c += own + np.outer(shift, shift) * (n * len(x) / total)
+                mean, n = mean + shift * (len(x) / total), total
+        if mean is not None:
+            i, j = np.triu_indices(len(mean))
+            columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), mean[i], mean[j], c[i, j]]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["i", "j", "n", "a", "b", "c"])
+
+    rows = points.select("v").mapInArrow(partial, "i int, j int, n long, a double, b double, c double")
+    n, a, b = F.sum("n"), F.sum(F.col("n") * F.col("a")), F.sum(F.col("n") * F.col("b"))
+    between = F.sum(F.col("n") * F.col("a") * F.col("b")) - a * b / n
+    return rows.groupBy("i", "j").agg(n.alias("n"), (a / n).alias("mean_i"), (b / n).alias("mean_j"), (F.sum("c") + between).alias("c"))
+
+
 def moments(points: DataFrame) -> DataFrame:
     """Mean and population standard deviation of every dimension (0 counts as 1): one row a dimension."""
-    cells = points.select(F.posexplode("v").alias("dim", "x"))
-    std = F.stddev_pop("x")
-    return cells.groupBy("dim").agg(F.avg("x").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
+    std = F.sqrt(F.greatest(F.col("c") / F.col("n"), F.lit(0.0)))
+    return products(points).where("i = j").select(F.col("i").alias("dim"), F.col("mean_i").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
 
 
 def zscore(points: DataFrame) -> DataFrame:
@@ -40,28 +86,26 @@ def zscore(points: DataFrame) -> DataFrame:
 
 def covariance(points: DataFrame) -> DataFrame:
     """Sample covariance of every two dimensions ``i <= j``."""
-    a = points.select(F.posexplode("v").alias("i", "a"), "v")
-    pairs = a.select("i", "a", F.posexplode("v").alias("j", "b")).where("i <= j")
-    return pairs.groupBy("i", "j").agg(F.covar_samp("a", "b").alias("covariance"))
+    return products(points).select("i", "j", (F.col("c") / F.nullif(F.col("n") - 1, F.lit(0))).alias("covariance"))
 
 
 def pca(points: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """Scores on the first components of centred vectors (largest loading positive) and their shares of the variance.
 
-    The d x d covariance is all that reaches the driver.
+    The d x d products are all that reaches the driver.
     """
-    rows = covariance(points).collect()
+    rows = products(points).collect()
     d = max((r["j"] for r in rows), default=-1) + 1
-    c = np.zeros((d, d))
+    c, mean = np.zeros((d, d)), np.zeros(d)
     for r in rows:
-        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["covariance"] or 0.0
+        c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["c"] / max(r["n"] - 1, 1)
+        mean[r["i"]], mean[r["j"]] = r["mean_i"], r["mean_j"]
     values, axes = np.linalg.eigh(c)
     order = np.argsort(values)[::-1]
     values, axes = np.clip(values[order], 0, None), axes[:, order]
     k = max(1, min(n, d))
     axes = axes[:, :k] * np.sign(axes[np.abs(axes).argmax(axis=0)[:k], np.arange(k)])
-    mean = [r["mean"] for r in moments(points).orderBy("dim").collect()]
-    shift = np.asarray(mean) @ axes
+    shift = mean @ axes
     parts = [
         F.aggregate(F.zip_with("v", F.array(*[F.lit(float(x)) for x in axes[:, i]]), lambda x, a: x * a), F.lit(0.0), lambda s, t: s + t)
         - float(shift[i])
@@ -100,56 +144,113 @@ def inertia(assigned: DataFrame) -> DataFrame:
     return assigned.agg(F.sum(F.col("d1") * F.col("d1")).alias("inertia"))
 
 
+def chosen_rows(points: DataFrame, ranks: list[int]) -> dict[int, list[float]]:
+    """Vectors of the points that stand at these places in the order of ids; ids alone are ranked."""
+    wanted = points.sparkSession.createDataFrame([(r,) for r in ranks], "rank long")
+    ids = ranked(points.select("id"), [F.col("id")]).join(F.broadcast(wanted), "rank")
+    return {r["rank"]: list(r["v"]) for r in points.join(F.broadcast(ids), "id").select("rank", "v").collect()}  # starts * k rows
+
+
 def kmeans(points: DataFrame, k: int, seed: int = 42, n_init: int = 5, max_iter: int = 100) -> tuple[DataFrame, np.ndarray]:
     """Lloyd's algorithm from ``n_init`` random starts of distinct rows, by id; the labels and centres of the lowest inertia.
 
     A start ends when no label changes (the first assignment of all zeros counts
-    as unchanged). Every step is one pass with partial sums in each partition;
-    k x d numbers for each start and partition reach the driver.
+    as unchanged). All starts share each pass over the points, so there are
+    ``max_iter`` passes at most; a pass gives k x d sums for each start, which
+    Spark adds up. Ids are unique.
     """
     spark = points.sparkSession
     points = points.select("id", "v").persist()
     n = points.count()
     rng = np.random.default_rng(seed)
     draws = [rng.choice(n, size=min(k, n), replace=False) for _ in range(max(1, n_init))]
-    wanted = sorted({int(i) for d in draws for i in d})
-    rank = points.orderBy("id").select("id", "v").rdd.zipWithIndex().filter(lambda r: r[1] in set(wanted)).map(lambda r: (r[1], list(r[0]["v"])))
-    rows = dict(rank.collect())  # n_init * k rows
-    best = (np.inf, None)
-    for draw in draws:
-        centres = np.array([rows[int(i)] for i in draw])
-        last, used = None, centres
-        for step in range(max_iter):
-            used = centres
-
-            def partial(batches, c=centres):
-                sums, counts, mark, cost = np.zeros_like(c), np.zeros(len(c), np.int64), 0, 0.0
-                for pdf in batches:
-                    x = np.stack(pdf["v"].to_numpy())
-                    d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
-                    own = d.argmin(axis=1)
-                    np.add.at(sums, own, x)
-                    counts += np.bincount(own, minlength=len(c))
-                    cost += float(d.min(axis=1).sum())
-                    mark ^= int(np.bitwise_xor.reduce(pd.util.hash_array(pdf["id"].to_numpy()) * (own.astype(np.uint64) * np.uint64(2) + np.uint64(1)), initial=np.uint64(0)))
-                yield pd.DataFrame({"s": [sums.ravel().tolist()], "n": [counts.tolist()], "mark": [str(mark)], "zero": [bool(counts[1:].sum() == 0)], "cost": [cost]})
-
-            got = points.mapInPandas(partial, "s array<double>, n array<long>, mark string, zero boolean, cost double").collect()
-            mark = 0
-            for r in got:
-                mark ^= int(r["mark"])
-            if mark == last or (step == 0 and all(r["zero"] for r in got)):
-                break
-            last = mark
-            sums, counts = sum(np.array(r["s"]).reshape(centres.shape) for r in got), sum(np.array(r["n"]) for r in got)
-            centres = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-        cost = sum(r["cost"] for r in got)
-        if cost < best[0]:
-            best = (cost, used)
+    rows = chosen_rows(points, sorted({int(i) for d in draws for i in d}))
+    now = {s: np.array([rows[int(i)] for i in d]) for s, d in enumerate(draws)}
+    last: dict[int, int] = {}
+    ended: dict[int, tuple[float, np.ndarray]] = {}
+    for step in range(max_iter):
+        if not now:
+            break
+        held = spark.sparkContext.broadcast(now)
+
+        def partial(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            sums = {s: np.zeros((len(c), c.shape[1] + 1)) for s, c in held.value.items()}
+            marks, costs = dict.fromkeys(sums, 0), dict.fromkeys(sums, 0.0)
+            for b in batches:
+                for i in range(0, len(b), 4096):
+                    part = b.slice(i, 4096)
+                    x = matrix_of(part.column(1))
+                    hashes = pd.util.hash_array(part.column(0).to_pandas().to_numpy())
+                    for s, c in held.value.items():
+                        d = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+                        own = d.argmin(axis=1)
+                        np.add.at(sums[s], own, np.column_stack([x, np.ones(len(x))]))
+                        costs[s] += float(d.min(axis=1).sum())
+                        told = hashes * (own.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+                        marks[s] ^= int(np.bitwise_xor.reduce(told, initial=np.uint64(0)))
+            out = [(s, c, d, float(sums[s][c, d])) for s in sums for c in range(len(sums[s])) for d in range(sums[s].shape[1])]
+            out += [(s, -1, 0, costs[s]) for s in sums]
+            signed = {s: m - (1 << 64) if m >> 63 else m for s, m in marks.items()}
+            columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([signed[r[0]] if r[1] < 0 else 0 for r in out], pa.int64())], names=["s", "c", "d", "x", "mark"])
+
+        got = (
+            points.mapInArrow(partial, "s int, c int, d int, x double, mark long")
+            .groupBy("s", "c", "d").agg(F.sum("x").alias("x"), F.expr("bit_xor(mark)").alias("mark"))
+            .collect()
+        )  # starts * k * d rows
+        held.destroy()
+        sums = {s: np.zeros((len(c), c.shape[1] + 1)) for s, c in now.items()}
+        costs, marks = {}, {}
+        for s, c, d, x, mark in got:
+            if c < 0:
+                costs[s], marks[s] = x, mark
+            else:
+                sums[s][c, d] = x
+        for s, used in list(now.items()):
+            counts = sums[s][:, -1]
+            still = marks[s] == last.get(s) or (step == 0 and counts[1:].sum() == 0)
+            last[s] = marks[s]
+            if still or step == max_iter - 1:
+                ended[s] = (costs[s], now.pop(s))
+            else:
+                now[s] = np.where(counts[:, None] > 0, sums[s][:, :-1] / np.maximum(counts, 1)[:, None], used)
+    points.unpersist()
+    best = ended[0]
+    for s in sorted(ended):  # the earlier of starts that differ by no more than rounding
+        if ended[s][0] < best[0] * (1 - 1e-12):
+            best = ended[s]
     table = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(best[1])], "c int, centre array<double>")
     return assign(points, table), best[1]
 
 
+def choose_k(points: DataFrame, ks: range = range(8, 13), seed: int = 42, most: int = 10_000) -> DataFrame:
+    """``k, inertia, ch_index, silhouette`` of every ``k``; the silhouette over ``most`` points by hash (a sampling report)."""
+    out = []
+    for k in ks:
+        told = kmeans(points, k, seed)[0]
+        few = subsample(told.select("id", "v", "cluster"), "id", most, seed)
+        parts = inertia(told), calinski_harabasz(told), silhouette(few).agg(F.avg("silhouette"))
+        out.append((k, *[float(p.first()[0]) for p in parts]))  # one row each
+    return points.sparkSession.createDataFrame(out, "k int, inertia double, ch_index double, silhouette double")
+
+
+def gain(with_: DataFrame, without: DataFrame, least: float = 0.05) -> DataFrame:
+    """``ch_with, ch_without, gain, better``: whether a clustering with more features (autofluorescence) is better by ``least``."""
+    a = calinski_harabasz(with_).withColumnRenamed("ch_index", "ch_with")
+    b = calinski_harabasz(without).withColumnRenamed("ch_index", "ch_without")
+    share = F.col("ch_with") / F.nullif(F.col("ch_without"), F.lit(0.0)) - 1
+    return a.join(F.broadcast(b)).withColumns({"gain": share, "better": share >= least})  # one row each
+
+
+def subsample(points: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """About ``most`` rows at most, by a hash of key and seed: the same ones however the data are dealt. A sampling operator."""
+    n = points.count()
+    if n <= most:
+        return points
+    return points.where(lot(F.col(key), seed) < int(most / n * 2**32))
+
+
 def mixture(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """Gaussian mixture: ``cluster`` and the posterior as ``confidence``."""
     from pyspark.ml.clustering import GaussianMixture
@@ -160,26 +261,26 @@ def mixture(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return out.select("id", "v", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
-def silhouette(points: DataFrame, blocks: int = 8) -> DataFrame:
+def silhouette(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """Euclidean silhouette of every point (``id, v, cluster``); 0 for a cluster of one.
 
-    Pairs of blocks are compared in tasks of their own, which return sums of
-    distances by cluster, never pairs. The work is quadratic: sample beyond
-    some ten thousand points.
+    Pairs of blocks of about ``BLOCK`` points are compared in tasks of their
+    own, which return sums of distances by cluster, never pairs. The work is
+    quadratic: take a ``subsample`` of millions.
     """
-    dealt = points.select("id", "v", "cluster", F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"))
-    dealt = dealt.withColumn("block", F.col("block").cast("long"))
+    blocks = blocks or max(1, -(-points.count() // BLOCK))
+    dealt = points.select("id", "v", "cluster", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
     left = dealt.withColumn("other", every)
-    right = dealt.select("v", "cluster", F.col("block").alias("other")).withColumn("block", every)
+    right = dealt.select(F.col("v").alias("u"), F.col("cluster").alias("of"), F.col("block").alias("other")).withColumn("block", every)
 
     def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "own": [], "cluster": [], "total": [], "n": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
-        kinds, at = np.unique(b["cluster"].to_numpy(), return_inverse=True)
-        d = np.concatenate([np.sqrt(((x[i : i + 64, None] - y[None]) ** 2).sum(axis=2)) for i in range(0, len(x), 64)])
-        total = np.stack([d[:, at == k].sum(axis=1) for k in range(len(kinds))], axis=1)
+        x, y = np.stack(a["v"].to_numpy()), np.stack(b["u"].to_numpy())
+        kinds, at = np.unique(b["of"].to_numpy(), return_inverse=True)
+        member = np.eye(len(kinds))[at]
+        total = np.concatenate([np.sqrt(((x[i : i + 32, None] - y[None]) ** 2).sum(axis=2)) @ member for i in range(0, len(x), 32)])
         n = np.bincount(at)
         return pd.DataFrame({
             "id": np.repeat(a["id"].to_numpy(), len(kinds)), "own": np.repeat(a["cluster"].to_numpy(), len(kinds)),

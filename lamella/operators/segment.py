@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .qc import blur
+
 #: A cell reaches this many nucleus radii, and this share of the distance to the nearest nucleus at most.
 SCALE, NEAREST = 1.8, 0.6
 
@@ -32,23 +36,80 @@ def threshold_segmenter(image: np.ndarray, least: float = 0.0) -> np.ndarray:
     return np.unique(ids, return_inverse=True)[1].reshape(image.shape) + (0 if (ids == 0).any() else 1)
 
 
-def segment(tiles: DataFrame, segmenter: Callable[[np.ndarray], np.ndarray] = threshold_segmenter) -> DataFrame:
-    """Append ``labels`` and ``error`` to tiles (``h, w, pixels``); a tile that fails has an error and no labels."""
+def prepared(image: np.ndarray, sigma: float = 1.0, background: int = 15, clip: float = 3.0) -> np.ndarray:
+    """A nuclear image before segmentation: blurred, less its local background, and its histogram evened out (bounded contrast)."""
+    smooth = blur(np.asarray(image, np.float64), sigma, max(1, round(3 * sigma)))
+    x = np.clip(smooth - blur(smooth, background, 2 * background), 0, None)
+    low, high = x.min(), x.max()
+    if high - low < 1e-6:
+        return np.zeros_like(x)
+    byte = ((x - low) / (high - low) * 255).astype(np.uint8)
+    counts = np.bincount(byte.ravel(), minlength=256).astype(float)
+    most = clip * counts.mean()
+    counts = np.minimum(counts, most) + np.maximum(counts - most, 0).sum() / 256
+    return (np.cumsum(counts) / counts.sum())[byte]
+
+
+def segment(tiles: DataFrame, segmenter: Callable[[np.ndarray], np.ndarray] = threshold_segmenter, channel: int | None = None) -> DataFrame:
+    """Append ``labels`` and ``error`` to tiles; a tile that fails has an error and no labels.
+
+    Tiles are rows of one channel (``h, w, pixels``), or of all (``h, w,
+    channels, planes``) of which ``channel`` is segmented; the labels then
+    stand beside the pixels that they label.
+    """
+    stacked = channel is not None
 
     def run(batches):
         for pdf in batches:
             labels, errors = [], []
-            for h, w, p in zip(pdf["h"], pdf["w"], pdf["pixels"]):
+            before = pdf["error"] if "error" in pdf else [None] * len(pdf)
+            for i, (h, w, old) in enumerate(zip(pdf["h"], pdf["w"], before)):
                 try:
+                    if old:
+                        raise OSError(old)
+                    p = pdf["planes"].iloc[i][list(pdf["channels"].iloc[i]).index(channel)] if stacked else pdf["pixels"].iloc[i]
                     labels.append(segmenter(np.asarray(p, np.float64).reshape(h, w)).astype(np.int32).ravel())
                     errors.append(None)
                 except Exception as e:  # one bad tile must not end the job
                     labels.append(None)
-                    errors.append(f"{type(e).__name__}: {e}"[:200])
+                    errors.append(old or f"{type(e).__name__}: {e}"[:200])
             yield pdf.assign(labels=labels, error=errors)
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in tiles.dtypes if c not in ("labels", "error"))
-    return tiles.drop("labels", "error").mapInPandas(run, f"{schema}, labels array<int>, error string")
+    base = tiles.drop("labels")
+    schema = ", ".join(f"`{c}` {t}" for c, t in base.dtypes if c != "error")
+    return base.mapInPandas(run, f"{schema}, labels array<int>, error string")
+
+
+def cells_of_tiles(tiles: DataFrame) -> DataFrame:
+    """Nuclei of labelled tiles: ``image_id, tile_x, tile_y, label, local_x, local_y, area, global_x, global_y`` from the labels alone."""
+
+    def run(batches):
+        for pdf in batches:
+            for t in pdf.itertuples():
+                label = np.asarray(t.labels)
+                n = np.bincount(label)
+                y, x = np.divmod(np.arange(len(label)), t.w)
+                ids = np.flatnonzero(n[1:]) + 1 if len(n) else np.zeros(0, int)
+                cy, cx = (np.bincount(label, weights=v)[ids] / n[ids] if len(ids) else np.zeros(0) for v in (y, x))
+                yield pd.DataFrame({
+                    "image_id": t.image_id, "tile_x": t.tile_x, "tile_y": t.tile_y, "label": ids, "local_x": cx, "local_y": cy, "area": n[ids],
+                    "global_x": cx + t.tile_x, "global_y": cy + t.tile_y,
+                })
+
+    schema = "image_id string, tile_x long, tile_y long, label long, local_x double, local_y double, area long, global_x double, global_y double"
+    return tiles.select("image_id", "tile_x", "tile_y", "w", "labels").mapInPandas(run, schema)
+
+
+def unique_labels(cells: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Append ``global_label``, unique and gapless over all tiles of an image, in order of tile and label.
+
+    Labels are counted by tile; only these counts are summed up within an image.
+    """
+    n = cells.groupBy(*by, "tile_y", "tile_x").agg(F.count("*").alias("__n"))
+    w = W.partitionBy(*by).orderBy("tile_y", "tile_x").rowsBetween(W.unboundedPreceding, -1)
+    before = n.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    own = F.row_number().over(W.partitionBy(*by, "tile_y", "tile_x").orderBy("label"))
+    return cells.withColumn("__own", own).join(before, [*by, "tile_y", "tile_x"]).withColumn("global_label", F.col("__before") + F.col("__own")).drop("__own", "__before")
 
 
 def regions(pixels: DataFrame, by: list[str]) -> DataFrame:
@@ -61,15 +122,16 @@ def regions(pixels: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def nearest_neighbour(points: DataFrame, by: list[str], key: str, reach: float) -> DataFrame:
+def nearest_neighbour(points: DataFrame, by: list[str], key: str, reach: float | Column) -> DataFrame:
     """Distance of every point (``cx, cy``) to the nearest other of its group, null beyond ``reach``.
 
     Points meet in an equi-join on grid cells of side ``reach``: each one
     looks at its own cell and the eight around it, so no group is crossed with
-    itself. A cell's reach never needs more than 3 radii, as R is the smaller of
+    itself. ``reach`` may be a column that is the same for a whole group. A cell's reach never needs more than 3 radii, as R is the smaller of
     1.8 r and 0.6 d.
     """
-    cell = lambda c: F.floor(F.col(c) / reach)
+    points = points.withColumn("__reach_of", reach if isinstance(reach, Column) else F.lit(float(reach)))
+    cell = lambda c: F.floor(F.col(c) / F.col("__reach_of"))
     home = points.withColumns({"__gx": cell("cx"), "__gy": cell("cy")})
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
     out = (
@@ -79,9 +141,9 @@ def nearest_neighbour(points: DataFrame, by: list[str], key: str, reach: float)
                 (F.col("__gx") + F.col("__dx")).alias("__gx"), (F.col("__gy") + F.col("__dy")).alias("__gy"))
     )
     d = F.sqrt(F.pow(F.col("cx") - F.col("__x"), 2) + F.pow(F.col("cy") - F.col("__y"), 2))
-    pairs = home.join(out, [*by, "__gx", "__gy"]).where((F.col(key) != F.col("__key")) & (d <= reach))
+    pairs = home.join(out, [*by, "__gx", "__gy"]).where((F.col(key) != F.col("__key")) & (d <= F.col("__reach_of")))
     near = pairs.groupBy(*by, key).agg(F.min(d).alias("nearest"))
-    return points.join(near, [*by, key], "left")
+    return points.drop("__reach_of").join(near, [*by, key], "left")
 
 
 def reach_of(nuclei: DataFrame) -> DataFrame:
@@ -108,12 +170,47 @@ def assign_pixels(nuclei: DataFrame, by: list[str], h: int, w: int) -> DataFrame
 
 
 def build_cells(nuclei: DataFrame, by: list[str], h: int, w: int) -> DataFrame:
-    """Cell regions of nuclei (``label, cx, cy, radius``): nearest neighbour, reach, disk-limited Voronoi."""
-    top = nuclei.agg(F.coalesce(F.max("radius"), F.lit(1.0))).first()[0]
-    near = nearest_neighbour(nuclei, by, "label", max(SCALE / NEAREST * top, 1.0))
+    """Cell regions of nuclei (``label, cx, cy, radius``): nearest neighbour, reach, disk-limited Voronoi.
+
+    Each tile's grid cells are as wide as its own largest nucleus asks for.
+    """
+    top = nuclei.groupBy(*by).agg(F.greatest(F.max("radius") * (SCALE / NEAREST), F.lit(1.0)).alias("__reach"))
+    near = nearest_neighbour(nuclei.join(top, by), by, "label", F.col("__reach")).drop("__reach")
     return assign_pixels(reach_of(near).withColumn("ord", F.col("label")), by, h, w)
 
 
+def overlaps(nuclei: DataFrame, by: list[str], key: str = "label") -> DataFrame:
+    """Append ``overlap``: the greatest share of a cell's disk (``R``) that one other's covers, by the lens of two circles.
+
+    Meets neighbours on grid cells of the tile's largest diameter, as ``nearest_neighbour`` does.
+    """
+    side = nuclei.groupBy(*by).agg(F.greatest(2 * F.max("R"), F.lit(1.0)).alias("__side"))
+    home = nuclei.join(side, by).withColumns({"__gx": F.floor(F.col("cx") / F.col("__side")), "__gy": F.floor(F.col("cy") / F.col("__side"))})
+    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    out = home.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around)).select(
+        *by, F.col(key).alias("__key"), F.col("cx").alias("__x"), F.col("cy").alias("__y"), F.col("R").alias("__r"),
+        (F.col("__gx") + F.col("__dx")).alias("__gx"), (F.col("__gy") + F.col("__dy")).alias("__gy"),
+    )
+    d, r, s = F.hypot(F.col("cx") - F.col("__x"), F.col("cy") - F.col("__y")), F.col("R"), F.col("__r")
+    pairs = home.join(out, [*by, "__gx", "__gy"]).where((F.col(key) != F.col("__key")) & (d < r + s)).withColumn("__d", d)
+    d = F.col("__d")
+    part = lambda a, b: a * a * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), (d * d + a * a - b * b) / F.nullif(2 * d * a, F.lit(0.0)))))
+    kite = 0.5 * F.sqrt(F.greatest(F.lit(0.0), (-d + r + s) * (d + r - s) * (d - r + s) * (d + r + s)))
+    small = F.least(r, s)
+    lens = F.when(d <= F.abs(r - s), F.lit(np.pi) * small * small).otherwise(part(r, s) + part(s, r) - kite)
+    best = pairs.groupBy(*by, key).agg(F.max(lens / F.nullif(F.lit(np.pi) * r * r, F.lit(0.0))).alias("overlap"))
+    return nuclei.join(best, [*by, key], "left").na.fill(0.0, ["overlap"])
+
+
+def limited_cells(nuclei: DataFrame, by: list[str], h: int, w: int, least: float = 0.3) -> DataFrame:
+    """Regions of nuclei (``label, cx, cy, radius``) of 1.8 radii each; only those covered by more than ``least`` shrink to 0.6 of the nearest."""
+    wide = overlaps(nuclei.withColumn("R", SCALE * F.col("radius")), by)
+    top = nuclei.groupBy(*by).agg(F.greatest(F.max("radius") * (SCALE / NEAREST), F.lit(1.0)).alias("__reach"))
+    near = nearest_neighbour(wide.join(top, by), by, "label", F.col("__reach")).drop("__reach")
+    shrunk = near.withColumn("R", F.when(F.col("overlap") > least, F.least("R", NEAREST * F.coalesce("nearest", F.col("R") / NEAREST))).otherwise(F.col("R")))
+    return assign_pixels(shrunk.withColumn("ord", F.col("label")), by, h, w)
+
+
 def drop_fragments(cells: DataFrame, least: int = 20, small: int = 50) -> tuple[DataFrame, DataFrame]:
     """Cells of ``least`` pixels or more, and the share of those below ``small``."""
     kept = cells.where(F.col("area") >= least)

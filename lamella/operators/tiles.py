@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import lot
+
 
 def grid(images: DataFrame, tile: int) -> DataFrame:
     """Rectangles of images (``image_id, height, width``), rows outer; edge tiles keep their true size."""
@@ -36,7 +38,7 @@ def every_nth(df: DataFrame, by: list[str], order: list[str], most: int) -> Data
 
 def sample_per_group(df: DataFrame, by: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
     """Up to ``n`` rows of each group, by a hash of key and seed: the same rows however the data are dealt."""
-    w = W.partitionBy(*by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = W.partitionBy(*by).orderBy(lot(F.col(key), seed), key)
     return df.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__r")
 
 
@@ -47,3 +49,20 @@ def centre_crop(planes: DataFrame) -> DataFrame:
     return planes.withColumns(
         {"crop_h": low_h, "crop_w": low_w, "y0": F.floor((F.col("height") - low_h) / 2), "x0": F.floor((F.col("width") - low_w) / 2)}
     )
+
+
+def cut_window(pixels: DataFrame, y0: int, x0: int, h: int, w: int) -> DataFrame:
+    """Pixels (``y, x``) of a window, counted from its corner."""
+    inside = pixels.where((F.col("y") >= y0) & (F.col("y") < y0 + h) & (F.col("x") >= x0) & (F.col("x") < x0 + w))
+    return inside.withColumns({"y": F.col("y") - y0, "x": F.col("x") - x0})
+
+
+def level_for(levels: DataFrame, downsample: float = 4.0) -> DataFrame:
+    """Of each image (``image_id, level, downsample``) the level nearest to a downsampling; of two as near the finer one."""
+    off = F.struct(F.abs(F.col("downsample") - F.lit(downsample)), "level")
+    return levels.groupBy("image_id").agg(F.min_by("level", off).alias("level"), F.min_by("downsample", off).alias("downsample"))
+
+
+def quality_sample(tiles: DataFrame, n: int = 5, seed: int = 42) -> DataFrame:
+    """``n`` tiles of each image for a look (a sampling operator): the same ones on every run."""
+    return sample_per_group(tiles.withColumn("__key", F.concat_ws("_", "tile_y", "tile_x")), ["image_id"], "__key", n, seed).drop("__key")

@@ -1,7 +1,8 @@
-"""The path from tiles to clustered cells as lazy frames."""
+"""The path from tiles to clustered cells as lazy frames, and what it writes."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -9,9 +10,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import cluster, features, segment
+from ..operators import cluster, export, features, segment
 
 Step = Callable[[DataFrame], DataFrame]
+TILE = ["image_id", "tile_y", "tile_x"]
 
 
 def chain(df: DataFrame, *steps: Step) -> DataFrame:
@@ -23,7 +25,7 @@ def chain(df: DataFrame, *steps: Step) -> DataFrame:
 
 @dataclass
 class Result:
-    """Frames of a run; nothing but k-means' passes has been computed yet."""
+    """Frames of a run; nothing but k-means' passes has been computed yet. ``close`` frees what is kept of them."""
 
     tiles: DataFrame
     failed: DataFrame
@@ -31,15 +33,53 @@ class Result:
     features: DataFrame
     matrix: DataFrame
     clustered: DataFrame | None = None
+    kept: tuple[DataFrame, ...] = ()
 
     def counts(self) -> DataFrame:
-        """Cells, tiles, images and failures, by image."""
-        t = self.tiles.groupBy("image_id").agg(
-            F.count_distinct("tile_y", "tile_x").alias("n_tiles"), F.count_if(F.col("error").isNotNull()).alias("n_failed")
-        )
+        """Cells, tiles and failures, by image."""
+        t = self.tiles.groupBy("image_id").agg(F.count("*").alias("n_tiles"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))
         c = self.matrix.groupBy("image_id").agg(F.count("*").alias("n_cells"))
         return t.join(c, "image_id", "left").na.fill(0, ["n_cells"])
 
+    def totals(self) -> DataFrame:
+        """One row: images, those processed and failed (every tile failed), tiles and cells."""
+        failed = F.col("n_failed") == F.col("n_tiles")
+        return self.counts().agg(
+            F.count("*").alias("images"), F.count_if(~failed).alias("processed"), F.count_if(failed).alias("failed"),
+            F.coalesce(F.sum("n_tiles"), F.lit(0)).alias("tiles"), F.coalesce(F.sum("n_cells"), F.lit(0)).alias("cells"),
+        )
+
+    def close(self) -> None:
+        for df in self.kept:
+            df.unpersist()
+
+    def write(self, folder: str) -> dict[str, str]:
+        """CSV tables below ``folder``: features, matrix, nuclei and clusters; without a nucleus or cluster there is no such table."""
+        place = lambda name: os.path.join(folder, name)
+        matrix = place("features_matrix_mean.csv")
+        tables = {
+            place("features_long.csv"): self.features.select("image_id", *features.LONG),
+            matrix: self.matrix,
+            place("nuclei_centroids.csv"): self.nuclei.select("image_id", "global_x", "global_y", "tile_x", "tile_y", "local_x", "local_y"),
+        }
+        if self.clustered is not None:
+            parts = F.col("pca")
+            n = len(self.clustered.select("pca").head()[0])
+            tables[export.cluster_path(matrix)] = self.clustered.select("*", *[parts[i].alias(f"pca_{i + 1}") for i in range(n)]).drop("id", "pca")
+        return {os.path.basename(p): p for p, df in tables.items() if export.write_csv(df, p, empty="nuclei" not in p)}
+
+
+def stacked(slides: DataFrame) -> DataFrame:
+    """Tiles with all their channels in one row: what ``layout=stack`` reads, or rows of single channels brought together."""
+    if "planes" in slides.columns:
+        return slides
+    one = F.array_sort(F.collect_list(F.struct("channel", "pixels")))
+    error = F.max("error") if "error" in slides.columns else F.lit(None).cast("string")
+    return (
+        slides.groupBy(*TILE, "h", "w").agg(one.alias("s"), error.alias("error"))
+        .select(*TILE, "h", "w", F.col("s.channel").alias("channels"), F.col("s.pixels").alias("planes"), "error")
+    )
+
 
 def run(
     slides: DataFrame,
@@ -52,43 +92,33 @@ def run(
 ) -> Result:
     """Segment, measure and cluster tiles of ``slides`` rows, leaving out the images in ``done``.
 
-    A tile that can't be segmented is in ``failed`` and ends nothing else.
+    Labels are put beside the channels of their tile and cells are measured
+    there; what leaves a tile is a row for each cell and channel. A tile that
+    can't be read or segmented is in ``failed`` and ends nothing else.
     """
     todo = slides.join(done, "image_id", "left_anti") if done is not None else slides
-    key = ["image_id", "tile_y", "tile_x"]
-    tiles = segment.segment(todo.where(F.col("channel") == nucleus_channel), segmenter).persist()
-    labelled = tiles.where(F.col("error").isNull()).select(*key, "labels")
-    names = F.create_map(*[F.lit(x) for pair in channels.items() for x in pair])
-    measured = todo.where(F.col("channel").isin(*channels)).withColumn("channel", F.try_element_at(names, F.col("channel"))).join(labelled, key)
-    rows = measured.select(
-        *key, "channel", "w", F.posexplode(F.arrays_zip(F.col("labels").alias("label"), F.col("pixels").alias("value"))).alias("at", "p")
-    ).select(
-        *key, "channel", F.col("p.label").cast("long").alias("label"), F.col("p.value").cast("double").alias("value"),
-        F.floor(F.col("at") / F.col("w")).alias("y"), (F.col("at") % F.col("w")).cast("long").alias("x"),
-    )
-    # The feature operators know tiles by two columns; the image rides in the first.
-    keyed = rows.withColumn("tile_x", F.struct("image_id", "tile_x"))
-    long = features.long(keyed)
-    place = features.centroids(keyed)
-    wide = long.groupBy("tile_x", "tile_y", "label").pivot("channel", list(channels.values())).agg(F.first("mean_bg_corr"))
-    matrix = (
-        wide.na.fill(0.0, list(channels.values()))
-        .join(place, ["tile_x", "tile_y", "label"])
-        .withColumns({"image_id": F.col("tile_x.image_id"), "tile_x": F.col("tile_x.tile_x")})
-        .withColumn("cell_id", F.concat_ws("_", "tile_x", "tile_y", "label"))
-    )
+    labelled = segment.segment(stacked(todo), segmenter, nucleus_channel)
+    good = labelled.where(F.col("error").isNull())
+    long = features.measure(good, channels).persist()
+    tiles = labelled.select(*TILE, "error")
+    matrix = features.matrix(long, list(channels.values()), by=("image_id",))
     out = Result(
         tiles=tiles,
-        failed=tiles.where(F.col("error").isNotNull()).select(*key, "error"),
-        nuclei=segment.regions(keyed.select("tile_x", "tile_y", "label", "y", "x").distinct(), ["tile_x", "tile_y"]),
-        features=long.withColumns({"image_id": F.col("tile_x.image_id"), "tile_x": F.col("tile_x.tile_x")}),
+        failed=tiles.where(F.col("error").isNotNull()),
+        nuclei=segment.cells_of_tiles(good),
+        features=long,
         matrix=matrix,
+        kept=(long,),
     )
-    ids = matrix.withColumn("id", F.concat_ws("/", "image_id", "cell_id")).persist()
-    n = ids.count()
+    n = matrix.count()
     if n >= 2:
-        points = cluster.zscore(cluster.vectors(ids, "id", list(channels.values())))
-        scores, _ = cluster.pca(points, min(20, n, len(channels)))
-        labels = cluster.kmeans(scores, cluster.auto_k(n, k), seed)[0].select("id", "cluster", "confidence", F.col("v").alias("pca"))
-        out.clustered = ids.join(labels, "id")
+        out.clustered = clustered(matrix.withColumn("id", F.concat_ws("/", "image_id", "cell_id")), list(channels.values()), n, k, seed)
     return out
+
+
+def clustered(cells: DataFrame, columns: list[str], n: int, k: int | None = None, seed: int = 42) -> DataFrame:
+    """``cells`` (with a unique ``id``) with ``cluster, confidence`` and ``pca``: z-scores, components, k-means."""
+    points = cluster.zscore(cluster.vectors(cells, "id", columns))
+    scores, _ = cluster.pca(points, min(20, n, len(columns)))
+    labels = cluster.kmeans(scores, cluster.auto_k(n, k), seed)[0].select("id", "cluster", "confidence", F.col("v").alias("pca"))
+    return cells.join(labels, "id")

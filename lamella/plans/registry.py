@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import analysis, cluster, export, features, qc, segment, tiles
-from ..sources import panels
+from ..sources import panels, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,17 +126,82 @@ def morphology(spark, sf_dir):
 
 @query(f"WITH {PIXELS} SELECT count(DISTINCT (tile_x, tile_y, label))::BIGINT AS n_cells FROM px WHERE label > 0")
 def cell_count_distinct(spark, sf_dir):
-    return pixels(spark, sf_dir).where("label > 0").agg(F.count_distinct(F.struct("tile_x", "tile_y", "label")).alias("n_cells"))
+    return features.cell_count(pixels(spark, sf_dir))
 
 
 @query(f"""WITH {PIXELS}, e AS (SELECT tile_x, channel, min(value) AS lo, max(value) AS hi FROM px GROUP BY ALL)
 SELECT tile_x, channel, round(sum((value - lo) / (hi - lo)), 3) AS total, sum(floor((value - lo) / (hi - lo) * 255))::BIGINT AS total8,
   count(*)::BIGINT AS n FROM px JOIN e USING (tile_x, channel) GROUP BY ALL""")
 def minmax_uint8(spark, sf_dir):
-    w = features.W.partitionBy("tile_x", "channel")
-    lo, hi = F.min("value").over(w), F.max("value").over(w)
-    scaled = pixels(spark, sf_dir).withColumns({"u": C.unit_scale(F.col("value"), lo, hi), "b": C.to_uint8(F.col("value"), lo, hi)})
-    return rounded(scaled.groupBy("tile_x", "channel").agg(F.sum("u").alias("total"), F.sum("b").alias("total8"), F.count("*").alias("n")), 3)
+    scaled = features.scaled(pixels(spark, sf_dir), ["tile_x", "channel"])
+    return rounded(scaled.groupBy("tile_x", "channel").agg(F.sum("unit").alias("total"), F.sum("byte").alias("total8"), F.count("*").alias("n")), 3)
+
+
+PANEL = "panel AS (SELECT * FROM (VALUES ('A', 2), ('N', 3), ('R', 4)) p(channel, channel_index))"
+PLACED = f"""{LONG}, {PANEL}, spots AS (SELECT DISTINCT tile_x, tile_y, label, x, y FROM px WHERE label > 0
+), place AS (SELECT tile_x, tile_y, label, avg(x) AS local_x, avg(y) AS local_y, count(*) AS area FROM spots GROUP BY ALL
+), placed AS (SELECT * FROM long JOIN place USING (tile_x, tile_y, label) JOIN panel USING (channel))"""
+
+
+def placed(spark, sf_dir):
+    px = pixels(spark, sf_dir)
+    panel = spark.createDataFrame([(i, c) for i, c in enumerate(CHANNELS, 2)], "index int, name string")
+    return features.placed(features.long(px), features.centroids(px), panel)
+
+
+@query(f"""{PLACED} SELECT tile_x, tile_y, label, round(local_x, 4) AS local_x, round(local_y, 4) AS local_y, channel_index, channel AS channel_name,
+  round(mean, 4) AS mean, round(median, 4) AS median, round(sum, 2) AS sum, round(std, 4) AS std, round(mean_bg_corr, 4) AS mean_bg_corr,
+  round(median_bg_corr, 4) AS median_bg_corr, n_pixels FROM placed""")
+def features_long_table(spark, sf_dir):
+    """All fourteen columns of the long table."""
+    out = rounded(placed(spark, sf_dir), 2, "sum")
+    return rounded(out, 4, "local_x", "local_y", "mean", "median", "std", "mean_bg_corr", "median_bg_corr")
+
+
+@query(f"""{PLACED} SELECT tile_x || '_' || tile_y || '_' || label AS cell_id, tile_x, tile_y, label, round(max(local_x), 4) AS local_x, round(max(local_y), 4) AS local_y,
+  round(coalesce(max(mean_bg_corr) FILTER (channel = 'A'), 0), 4) AS "A", round(coalesce(max(mean_bg_corr) FILTER (channel = 'N'), 0), 4) AS "N",
+  round(coalesce(max(mean_bg_corr) FILTER (channel = 'R'), 0), 4) AS "R" FROM placed GROUP BY tile_x, tile_y, label""")
+def features_matrix_table(spark, sf_dir):
+    """The matrix with positions, in order of the cells' names."""
+    return rounded(features.matrix(placed(spark, sf_dir), CHANNELS))
+
+
+@query(f"""{PLACED} SELECT tile_x, label, round(avg(local_x) + tile_x * 512, 4) AS global_x, round(avg(local_y) + tile_y * 512, 4) AS global_y FROM placed
+GROUP BY tile_x, tile_y, label""")
+def nuclei_global(spark, sf_dir):
+    c = features.centroids(pixels(spark, sf_dir))
+    return rounded(c.select("tile_x", "label", C.to_global(F.col("tile_x") * 512, F.col("local_x")).alias("global_x"), C.to_global(F.col("tile_y") * 512, F.col("local_y")).alias("global_y")))
+
+
+@query(f"""{LONG}, own AS (SELECT tile_x, tile_y, label, mean AS af_raw, mean_bg_corr AS af_bg_corr FROM long WHERE channel = 'R'), e AS (SELECT min(af_bg_corr) AS lo, max(af_bg_corr) AS hi FROM own)
+SELECT tile_x, tile_y, label, round(af_raw, 4) AS af_raw, round(af_bg_corr, 4) AS af_bg_corr, round((af_bg_corr - lo) / (hi - lo), 6) AS af_norm FROM own, e""")
+def autofluorescence(spark, sf_dir):
+    out = features.with_autofluorescence(features.long(pixels(spark, sf_dir)), "R")
+    return rounded(rounded(out, 4, "af_raw", "af_bg_corr"), 6, "af_norm")
+
+
+@query(f"""{LONG}, w AS (SELECT tile_x, tile_y, label, coalesce(max(mean_bg_corr) FILTER (channel = 'A'), 0) AS "A", coalesce(max(mean_bg_corr) FILTER (channel = 'N'), 0) AS "N"
+  FROM long GROUP BY ALL)
+SELECT tile_x, label, round("A", 4) AS "A", round(("A" - avg("A") OVER ()) / stddev_pop("A") OVER (), 6) AS "z_A", round(("N" - avg("N") OVER ()) / stddev_pop("N") OVER (), 6) AS "z_N" FROM w""")
+def raw_and_normalised(spark, sf_dir):
+    z = features.with_normalised(features.matrix(features.long(pixels(spark, sf_dir)), ["A", "N"]), ["A", "N"])
+    return rounded(rounded(z.select("tile_x", "label", "A", "z_A", "z_N"), 4, "A"), 6, "z_A", "z_N")
+
+
+@query(f"""WITH {PIXELS}, own AS (SELECT DISTINCT tile_x, tile_y, label, y, x FROM px WHERE label > 0
+), shared AS (SELECT a.tile_x, a.tile_y, a.label, count(*) AS s FROM own a JOIN own b ON a.tile_x = b.tile_x AND a.tile_y = b.tile_y AND a.label = b.label
+  AND ((a.y = b.y AND a.x + 1 = b.x) OR (a.x = b.x AND a.y + 1 = b.y)) GROUP BY ALL
+), area AS (SELECT tile_x, tile_y, label, count(*) AS n FROM own GROUP BY ALL)
+SELECT tile_x, tile_y, label, (4 * n - 2 * coalesce(s, 0))::BIGINT AS perimeter FROM area LEFT JOIN shared USING (tile_x, tile_y, label)""")
+def perimeters(spark, sf_dir):
+    return features.perimeter(pixels(spark, sf_dir))
+
+
+@query(f"""WITH {PIXELS}, c AS (SELECT DISTINCT tile_x, tile_y, label FROM px WHERE label > 0)
+SELECT tile_x, tile_y, label, row_number() OVER (ORDER BY tile_y, tile_x, label) AS global_label FROM c""")
+def global_labels(spark, sf_dir):
+    cells = pixels(spark, sf_dir).where("label > 0").select(F.lit("i").alias("image_id"), "tile_x", "tile_y", "label").distinct()
+    return segment.unique_labels(cells).drop("image_id")
 
 
 # ---- Vectors: scaling, reduction, clustering
@@ -384,7 +449,7 @@ def regress_out(spark, sf_dir):
   WINDOW a AS (PARTITION BY event_type ORDER BY value), b AS (PARTITION BY event_type ORDER BY user_id))
 SELECT event_type, round(corr(x, y), 6) AS rho, count(*)::BIGINT AS n FROM r GROUP BY ALL""")
 def spearman(spark, sf_dir):
-    return rounded(analysis.spearman(read(spark, sf_dir, "events"), "value", "user_id", ["event_type"]), 6)
+    return rounded(analysis.spearman(read(spark, sf_dir, "events"), "value", "user_id", ["event_type"]).select("event_type", "rho", "n"), 6)
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(0.9 * l_quantity - 0.1 * l_tax, 6) AS l_quantity_unmixed, round(-0.2 * l_quantity + 1.1 * l_tax, 6) AS l_tax_unmixed
@@ -441,16 +506,37 @@ def dense_encode(spark, sf_dir):
 
 
 @query(f"""WITH {CLASSES} SELECT event_id, user_id::DOUBLE AS x, e.value AS y, event_type AS class_name, color AS class_color,
-  'k=' || (SELECT count(*) FROM m) || ' clusters' AS note FROM events e JOIN m USING (event_type)""")
+  'k=' || (SELECT count(*) FROM m) || '{export.NOTE}' AS note FROM events e JOIN m USING (event_type)""")
 def points_ndjson(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("event_id", "event_type", F.col("user_id").alias("x"), F.col("value").alias("y"))
-    p = export.points(e.select("event_type", F.col("x").cast("double").alias("x"), "y"), "event_type")
-    flat = p.select(
-        F.col("geometry.coordinates")[0].alias("x"), F.col("geometry.coordinates")[1].alias("y"),
+    return export.points(e, "event_type", keep=("event_id",)).select(
+        "event_id", F.col("geometry.coordinates")[0].alias("x"), F.col("geometry.coordinates")[1].alias("y"),
         F.col("properties.class_name").alias("class_name"), F.col("properties.class_color").alias("class_color"), F.col("properties.note").alias("note"),
     )
-    keys = e.select("event_id", F.col("x").cast("double").alias("x"), "y", F.col("event_type").alias("class_name"))
-    return keys.join(flat.distinct(), ["x", "y", "class_name"]).select("event_id", "x", "y", "class_name", "class_color", "note")
+
+
+@query(f"WITH {CLASSES} SELECT event_type AS value, event_type AS name, color FROM m")
+def classes_json(spark, sf_dir):
+    return export.classes(read(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT (user_id % 5)::INTEGER AS pixel_value, user_id::DOUBLE AS x, value AS y FROM events")
+def points_csv(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("cluster"), F.col("user_id").alias("x"), F.col("value").alias("y"))
+    return export.point_rows(e)
+
+
+@query("SELECT max(user_id % 7) + 1 AS n_clusters FROM events")
+def cluster_number(spark, sf_dir):
+    return export.n_clusters(read(spark, sf_dir, "events").withColumn("cluster", F.col("user_id") % 7))
+
+
+@query("""SELECT event_type AS sample, user_id % 3 AS tile_x, user_id % 2 AS tile_y, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def cells_by_tile(spark, sf_dir):
+    u = F.col("user_id")
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("sample"), (u % 3).alias("tile_x"), (u % 2).alias("tile_y"), F.col("value").alias("local_x"), F.lit(0.0).alias("local_y"), (u % 5).alias("cluster"))
+    t = export.by_tile(e)
+    return rounded(t.select("sample", "tile_x", "tile_y", F.size("points").cast("long").alias("n"), F.aggregate("points", F.lit(0.0), lambda s, p: s + p["local_x"]).alias("total")))
 
 
 POINTS = """c AS (SELECT event_id AS o, (user_id % 300)::DOUBLE AS x, (value * 2.5) AS y, (event_id % 5 + 1)::INTEGER AS value FROM events)"""
@@ -484,7 +570,15 @@ def pyramid_level(spark, sf_dir):
 
 @query(f"""WITH {POINTS} SELECT value, count(*)::BIGINT AS n_nonzero FROM c WHERE value <> 0 GROUP BY ALL""")
 def nonzero_counts(spark, sf_dir):
-    return map_points(spark, sf_dir).where("value <> 0").groupBy("value").agg(F.count("*").alias("n_nonzero"))
+    p = map_points(spark, sf_dir).withColumnsRenamed({"y": "py", "x": "px"})
+    return export.level_statistics(p, "value", "value").select("value", "n_nonzero")
+
+
+@query(f"""WITH {POINTS}, s AS (SELECT {_pixel("y", 256)} AS gy, {_pixel("x", 256)} AS gx, o, value FROM c
+), p AS (SELECT level::INTEGER AS level, gy // (2 ** level)::BIGINT AS py, gx // (2 ** level)::BIGINT AS px, arg_max(value, o) AS value FROM s, range(1, 3) l(level) GROUP BY ALL)
+SELECT level, max(py) + 1 AS height, max(px) + 1 AS width, count(*) FILTER (value <> 0) AS n_nonzero FROM p GROUP BY level""")
+def level_statistics(spark, sf_dir):
+    return export.level_statistics(export.pyramid(map_points(spark, sf_dir), 256, 256, "o", levels=4, least=64))
 
 
 # ---- Sets, joins, samples, panels
@@ -494,21 +588,35 @@ def nonzero_counts(spark, sf_dir):
 def union_by_name_fill(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("a"))
     c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("b"))
-    return o.unionByName(c, allowMissingColumns=True).withColumns({"a": C.clean(F.col("a")), "b": C.clean(F.col("b"))})
+    return tables.united([o, c])
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def resume_anti(spark, sf_dir):
-    done = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return read(spark, sf_dir, "customer").join(done, "c_custkey", "left_anti").select("c_custkey", "c_name")
+    outputs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("kind"))
+    return tables.todo(read(spark, sf_dir, "customer"), outputs, ("F",), "c_custkey").select("c_custkey", "c_name")
+
+
+@query("""SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')
+  OR c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')""")
+def resume_two_outputs(spark, sf_dir):
+    """Still to do: customers that lack one of two kinds of output."""
+    outputs = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus").alias("kind"))
+    return tables.todo(read(spark, sf_dir, "customer"), outputs, ("F", "O"), "c_custkey").select("c_custkey")
+
+
+@query("""SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders) AS found FROM customer""")
+def tile_present(spark, sf_dir):
+    files = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    yes, no = tables.present(read(spark, sf_dir, "customer").select("c_custkey"), files, ["c_custkey"])
+    return yes.withColumn("found", F.lit(True)).unionByName(no.withColumn("found", F.lit(False)))
 
 
 @query("""SELECT c_custkey, count(o_orderkey)::BIGINT AS n_tiles, CASE WHEN count(o_orderkey) > 0 THEN 'found' ELSE 'failed' END AS status
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""")
 def image_roi_left(spark, sf_dir):
-    o = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    joined = read(spark, sf_dir, "customer").join(o, "c_custkey", "left")
-    return joined.select("c_custkey", F.coalesce("n", F.lit(0)).cast("long").alias("n_tiles"), F.when(F.col("n") > 0, "found").otherwise("failed").alias("status"))
+    rois = read(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return tables.folders(read(spark, sf_dir, "customer"), rois, "c_custkey").select("c_custkey", "n_tiles", "status")
 
 
 @query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS i, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
@@ -532,7 +640,8 @@ def centre_crop(spark, sf_dir):
     return tiles.centre_crop(planes).select("image_id", "channel", "crop_h", F.col("y0").cast("int").alias("y0"))
 
 
-@query()
+@query("""WITH r AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY substr(md5('42:' || o_orderkey), 1, 8), o_orderkey) AS r FROM orders)
+SELECT o_custkey, o_orderkey FROM r WHERE r <= 5""")
 def random_tiles(spark, sf_dir):
     """Five tiles of each image, the same on every run (a sampling operator)."""
     return tiles.sample_per_group(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", 5).select("o_custkey", "o_orderkey")
@@ -554,5 +663,107 @@ SELECT page_id, (g.i - 1)::INTEGER AS pos, bands[g.i] AS band FROM b, LATERAL (S
 def band_names(spark, sf_dir):
     """Names by position, only where there are as many as planes (four here)."""
     bands = F.split(F.regexp_extract("url", "://([^/?#]*)", 1), r"\.")
-    p = read(spark, sf_dir, "pages").select("page_id", bands.alias("b")).where(F.size("b") == 4)
-    return p.select("page_id", F.posexplode("b").alias("pos", "band"))
+    return tables.bands_by_position(read(spark, sf_dir, "pages").select("page_id", bands.alias("b"), F.lit(4).alias("n")), "b", "n")
+
+
+@query("SELECT panel, CASE panel WHEN 'KidneyCancer' THEN 2 ELSE 2 END AS reference_plane FROM (VALUES ('BladderCancer'), ('KidneyCancer')) p(panel)")
+def reference_plane(spark, sf_dir):
+    """The reference channel by name, in place of the nuclear one."""
+    return panels.reference_plane(panels.panels(spark), "Opal690")
+
+
+@query("SELECT s_suppkey, i AS index FROM supplier, (VALUES (2), (3), (4), (5), (6), (7)) c(i)")
+def tile_channels(spark, sf_dir):
+    """Every tile with every marker channel."""
+    marked = panels.markers(panels.panels(spark).where(F.col("panel") == panels.DEFAULT)).select("index")
+    return panels.with_channels(read(spark, sf_dir, "supplier").select("s_suppkey"), marked)
+
+
+@query("""SELECT c_nationkey AS image_id, arg_min(c_custkey, (abs((c_custkey % 17)::DOUBLE - 4.0), c_custkey)) AS level,
+  arg_min((c_custkey % 17)::DOUBLE, (abs((c_custkey % 17)::DOUBLE - 4.0), c_custkey)) AS downsample FROM customer GROUP BY c_nationkey""")
+def level_choice(spark, sf_dir):
+    levels = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("image_id"), F.col("c_custkey").alias("level"), (F.col("c_custkey") % 17).cast("double").alias("downsample"))
+    return tiles.level_for(levels)
+
+
+@query(f"""WITH {PIXELS} SELECT y - 10 AS y, x - 20 AS x, count(*)::BIGINT AS n FROM px WHERE y >= 10 AND y < 30 AND x >= 20 AND x < 35 GROUP BY y, x""")
+def window_cut(spark, sf_dir):
+    return tiles.cut_window(pixels(spark, sf_dir), 10, 20, 20, 15).groupBy("y", "x").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PIXELS}, h AS (SELECT channel, CASE channel WHEN 'A' THEN 64 WHEN 'N' THEN 50 ELSE 41 END AS h FROM (VALUES ('A'), ('N'), ('R')) v(channel)
+), c AS (SELECT channel, (h - min(h) OVER ()) // 2 AS o, min(h) OVER () AS m FROM h)
+SELECT channel, y - o AS y, x - o AS x, count(*)::BIGINT AS n FROM px JOIN c USING (channel) WHERE y >= o AND y < o + m AND x >= o AND x < o + m GROUP BY ALL""")
+def cropped_pixels(spark, sf_dir):
+    """Pixels of planes of three sizes, cropped to the smallest about their middle."""
+    planes = spark.createDataFrame([("i", c, h, h) for c, h in (("A", 64), ("N", 50), ("R", 41))], "image_id string, channel string, height int, width int")
+    px = pixels(spark, sf_dir).withColumn("image_id", F.lit("i"))
+    return features.cropped(px, tiles.centre_crop(planes)).groupBy("channel", "y", "x").agg(F.count("*").alias("n"))
+
+
+@query("""WITH p AS (SELECT page_id, 1000 + page_id % 300 AS size, (page_id * 37) % 1500 AS start FROM pages)
+SELECT page_id, greatest(0, least(start, size - 1024))::BIGINT AS begins, greatest(0, floor((size - 1024) / 2.0))::BIGINT AS middle,
+  's_' || lpad((page_id % 100)::VARCHAR, 2, '0') || '_c.png' AS name, floor(start * (256.0 / size))::BIGINT AS thumb_x FROM p""")
+def window_places(spark, sf_dir):
+    i = F.col("page_id")
+    size, start = F.lit(1000) + i % 300, (i * 37) % 1500
+    zero, thumb = F.lit(0), F.lit(256.0)
+    rect = export.thumbnail_rectangle(start, zero, zero, zero, size, size, thumb, thumb)
+    return read(spark, sf_dir, "pages").select(
+        "page_id", C.clamped(start, size, 1024).cast("long").alias("begins"), C.centred(size, 1024).cast("long").alias("middle"),
+        C.prefixed_name(F.lit("s"), i % 100, F.lit("c")).alias("name"), rect["x0"].alias("thumb_x"),
+    )
+
+
+# ---- Quality control from sums and counts
+
+@query(f"""WITH {WIDE}, p AS ({" UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, corr({x}, {y}) AS r FROM w" for x in "abc" for y in "abc")}) SELECT a, b, round(r, 6) AS r FROM p""")
+def correlation_of_parts(spark, sf_dir):
+    """Correlations from the sums of many parts, as tiles give them."""
+    rows = wide(spark, sf_dir).withColumn("part", F.spark_partition_id() * 100 + F.floor(F.col("a")) % 7)
+    sums = None
+    for x in "abc":
+        for y in "abc":
+            one = rows.groupBy("part").agg(F.count("*").alias("n"), F.avg(x).alias("mean_a"), F.avg(y).alias("mean_b"), (F.covar_pop(x, y) * F.count("*")).alias("c"))
+            one = one.select(F.lit(x).alias("a"), F.lit(y).alias("b"), "n", "mean_a", "mean_b", "c")
+            sums = one if sums is None else sums.unionByName(one)
+    return rounded(qc.correlation_of_products(sums, []), 6)
+
+
+COUNTS = "v AS (SELECT event_type AS image_id, floor(value)::DOUBLE AS value, count(*)::BIGINT AS n FROM events GROUP BY ALL)"
+
+
+def counts(spark, sf_dir):
+    return read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("image_id"), F.floor("value").cast("double").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS image_id, min(floor(value)) AS lo, max(floor(value)) AS hi, median(floor(value)) AS median FROM events GROUP BY ALL")
+def level_medians(spark, sf_dir):
+    return qc.level_stats(counts(spark, sf_dir), ["image_id"])
+
+
+@query(f"""WITH {COUNTS}, e AS (SELECT image_id, min(value) AS lo, max(value) AS hi FROM v GROUP BY ALL)
+SELECT image_id, least(63, floor((value - lo) / (hi - lo) * 64))::INTEGER AS bin, sum(n)::BIGINT AS n FROM v JOIN e USING (image_id) GROUP BY ALL""")
+def level_histogram(spark, sf_dir):
+    c = counts(spark, sf_dir)
+    return qc.level_histogram(c, qc.level_stats(c, ["image_id"]), ["image_id"])
+
+
+@query("""WITH q AS (SELECT event_type AS image_id, quantile_cont(value, 0.2) AS threshold FROM events GROUP BY ALL)
+SELECT image_id, round(threshold, 6) AS threshold, round(avg((value < threshold)::INTEGER), 6) AS low_quality_ratio FROM events JOIN q ON event_type = image_id GROUP BY ALL""")
+def quality_by_image(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("image_id"), F.col("value").alias("sharpness"))
+    return rounded(qc.quality(e), 6)
+
+
+@query("""WITH r AS (SELECT event_type AS cluster, count(*)::BIGINT AS n, round(avg(value), 6) AS value FROM events GROUP BY ALL)
+SELECT cluster, n, value, round(n / sum(n) OVER (), 6) AS share, n / sum(n) OVER () < 0.2 AS suspicious FROM r""")
+def cluster_report(spark, sf_dir):
+    cells = read(spark, sf_dir, "events").withColumn("cluster", F.col("event_type"))
+    return rounded(analysis.report(cells, ["value"], small=0.2), 6)
+
+
+@query("""SELECT vec_id AS id FROM embeddings WHERE ('0x' || substr(md5('42:' || vec_id), 1, 8))::BIGINT < floor(100 / (SELECT count(*) FROM embeddings)::DOUBLE * 4294967296)::BIGINT""")
+def subsample(spark, sf_dir):
+    """About a hundred vectors (a sampling operator)."""
+    return cluster.subsample(vectors(spark, sf_dir), "id", 100).select("id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,34 @@ def panels(spark: SparkSession, more: dict[str, list[tuple]] | None = None) -> D
     return spark.createDataFrame([(k, *c) for k, v in known.items() for c in v], SCHEMA)
 
 
+def config(name: str, path: str | None = None) -> list[tuple] | None:
+    """The channels of a panel: from a YAML list at ``path`` if that gives any, else a known panel's; None for an unknown one.
+
+    Entries without an index and a name are skipped.
+    """
+    found = []
+    if path and Path(path).is_file():
+        import yaml
+
+        for c in yaml.safe_load(Path(path).read_text(encoding="utf-8")) or []:
+            if isinstance(c, dict) and str(c.get("index", "")).isdigit() and c.get("name"):
+                role = str(c.get("biological_role", ""))
+                found.append((int(c["index"]), str(c["name"]), str(c.get("marker", "")), role, bool(c.get("is_dapi")), bool(c.get("is_af"))))
+    return found or (list(PANELS[name]) if name in PANELS else None)
+
+
+def reference_plane(panel: DataFrame, name: str | None = None) -> DataFrame:
+    """``reference_plane`` of each panel (from 0): the first channel called ``name``, else the nuclear one."""
+    plane = F.col("index") - 1
+    named = F.min(F.when(F.col("name") == name, plane)) if name else F.lit(None).cast("int")
+    return panel.groupBy("panel").agg(F.coalesce(named, F.min(F.when(F.col("is_dapi"), plane)), F.lit(0)).alias("reference_plane"))
+
+
+def with_channels(tiles: DataFrame, panel: DataFrame) -> DataFrame:
+    """Every tile with every channel of a panel (a few rows, 64 at most, ride along)."""
+    return tiles.crossJoin(F.broadcast(panel.limit(64)))
+
+
 def markers(panel: DataFrame) -> DataFrame:
     """Channels that carry a marker."""
     return panel.where(~F.col("is_dapi") & ~F.col("is_af"))

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Paths that are done; empty before the first."""
-    try:
-        return spark.read.schema("path string, batch long").parquet(path)
-    except AnalysisException:
+    """``path, batch`` of what is done; empty before the first batch. A manifest that can't be read is an error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
         return spark.createDataFrame([], "path string, batch long")
+    return spark.read.schema("path string, batch long").parquet(path)
 
 
 def follow(
@@ -23,8 +22,10 @@ def follow(
 ) -> StreamingQuery:
     """Call ``process`` on the paths of new files that the manifest lacks, batch by batch.
 
-    A batch that is run again after a failure skips what its first run had
-    finished: the manifest is written under the batch's number.
+    A batch enters the manifest, under its number, once it has been processed;
+    a number that is in there is not processed again. If a run ends between
+    the two, the batch is processed once more: ``process`` must replace what it
+    wrote (as ``overwrite`` does), not append to it.
     """
     files = (
         spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
@@ -32,7 +33,10 @@ def follow(
     )
 
     def each(batch: DataFrame, number: int) -> None:
-        fresh = batch.join(manifest(spark, done).select("path"), "path", "left_anti").persist()
+        known = manifest(spark, done)
+        if not known.where(F.col("batch") == number).isEmpty():
+            return
+        fresh = batch.join(known.select("path"), "path", "left_anti").persist()
         process(fresh)
         fresh.select("path", F.lit(number).cast("long").alias("batch")).write.mode("append").parquet(done)
         fresh.unpersist()
