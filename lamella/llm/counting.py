@@ -106,13 +106,21 @@ class Tree:
 NUMBERS = T.ArrayType(T.IntegerType())
 
 
+def checked(path: str | None) -> str:
+    """The tokenizer's path, if its pre-tokens end at white space: leaves of another kind could not be counted apart."""
+    path = path or tokens.default_path()
+    if not tokens.chunkable(path):
+        raise ValueError(f"{path} has pre-tokens that span white space")
+    return path
+
+
 def plant(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """Append each document's tree: ``leaf_chars``, ``leaf_tokens`` and their sum ``n_tokens``.
 
     Null text counts as empty, which has one empty leaf and no tokens. Columns
     of ``docs`` with those names are replaced, all others pass through.
     """
-    path = path or tokens.default_path()
+    path = checked(path)
 
     def make():
         encode = tokens.encoder(path)
@@ -141,7 +149,7 @@ def apply_edits(trees: DataFrame, edits: Column, text: str = "text", path: str |
     edit lists as empty. Documents don't depend on each other: nothing is
     shuffled, and a task holds one document at a time.
     """
-    path = path or tokens.default_path()
+    path = checked(path)
 
     def make():
         encode = tokens.encoder(path)

@@ -1,7 +1,8 @@
-"""Token ids of whole texts by a public tokenizer whose pre-tokens never span white space."""
+"""Token ids of whole texts by a public tokenizer: chunk by chunk where its pre-tokens never span white space, else plainly."""
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -24,6 +25,23 @@ GROUP = 1000
 ODD = re.compile("[\u0130\u0300-\u036f\x1c-\x1f]")
 
 
+#: What the chunks rest on: the kinds of normalizers and pre-tokenizers (white space dropped, lower case, ends of words marked)
+#: and the split between them.
+SHAPE = ("NFC Replace Lowercase", "Split ByteLevel", "Removed", "</w>")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def chunkable(path: str) -> bool:
+    """Whether the tokenizer file is of the kind whose chunks between white space can be encoded apart."""
+    with open(path, encoding="utf-8") as f:
+        t = json.load(f)
+    normalizers = (t.get("normalizer") or {}).get("normalizers", [])
+    splits = (t.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    kinds = [" ".join(x.get("type", "") for x in v) for v in (normalizers, splits)]
+    own = (*kinds, splits[0].get("behavior"), t.get("model", {}).get("end_of_word_suffix"))
+    return own == SHAPE and splits[0].get("pattern", {}).get("Regex") == PATTERN
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -34,7 +52,8 @@ class Encoder:
     """Encodes texts chunk by chunk and remembers chunks, as corpora repeat their words.
 
     The ids equal those of the tokenizer on the whole text (``add_special_tokens=False``),
-    each as four little-endian bytes.
+    each as four little-endian bytes. Tokenizers of another kind encode each text
+    as it is, and remember nothing.
     """
 
     def __init__(self, path: str):
@@ -42,6 +61,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunked = chunkable(path)
         #: The same model for lower-case ASCII letters, which need no normalising and no patterns.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = None
@@ -114,6 +134,8 @@ class Encoder:
         return [len(x) // 4 for x in self.ids(texts)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
+        if not self.chunked:
+            return [x.tobytes() for x in self.encode(texts)]
         words = self.known_words(texts)
         get = self.known.__getitem__
         return [b"".join(map(get, w)) for w in words]

@@ -78,6 +78,17 @@ def test_encoder_equals_tokenizer(tokenizer):
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
 
 
+def test_other_tokenizers_encode_plainly():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    e, plain = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert tokens.chunkable(tokens.default_path()) and not e.chunked
+    many = ["Hello  World. don't, \n\n stop", "", "ÀB c", "x" * 300]
+    assert [np.frombuffer(x, "<u4").tolist() for x in e.ids(many)] == [plain.encode(t, add_special_tokens=False).ids for t in many]
+
+
 def test_encoder_forgets_and_stays_right(tokenizer, monkeypatch):
     monkeypatch.setattr(tokens, "CACHE_CHARS", 200)
     e = tokens.Encoder(tokens.default_path())
