@@ -325,8 +325,8 @@ def train(
 
     ``reports`` are the words that tell a report of a term from its use. Rows
     without key, label or text teach nothing; a key labelled twice is toxic if
-    one of them says so; repeated rows teach once. Without both kinds of labels
-    the lexicon is empty and every score 0.
+    one of them says so; repeated rows teach once. Without both kinds of labels,
+    or terms that tell them apart, the lexicon is empty and every score 0.
     """
     known = labels.where(F.col(f"`{label}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__key")).agg(F.max((F.col(f"`{label}`") != 0).cast("int")).alias("toxic"))
     # Only hashes are ranked. Labels need not be of documents that exist, so the join comes first, without texts.
@@ -345,7 +345,7 @@ def train(
 
     # ``sample`` rows of a few numbers; sorted, so that sums don't depend on the order of tasks
     rows = sorted((list(r[0]), r[1]) for r in chosen.select("text", "toxic").mapInArrow(seen, "x array<double>, toxic int").collect())
-    if len({y for _, y in rows}) == 2:
+    if len({y for _, y in rows}) == 2 and not model.lexicon.empty:
         model.fit(np.array([x for x, _ in rows]), np.array([y for _, y in rows]))
     return model
 

@@ -933,7 +933,8 @@ def test_pipeline_edges(spark, edge, tmp_path):
 
     own = [c for c in edge.columns if c not in DOCS]
     spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    want = {"toxicity": len(EDGE) + 2, "language_id": 8, "simhash_dedup": 5}
+    # The long text is in no learned language: it is too long to teach, and the short ones lack its letters.
+    want = {"toxicity": len(EDGE) + 2, "language_id": 7, "simhash_dedup": 4}
     docs = edge
     for name, stage in cp.STAGES:
         out = cp.stored(stage(spark, docs, str(tmp_path)))
@@ -943,7 +944,7 @@ def test_pipeline_edges(spark, edge, tmp_path):
             assert all(r[c] == "mine" for r in out.select(*own).distinct().collect() for c in own if c in ("score", "predicted", "size", "lang_pred", "target", "copies"))
             assert out.count() == want.get(name, out.count())
             docs = out
-    assert docs.where("text is not null").count() <= 3 * 5
+    assert docs.where("text is not null").count() <= 3 * 4
 
 
 def test_run_removes_what_it_wrote(spark, tmp_path):
