@@ -144,3 +144,25 @@ def artifacts(cells: DataFrame, columns: list[str], most: float = 0.03) -> DataF
         out = out.crossJoin(F.broadcast(ends)).withColumn(f"__o_{c}", beyond).drop("__a", "__b")  # one row
         votes = votes + F.col(f"__o_{c}").cast("int")
     return out.withColumn("artifact", votes > len(columns) / 2).drop(*[f"__o_{c}" for c in columns])
+
+
+def final_table(result: pipeline.Result, channels: list[str], af: str | None = None) -> DataFrame:
+    """Every cell of a run: names, global position, raw and ``z_`` channels, cluster, confidence, ``artifact`` and, with a channel ``af``, its fields.
+
+    Without a clustering, cluster and confidence are null.
+    """
+    cells = result.clustered.drop("id", "pca") if result.clustered is not None else result.matrix
+    for name, kind in (("cluster", "int"), ("confidence", "double")):
+        cells = cells if name in cells.columns else cells.withColumn(name, F.lit(None).cast(kind))
+    place = {f"global_{a}": C.to_global(F.col(f"tile_{a}"), F.col(f"local_{a}")) for a in "xy"}
+    out = artifacts(features.with_normalised(cells, channels), channels).withColumns(place)
+    if af:
+        out = out.join(features.with_autofluorescence(result.features, af, ("image_id",)), ["image_id", *features.CELL], "left")
+    return out
+
+
+def autofluorescence_gain(cells: DataFrame, channels: list[str], af: str, k: int | None = None, seed: int = 42) -> DataFrame:
+    """Whether clusters of ``cells`` (with ``id``) are better with the autofluorescence channel among the features, by Calinski-Harabasz."""
+    n = cells.count()
+    told = [pipeline.clustered(cells, c, n, k, seed).select("id", F.col("pca").alias("v"), "cluster") for c in ([*channels, af], channels)]
+    return cluster.gain(*told)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lamella import cli, config
+from lamella import cli, config, plugins
 from lamella.functions import columns as C
 from lamella.operators import analysis, cluster, export, features, qc, segment, tiles
 from lamella.plans import flows, pipeline, registry
@@ -245,7 +245,13 @@ def test_measuring_a_tile_equals_the_relational_form(spark, tmp_path):
     back = spark.read.option("header", True).csv(written["features_matrix_mean.csv"])
     assert back.count() == 5 and {"cell_id", "local_x", "local_y", "A", "B"} <= set(back.columns)
     assert "features_matrix_mean_cluster.csv" in written and spark.read.option("header", True).csv(written["features_long.csv"]).count() == 10
+    final = {(r["tile_x"], r["tile_y"], r["label"]): r for r in flows.final_table(out, ["A"], af="B").collect()}
+    raw = np.array([r["A"] for r in final.values()])
+    for key, r in final.items():
+        assert r["global_x"] == key[0] + r["local_x"] and np.isclose(r["z_A"], (r["A"] - raw.mean()) / raw.std()) and 0 <= r["af_norm"] <= 1
+        assert r["cluster"] is not None and r["artifact"] is not None and np.isclose(r["af_bg_corr"], r["B"])
     empty = pipeline.run(flows.read(spark, str(tmp_path), layout="stack", tile="64"), 1, {2: "A"}, lambda x: np.zeros(x.shape, int))
+    assert flows.final_table(empty, ["A"]).count() == 0
     assert "nuclei_centroids.csv" not in empty.write(str(tmp_path / "none"))
     clustered = flows.cluster_table(spark, written["features_matrix_mean.csv"], k=2)
     assert clustered.count() == 5 and spark.read.option("header", True).csv(export.cluster_path(written["features_matrix_mean.csv"])).count() == 5
@@ -525,6 +531,33 @@ def test_choosing_k_and_gain(spark):
     assert cluster.silhouette(good, 3).agg(F.avg("silhouette")).first()[0] == pytest.approx(cluster.silhouette(good).agg(F.avg("silhouette")).first()[0])
 
 
+def test_autofluorescence_gain(spark):
+    rng = np.random.default_rng(13)
+    rows = [(i, float(rng.normal()), float(rng.normal()), float(rng.normal() + 50 * (i % 2))) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, af double")
+    r = flows.autofluorescence_gain(df, ["a", "b"], "af", k=2).first()
+    assert r["ch_with"] > 0 and r["ch_without"] > 0 and r["better"] == (r["gain"] >= 0.05)
+
+
+def test_plugins(spark, tmp_path):
+    class Flat:
+        shape = (1, 8, 8)
+
+        def __init__(self, path):
+            pass
+
+        def window(self, c, y, x, h, w):
+            return np.full((h, w), 3.0)
+
+    plugins.register("codec", ".flat", Flat)
+    assert plugins.find("codec", ".flat") is Flat and codecs.open_stack("a.flat").window(0, 0, 0, 2, 2).sum() == 12
+    del codecs.CODECS[".flat"]
+    plugins.register("step", "twice", lambda df: df.union(df))
+    assert pipeline.chain(spark.range(3), plugins.find("step", "twice"), plugins.find("step", "twice")).count() == 12
+    with pytest.raises(KeyError, match="no segmenter"):
+        plugins.find("segmenter", "none")
+
+
 def test_registered_components_equal_numpy(spark, sf_dir):
     v = np.array([r[0] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").orderBy("vec_id").select("embedding").collect()], float)
     z = (v - v.mean(axis=0)) / v.std(axis=0)
