@@ -15,7 +15,8 @@ separated), ``tile_x``, ``tile_y``, ``axes`` (letters of NumPy files), ``parts``
 tile, as far as there are any: ``h`` and ``w`` count them, ``tile_y`` and
 ``tile_x`` don't), ``effective=true`` (half the shorter side, 64 at least, where
 a side has fewer than two tiles), ``max_tiles`` (of a slide: every n-th), ``sample`` and ``seed`` (that many
-tiles of a slide, by hash: the same ones on every run). Filters on ``image_id``,
+tiles of a slide, by hash: the same ones on every run), ``window`` (``y,x,h,w``
+or ``centre,h,w``: one tile a slide, clamped to it). Filters on ``image_id``,
 ``tile_x``, ``tile_y`` and ``channel`` (equal to, one of) are applied before
 anything is read.
 """
@@ -73,6 +74,14 @@ class Reader(DataSourceReader):
         return [Part(p, n, i, parts) for p, n in self.files() if names is None or n in names for i in range(parts)] or [Part("", "", 0, 1)]
 
     def tiles(self, part: Part, height: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+        if "window" in self.o:
+            *place, h, w = self.o["window"].split(",")
+            h, w = min(int(h), height), min(int(w), width)
+            y, x = ((height - h) // 2, (width - w) // 2) if place == ["centre"] else map(int, place)
+            y, x = max(0, min(y, height - 1)), max(0, min(x, width - 1))
+            if part.number == 0:
+                yield y, x, min(h, height - y), min(w, width - x)
+            return
         size = self.tile
         if self.effective and min(-(-height // size), -(-width // size)) < 2:
             size = max(min(height, width) // 2, 64)

@@ -290,6 +290,9 @@ def test_source_options(spark, tmp_path):
     assert flows.read(spark, str(tmp_path), tile="16", channels="1", max_tiles="7").count() == 6
     few = [flows.read(spark, str(tmp_path), tile="16", channels="1", sample="4", parts=p).select("tile_y", "tile_x").sort("tile_y", "tile_x").collect() for p in ("1", "5")]
     assert few[0] == few[1] and len(few[0]) == 4
+    for window, (y, x, h, w) in {"90,70,50,50": (90, 70, 6, 10), "centre,40,30": (28, 25, 40, 30), "-5,3,10,10": (0, 3, 10, 10)}.items():
+        r = flows.read(spark, str(tmp_path), channels="3", window=window).first()
+        assert (r["tile_y"], r["tile_x"], r["h"], r["w"]) == (y, x, h, w) and np.allclose(r["pixels"], stack[2, y : y + h, x : x + w].ravel())
     np.save(tmp_path / "wide.npy", np.moveaxis(stack, 0, -1))
     shapes = {r["image_id"]: (r["n_channels"], r["height"], r["width"]) for r in flows.read(spark, str(tmp_path), metadata="true").collect()}
     assert shapes["wide"] == (3, 96, 80)
