@@ -60,7 +60,9 @@ def format_chats(
     before, its escaped text (under the loss for the assistant), and what
     comes after. ``legal`` says whether the machine lets the role follow the
     one before it; turns that it doesn't are formatted all the same. Null
-    roles and texts count as empty; null conversations are one.
+    roles and texts count as empty; null conversations are one. Repeated rows
+    are turns of their own, texts of any length stay whole, other columns are
+    not kept, and an empty table gives no rows.
     """
     base = turns.select(
         F.col(f"`{conversation}`"),

@@ -117,8 +117,9 @@ def checked(path: str | None) -> str:
 def plant(docs: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
     """Append each document's tree: ``leaf_chars``, ``leaf_tokens`` and their sum ``n_tokens``.
 
-    Null text counts as empty, which has one empty leaf and no tokens. Columns
-    of ``docs`` with those names are replaced, all others pass through.
+    Null text counts as empty, which has one empty leaf and no tokens. Repeated
+    rows are documents of their own; an empty table gives no rows. Columns of
+    ``docs`` with those names are replaced, all others pass through.
     """
     path = checked(path)
 
