@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 
 from pyspark.sql import SparkSession
 
 from . import config
+from .operators import export, segment
 from .plans import flows, pipeline
 from .sources import panels
 
@@ -22,7 +24,7 @@ def framed(text: str) -> None:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lamella")
-    p.add_argument("mode", choices=("preprocess", "features", "full", "cluster", "cohort"))
+    p.add_argument("mode", choices=("preprocess", "segmentation", "features", "full", "cluster", "cohort"))
     p.add_argument("--input", required=True)
     p.add_argument("--output")
     p.add_argument("--config")
@@ -51,6 +53,12 @@ def main(args: list[str] | None = None) -> int:
         else:
             if given["mode"] in ("preprocess", "full"):
                 flows.write_report(flows.quality_control(spark, source, spec, s.tile, s.reference, s.max_tiles, level=s.qc), folder)
+            if given["mode"] == "segmentation":
+                tiles = flows.read(spark, source, layout="stack", tile=str(s.tile))
+                good = segment.segment(tiles, channel=s.nucleus_channel).where("error is null").persist()
+                export.write_csv(segment.cells_of_tiles(good), os.path.join(folder, "nuclei_centroids.csv"), empty=False)
+                framed(f"{export.write_pngs(good, folder, 'labels').count()} label tiles")
+                good.unpersist()
             if given["mode"] in ("features", "full"):
                 marked = {c[0]: c[1] for c in spec if not c[4] and not c[5]}
                 out = pipeline.run(flows.read(spark, source, layout="stack", tile=str(s.tile)), s.nucleus_channel, marked, k=s.k, seed=s.seed)

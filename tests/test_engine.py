@@ -502,6 +502,8 @@ def test_settings_and_command_line(spark, tmp_path):
     assert cli.main(["full", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "out"), "--tile", "64", "--qc", "basic"]) == 0
     assert (tmp_path / "out/qc_report.json").exists() and (tmp_path / "out/features_long.csv").exists()
     assert cli.main(["full", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "x"), "--cancer-type", "none"]) == 2
+    assert cli.main(["segmentation", "--input", str(tmp_path / "in"), "--output", str(tmp_path / "seg"), "--tile", "64"]) == 0
+    assert len(list((tmp_path / "seg/s1").glob("roi_label_*.png"))) == 4 and (tmp_path / "seg/nuclei_centroids.csv").exists()
 
 
 def test_prepared_nuclei_and_overlaps(spark):
