@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import add_columns, components, cut, stored, utf8
+from .common import add_columns, components, cut, renamed, stored, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -23,13 +23,13 @@ STEP = 1 << 14
 #: Shingles and least similarity of the texts that ``deduplicate`` calls copies.
 WORDS, SIMILARITY = 5, 0.8
 #: 64-bit parts of a wide fingerprint, and the share of just similar pairs that may share no segment.
-PARTS, MISSED = 4, 0.01
+PARTS, MISSED = 8, 0.01
 #: Texts after each in a segment's order that it is compared with; as many of a segment, its first ones, are all compared.
-NEXT, FIRST = 2, 17
+NEXT, FIRST = 2, 9
 #: Segments of the first round; the others then compare only what it left in different components.
 EARLY = 8
-#: Standard deviations that the radius of the comparison allows for.
-DEVIATIONS = 4.0
+#: Standard deviations that the radius allows for.
+DEVIATIONS = 2.5
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -93,7 +93,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     equal fingerprints are one before any variant is emitted, so thousands of
     copies cost what one does. Null and wordless texts have fingerprint 0 and
     link with each other. Repeated keys are documents of their own. Null keys
-    count only where a component has no other. An empty table gives no rows.
+    count only where a component has no other. An empty table gives no rows;
+    other columns of ``docs`` are not kept.
     """
     marked = fingerprints(docs.select(F.col(f"`{key}`"), F.col(f"`{text}`").alias("__text")), "__text", words).drop("__text")
     kept = stored(marked)  # two numbers a document: texts are read and hashed once
@@ -114,13 +115,13 @@ def shingles(text: bytes, words: int) -> set[bytes]:
 
 
 def wide(text: bytes, words: int) -> list[int] | None:
-    """``PARTS`` signed numbers of 64 bits, the majorities over the different shingles; None without words."""
+    """The number of different shingles and ``PARTS`` signed numbers of 64 bits, their majorities; None without words."""
     from xxhash import xxh64_intdigest
 
     h = np.array([xxh64_intdigest(x, SEED) for x in shingles(text, words)], np.uint64)
     if not len(h):
         return None
-    out = []
+    out = [len(h)]
     for k in range(PARTS):
         if k:  # mixed again: independent bits from the same hash
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
@@ -153,13 +154,14 @@ def samples(n: int, similarity: float) -> tuple[int, int, Callable[[int], int]]:
     return bits, tables, lambda size: math.ceil(size * p + DEVIATIONS * math.sqrt(size * p * (1 - p)))
 
 
-def candidates(prints: DataFrame, bits: int, radius: Callable[[int], int], which: range, shuffled: bool) -> DataFrame:
+def candidates(prints: DataFrame, similarity: float, bits: int, radius: Callable[[int], int], which: range, shuffled: bool) -> DataFrame:
     """Pairs ``a < b`` of nodes that share one of the segments ``which`` and whose fingerprints are within the radius.
 
-    The first 64 bits ride along with the segments; the others are looked up for
-    the pairs that these leave.
+    The first 128 bits ride along with the segments; the others are looked up for
+    the pairs that these leave, and their sizes (numbers of shingles), of which
+    the smaller must be ``similarity`` of the other.
 
-    ``prints`` has ``node, parts, component``, each node once; nodes of one
+    ``prints`` has ``node, parts, size, component``, each node once; nodes of one
     component are no pair. The first ``FIRST`` texts of a segment are all
     compared (chance brings fewer together), further ones, which are families
     of copies, with the ``NEXT`` ones before them. So rows grow with the texts
@@ -170,7 +172,7 @@ def candidates(prints: DataFrame, bits: int, radius: Callable[[int], int], which
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picks = {t: np.random.default_rng([SEED, t]).choice(64 * PARTS, bits, replace=False) for t in which}
         weights = 1 << np.arange(bits, dtype=np.int64)
-        names = ["segment", "node", "first", "component"]
+        names = ["segment", "node", "first", "second", "component"]
         for whole in batches:
             for i in range(0, len(whole), 2048):
                 b = whole.slice(i, 2048)
@@ -179,43 +181,45 @@ def candidates(prints: DataFrame, bits: int, radius: Callable[[int], int], which
                 ones = np.unpackbits(parts.view(np.uint8), axis=1, bitorder="little")
                 for t, pick in picks.items():
                     segment = (ones[:, pick] @ weights) + (t << bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (segment, node, parts[:, 0].copy(), component)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (segment, node, parts[:, 0].copy(), parts[:, 1].copy(), component)], names=names)
 
-    near = radius(64)
+    near = radius(128)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 5
+        tail = [np.zeros(0, np.int64)] * 6
         for b in batches:
             fresh = [c.to_numpy() for c in b.columns]
             at = np.arange(len(b))
             begin = np.maximum.accumulate(np.where(np.r_[True, fresh[0][1:] != fresh[0][:-1]], at, 0)) if len(b) else at
             place = at - begin  # of each row in its segment
             if len(tail[0]) and len(b) and tail[0][-1] == fresh[0][0]:
-                place[begin == 0] += tail[4][-1] + 1
-            segment, node, first, component, place = (np.concatenate([t, c]) for t, c in zip(tail, [*fresh, place]))
-            tail = [x[1 - FIRST :] for x in (segment, node, first, component, place)]
+                place[begin == 0] += tail[5][-1] + 1
+            segment, node, first, second, component, place = (np.concatenate([t, c]) for t, c in zip(tail, [*fresh, place]))
+            tail = [x[1 - FIRST :] for x in (segment, node, first, second, component, place)]
             old = len(segment) - len(b)  # these have met each other before
             found = []
             for k in range(1, FIRST):
                 at = np.arange(max(old - k, 0), len(segment) - k)
                 at = at[(segment[at] == segment[at + k]) & (component[at] != component[at + k]) & ((k <= NEXT) | (place[at + k] < FIRST))]
-                at = at[np.bitwise_count((first[at] ^ first[at + k]).view(np.uint64)) <= near]
+                differ = sum(np.bitwise_count((x[at] ^ x[at + k]).view(np.uint64)) for x in (first, second))
+                at = at[differ <= near]
                 found.append(np.column_stack([node[at], node[at + k]]))
             pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    rows = prints.select("node", "parts", "component").mapInArrow(spread, "segment long, node long, first long, component long")
+    rows = prints.select("node", "parts", "component").mapInArrow(spread, "segment long, node long, first long, second long, component long")
     order = F.xxhash64("segment", "node") if shuffled else F.col("node")
     dealt = rows.repartition("segment").sortWithinPartitions("segment", order)
     met = dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
-    own = lambda side: prints.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}"))
+    own = lambda side: prints.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}"), F.col("size").alias(f"size_{side}"))
     differ = sum((F.bit_count(F.col("parts_a")[k].bitwiseXOR(F.col("parts_b")[k])) for k in range(PARTS)), F.lit(0))
-    return met.join(own("a"), "a").join(own("b"), "b").where(differ <= radius(64 * PARTS)).select("a", "b")
+    alike = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
+    return met.join(own("a"), "a").join(own("b"), "b").where(alike & (differ <= radius(64 * PARTS))).select("a", "b")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
     """Those of the pairs of text hashes ``a, b`` whose texts' shingles have that Jaccard similarity at least, exactly."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     texts = docs.select(text_hash(text).alias("node"), utf8(F.col(f"`{text}`")).alias("t")).join(nodes, "node", "left_semi")
     texts = texts.groupBy("node").agg(F.min("t").alias("t"))
 
@@ -261,14 +265,15 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
     base = docs.select(F.col(f"`{key}`").alias("key"), row_hash(docs).alias("row"), text_hash(text).alias("node"), F.col(f"`{text}`").alias("__text"))
     marked = add_columns(base, {"bytes": utf8(F.col("__text"))}, [T.StructField("parts", T.ArrayType(T.LongType()))], make).drop("__text")
-    kept = stored(marked.withColumn("node", F.when(F.col("parts").isNull(), 0).otherwise(F.col("node"))))
-    prints = cut(kept.where(F.col("parts").isNotNull()).groupBy("node").agg(F.min("parts").alias("parts")).withColumn("component", F.col("node")))
+    marked = marked.withColumns({"size": F.col("parts")[0], "parts": F.slice("parts", 2, PARTS), "node": F.when(F.col("parts").isNull(), 0).otherwise(F.col("node"))})
+    kept = stored(marked)
+    prints = cut(kept.where(F.col("parts").isNotNull()).groupBy("node").agg(F.min("parts").alias("parts"), F.min("size").alias("size")).withColumn("component", F.col("node")))
     bits, tables, radius = samples(prints.count(), similarity)
     # Families of copies are linked by a few segments; the others then look only for links between what is still apart.
-    linked = cut(similar(cut(candidates(prints, bits, radius, range(EARLY), False)), docs, text, words, similarity))
+    linked = cut(similar(cut(candidates(prints, similarity, bits, radius, range(EARLY), False)), docs, text, words, similarity))
     part = components(linked)
     apart = prints.drop("component").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = similar(cut(candidates(apart, bits, radius, range(EARLY, tables), True)), docs, text, words, similarity)
+    more = similar(cut(candidates(apart, similarity, bits, radius, range(EARLY, tables), True)), docs, text, words, similarity)
     part = components(linked.unionByName(more))
     rows = kept.select("key", "row", F.coalesce(F.col("parts")[0], F.lit(0).cast("long")).alias("first"), "node")
     return rows, part
@@ -279,15 +284,18 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
 
     It is the row with the least key (null last), then fingerprint, text hash
     and row hash: rows that share a key, or have none, are documents of their
-    own, and each component keeps exactly one.
+    own, and each component keeps exactly one. Null, empty and wordless texts
+    are one component. Columns keep their names, whatever they are; an empty
+    table gives an empty one.
     """
     order = F.struct(F.col("key").isNull(), "key", "first", "node", "row")
     rows, part = copies(docs, key, text, words, similarity)
     least = rows.groupBy("node").agg(F.min(order).alias("o")).join(part, "node", "left")
     stay = least.groupBy(F.coalesce("component", "node")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
     # Repeated rows become one in each task before any text is moved; the join (each row of it once) finds them where they are.
-    marked = docs.withColumn("__row", row_hash(docs)).dropDuplicates(["__row"])
-    return marked.join(stay, "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
+    private, _, own = renamed(docs)
+    marked = private.withColumn("__row", row_hash(private)).dropDuplicates(["__row"])
+    return own(marked.join(stay, "__row"))
 
 
 def hexadecimal(x: Column) -> Column:
