@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import json
 import os
 import re
@@ -148,5 +150,14 @@ def encoder(path: str) -> Encoder:
 
 
 def forget() -> None:
-    """Free what earlier stages cached in this Python worker, which Spark reuses for other operators."""
-    encoder.cache_clear()
+    """Free what earlier stages cached in this Python worker, which Spark reuses for other operators, and give it back.
+
+    The many small objects of a cache leave their pages with the allocator, so
+    the C library is asked to return those that are free (where it can).
+    """
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
