@@ -231,3 +231,24 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         roots.withColumn("component", F.col("node"))
     )
+
+
+#: Bytes of a text whose runs are listed at once.
+PIECE = 1 << 20
+
+
+def runs(text: bytes, table: bytes, most: int = PIECE) -> Iterator[list[bytes]]:
+    """The runs between blanks of a text after ``table`` (which makes blanks of separators), about ``most`` bytes at a time."""
+    text, at = text.translate(table), 0
+    while len(text) - at > most:
+        end = text.rfind(b" ", at, at + most)
+        if end <= at and (end := text.find(b" ", at + most)) < 0:
+            break
+        yield text[at:end].split()
+        at = end
+    yield text[at:].split()
+
+
+def letters(keep: Callable[[int], bool]) -> bytes:
+    """A table for ``runs``: bytes that ``keep`` refuses become blanks, A-Z lower case."""
+    return bytes(c + 32 if 65 <= c <= 90 else c if keep(c) else 32 for c in range(256))

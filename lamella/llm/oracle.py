@@ -111,3 +111,28 @@ SELECT page_id, host, path, rule,
   coalesce(verdict, CASE WHEN host <> '' AND url IN (SELECT url FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
 FROM canonical LEFT JOIN fits USING (page_id)
 """
+
+#: Terms: ASCII digits and letters, and all beyond ASCII.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL["op12_lexical_search"] = rf"""
+WITH postings AS (
+  SELECT row_at, any_value(doc_id) AS doc_id, term, count(*)::BIGINT AS tf FROM (
+    SELECT row_number() OVER () AS row_at, doc_id, unnest(regexp_extract_all({_lower}, '{TERM}')) AS term FROM documents
+  ) GROUP BY row_at, term
+), sizes AS (SELECT row_at, sum(tf)::BIGINT AS n FROM postings GROUP BY row_at
+), whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM sizes
+), wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_lower}, '{TERM}')) AS term FROM benchmark
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM postings, whole WHERE term IN (SELECT term FROM wanted) GROUP BY term, docs
+), scored AS (
+  SELECT item_id, doc_id, row_at, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM wanted JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (row_at), whole
+  GROUP BY item_id, doc_id, row_at
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scored WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, embeddings, langid, media, mixing, packing, simhash, toxicity, urls
+from . import chat, counting, embeddings, langid, lexical, media, mixing, packing, simhash, toxicity, urls
 from .common import remainder, stored, table, utf8
 
 
@@ -129,6 +129,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return lexical.rank(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -142,5 +147,6 @@ QUERIES = {
         op8_chat,
         op9_urls,
         op10_simhash,
+        op12_lexical_search,
     )
 }
