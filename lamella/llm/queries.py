@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, counting, embeddings, langid, lexical, media, mixing, packing, simhash, spelling, toxicity, urls
+from . import chat, counting, embeddings, langid, lexical, media, mixing, packing, recurrent, simhash, spelling, toxicity, urls
 from .common import remainder, stored, table, utf8
 
 
@@ -129,6 +129,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hexadecimal(F.col("fingerprint")).alias("fingerprint"), "component_id")
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder(F.col("doc_id"), 5) == 1
+    scored = recurrent.score(table(spark, sf_dir, "documents", "doc_id", "text"), ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return lexical.rank(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -151,6 +157,7 @@ QUERIES = {
         op8_chat,
         op9_urls,
         op10_simhash,
+        op11_lm_scoring,
         op12_lexical_search,
         op13_spelling_variants,
     )

@@ -896,11 +896,12 @@ def test_deduplicate_keeps_one_row_a_group(spark):
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "conversations"):
+    for t in ("documents", "embeddings", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
     other = con.execute(oracle.SQL[name]).df()
     mine = queries.QUERIES[name](spark, sf_dir).toPandas()
-    key = lambda df: sorted(tuple(str(round(v, 6) if isinstance(v, float) else v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
+    value = lambda v: None if v is None or v != v else round(float(v), 6) if isinstance(v, (float, int, np.number)) else v
+    key = lambda df: sorted(tuple(str(value(v)) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(mine.columns) == sorted(other.columns) and key(mine) == key(other)
 
 
