@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from . import tokens
 from .common import add_columns, components, cut, renamed, stored, utf8
+from .embeddings import roots
 
 SHINGLE = 3
 SEED = 42
@@ -24,12 +25,18 @@ STEP = 1 << 14
 WORDS, SIMILARITY = 5, 0.8
 #: 64-bit parts of a wide fingerprint, and the share of just similar pairs that may share no segment.
 PARTS, MISSED = 8, 0.01
-#: Texts after each in a segment's order that it is compared with; as many of a segment, its first ones, are all compared.
-NEXT, FIRST = 2, 9
-#: Segments of the first round; the others then compare only what it left in different components.
-EARLY = 8
-#: Standard deviations that the radius allows for.
-DEVIATIONS = 2.5
+#: Texts after each in a segment's order that the first look compares it with, and its segments.
+NEXT, EARLY = 2, 8
+#: Standard deviations that a radius allows for: 1 in 4000 of the pairs just at the threshold is beyond it.
+DEVIATIONS = 3.5
+#: Columns of texts that meet, and texts of a segment that one task compares with each other.
+MET, BLOCK = ("segment", "node", "first", "second", "size", "component"), 2048
+#: Candidates a text above which a segment's texts are a crowd, and texts and shingles of a crowd's block.
+MANY, CROWD, SHINGLES = 4, 1024, 1 << 20
+#: Pairs that share a hash, above which it is a column of a matrix.
+RARE = 64
+#: Kinds of findings.
+PAIR, LEFT, CROWDED = 0, 1, 2
 
 
 def fingerprint(text: bytes, words: int = SHINGLE) -> int:
@@ -134,8 +141,10 @@ def wide(text: bytes, words: int) -> list[int] | None:
     return out
 
 
-def text_hash(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+def text_hashes(text: str) -> dict[str, Column]:
+    """128 bits that stand for a whole text."""
+    x = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    return {"h1": F.xxhash64(x), "h2": F.xxhash64(F.lit(1), x)}
 
 
 def samples(n: int, similarity: float) -> tuple[int, int, Callable[[int], int]]:
@@ -150,78 +159,221 @@ def samples(n: int, similarity: float) -> tuple[int, int, Callable[[int], int]]:
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = min(max(math.ceil(math.log2(max(n, 2))), 8), 48)
-    tables = max(math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** bits))), EARLY + 1)
+    tables = max(math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** bits))), 1)
     return bits, tables, lambda size: math.ceil(size * p + DEVIATIONS * math.sqrt(size * p * (1 - p)))
 
 
-def candidates(prints: DataFrame, similarity: float, bits: int, radius: Callable[[int], int], which: range, shuffled: bool) -> DataFrame:
-    """Pairs ``a < b`` of nodes that share one of the segments ``which`` and whose fingerprints are within the radius.
+def spread(prints: DataFrame, bits: int, which: range) -> DataFrame:
+    """``segment, node, first, second, size, component``: each node in each of the segments ``which``, with 128 of its bits."""
 
-    The first 128 bits ride along with the segments; the others are looked up for
-    the pairs that these leave, and their sizes (numbers of shingles), of which
-    the smaller must be ``similarity`` of the other.
-
-    ``prints`` has ``node, parts, size, component``, each node once; nodes of one
-    component are no pair. The first ``FIRST`` texts of a segment are all
-    compared (chance brings fewer together), further ones, which are families
-    of copies, with the ``NEXT`` ones before them. So rows grow with the texts
-    and not with their pairs. The order within a segment is that of the nodes
-    or, ``shuffled``, another in each.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picks = {t: np.random.default_rng([SEED, t]).choice(64 * PARTS, bits, replace=False) for t in which}
         weights = 1 << np.arange(bits, dtype=np.int64)
-        names = ["segment", "node", "first", "second", "component"]
         for whole in batches:
             for i in range(0, len(whole), 2048):
                 b = whole.slice(i, 2048)
-                node, component = b.column(0).to_numpy(), b.column(2).to_numpy()
+                node, size, component = (b.column(c).to_numpy() for c in (0, 2, 3))
                 parts = np.array(b.column(1).to_pylist(), "<i8")
                 ones = np.unpackbits(parts.view(np.uint8), axis=1, bitorder="little")
                 for t, pick in picks.items():
                     segment = (ones[:, pick] @ weights) + (t << bits)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (segment, node, parts[:, 0].copy(), parts[:, 1].copy(), component)], names=names)
+                    columns = (segment, node, parts[:, 0].copy(), parts[:, 1].copy(), size, component)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=list(MET))
+
+    return prints.select("node", "parts", "size", "component").mapInArrow(make, ", ".join(f"{c} long" for c in MET))
 
+
+def chains(prints: DataFrame, bits: int, radius: Callable[[int], int], similarity: float) -> DataFrame:
+    """Candidates from ``EARLY`` segments, each text with the ``NEXT`` after it: enough to link most of a family of copies.
+
+    Nothing rests on what this leaves out: ``meetings`` looks at all pairs.
+    """
     near = radius(128)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [np.zeros(0, np.int64)] * 6
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.zeros(0, np.int64)] * 5
         for b in batches:
-            fresh = [c.to_numpy() for c in b.columns]
-            at = np.arange(len(b))
-            begin = np.maximum.accumulate(np.where(np.r_[True, fresh[0][1:] != fresh[0][:-1]], at, 0)) if len(b) else at
-            place = at - begin  # of each row in its segment
-            if len(tail[0]) and len(b) and tail[0][-1] == fresh[0][0]:
-                place[begin == 0] += tail[5][-1] + 1
-            segment, node, first, second, component, place = (np.concatenate([t, c]) for t, c in zip(tail, [*fresh, place]))
-            tail = [x[1 - FIRST :] for x in (segment, node, first, second, component, place)]
-            old = len(segment) - len(b)  # these have met each other before
-            found = []
-            for k in range(1, FIRST):
-                at = np.arange(max(old - k, 0), len(segment) - k)
-                at = at[(segment[at] == segment[at + k]) & (component[at] != component[at + k]) & ((k <= NEXT) | (place[at + k] < FIRST))]
+            segment, node, first, second, size = (np.concatenate([t, c.to_numpy()]) for t, c in zip(tail, b.columns))
+            old = len(tail[0])
+            tail = [x[-NEXT:] for x in (segment, node, first, second, size)]
+            for k in range(1, NEXT + 1):
+                at = np.arange(max(old - k, 0), max(len(segment) - k, 0))
                 differ = sum(np.bitwise_count((x[at] ^ x[at + k]).view(np.uint64)) for x in (first, second))
-                at = at[differ <= near]
-                found.append(np.column_stack([node[at], node[at + k]]))
-            pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
-
-    rows = prints.select("node", "parts", "component").mapInArrow(spread, "segment long, node long, first long, second long, component long")
-    order = F.xxhash64("segment", "node") if shuffled else F.col("node")
-    dealt = rows.repartition("segment").sortWithinPartitions("segment", order)
-    met = dealt.mapInArrow(meet, "a long, b long").where("a <> b").distinct()
+                at = at[(segment[at] == segment[at + k]) & (differ <= near) & alike(size[at], size[at + k], similarity)]
+                a, b2 = node[at], node[at + k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b2)), pa.array(np.maximum(a, b2))], names=["a", "b"])
+
+    dealt = spread(prints, bits, range(EARLY)).drop("component").repartition("segment").sortWithinPartitions("segment", "node")
+    return dealt.mapInArrow(make, "a long, b long").where("a <> b").distinct()
+
+
+def alike(m: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes can have that Jaccard similarity."""
+    return np.minimum(m, n) >= similarity * np.maximum(m, n)
+
+
+class Side:
+    """Texts that met, as columns; ``order`` is that of the columns of ``MET``."""
+
+    def __init__(self, columns: list[np.ndarray]):
+        _, self.node, self.first, self.second, self.size, self.component = columns
+
+    def against(self, other: Side, near: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """Places of all pairs (once each, if ``other`` is this side) of different components that bits and sizes let pass."""
+        left, right = [], []
+        for a in range(0, len(self.node), 256):
+            part = slice(a, a + 256)
+            differ = np.bitwise_count((self.first[part, None] ^ other.first[None]).view(np.uint64))
+            differ += np.bitwise_count((self.second[part, None] ^ other.second[None]).view(np.uint64))
+            good = (differ <= near) & (self.component[part, None] != other.component[None])
+            i, j = np.nonzero(good)
+            i += a
+            if other is self:
+                i, j = i[i < j], j[i < j]
+            some = alike(self.size[i], other.size[j], similarity)
+            left.append(i[some])
+            right.append(j[some])
+        return np.concatenate(left), np.concatenate(right)
+
+    def blocks(self) -> np.ndarray:
+        """A block number for each text: blocks of ``CROWD`` texts and ``SHINGLES`` shingles at most (a longer text is one alone)."""
+        out, block, n, total = np.zeros(len(self.node), np.int64), 0, 0, 0
+        for i, size in enumerate(self.size.tolist()):
+            if n and (n == CROWD or total + size > SHINGLES):
+                block, n, total = block + 1, 0, 0
+            out[i], n, total = block, n + 1, total + size
+        return out
+
+
+def compared(left: Side, right: Side, name: tuple, near: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Candidates of two sides (or one with itself): as pairs where they are few, else as groups whose shingles are to be compared."""
+    i, j = left.against(right, near, similarity)
+    if len(i) <= MANY * (len(left.node) + len(right.node)):
+        a, b = left.node[i], right.node[j]
+        yield found(PAIR, np.minimum(a, b), np.maximum(a, b))
+        return
+    p, q = left.blocks(), right.blocks()
+    for x, y in np.unique(np.column_stack([p[i], q[j]]), axis=0).tolist():
+        met = (p[i] == x) & (q[j] == y)
+        group = hash((*name, x, y))  # of integers: the same in every process
+        for side, who, at in ((0, left, np.unique(i[met])), (1, right, np.unique(j[met]))):
+            yield found(CROWDED, np.full(len(at), group), who.node[at], side=np.full(len(at), side), component=who.component[at])
+
+
+def found(kind: int, a: np.ndarray, b: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    none = np.zeros(len(a), np.int64)
+    columns = {"kind": np.full(len(a), kind), "a": a, "b": b, **{c: more.get(c, none) for c in ("side", "first", "second", "size", "component")}}
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in columns.values()], names=list(columns))
+
+
+FOUND = "kind long, a long, b long, side long, first long, second long, size long, component long"
+
+
+def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radius: Callable[[int], int]) -> tuple[DataFrame, DataFrame]:
+    """What all pairs of different components in all segments leave: pairs ``a, b``, and crowds ``group, side, node, component``.
+
+    ``prints`` has ``node, parts, size, component``, each node once. A task
+    compares the texts of a segment by 128 bits and their sizes. Segments of more
+    than ``BLOCK`` texts are handed on in blocks, of which every two (but those
+    of one and the same component) meet in another task. Where candidates are
+    many, as among pages of one template, the texts go on as a group instead of
+    the pairs: rows grow with the texts.
+    """
+    near = radius(128)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block = [np.zeros(0, np.int64)] * len(MET), 0  # of one segment: what its earlier blocks left
+
+        def end(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            """One segment, whole."""
+            if len(rows[0]) > 1 and rows[5][0] != rows[5][-1]:  # sorted by component
+                side = Side(rows)
+                yield from compared(side, side, (int(rows[0][0]),), near, similarity)
+
+        def hand_on(rows: list[np.ndarray], number: int) -> pa.RecordBatch:
+            segment, node, one, two, size, component = rows
+            return found(LEFT, segment, node, side=np.full(len(node), number), first=one, second=two, size=size, component=component)
+
+        for b in batches:
+            rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
+            bounds = np.r_[0, np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, len(rows[0])] if len(rows[0]) else np.zeros(1, int)
+            sizes = np.diff(bounds)
+            for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == len(sizes) - 1) | (np.arange(len(sizes)) == 0)):
+                part = [x[bounds[k] : bounds[k + 1]] for x in rows]
+                last = k == len(sizes) - 1
+                while len(part[0]) > BLOCK:
+                    yield hand_on([x[:BLOCK] for x in part], block)
+                    part, block = [x[BLOCK:] for x in part], block + 1
+                if last:
+                    held = part
+                elif block:
+                    yield hand_on(part, block)
+                    block = 0
+                else:
+                    yield from end(part)
+        if block:
+            yield hand_on(held, block)
+        else:
+            yield from end(held)
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def end() -> Iterator[pa.RecordBatch]:
+            sides = np.concatenate([h[0] for h in held])
+            rows = [np.concatenate([h[k] for h in held]) for k in range(1, 7)]
+            left, right = (Side([x[sides == s] for x in rows]) for s in (0, 1))
+            yield from compared(left, right if len(right.node) else left, now, near, similarity)
+
+        for b in batches:
+            keys = np.column_stack([b.column(c).to_numpy() for c in range(3)])
+            bounds = np.r_[0, np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, len(b)] if len(b) else np.zeros(1, int)
+            for u, v in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                key = tuple(keys[u].tolist())
+                if key != now and held:
+                    yield from end()
+                    held = []
+                now = key
+                held.append([b.column(c).to_numpy()[u:v] for c in (3, 0, 4, 5, 6, 7, 8)])
+        if held:
+            yield from end()
+
+    dealt = spread(prints, bits, range(tables)).repartition("segment").sortWithinPartitions("segment", "component", "node")
+    met = cut(dealt.mapInArrow(first, FOUND))
+    rest = met.where(F.col("kind") == LEFT).select(F.col("a").alias("segment"), F.col("side").alias("block"), F.col("b").alias("node"), "first", "second", "size", "component")
+    blocks = rest.groupBy("segment", "block").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    i, j = (blocks.select("segment", *[F.col(c).alias(f"{c}_{x}") for c in ("block", "low", "high")]) for x in "ij")
+    apart = ~((F.col("low_i") == F.col("high_i")) & (F.col("low_j") == F.col("high_j")) & (F.col("low_i") == F.col("low_j")))
+    pairs = i.join(j, "segment").where((F.col("block_i") <= F.col("block_j")) & apart).select("segment", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.lit(0).cast("long").alias("side"), F.col("i").alias("block")))).otherwise(
+        F.array(*[F.struct(F.lit(k).cast("long").alias("side"), F.col(c).alias("block")) for k, c in enumerate("ij")])
+    )
+    asked = pairs.withColumn("x", F.explode(sides)).select("segment", "i", "j", "x.side", "x.block")
+    more = rest.join(asked, ["segment", "block"]).select("segment", "i", "j", "side", "node", "first", "second", "size", "component")
+    more = cut(more.repartition("segment", "i", "j").sortWithinPartitions("segment", "i", "j", "side", "component").mapInArrow(second, FOUND))
+    both = met.where(F.col("kind") != LEFT).unionByName(more)
+    few = both.where(F.col("kind") == PAIR).select("a", "b").distinct()
+    return few, both.where(F.col("kind") == CROWDED).select(F.col("a").alias("group"), "side", F.col("b").alias("node"), "component")
+
+
+def closer(pairs: DataFrame, prints: DataFrame, similarity: float, radius: Callable[[int], int]) -> DataFrame:
+    """Those of the pairs whose sizes and whole fingerprints are within the radius."""
     own = lambda side: prints.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}"), F.col("size").alias(f"size_{side}"))
     differ = sum((F.bit_count(F.col("parts_a")[k].bitwiseXOR(F.col("parts_b")[k])) for k in range(PARTS)), F.lit(0))
-    alike = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
-    return met.join(own("a"), "a").join(own("b"), "b").where(alike & (differ <= radius(64 * PARTS))).select("a", "b")
+    fits = F.least("size_a", "size_b") >= similarity * F.greatest("size_a", "size_b")
+    return pairs.join(own("a"), "a").join(own("b"), "b").where(fits & (differ <= radius(64 * PARTS))).select("a", "b")
 
 
-def similar(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs of text hashes ``a, b`` whose texts' shingles have that Jaccard similarity at least, exactly."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.select(text_hash(text).alias("node"), utf8(F.col(f"`{text}`")).alias("t")).join(nodes, "node", "left_semi")
-    texts = texts.groupBy("node").agg(F.min("t").alias("t"))
+def texts_of(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """``node, t``: the text of each node, once."""
+    known = prints.select("h1", "h2", "node").join(nodes.distinct(), "node")
+    private = docs.select(*[c.alias(n) for n, c in text_hashes(text).items()], utf8(F.col(f"`{text}`")).alias("t"))
+    return private.join(known, ["h1", "h2"]).groupBy("node").agg(F.min("t").alias("t"))
+
+
+def similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs of nodes ``a, b`` whose texts' shingles have that Jaccard similarity at least, exactly."""
+    texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), prints, docs, text)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
@@ -240,19 +392,87 @@ def similar(pairs: DataFrame, docs: DataFrame, text: str, words: int, similarity
     return pairs.join(right, "b").join(left, "a").select("a", "b", "s", "t").mapInArrow(check, "a long, b long")
 
 
-def row_hash(docs: DataFrame) -> Column:
-    """A hash of a whole row; nulls count by their place, maps and the like can't be hashed and are left out."""
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes (different within each list entry) every two of the left and the right share."""
+    n, m = len(left), len(right)
+    sizes = [len(x) for x in (*left, *right)]
+    every, who = np.concatenate([*left, *right]), np.repeat(np.arange(n + m), sizes)
+    order = np.argsort(every, kind="stable")  # within equal hashes: the left ones first
+    every, who = every[order], who[order]
+    begin = np.flatnonzero(np.r_[True, every[1:] != every[:-1]]) if len(every) else np.zeros(0, np.int64)
+    of_left = np.add.reduceat((who < n).astype(np.int64), begin) if len(begin) else begin
+    of_right = np.diff(np.r_[begin, len(every)]) - of_left
+    out = np.zeros(n * m, np.int64)
+    shared = of_left * of_right
+    rare = np.flatnonzero((shared > 0) & (shared <= RARE))
+    for k in range(0, len(rare), 1 << 14):  # each pair of each rare hash
+        at = rare[k : k + (1 << 14)]
+        times = shared[at]
+        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        run, width = np.repeat(begin[at], times), np.repeat(of_right[at], times)
+        a = who[run + inside // width]
+        b = who[run + np.repeat(of_left[at], times) + inside % width] - n
+        out += np.bincount(a * m + b, minlength=n * m)
+    out = out.reshape(n, m)
+    often = np.flatnonzero(shared > RARE)
+    for k in range(0, len(often), 512):  # frequent hashes as columns of ones
+        at = often[k : k + 512]
+        ones = np.zeros((n + m, len(at)), np.float32)
+        for c, h in enumerate(at.tolist()):
+            ones[who[begin[h] : begin[h] + of_left[h] + of_right[h]], c] = 1
+        out += (ones[:n] @ ones[n:].T).astype(np.int64)
+    return out
+
+
+def crowded(groups: DataFrame, prints: DataFrame, docs: DataFrame, text: str, words: int, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join what the exact similarities within each group (``group, side, node, component``) join."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        tokens.forget()
+        now, held = None, ([], [])
+
+        def end() -> pa.RecordBatch:
+            left, right = held
+            both = common([x for _, _, x in left], [x for _, _, x in right])
+            (na, ca, sa), (nb, cb, sb) = ([np.array(v, np.int64) for v in ([t[0] for t in s], [t[1] for t in s], [len(t[2]) for t in s])] for s in held)
+            good = (both >= similarity * (sa[:, None] + sb[None] - both)) & (ca[:, None] != cb[None])
+            i, j = np.nonzero(good)
+            ids, at = np.unique(np.r_[na[i], nb[j]], return_inverse=True)
+            root = roots(len(ids), at[: len(i)], at[len(i) :])
+            return pa.RecordBatch.from_arrays([pa.array(ids[root]), pa.array(ids)], names=["a", "b"])
+
+        for b in batches:
+            for group, side, node, component, t in zip(*(c.to_pylist() for c in b.columns)):
+                if group != now and (held[0] or held[1]):
+                    yield end()
+                    held = ([], [])
+                now = group
+                held[side].append((node, component, np.array([xxh64_intdigest(x, SEED) for x in shingles(t, words)], np.uint64)))
+        if held[0] or held[1]:
+            yield end()
+
+    texts = texts_of(groups.select("node"), prints, docs, text)
+    met = groups.join(texts, "node").select("group", "side", "node", "component", "t")
+    return met.repartition("group").sortWithinPartitions("group", "side").mapInArrow(check, "a long, b long").where("a <> b").distinct()
+
+
+def row_hashes(docs: DataFrame) -> dict[str, Column]:
+    """128 bits that stand for a whole row; nulls count by their place, maps and the like can't be hashed and are left out."""
     odd = ("map<", "variant")
     names = [F.col(f"`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in odd)]
-    return F.xxhash64(*[x for c in names for x in (c, c.isNull())])
+    own = [x for c in names for x in (c, c.isNull())]
+    return {"__r1": F.xxhash64(*own), "__r2": F.xxhash64(F.lit(1), *own)}
 
 
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """``key, row, first, node`` of every document, and ``node, component`` of the nodes linked by similar texts.
+    """``key, __r1, __r2, first, h1, h2, node`` of every document, and ``node, component`` of the nodes linked by similar texts.
 
-    ``row`` is the hash of the row, ``first`` 64 bits of the fingerprint and
-    ``node`` the hash of the text, 0 without words. Equal texts, and all
-    without words, are one node, so thousands of copies cost what one does.
+    ``__r1`` and ``__r2`` stand for the row, ``h1`` and ``h2`` for the text (128
+    bits each), ``first`` are 64 bits of the fingerprint; a node is a number
+    that each different text is given, -1 for all without words (null and
+    empty texts among them). So thousands of copies cost what one does, and
+    repeated rows and keys are rows of their own. An empty table gives two.
     """
 
     def make():
@@ -263,20 +483,23 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
 
         return f
 
-    base = docs.select(F.col(f"`{key}`").alias("key"), row_hash(docs).alias("row"), text_hash(text).alias("node"), F.col(f"`{text}`").alias("__text"))
+    own = {**row_hashes(docs), **text_hashes(text)}
+    base = docs.select(F.col(f"`{key}`").alias("key"), *[c.alias(n) for n, c in own.items()], F.col(f"`{text}`").alias("__text"))
     marked = add_columns(base, {"bytes": utf8(F.col("__text"))}, [T.StructField("parts", T.ArrayType(T.LongType()))], make).drop("__text")
-    marked = marked.withColumns({"size": F.col("parts")[0], "parts": F.slice("parts", 2, PARTS), "node": F.when(F.col("parts").isNull(), 0).otherwise(F.col("node"))})
-    kept = stored(marked)
-    prints = cut(kept.where(F.col("parts").isNotNull()).groupBy("node").agg(F.min("parts").alias("parts"), F.min("size").alias("size")).withColumn("component", F.col("node")))
+    kept = stored(marked.withColumns({"size": F.col("parts")[0], "parts": F.slice("parts", 2, PARTS)}))
+    prints = kept.where(F.col("parts").isNotNull()).groupBy("h1", "h2").agg(F.min("parts").alias("parts"), F.min("size").alias("size"))
+    prints = stored(prints.withColumn("node", F.monotonically_increasing_id()))  # given once and written with them
     bits, tables, radius = samples(prints.count(), similarity)
-    # Families of copies are linked by a few segments; the others then look only for links between what is still apart.
-    linked = cut(similar(cut(candidates(prints, similarity, bits, radius, range(EARLY), False)), docs, text, words, similarity))
+    # Most of a family of copies is linked by a few segments; then all pairs of all segments that are still apart are looked at.
+    alone = prints.withColumn("component", F.col("node"))
+    linked = cut(similar(cut(closer(chains(alone, bits, radius, similarity), prints, similarity, radius)), prints, docs, text, words, similarity))
     part = components(linked)
-    apart = prints.drop("component").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    more = similar(cut(candidates(apart, similarity, bits, radius, range(EARLY, tables), True)), docs, text, words, similarity)
-    part = components(linked.unionByName(more))
-    rows = kept.select("key", "row", F.coalesce(F.col("parts")[0], F.lit(0).cast("long")).alias("first"), "node")
-    return rows, part
+    apart = stored(prints.join(part, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    few, crowds = meetings(apart, similarity, bits, tables, radius)
+    more = similar(cut(closer(few, prints, similarity, radius)), prints, docs, text, words, similarity)
+    part = components(linked.unionByName(more).unionByName(crowded(crowds, prints, docs, text, words, similarity)))
+    rows = kept.join(prints.select("h1", "h2", "node"), ["h1", "h2"], "left")
+    return rows.select("key", "__r1", "__r2", F.coalesce(F.col("parts")[0], F.lit(0).cast("long")).alias("first"), "h1", "h2", F.coalesce("node", F.lit(-1).cast("long")).alias("node")), part
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -288,14 +511,14 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     are one component. Columns keep their names, whatever they are; an empty
     table gives an empty one.
     """
-    order = F.struct(F.col("key").isNull(), "key", "first", "node", "row")
+    order = F.struct(F.col("key").isNull(), "key", "first", "h1", "h2", "__r1", "__r2")
     rows, part = copies(docs, key, text, words, similarity)
     least = rows.groupBy("node").agg(F.min(order).alias("o")).join(part, "node", "left")
-    stay = least.groupBy(F.coalesce("component", "node")).agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
+    stay = least.groupBy(F.coalesce("component", "node")).agg(F.min("o").alias("o")).select("o.__r1", "o.__r2")
     # Repeated rows become one in each task before any text is moved; the join (each row of it once) finds them where they are.
     private, _, own = renamed(docs)
-    marked = private.withColumn("__row", row_hash(private)).dropDuplicates(["__row"])
-    return own(marked.join(stay, "__row"))
+    marked = private.withColumns(row_hashes(private)).dropDuplicates(["__r1", "__r2"])
+    return own(marked.join(stay, ["__r1", "__r2"]))
 
 
 def hexadecimal(x: Column) -> Column:
