@@ -31,6 +31,8 @@ NEXT, EARLY = 2, 8
 DEVIATIONS = 3.5
 #: Columns of texts that meet, and texts of a segment that one task compares with each other.
 MET, BLOCK = ("segment", "node", "first", "second", "size", "component"), 2048
+#: Texts of segments whose pairs are looked at many segments together.
+SMALL = 16
 #: Candidates a text above which a segment's texts are a crowd, and texts and shingles of a crowd's block.
 MANY, CROWD, SHINGLES = 4, 1024, 1 << 20
 #: Pairs that share a hash, above which it is a column of a matrix.
@@ -290,6 +292,19 @@ def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radiu
                 side = Side(rows)
                 yield from compared(side, side, (int(rows[0][0]),), near, similarity)
 
+        def pairs(rows: list[np.ndarray], at: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """The candidates of many small segments together: each of the rows ``at`` with the k-th after it in its segment."""
+            segment, node, one, two, size, component = rows
+            for k in range(1, SMALL):
+                at = at[at + k < len(segment)]
+                at = at[segment[at] == segment[at + k]]
+                if not len(at):
+                    return
+                differ = sum(np.bitwise_count((x[at] ^ x[at + k]).view(np.uint64)) for x in (one, two))
+                good = at[(differ <= near) & (component[at] != component[at + k]) & alike(size[at], size[at + k], similarity)]
+                a, b = node[good], node[good + k]
+                yield found(PAIR, np.minimum(a, b), np.maximum(a, b))
+
         def hand_on(rows: list[np.ndarray], number: int) -> pa.RecordBatch:
             segment, node, one, two, size, component = rows
             return found(LEFT, segment, node, side=np.full(len(node), number), first=one, second=two, size=size, component=component)
@@ -298,7 +313,12 @@ def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radiu
             rows = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, b.columns)]
             bounds = np.r_[0, np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1, len(rows[0])] if len(rows[0]) else np.zeros(1, int)
             sizes = np.diff(bounds)
-            for k in np.flatnonzero((sizes > 1) | (np.arange(len(sizes)) == len(sizes) - 1) | (np.arange(len(sizes)) == 0)):
+            few = (sizes > 1) & (sizes <= SMALL)
+            few[-1:] = False  # may go on
+            few[:1] &= block == 0
+            if few.any():
+                yield from pairs(rows, np.flatnonzero(np.repeat(few, sizes)))
+            for k in np.flatnonzero((sizes > SMALL) | (np.arange(len(sizes)) == len(sizes) - 1) | ((np.arange(len(sizes)) == 0) & (block > 0))):
                 part = [x[bounds[k] : bounds[k + 1]] for x in rows]
                 last = k == len(sizes) - 1
                 while len(part[0]) > BLOCK:
