@@ -6,6 +6,7 @@ import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,6 +20,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` to be broadcast if it has ``most`` rows at most (counted first), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a small ``df`` in the shared folder and drop its lineage; Spark removes the files with the frame."""
     shared_folder(df.sparkSession)

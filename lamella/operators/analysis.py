@@ -24,8 +24,8 @@ def fractions(cells: DataFrame, sample: str, cluster: str) -> DataFrame:
 
 
 def quartiles(cells: DataFrame, column: str, cluster: str = "cluster") -> DataFrame:
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return cells.groupBy(cluster).agg(q.alias("q")).select(cluster, *[F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)])
+    """Quartiles of each cluster, by ranges: a cluster of any size is no task's."""
+    return quantiles(cells, column, [0.25, 0.5, 0.75], [cluster]).select(cluster, *[F.col("q")[i].alias(f"q{25 * (i + 1)}") for i in range(3)])
 
 
 def winsorize(df: DataFrame, column: str, low: float = 0.01, high: float = 0.99) -> DataFrame:

@@ -7,17 +7,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import clean, confidence, distance2, lot
 from ..functions.ranks import ranked
+from ..functions.shared import cut
 
 #: Columns that are never features, in any case of letters; ``pca_*`` neither.
 NOT_FEATURES = (
     "cell_id", "tile_x", "tile_y", "label", "local_x", "local_y", "x", "y", "centroid_x", "centroid_y", "cluster", "confidence",
     "source_csv", "__source_csv",
 )
+UNEQUAL = "vectors of different lengths"
 #: Vectors in a block of the silhouette; a task compares two blocks.
 BLOCK = 2048
 
@@ -34,9 +37,17 @@ def vectors(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
-    """A column of equally long arrays as rows."""
-    n = len(column)
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    """A column of equally long arrays as rows, without its null ones; arrays of different lengths are an error."""
+    column = column.drop_null() if column.null_count else column
+    n, lengths = len(column), column.value_lengths().to_numpy(zero_copy_only=False)
+    if n and (lengths != lengths[0]).any():
+        raise ValueError(UNEQUAL)
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, lengths[0] if n else 0)
+
+
+def equal(expr: Column) -> Column:
+    """``expr`` of rows with a number of dimensions ``d``, all of which must have the same."""
+    return F.when(F.min("d") != F.max("d"), F.raise_error(F.lit(UNEQUAL))).otherwise(expr)
 
 
 def products(points: DataFrame) -> DataFrame:
@@ -44,6 +55,8 @@ def products(points: DataFrame) -> DataFrame:
 
     Each task sums its own deviations from its own means and gives one row for
     each two dimensions; these add up exactly, whatever the number of rows.
+    Null vectors don't count; vectors of different lengths are an error,
+    wherever they lie. No vectors, no rows.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,6 +67,8 @@ def products(points: DataFrame) -> DataFrame:
                 continue
             m = x.mean(axis=0)
             own = (x - m).T @ (x - m)
+            if mean is not None and len(mean) != len(m):
+                raise ValueError(UNEQUAL)
             if mean is None:
                 n, mean, c = len(x), m, own
             else:
@@ -62,19 +77,55 @@ def products(points: DataFrame) -> DataFrame:
                 mean, n = mean + shift * (len(x) / total), total
         if mean is not None:
             i, j = np.triu_indices(len(mean))
-            columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), mean[i], mean[j], c[i, j]]
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["i", "j", "n", "a", "b", "c"])
+            columns = [i.astype(np.int32), j.astype(np.int32), np.full(len(i), n), mean[i], mean[j], c[i, j], np.full(len(i), len(mean))]
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=["i", "j", "n", "a", "b", "c", "d"])
 
-    rows = points.select("v").mapInArrow(partial, "i int, j int, n long, a double, b double, c double")
+    rows = points.select("v").mapInArrow(partial, "i int, j int, n long, a double, b double, c double, d long")
     n, a, b = F.sum("n"), F.sum(F.col("n") * F.col("a")), F.sum(F.col("n") * F.col("b"))
     between = F.sum(F.col("n") * F.col("a") * F.col("b")) - a * b / n
-    return rows.groupBy("i", "j").agg(n.alias("n"), (a / n).alias("mean_i"), (b / n).alias("mean_j"), (F.sum("c") + between).alias("c"))
+    return rows.groupBy("i", "j").agg(equal(n).alias("n"), (a / n).alias("mean_i"), (b / n).alias("mean_j"), (F.sum("c") + between).alias("c"))
+
+
+def sums(points: DataFrame, by: str | None = None) -> DataFrame:
+    """``by, dim, n, mean, within``: mean and sum of squared deviations of every dimension, in each group of ``by`` or over all.
+
+    Each task gives a row for each group and dimension that it met. Null
+    vectors don't count; vectors of different lengths are an error.
+    """
+    group = F.col(by) if by else F.lit(0)
+    rows = points.select(group.alias("g"), "v").where(F.col("v").isNotNull())
+    kind = dict(rows.dtypes)["g"]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for b in batches:
+            x = matrix_of(b.column(1))
+            coded = b.column(0).dictionary_encode()
+            groups, at = coded.dictionary.to_pylist(), coded.indices.fill_null(-1).to_numpy()
+            for k in np.unique(at).tolist():
+                own = x[at == k]
+                m = own.mean(axis=0)
+                n, mean, c = held.get(g := None if k < 0 else groups[k], (0, m, np.zeros(len(m))))
+                if len(mean) != len(m):
+                    raise ValueError(UNEQUAL)
+                total, shift = n + len(own), m - mean
+                held[g] = total, mean + shift * (len(own) / total), c + ((own - m) ** 2).sum(axis=0) + shift**2 * (n * len(own) / total)
+        out = [(g, i, n, float(m), float(w), len(mean)) for g, (n, mean, c) in held.items() for i, (m, w) in enumerate(zip(mean, c))]
+        columns = list(zip(*out)) if out else [[]] * 6
+        kinds = (fields[0].type, pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["g", "dim", "n", "m", "w", "d"])
+
+    fields = to_arrow_schema(rows.schema)
+    told = rows.mapInArrow(partial, f"g {kind}, dim int, n long, m double, w double, d long")
+    n, total = F.sum("n"), F.sum(F.col("n") * F.col("m"))
+    between = F.sum(F.col("n") * F.col("m") * F.col("m")) - total * total / n
+    return told.groupBy("g", "dim").agg(equal(n).alias("n"), (total / n).alias("mean"), (F.sum("w") + between).alias("within")).withColumnRenamed("g", by or "__all")
 
 
 def moments(points: DataFrame) -> DataFrame:
     """Mean and population standard deviation of every dimension (0 counts as 1): one row a dimension."""
-    std = F.sqrt(F.greatest(F.col("c") / F.col("n"), F.lit(0.0)))
-    return products(points).where("i = j").select(F.col("i").alias("dim"), F.col("mean_i").alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
+    std = F.sqrt(F.greatest(F.col("within") / F.col("n"), F.lit(0.0)))
+    return sums(points).select("dim", "mean", F.when(std == 0, 1.0).otherwise(std).alias("std"))
 
 
 def zscore(points: DataFrame) -> DataFrame:
@@ -92,10 +143,13 @@ def covariance(points: DataFrame) -> DataFrame:
 def pca(points: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
     """Scores on the first components of centred vectors (largest loading positive) and their shares of the variance.
 
-    The d x d products are all that reaches the driver.
+    The d x d products are all that reaches the driver. Null vectors have null
+    scores; without any vector there are no shares.
     """
     rows = products(points).collect()
     d = max((r["j"] for r in rows), default=-1) + 1
+    if not d:
+        return points, np.zeros(0)
     c, mean = np.zeros((d, d)), np.zeros(d)
     for r in rows:
         c[r["i"], r["j"]] = c[r["j"], r["i"]] = r["c"] / max(r["n"] - 1, 1)
@@ -135,9 +189,8 @@ def assign(points: DataFrame, centres: DataFrame) -> DataFrame:
 
 def update(assigned: DataFrame, centres: DataFrame) -> DataFrame:
     """Means of the members; an empty cluster keeps its centre."""
-    cells = assigned.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
-    means = cells.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("mean"))
-    return centres.join(means, F.col("c") == F.col("cluster"), "left").select("c", F.coalesce("mean", "centre").alias("centre"))
+    means = sums(assigned, "cluster").groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("__mean"))
+    return centres.join(means, F.col("c") == F.col("cluster"), "left").select("c", F.coalesce("__mean", "centre").alias("centre"))
 
 
 def inertia(assigned: DataFrame) -> DataFrame:
@@ -157,11 +210,16 @@ def kmeans(points: DataFrame, k: int, seed: int = 42, n_init: int = 5, max_iter:
     A start ends when no label changes (the first assignment of all zeros counts
     as unchanged). All starts share each pass over the points, so there are
     ``max_iter`` passes at most; a pass gives k x d sums for each start, which
-    Spark adds up. Ids are unique.
+    Spark adds up. Ids are unique. The points are written once, so that a lost
+    executor costs their reading. Null vectors are left out; without any other
+    there are no centres and no rows.
     """
     spark = points.sparkSession
-    points = points.select("id", "v").persist()
+    points = cut(points.select("id", "v").where(F.col("v").isNotNull()))
     n = points.count()
+    if not n:
+        empty = points.withColumns({"cluster": F.lit(0), **{c: F.lit(0.0) for c in ("d1", "d2", "confidence")}})
+        return empty, np.zeros((0, 0))
     rng = np.random.default_rng(seed)
     draws = [rng.choice(n, size=min(k, n), replace=False) for _ in range(max(1, n_init))]
     rows = chosen_rows(points, sorted({int(i) for d in draws for i in d}))
@@ -215,7 +273,6 @@ def kmeans(points: DataFrame, k: int, seed: int = 42, n_init: int = 5, max_iter:
                 ended[s] = (costs[s], now.pop(s))
             else:
                 now[s] = np.where(counts[:, None] > 0, sums[s][:, :-1] / np.maximum(counts, 1)[:, None], used)
-    points.unpersist()
     best = ended[0]
     for s in sorted(ended):  # the earlier of starts that differ by no more than rounding
         if ended[s][0] < best[0] * (1 - 1e-12):
@@ -305,11 +362,10 @@ def silhouette(points: DataFrame, blocks: int | None = None) -> DataFrame:
 
 def calinski_harabasz(points: DataFrame) -> DataFrame:
     """Between to within dispersion of points with a ``cluster``."""
-    cells = points.select("cluster", F.posexplode("v").alias("dim", "x"))
-    own = cells.groupBy("cluster", "dim").agg(F.avg("x").alias("m"), F.count("*").alias("n"), (F.var_pop("x") * F.count("*")).alias("within"))
-    all_ = cells.groupBy("dim").agg(F.avg("x").alias("g"))
+    own = cut(sums(points, "cluster"))  # clusters x dimensions
+    all_ = own.groupBy("dim").agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("g"))
     s = own.join(all_, "dim").agg(
-        F.sum(F.col("n") * F.pow(F.col("m") - F.col("g"), 2)).alias("between"), F.sum("within").alias("within"),
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("g"), 2)).alias("between"), F.sum("within").alias("within"),
         F.count_distinct("cluster").alias("k"), F.sum(F.when(F.col("dim") == 0, F.col("n"))).alias("n"),
     )
     return s.select(((F.col("between") / (F.col("k") - 1)) / (F.col("within") / (F.col("n") - F.col("k")))).alias("ch_index"))

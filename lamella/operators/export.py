@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip, nearest_pixel
+from ..functions.shared import small
 from ..sources.codecs import encode_png, write_tiff
 
 # Colours of classes, in order of their rank.
@@ -45,11 +46,11 @@ def checked(classes: DataFrame) -> DataFrame:
 def points(cells: DataFrame, cluster: str = "cluster", keep: tuple[str, ...] = ()) -> DataFrame:
     """Point features of cells (``x, y``, cluster), with the columns ``keep``; cells without a cluster have no class.
 
-    Classes are a raster's: ``MOST_CLASSES`` at most, else it is an error; so they ride along.
+    There may be any number of classes; they ride along where they are few.
     """
-    meta = checked(encode(cells.where(F.col(cluster).isNotNull()), cluster)).drop("value")
+    meta = encode(cells.where(F.col(cluster).isNotNull()), cluster).drop("value")
     k = meta.agg(F.count("*").alias("k"))
-    named = cells.join(F.broadcast(meta), cluster, "left").join(F.broadcast(k))  # MOST_CLASSES rows, one row
+    named = cells.join(small(meta), cluster, "left").join(F.broadcast(k))  # one row
     return named.select(
         *keep,
         F.struct(F.lit("Point").alias("type"), F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("coordinates")).alias("geometry"),
@@ -67,13 +68,13 @@ def write_points(cells: DataFrame, path: str, cluster: str = "cluster") -> None:
 
 def classes(cells: DataFrame, cluster: str = "cluster") -> DataFrame:
     """``value, name, color`` of every cluster, in order."""
-    meta = checked(encode(cells.where(F.col(cluster).isNotNull()), cluster))
+    meta = encode(cells.where(F.col(cluster).isNotNull()), cluster)
     return meta.select(F.col(cluster).alias("value"), F.col(cluster).cast("string").alias("name"), "color").orderBy("value")
 
 
 def write_classes(cells: DataFrame, path: str, cluster: str = "cluster") -> None:
     """The classes as one JSON array, indented by two (a line each would not be one value)."""
-    rows = [r.asDict() for r in classes(cells, cluster).collect()]  # MOST_CLASSES at most
+    rows = [r.asDict() for r in classes(cells, cluster).collect()]  # a row a class: the text that is written
     text = json.dumps(rows, ensure_ascii=False, indent=2)
     cells.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
@@ -174,6 +175,8 @@ def write_map(cells: DataFrame, path: str, height: int, width: int, order: str,
     Rasters are made and dealt into tiles on Spark; tiles with a pixel come to
     the writer one after another, so it holds one of them.
     """
+    if not cells.where(F.col(value) > MOST_CLASSES).isEmpty():
+        raise ValueError(f"values above {MOST_CLASSES} do not fit into a raster of 8 bits")
     shapes = [(height, width)] + [(h, w) for _, h, w in level_sizes(height, width, least=least)]
     base = raster(cells, height, width, order, value).select(F.lit(0).alias("level"), "py", "px", value)
     parts = base.unionByName(pyramid(cells, height, width, order, value, least=least).select("level", "py", "px", value)) if len(shapes) > 1 else base

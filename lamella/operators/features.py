@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_uint8, unit_scale
+from ..functions.shared import small
 
 TILE = ["tile_x", "tile_y"]
 CELL = [*TILE, "label"]
@@ -45,7 +46,7 @@ def placed(stats: DataFrame, places: DataFrame, channels: DataFrame) -> DataFram
     names = channels.select(F.col("name").alias("channel"), F.col("index").alias("channel_index"))
     return (
         stats.join(places.select(*CELL, "local_x", "local_y"), CELL)
-        .join(F.broadcast(names.limit(64)), "channel")  # a panel
+        .join(small(names), "channel")  # a panel, of any size
         .withColumnRenamed("channel", "channel_name").select(*LONG)
     )
 

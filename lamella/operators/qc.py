@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
+
 
 def correlation(wide: DataFrame, channels: list[str]) -> DataFrame:
     """Pearson correlation of every two channel columns over all pixels, in one pass; null where one is constant."""
@@ -62,7 +64,7 @@ def histogram(df: DataFrame, column: str, bins: int = 64, by: list[str] | None =
 
 def low_quality(tiles: DataFrame, column: str, share: float = 0.2) -> DataFrame:
     """The threshold below which that share of the tiles lies (interpolated), and the share strictly below it."""
-    cut = tiles.agg(F.percentile(column, F.lit(share)).alias("threshold"))
+    cut = quantiles(tiles, column, [share]).select(F.col("q")[0].alias("threshold"))
     return (
         tiles.join(F.broadcast(cut))  # one row
         .groupBy("threshold")
@@ -180,7 +182,7 @@ def overlay(ref: np.ndarray, other: np.ndarray) -> np.ndarray:
 
 
 def images_of(row) -> dict[int, np.ndarray]:
-    return {int(c): np.asarray(p, np.float64).reshape(row.h, row.w) for c, p in zip(row.channels, row.planes)}
+    return {int(c): np.asarray(p, np.float64).reshape(int(row.h), int(row.w)) for c, p in zip(row.channels, row.planes)}
 
 
 def measured(tiles: DataFrame, reference: int) -> DataFrame:

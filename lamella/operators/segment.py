@@ -68,7 +68,7 @@ def segment(tiles: DataFrame, segmenter: Callable[[np.ndarray], np.ndarray] = th
                     if old:
                         raise OSError(old)
                     p = pdf["planes"].iloc[i][list(pdf["channels"].iloc[i]).index(channel)] if stacked else pdf["pixels"].iloc[i]
-                    labels.append(segmenter(np.asarray(p, np.float64).reshape(h, w)).astype(np.int32).ravel())
+                    labels.append(segmenter(np.asarray(p, np.float64).reshape(int(h), int(w))).astype(np.int32).ravel())
                     errors.append(None)
                 except Exception as e:  # one bad tile must not end the job
                     labels.append(None)

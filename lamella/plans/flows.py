@@ -10,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.ranks import quantiles
 from ..operators import cluster, export, features, qc, segment
 from ..sources import panels, slides, tables
+from .. import plugins
 from . import pipeline
 
 
 def read(spark: SparkSession, path: str, **options) -> DataFrame:
     slides.register(spark)
-    return spark.read.format("slides").options(path=path, **options).load()
+    return spark.read.format("slides").options(path=path, **{**plugins.codec_options(), **options}).load()
 
 
 def quality_control(
@@ -54,9 +56,7 @@ def quality_control(
     out["correlation"] = named(qc.channel_correlation(whole.where("error is null")), "a", "b")
     out["crosstalk"] = qc.crosstalk(out["correlation"], ("image_id",))
     out["quality"] = qc.quality(whole.where("error is null"))
-    out["failed"] = whole.where("error is not null").select("image_id", "tile_y", "tile_x", "error").unionByName(
-        shapes.where("error is not null").select("image_id", F.lit(None).cast("long").alias("tile_y"), F.lit(None).cast("long").alias("tile_x"), "error")
-    )
+    out["failed"] = whole.where("error is not null").select("image_id", "tile_y", "tile_x", "error")
     if af and level == "full":
         one = {"tile": str(tile), "channels": str(af)}
         raw = qc.levels(read(spark, path, **one), af)
@@ -134,16 +134,16 @@ def cluster_table(spark: SparkSession, path: str, k: int | None = None, seed: in
 
 def artifacts(cells: DataFrame, columns: list[str], most: float = 0.03) -> DataFrame:
     """Cells with ``artifact``: a value outside 1.5 interquartile ranges in most of the channels."""
-    from ..functions.ranks import quantiles
-
-    out, votes = cells, F.lit(0)
-    for c in columns:
-        ends = quantiles(cells, c, [0.25, 0.75]).select(F.col("q")[0].alias("__a"), F.col("q")[1].alias("__b"))
-        reach = 1.5 * (F.col("__b") - F.col("__a"))
-        beyond = (F.col(c) < F.col("__a") - reach) | (F.col(c) > F.col("__b") + reach)
-        out = out.crossJoin(F.broadcast(ends)).withColumn(f"__o_{c}", beyond).drop("__a", "__b")  # one row
-        votes = votes + F.col(f"__o_{c}").cast("int")
-    return out.withColumn("artifact", votes > len(columns) / 2).drop(*[f"__o_{c}" for c in columns])
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(columns)])).alias("e")
+    told = quantiles(cells.select(each).select("e.at", "e.x"), "x", [0.25, 0.75], ["at"])
+    reach = 1.5 * (F.col("q")[1] - F.col("q")[0])
+    one = F.map_from_entries(F.collect_list(F.struct("at", F.struct((F.col("q")[0] - reach).alias("low"), (F.col("q")[1] + reach).alias("high")))))
+    out, votes = cells.join(F.broadcast(told.agg(one.alias("__ends")))), F.lit(0)  # one row, with an entry a channel
+    for i, c in enumerate(columns):
+        ends = F.try_element_at(F.col("__ends"), F.lit(i))
+        beyond = (F.col(f"`{c}`") < ends["low"]) | (F.col(f"`{c}`") > ends["high"])
+        votes = votes + F.coalesce(beyond.cast("int"), F.lit(0))
+    return out.withColumn("artifact", votes > len(columns) / 2).drop("__ends")
 
 
 def final_table(result: pipeline.Result, channels: list[str], af: str | None = None) -> DataFrame:

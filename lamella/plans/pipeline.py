@@ -36,16 +36,15 @@ class Result:
     kept: tuple[DataFrame, ...] = ()
 
     def counts(self) -> DataFrame:
-        """Cells, tiles and failures, by image."""
-        t = self.tiles.groupBy("image_id").agg(F.count("*").alias("n_tiles"), F.count_if(F.col("error").isNotNull()).alias("n_failed"))
+        """Cells, tiles, failures and whether no tile was good, by image; one that can't be opened has a failure and no tile."""
+        t = self.tiles.groupBy("image_id").agg(F.count("tile_y").alias("n_tiles"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.count_if(F.col("error").isNull()).alias("__good"))
         c = self.matrix.groupBy("image_id").agg(F.count("*").alias("n_cells"))
-        return t.join(c, "image_id", "left").na.fill(0, ["n_cells"])
+        return t.withColumn("failed", F.col("__good") == 0).drop("__good").join(c, "image_id", "left").na.fill(0, ["n_cells"])
 
     def totals(self) -> DataFrame:
-        """One row: images, those processed and failed (every tile failed), tiles and cells."""
-        failed = F.col("n_failed") == F.col("n_tiles")
+        """One row: images, those processed and failed (not to be opened, or every tile failed), tiles and cells."""
         return self.counts().agg(
-            F.count("*").alias("images"), F.count_if(~failed).alias("processed"), F.count_if(failed).alias("failed"),
+            F.count("*").alias("images"), F.count_if(~F.col("failed")).alias("processed"), F.count_if("failed").alias("failed"),
             F.coalesce(F.sum("n_tiles"), F.lit(0)).alias("tiles"), F.coalesce(F.sum("n_cells"), F.lit(0)).alias("cells"),
         )
 
@@ -93,8 +92,9 @@ def run(
     """Segment, measure and cluster tiles of ``slides`` rows, leaving out the images in ``done``.
 
     Labels are put beside the channels of their tile and cells are measured
-    there; what leaves a tile is a row for each cell and channel. A tile that
-    can't be read or segmented is in ``failed`` and ends nothing else.
+    there; what leaves a tile is a row for each cell and channel. A slide that
+    can't be opened, and a tile that can't be read or segmented, is in
+    ``failed`` and ends nothing else.
     """
     todo = slides.join(done, "image_id", "left_anti") if done is not None else slides
     labelled = segment.segment(stacked(todo), segmenter, nucleus_channel)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.ranks import quantiles
 from ..operators import analysis, cluster, export, features, qc, segment, tiles
 from ..sources import panels, tables
 
@@ -389,9 +390,10 @@ def drift_summary(spark, sf_dir):
 @query("""SELECT l_returnflag AS channel, round((median(l_extendedprice) - median(l_extendedprice * (1 - l_discount))) / (median(l_extendedprice) + 1e-8), 6) AS median_drop_ratio
 FROM lineitem GROUP BY ALL""")
 def af_drop_ratio(spark, sf_dir):
-    m = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("channel")).agg(
-        F.median("l_extendedprice").alias("raw"), F.median(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("corrected")
-    )
+    both = F.explode(F.array(F.struct(F.lit("raw").alias("kind"), F.col("l_extendedprice").alias("value")), F.struct(F.lit("corrected").alias("kind"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("channel"), both.alias("x")).select("channel", "x.kind", "x.value")
+    medians = quantiles(rows, "value", [0.5], ["channel", "kind"])
+    m = medians.groupBy("channel").agg(*[F.max(F.when(F.col("kind") == k, F.col("q")[0])).alias(k) for k in ("raw", "corrected")])
     return rounded(m.select("channel", qc.drop_ratio(F.col("raw"), F.col("corrected")).alias("median_drop_ratio")), 6)
 
 
@@ -647,15 +649,25 @@ def random_tiles(spark, sf_dir):
     return tiles.sample_per_group(read(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", 5).select("o_custkey", "o_orderkey")
 
 
-@query("""SELECT p.panel, i AS "index", n AS name FROM (VALUES ('BladderCancer'), ('KidneyCancer')) p(panel),
+STAINED = "(SELECT s_suppkey, CASE WHEN s_nationkey % 2 = 0 THEN 'KidneyCancer' ELSE 'BladderCancer' END AS panel FROM supplier)"
+
+
+def stained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The panel of every supplier's tile."""
+    even = F.col("s_nationkey") % 2 == 0
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.when(even, "KidneyCancer").otherwise("BladderCancer").alias("panel"))
+
+
+@query(f"""SELECT s_suppkey, panel, i AS "index", n AS name FROM {STAINED},
   (VALUES (2, 'Opal570'), (3, 'Opal690'), (4, 'Opal480'), (5, 'Opal620'), (6, 'Opal780'), (7, 'Opal520')) c(i, n)""")
 def panel_markers(spark, sf_dir):
-    return panels.markers(panels.panels(spark)).select("panel", "index", "name")
+    """Marker channels of the panel that each supplier's tile was stained with."""
+    return panels.markers(panels.panels(spark)).join(stained(spark, sf_dir), "panel").select("s_suppkey", "panel", "index", "name")
 
 
-@query("SELECT panel, 0 AS dapi_plane, 7 AS af_plane FROM (VALUES ('BladderCancer'), ('KidneyCancer')) p(panel)")
+@query(f"SELECT s_suppkey, panel, 0 AS dapi_plane, 7 AS af_plane FROM {STAINED}")
 def panel_special_channels(spark, sf_dir):
-    return panels.special_channels(panels.panels(spark))
+    return panels.special_channels(panels.panels(spark)).join(stained(spark, sf_dir), "panel")
 
 
 @query("""WITH b AS (SELECT page_id, string_split(regexp_extract(url, '://([^/?#]*)', 1), '.') AS bands FROM pages)
@@ -666,10 +678,10 @@ def band_names(spark, sf_dir):
     return tables.bands_by_position(read(spark, sf_dir, "pages").select("page_id", bands.alias("b"), F.lit(4).alias("n")), "b", "n")
 
 
-@query("SELECT panel, CASE panel WHEN 'KidneyCancer' THEN 2 ELSE 2 END AS reference_plane FROM (VALUES ('BladderCancer'), ('KidneyCancer')) p(panel)")
+@query(f"SELECT s_suppkey, panel, 2 AS reference_plane FROM {STAINED}")
 def reference_plane(spark, sf_dir):
     """The reference channel by name, in place of the nuclear one."""
-    return panels.reference_plane(panels.panels(spark), "Opal690")
+    return panels.reference_plane(panels.panels(spark), "Opal690").join(stained(spark, sf_dir), "panel")
 
 
 @query("SELECT s_suppkey, i AS index FROM supplier, (VALUES (2), (3), (4), (5), (6), (7)) c(i)")

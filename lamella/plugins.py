@@ -18,6 +18,12 @@ def register(kind: str, name: str, function: Callable) -> None:
     KINDS[kind][name] = function
 
 
+def codec_options() -> dict[str, str]:
+    """The source's option that has every worker import the codecs registered here (classes of an importable module)."""
+    own = {s: f for s, f in CODECS.items() if not f.__module__.startswith("lamella.")}
+    return {"codecs": ",".join(f"{s}={f.__module__}:{f.__qualname__}" for s, f in own.items())} if own else {}
+
+
 def find(kind: str, name: str) -> Callable:
     if name not in KINDS[kind]:
         raise KeyError(f"no {kind} {name}; there are: {', '.join(sorted(KINDS[kind]))}")

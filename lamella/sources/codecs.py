@@ -1,8 +1,9 @@
 """Image files as arrays: window reads of TIFF pages and NumPy stacks, label PNGs, and writers of both.
 
 The subset of TIFF that slide scanners write is read: classic and big files of
-either byte order, strips or tiles, uncompressed or deflated, with or without
-horizontal differencing, 8 to 64 bits a sample.
+either byte order, strips or tiles, uncompressed, deflated, LZW or PackBits, with
+or without horizontal differencing (of integers' and floats' bits) or the
+floating-point predictor, 8 to 64 bits a sample. What is none of these is refused.
 """
 
 from __future__ import annotations
@@ -20,6 +21,50 @@ KINDS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 7: "B", 8: "h", 9: "i", 11: "f"
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
+def lzw(data: bytes) -> bytes:
+    """TIFF's LZW: codes of 9 to 12 bits, most significant first, wider one code early; 256 clears, 257 ends."""
+    first = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, held, bits, before, out = list(first), 9, 0, 0, b"", []
+    for byte in data:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, before = list(first), 9, b""
+            continue
+        if code > len(table) - (not before):
+            raise ValueError("a broken LZW strip")
+        entry = table[code] if code < len(table) else before + before[:1]
+        if before:
+            table.append(before + entry[:1])
+            width = min(max(width, (len(table) + 1).bit_length()), 12)
+        out.append(entry)
+        before = entry
+    return b"".join(out)
+
+
+def packbits(data: bytes) -> bytes:
+    """Runs: n < 128 is followed by n + 1 bytes as they are, n > 128 by one byte that stands 257 - n times."""
+    out, at = [], 0
+    while at < len(data):
+        n = data[at]
+        if n < 128:
+            out.append(data[at + 1 : at + 2 + n])
+            at += n + 2
+        else:
+            out.append(data[at + 1 : at + 2] * (257 - n) if n > 128 else b"")
+            at += 1 if n == 128 else 2
+    return b"".join(out)
+
+
+#: What undoes each compression.
+UNPACK = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress, 32773: packbits}
+
+
 class Page:
     """One image of a TIFF file, read window by window."""
 
@@ -30,19 +75,33 @@ class Page:
         kind = {1: "u", 2: "i", 3: "f"}[one(FORMAT, 1)]
         self.dtype = np.dtype(f"{order}{kind}{one(BITS, 8) // 8}")
         self.compression, self.predictor, self.apart = one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1) == 2
-        if self.compression not in (1, 8, 32946):
-            raise ValueError(f"compression {self.compression} of {path} is not supported")
         self.tiled = TILES in tags
         self.cell = (one(TILE_HEIGHT, 0), one(TILE_WIDTH, 0)) if self.tiled else (min(one(ROWS, self.height), self.height), self.width)
         self.places, self.sizes = (tags[TILES], tags[TILE_SIZES]) if self.tiled else (tags[STRIPS], tags[STRIP_SIZES])
 
+    def refused(self) -> str | None:
+        """Why this page can't be read, if so."""
+        if self.compression not in UNPACK:
+            return f"compression {self.compression} of {self.path} is not supported"
+        if self.predictor not in (1, 2, 3) or self.predictor == 3 and self.dtype.kind != "f":
+            return f"predictor {self.predictor} of {self.path} is not supported"
+        return None
+
     def piece(self, file, index: int, rows: int) -> np.ndarray:
         file.seek(self.places[index])
         data = file.read(self.sizes[index])
-        data = data if self.compression == 1 else zlib.decompress(data)
-        each = 1 if self.apart else self.samples
-        out = np.frombuffer(data, self.dtype, rows * self.cell[1] * each).reshape(rows, self.cell[1], each)
-        return np.cumsum(out, axis=1, dtype=self.dtype) if self.predictor == 2 else out
+        data = UNPACK[self.compression](data)
+        each, wide = 1 if self.apart else self.samples, self.cell[1]
+        size = self.dtype.itemsize
+        if self.predictor == 3:  # differences of bytes; those of a row stand by significance, the highest first
+            steps = np.frombuffer(data, np.uint8, rows * wide * each * size).reshape(rows, wide * size, each)
+            parts = np.cumsum(steps, axis=1, dtype=np.uint8).reshape(rows, size, wide * each)
+            return np.ascontiguousarray(parts.transpose(0, 2, 1)).view(f">f{size}").reshape(rows, wide, each)
+        out = np.frombuffer(data, self.dtype, rows * wide * each).reshape(rows, wide, each)
+        if self.predictor == 2:
+            bits = np.dtype(f"u{size}")  # differences are those of the samples as whole numbers
+            return np.cumsum(out.astype(self.dtype.newbyteorder("=")).view(bits), axis=1, dtype=bits).view(self.dtype.newbyteorder("="))
+        return out
 
     def window(self, sample: int, y: int, x: int, h: int, w: int) -> np.ndarray:
         """A clamped window of one sample; only the strips or tiles that it meets are read."""
@@ -100,12 +159,31 @@ def tiff_pages(path: str) -> list[Page]:
 
 
 class TiffStack:
-    """The full-size pages of a TIFF file (those as large as the first one), each sample of them a channel."""
+    """The pages of a TIFF file as large as the first one, each sample of them a channel; ``levels`` are their smaller versions.
+
+    A level is pages of one size and the first one's proportions (2 % off at
+    most), in sub-directories or not, as many planes as the full one has;
+    ``levels`` lists the sizes, the full one first.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, level: int = 0):
         pages = tiff_pages(path)
-        self.planes = [(p, s) for p in pages if (p.height, p.width) == (pages[0].height, pages[0].width) for s in range(p.samples)]
-        self.shape = (len(self.planes), pages[0].height, pages[0].width)
+        sizes: dict[tuple[int, int], list] = {}
+        for p in pages:
+            sizes.setdefault((p.height, p.width), []).extend((p, s) for s in range(p.samples))
+        full = (pages[0].height, pages[0].width)
+        alike = lambda h, w: abs(h * full[1] - w * full[0]) <= 0.02 * full[1] * full[0] * h / full[0] + max(full)
+        own = [s for s, planes in sizes.items() if s[0] <= full[0] and len(planes) == len(sizes[full]) and alike(*s) and (s == full or not any(p.refused() for p, _ in planes))]
+        self.path, self.levels = path, sorted(own, key=lambda s: -s[0] * s[1])
+        self.planes = sizes[self.levels[level]]
+        if (why := next((r for p, _ in self.planes if (r := p.refused())), None)) is not None:
+            raise ValueError(why)
+        self.shape = (len(self.planes), *self.levels[level])
+
+    def at_level(self, level: int) -> TiffStack:
+        if not 0 <= level < len(self.levels):
+            raise ValueError(f"{self.path} has {len(self.levels)} levels, not one of number {level}")
+        return TiffStack(self.path, level) if level else self
 
     def window(self, c: int, y: int, x: int, h: int, w: int) -> np.ndarray:
         page, sample = self.planes[c]
@@ -131,7 +209,7 @@ def oriented(stack: np.ndarray, axes: str | None = None) -> np.ndarray:
 
 
 class ArrayStack:
-    """A NumPy file, mapped and not loaded."""
+    """A NumPy file, mapped and not loaded; it has one level."""
 
     def __init__(self, path: str, axes: str | None = None):
         self.array = oriented(np.load(path, mmap_mode="r"), axes)
@@ -243,6 +321,6 @@ def write_tiff(path: str, shapes: list[tuple[int, int]], tiles, cell: int = 512)
 CODECS = {".npy": ArrayStack, **dict.fromkeys((".tif", ".tiff", ".qptif", ".qptiff"), TiffStack)}
 
 
-def open_stack(path: str, axes: str | None = None):
-    codec = CODECS[Path(path).suffix.lower()]
+def open_stack(path: str, axes: str | None = None, codecs: dict | None = None):
+    codec = (codecs or CODECS)[Path(path).suffix.lower()]
     return codec(path, axes) if axes and codec is ArrayStack else codec(path)

@@ -7,6 +7,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shared import small
+
 SCHEMA = "panel string, index int, name string, marker string, biological_role string, is_dapi boolean, is_af boolean"
 
 # The channels of both panels, by 1-based index.
@@ -64,8 +66,8 @@ def reference_plane(panel: DataFrame, name: str | None = None) -> DataFrame:
 
 
 def with_channels(tiles: DataFrame, panel: DataFrame) -> DataFrame:
-    """Every tile with every channel of a panel (a few rows, 64 at most, ride along)."""
-    return tiles.crossJoin(F.broadcast(panel.limit(64)))
+    """Every tile with every channel of a panel, whatever their number; they ride along where they are few."""
+    return tiles.crossJoin(small(panel))
 
 
 def markers(panel: DataFrame) -> DataFrame:

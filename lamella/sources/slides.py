@@ -6,8 +6,8 @@
 A row is a tile and channel, or with ``layout=stack`` a tile with all its
 channels, so that nothing has to be brought together later. ``metadata=true``
 gives the shapes only, and the error of a slide that can't be opened; such a
-slide has no tiles. A window that can't be read is a row with an error and no
-pixels. Images are named by their path below the folder, without the suffix.
+slide is one row of tiles, with its error and nothing else. A window that can't
+be read is a row with an error and no pixels. Images are named by their path below the folder, without the suffix.
 
 Options: ``path`` (a file or a folder), ``tile``, ``channels`` (1-based, comma
 separated), ``tile_x``, ``tile_y``, ``axes`` (letters of NumPy files), ``parts``
@@ -16,7 +16,11 @@ tile, as far as there are any: ``h`` and ``w`` count them, ``tile_y`` and
 ``tile_x`` don't), ``effective=true`` (half the shorter side, 64 at least, where
 a side has fewer than two tiles), ``max_tiles`` (of a slide: every n-th), ``sample`` and ``seed`` (that many
 tiles of a slide, by hash: the same ones on every run), ``window`` (``y,x,h,w``
-or ``centre,h,w``: one tile a slide, clamped to it). Filters on ``image_id``,
+or ``centre,h,w``: one tile a slide, clamped to it), ``level`` (of the pyramid,
+0 is the full one) or ``downsample`` (the level whose factor is nearest; the
+lower of two): sizes and positions are then those of that level. ``codecs``
+(``.suffix=module:Class``, comma separated) names classes for other files,
+which every worker imports. Filters on ``image_id``,
 ``tile_x``, ``tile_y`` and ``channel`` (equal to, one of) are applied before
 anything is read.
 """
@@ -24,6 +28,7 @@ anything is read.
 from __future__ import annotations
 
 import hashlib
+import importlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,12 +41,18 @@ from .codecs import CODECS, open_stack
 
 TILES = "image_id string, tile_y long, tile_x long, h int, w int, channel int, pixels array<float>, error string"
 STACKS = "image_id string, tile_y long, tile_x long, h int, w int, channels array<int>, planes array<array<float>>, error string"
-SHAPES = "image_id string, n_channels int, height long, width long, error string"
+SHAPES = "image_id string, n_channels int, height long, width long, levels array<struct<height: long, width: long, downsample: double>>, error string"
 NUMBERS = [pa.field("image_id", pa.string()), pa.field("tile_y", pa.int64()), pa.field("tile_x", pa.int64()), pa.field("h", pa.int32()), pa.field("w", pa.int32())]
 TILE_FIELDS = pa.schema([*NUMBERS, pa.field("channel", pa.int32()), pa.field("pixels", pa.list_(pa.float32())), pa.field("error", pa.string())])
 STACK_FIELDS = pa.schema([*NUMBERS, pa.field("channels", pa.list_(pa.int32())), pa.field("planes", pa.list_(pa.list_(pa.float32()))), pa.field("error", pa.string())])
 
 
+def loaded(name: str):
+    """The class at ``module:Class``."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
 class Part(InputPartition):
     """Every ``of``-th row of tiles of a slide, from ``number`` on."""
 
@@ -61,11 +72,28 @@ class Reader(DataSourceReader):
         if "channels" in self.o:
             self.only["channel"] = {int(c) for c in self.o["channels"].split(",")}
 
+        #: Those of other modules by name, as this runs in Spark's own processes.
+        self.codecs = {**CODECS, **{s.lower(): loaded(name) for s, name in (x.split("=") for x in self.o.get("codecs", "").split(",") if x)}}
+
+    def level_of(self, stack):
+        """The level that ``level`` or ``downsample`` asks for; the stack itself without either."""
+        if "level" not in self.o and "downsample" not in self.o:
+            return stack
+        height = stack.shape[1]
+        if not hasattr(stack, "at_level"):  # one level alone, the nearest to any factor
+            if int(self.o.get("level", 0)):
+                raise ValueError("this file has one level")
+            return stack
+        if "level" in self.o:
+            return stack.at_level(int(self.o["level"]))
+        wanted = float(self.o["downsample"])
+        return stack.at_level(min(range(len(stack.levels)), key=lambda i: abs(height / stack.levels[i][0] - wanted)))
+
     def files(self) -> list[tuple[str, str]]:
         root = Path(self.o["path"].removeprefix("file://"))
         if root.is_file():
             return [(str(root), root.stem)]
-        found = sorted(p for p in root.rglob("*") if p.suffix.lower() in CODECS)
+        found = sorted(p for p in root.rglob("*") if p.suffix.lower() in self.codecs)
         return [(str(p), p.relative_to(root).with_suffix("").as_posix()) for p in found]
 
     def partitions(self) -> list[Part]:
@@ -101,14 +129,19 @@ class Reader(DataSourceReader):
         if not partition.path:
             return
         try:
-            stack = open_stack(partition.path, self.o.get("axes"))
+            stack = open_stack(partition.path, self.o.get("axes"), self.codecs)
+            stack = self.level_of(stack)
         except Exception as e:  # one unreadable slide must not end the job
+            error = f"{type(e).__name__}: {e}"[:200]
             if self.metadata:
-                yield (partition.name, None, None, None, f"{type(e).__name__}: {e}"[:200])
+                yield (partition.name, None, None, None, None, error)
+            elif partition.number == 0:
+                yield (partition.name, *[None] * (len(STACK_FIELDS) - 2), error)  # as many as those of a tile
             return
         n, height, width = map(int, stack.shape)
         if self.metadata:
-            yield (partition.name, n, height, width, None)
+            levels = [(int(h), int(w), full / h) for full, h, w in ((height, h, w) for h, w in getattr(stack, "levels", [(height, width)]))]
+            yield (partition.name, n, height, width, levels, None)
             return
         channels = [c for c in range(1, n + 1) if c in self.only.get("channel", {c})]
         for y, x, h, w in self.tiles(partition, height, width):

@@ -263,12 +263,14 @@ def test_slides_of_one_name_and_broken_ones(spark, tmp_path):
         slide(tmp_path / folder, "slide")
     (tmp_path / "c.npy").write_bytes(b"no stack")
     df = flows.read(spark, str(tmp_path), tile="64")
-    assert {r[0] for r in df.select("image_id").distinct().collect()} == {"a/slide", "b/slide"}
-    assert df.count() == 2 * 4 * 3
+    assert [tuple(r)[:7] for r in df.where("error is not null").collect()] == [("c", *[None] * 6)]
+    assert {r[0] for r in df.where("error is null").select("image_id").distinct().collect()} == {"a/slide", "b/slide"}
+    assert df.where("error is null").count() == 2 * 4 * 3
     shapes = {r["image_id"]: r for r in flows.read(spark, str(tmp_path), metadata="true").collect()}
     assert shapes["a/slide"]["error"] is None and shapes["c"]["height"] is None and shapes["c"]["error"]
     out = pipeline.run(df, 1, {2: "A", 3: "B"}, partial(segment.threshold_segmenter, least=30.0))
-    assert {r["image_id"]: r["n_cells"] for r in out.counts().collect()} == {"a/slide": 5, "b/slide": 5}
+    assert {r["image_id"]: (r["n_cells"], r["failed"]) for r in out.counts().collect()} == {"a/slide": (5, False), "b/slide": (5, False), "c": (0, True)}
+    assert tuple(out.totals().first())[:4] == (3, 2, 1, 8) and [r["image_id"] for r in out.failed.collect()] == ["c"]
 
 
 def test_filters_reach_the_source(spark, tmp_path):
