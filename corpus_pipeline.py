@@ -55,11 +55,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources meet their target weights; documents are repeated or left out for that.
 
-    Documents without a source are one source, the last. Rows with one id (all
-    without an id, too) share a draw. Null and empty texts weigh nothing and
-    are taken as often as their source's others.
+    Documents without a source are one source, the last. Extra copies are spread
+    evenly over a source's documents by size; rows with one id, or without, are
+    documents of their own. Null and empty texts weigh nothing and are taken as
+    often as their source's others.
     """
-    return mixing.mix(docs, calibrated=True)
+    return mixing.mix(docs, spaced=True)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,16 @@ def renamed(df: DataFrame) -> tuple[DataFrame, dict[str, str], Callable[[DataFra
     return df.toDF(*names.values()), names, lambda d: d.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def row_hashes(df: DataFrame) -> dict[str, Column]:
+    """``__r1, __r2``: 128 bits that stand for a whole row. Nulls count by their place, maps and the like by their JSON."""
+    odd = ("map<", "variant")
+    own = []
+    for c, kind in df.dtypes:
+        x = F.col(f"`{c}`")
+        own += [F.to_json(F.struct(x)) if any(o in kind for o in odd) else x, x.isNull()]
+    return {"__r1": F.xxhash64(*own), "__r2": F.xxhash64(F.lit(1), *own)}
+
+
 def free_of(df: DataFrame, names: Iterable[str]) -> DataFrame:
     """``df`` without the columns that an operator is about to add (Spark ignores case)."""
     taken = {n.lower() for n in names}

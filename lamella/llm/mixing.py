@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_of, renamed, running
+from .common import WORD, cut, free_of, renamed, row_hashes, running, stored
 
 #: Weights by rank of the source's name, repeating.
 WEIGHTS = (5, 2, 1)
@@ -17,8 +16,6 @@ FEW, NAME = 10_000, 200
 #: With more of them, a source's rows meet its statistics in this many groups, so that one source may hold most rows.
 SALTS = 32
 SEED = "mix-0"
-#: Steps of a calibrated probability.
-BUCKETS = 4096
 
 
 def words(text: Column) -> Column:
@@ -78,30 +75,19 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     )
 
 
-def thresholds(shares: DataFrame, stats: DataFrame, cap: int = CAP, calibrated: bool = False) -> DataFrame:
-    """``stats`` plus ``rate``, its ``fraction`` and the ``probability`` with which a document's extra copy is taken.
+def rates(stats: DataFrame, cap: int = CAP) -> DataFrame:
+    """``stats`` plus ``rate`` (target / size, ``cap`` at most) and its ``fraction``: the probability of a document's extra copy."""
+    share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0)
+    return stats.withColumn("rate", share).withColumn("fraction", F.col("rate") - F.floor("rate"))
 
-    The probability is the fraction of the rate. ``calibrated``, it is moved (in
-    steps of 1 / ``BUCKETS``) to where the words drawn come closest to what the
-    whole copies leave of the target: sources with few or very long documents
-    would miss it by chance alone. How far it moved shows beside the fraction.
-    """
-    rated = stats.withColumn(
-        "rate",
-        F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(cap)))).otherwise(0.0),
-    ).withColumn("fraction", F.col("rate") - F.floor("rate"))
-    if not calibrated:
-        return rated.withColumn("probability", F.col("fraction"))
-    own = F.col("__from").eqNullSafe(F.col("source"))
-    extra = F.col("target") - F.floor("rate") * F.col("source_size")
-    w = W.partitionBy("__from").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)
-    reached = shares.withColumn("__until", F.sum("words").over(w)).join(rated, own)  # BUCKETS rows a source at most
-    gap = F.abs(F.col("__until") - extra)
-    best = reached.groupBy("__from").agg(
-        F.min_by(F.col("bucket") + 1, F.struct(gap, "bucket")).alias("__at"), F.min(gap).alias("__gap")
-    )
-    at = F.when(F.col("__gap") < extra, F.col("__at")).otherwise(F.lit(0).cast("long"))  # none taken may be closest
-    return rated.join(best, own).withColumn("probability", at / F.lit(float(BUCKETS))).drop("__from", "__at", "__gap")
+
+def placed(df: DataFrame, source: str, key: str) -> DataFrame:
+    """``df`` (with ``size``) with ``__place``: each row's place (from 0) by source (null last), size, key and row, over all sources."""
+    private, names, _ = renamed(df)
+    own = [F.col(names[c]) for c in ("size", key)]
+    order = [F.col(names[source]).isNull(), F.col(names[source]), *own, *row_hashes(private).values()]
+    ranked = running(private, [c.asc() for c in order], F.lit(0))
+    return ranked.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("rank").alias("__place"))
 
 
 def plan(
@@ -113,48 +99,70 @@ def plan(
     cap: int = CAP,
     seed: str = SEED,
     size: str | None = None,
-    calibrated: bool = False,
+    spaced: bool = False,
 ) -> DataFrame:
-    """Append ``size, source_size, target, rate, fraction, probability, copies`` to every document.
+    """Append ``size, source_size, target, rate, fraction, copies`` to every document.
 
     A source's rate is target / size; a document is taken floor(rate) times and
-    once more if its hash-seeded draw falls under the source's probability: the
-    fraction of the rate or, ``calibrated``, what ``thresholds`` makes of it.
-    Rows of one key (all without a key, too) share a draw, so a rerun takes the
-    same rows. ``size`` names a column that has the sizes; else words are
-    counted. Null, empty and wordless texts have size 0; a source of size 0 has
-    target and rate 0; documents without a source are one. Columns of ``docs``
-    with those names are replaced. No row is lost, repeated rows are documents
-    of their own, and zero copies are kept here; an empty table gives no rows.
-
-    Sources hold any share of the rows: their sums have map-side combine. Their
-    statistics ride along where they are few (``FEW`` rows of ``NAME`` letters
-    at most are broadcast), else rows meet them in ``SALTS`` groups a source.
+    once more with a probability equal to the fraction of the rate. By default
+    each document's draw is its own, seeded by its key; rows of one key (all
+    without a key, too) share it. ``spaced``, one draw, seeded by the source's
+    name, serves its documents in the order of their sizes (then keys, null
+    first): the extra copy goes to those at which the sum of fractions from
+    that start passes a whole number. Each document's probability is the
+    fraction all the same, but the number drawn is off by one at most, and
+    neighbours are alike in size, so the words come near the target. Draws of
+    a source then depend on each other. Either way a rerun takes the same rows.
+
+    ``size`` names a column that has the sizes; else words are counted. Null,
+    empty and wordless texts have size 0; a source of size 0 has target and
+    rate 0; documents without a source are one. Columns of ``docs`` with those
+    names are replaced. No row is lost, repeated rows are documents of their
+    own, and zero copies are kept here; an empty table gives no rows.
+
+    Sources hold any share of the rows: their sums have map-side combine, and
+    places are given in ranges over all sources. Statistics ride along where
+    sources are few (``FEW`` rows of ``NAME`` letters at most are broadcast),
+    else rows meet them in ``SALTS`` groups a source; the rows are equal.
     """
     counted = F.col(f"`{size}`").cast("long") if size else words(F.col(f"`{text}`"))
     base = docs.withColumn("__size", counted)
-    base = free_of(base, ["size", "source_size", "target", "rate", "fraction", "probability", "copies"])
-    sized = base.withColumnRenamed("__size", "size").withColumn("__draw", draw(F.col(f"`{key}`"), seed))
-    bucket = F.floor(F.col("__draw") * BUCKETS) if calibrated else F.lit(0).cast("long")
-    shares = cut(sized.groupBy(F.col(f"`{source}`").alias("__from"), bucket.alias("bucket")).agg(F.sum("size").alias("words")))
-    sizes = shares.groupBy(F.col("__from").alias("source")).agg(F.sum("words").alias("source_size"))
-    stats = cut(thresholds(shares, targets(sizes, weights, cap), cap, calibrated)).withColumnRenamed("source", "__source")
+    sized = free_of(base, ["size", "source_size", "target", "rate", "fraction", "copies"]).withColumnRenamed("__size", "size")
+    name = F.col(f"`{source}`")
+    sizes = cut(sized.groupBy(name.alias("source")).agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
+    first = running(sizes.select("source", "n"), [F.col("source").isNull().asc(), F.col("source").asc()], F.col("n")).select(F.col("source").alias("__from"), F.col("before").alias("__first"))
+    goals = rates(targets(sizes.select("source", "source_size"), weights, cap), cap)
+    stats = cut(goals.join(first, F.col("source").eqNullSafe(F.col("__from"))).drop("__from").withColumnRenamed("source", "__source"))
     n, longest = stats.agg(F.count("*"), F.coalesce(F.max(F.octet_length(F.col("__source").cast("string"))), F.lit(0))).first()
-    same = F.col(f"`{source}`").eqNullSafe(F.col("__source"))
-    told = ["__source", "source_size", "target", "rate", "fraction", "probability"]
+    same = name.eqNullSafe(F.col("__source"))
+    told = ["__source", "source_size", "target", "rate", "fraction", "__first"]
+    rows = placed(sized, source, key) if spaced else sized
     if n <= FEW and longest <= NAME:
-        met = sized.join(F.broadcast(stats.select(*told)), same)
+        met = rows.join(F.broadcast(stats.select(*told)), same)
     else:
         salted = stats.select(*told, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt_to"))
         salt = F.pmod(F.xxhash64(F.col(f"`{key}`"), F.col("size")), F.lit(SALTS)).cast("int")
-        met = sized.withColumn("__salt", salt).join(salted, same & (F.col("__salt") == F.col("__salt_to"))).drop("__salt", "__salt_to")
-    extra = (F.col("__draw") < F.col("probability")).cast("long")
-    return met.withColumn("copies", F.floor("rate") + extra).drop("__source", "__draw")
+        met = rows.withColumn("__salt", salt).join(salted, same & (F.col("__salt") == F.col("__salt_to"))).drop("__salt", "__salt_to")
+    if spaced:
+        at = F.col("__place") - F.col("__first")
+        upto = lambda k: F.floor(draw(name, seed) + k * F.col("fraction"))
+        extra = upto(at + 1) - upto(at)
+    else:
+        extra = (draw(F.col(f"`{key}`"), seed) < F.col("fraction")).cast("long")
+    return met.withColumn("copies", F.floor("rate") + extra).drop("__source", "__first", "__place")
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
-    """The mixed corpus: every document as often as its plan says, with the columns of ``docs`` as they are."""
+    """The mixed corpus: every document as often as its plan says, with the columns of ``docs`` as they are.
+
+    Plans are made on rows without their texts; equal rows are one there, and
+    take together what they take apart.
+    """
     private, names, own = renamed(docs)
-    planned = plan(private, names[text], names[source], names[key], **options)
+    hashed = private.withColumns(row_hashes(private))
+    hashes = ["__r1", "__r2"]
+    narrow = stored(hashed.select(*hashes, F.col(names[source]).alias("source"), F.col(names[key]).alias("key"), words(F.col(names[text])).alias("words")))
+    planned = plan(narrow, source="source", key="key", size="words", **options).groupBy(*hashes).agg(F.sum("copies").alias("copies"))
     each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
-    return own(planned.where(F.col("copies") > 0).withColumn("__copy", each))
+    taken = hashed.dropDuplicates(hashes).join(planned.where(F.col("copies") > 0), hashes)
+    return own(taken.withColumn("__copy", each))

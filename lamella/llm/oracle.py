@@ -28,11 +28,8 @@ FROM v JOIN component ON component.a = v.vec_id
 
 SQL["op7_mixing"] = rf"""
 WITH sized AS (
-  SELECT doc_id, source, ('0x' || substr(md5('mix-0:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0 AS draw, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size,
-    floor(draw * 4096)::BIGINT AS bucket
-  FROM documents
-), sums AS (SELECT source, bucket, sum(size)::BIGINT AS words FROM sized GROUP BY ALL
-), sizes AS (SELECT source, sum(words)::BIGINT AS source_size FROM sums GROUP BY source
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size FROM documents
+), sizes AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
 ), weighed AS (
   SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source COLLATE "binary" NULLS LAST) - 1) % 3 + 1)::INTEGER] AS weight FROM sizes
 ), met AS (
@@ -42,25 +39,15 @@ WITH sized AS (
   FROM weighed
   WINDOW before AS (ORDER BY source_size * 3 / weight, source COLLATE "binary" NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), found AS (SELECT arg_min(level, full_at) AS level FROM met WHERE full_at >= level
-), targets AS (
-  SELECT source, source_size, least(source_size * 3.0::DOUBLE, weight * coalesce(found.level, 0)) AS target
-  FROM weighed, found
 ), rated AS (
-  SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate FROM targets
-), reached AS (
-  SELECT s.source, s.bucket, sum(words) OVER (PARTITION BY s.source ORDER BY s.bucket) AS reached, r.target, r.rate, r.source_size
-  FROM sums s JOIN rated r ON s.source IS NOT DISTINCT FROM r.source
-), gaps AS (
-  SELECT source, bucket, abs(reached - (target - floor(rate) * source_size)) AS gap, target - floor(rate) * source_size AS extra FROM reached
-), best AS (
-  SELECT source, arg_min(bucket + 1, (gap, bucket)) AS place, min(gap) AS gap, min(extra) AS extra FROM gaps GROUP BY source
-), ready AS (
-  SELECT r.*, CASE WHEN gap < extra THEN place ELSE 0 END / 4096.0::DOUBLE AS probability FROM rated r JOIN best b ON r.source IS NOT DISTINCT FROM b.source
-)
-SELECT s.doc_id, s.size, r.source_size, r.target,
-  (s.size * (floor(r.rate)::BIGINT + (s.draw < r.probability)::INTEGER))::BIGINT AS taken,
-  rate - floor(rate) AS fraction, probability
-FROM sized s JOIN ready r ON s.source IS NOT DISTINCT FROM r.source
+  SELECT source, source_size, least(source_size * 3.0::DOUBLE, weight * coalesce(found.level, 0)) AS target,
+    CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0 END AS rate, rate - floor(rate) AS fraction,
+    ('0x' || substr(md5('mix-0:' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS start
+  FROM weighed, found
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id) - 1 AS place FROM sized)
+SELECT doc_id, size, source_size, target, fraction,
+  (size * (floor(rate) + floor(start + (place + 1) * fraction) - floor(start + place * fraction)))::BIGINT AS taken
+FROM numbered n JOIN rated r ON n.source IS NOT DISTINCT FROM r.source
 """
 
 #: Control strings of the chat template, in any order: none overlaps another.

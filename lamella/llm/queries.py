@@ -80,12 +80,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words are counted once, into a narrow table; ``fraction`` and ``probability`` tell how far the calibration went."""
+    """Words are counted once, into a narrow table; ``fraction`` is each document's probability of its extra copy."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     sized = stored(docs.select("doc_id", "source", mixing.words(F.col("text")).alias("words")))
-    planned = mixing.plan(sized, size="words", calibrated=True)
+    planned = mixing.plan(sized, size="words", spaced=True)
     taken = (F.col("size") * F.col("copies")).alias("taken")
-    return planned.select("doc_id", "size", "source_size", "target", taken, "fraction", "probability")
+    return planned.select("doc_id", "size", "source_size", "target", taken, "fraction")
 
 
 #: Turns of a conversation that holds the template's control strings.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import tokens
-from .common import add_columns, components, cut, renamed, stored, utf8
+from .common import add_columns, components, cut, renamed, row_hashes, stored, utf8
 from .embeddings import roots
 
 SHINGLE = 3
@@ -477,14 +477,6 @@ def crowded(groups: DataFrame, prints: DataFrame, docs: DataFrame, text: str, wo
     return met.repartition("group").sortWithinPartitions("group", "side").mapInArrow(check, "a long, b long").where("a <> b").distinct()
 
 
-def row_hashes(docs: DataFrame) -> dict[str, Column]:
-    """128 bits that stand for a whole row; nulls count by their place, maps and the like can't be hashed and are left out."""
-    odd = ("map<", "variant")
-    names = [F.col(f"`{c}`") for c, kind in docs.dtypes if not any(x in kind for x in odd)]
-    own = [x for c in names for x in (c, c.isNull())]
-    return {"__r1": F.xxhash64(*own), "__r2": F.xxhash64(F.lit(1), *own)}
-
-
 def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """``key, __r1, __r2, first, h1, h2, node`` of every document, and ``node, component`` of the nodes linked by similar texts.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import renamed
+from .common import renamed, stored
 
 #: Bits for each entry, whatever the list, and bits that an entry sets in its block of 64: of the keys that aren't listed
 #: about 1 in 100 pass.
@@ -60,17 +60,17 @@ def array_of(blocks: DataFrame, n: int) -> DataFrame:
     )
 
 
-def possible(places: DataFrame, keys: list[Column], listed: DataFrame) -> DataFrame:
-    """``host, path, key`` of the keys of each place that pass the blocked Bloom filter of the listed ones."""
-    every = lambda each: F.explode(F.array_compact(F.array(F.lit(None).cast("string"), *each))).alias("key")
+def possible(places: DataFrame, keys: Column, listed: DataFrame) -> DataFrame:
+    """``host, path, key`` of the keys (an array) of each place that pass the blocked Bloom filter of the listed ones."""
+    each = places.select("host", "path", F.explode(F.array_compact(keys)).alias("key"))
     n = max(1, -(-listed.count() * BITS_PER_ENTRY // 64))
     blocks = blocks_of(listed.select("key"), n)
     at, bits = lambda key: F.pmod(F.xxhash64(key), F.lit(n)), mask
     if n <= BLOCKS:
         words = array_of(blocks, n).scalar()
         hit = lambda key: F.element_at(words, (at(key) + 1).cast("int")).bitwiseAND(bits(key)) == bits(key)
-        return places.select("host", "path", every([F.when(hit(k), k) for k in keys]))
-    each = places.select("host", "path", every(keys)).withColumn("at", at(F.col("key")))
+        return each.where(hit(F.col("key")))
+    each = each.withColumn("at", at(F.col("key")))
     return each.join(blocks, "at").where(F.col("word").bitwiseAND(bits(F.col("key"))) == bits(F.col("key"))).select("host", "path", "key")
 
 
@@ -114,7 +114,7 @@ def judge(
     names of the result are replaced; repeated pages all stay; an empty table
     gives no rows, and without rules and urls every page is allowed.
     """
-    listed = listing(rules, urls)
+    listed = stored(listing(rules, urls))  # read four times below
     result = ["host", "path", "rule", "verdict"]
     base, names, _ = renamed(pages)
     text = F.coalesce(F.col(names[url]).cast("string"), F.lit(""))
@@ -122,15 +122,16 @@ def judge(
     # Shapes: as many as rules' hosts have numbers of labels and paths lengths, not as the list has entries.
     shapes = [(r[0], r[1]) for r in listed.where("rule is not null").select("labels", "length").distinct().sort("labels", "length").collect()]
     parts = F.split("host", r"\.")
-    fits = [
-        F.when(
-            (F.size(parts) >= n) & (F.length("path") >= m),
-            F.concat(F.array_join(F.slice(parts, -n, n), "."), F.substring("path", 1, m)),
-        )
-        for n, m in shapes
-    ]
+    every = F.arrays_zip(F.lit([s[0] for s in shapes] or [1]).alias("n"), F.lit([s[1] for s in shapes] or [1 << 30]).alias("m"))  # one literal
+    fits = F.transform(
+        every,
+        lambda s: F.when(
+            (F.size(parts) >= s["n"]) & (F.length("path") >= s["m"]),
+            F.concat(F.array_join(F.slice(parts, -s["n"], s["n"]), "."), F.substr(F.col("path"), F.lit(1), s["m"])),
+        ),
+    )
     if urls is not None:
-        fits.append(canonical(F.col("host"), F.col("path")))
+        fits = F.concat(fits, F.array(canonical(F.col("host"), F.col("path"))))
     places = page.where(F.col("host") != "").select("host", "path").distinct()
     hits = possible(places, fits, listed).join(listed.select("key", "rule", F.col("verdict").alias("told")), "key")
     ruled = F.struct(F.col("rule").isNotNull(), F.length("rule"), "rule")

@@ -647,8 +647,8 @@ def test_mixing(spark, n):
     rng = np.random.default_rng(n)
     rows = [(i, " ".join("w" * int(k) for k in rng.integers(1, 4, rng.integers(0, 60))), None if s == 3 else f"s{s}" if s % 2 else f"S{s}") for i, s in enumerate(rng.integers(0, n, 1500) ** 2 // max(n - 1, 1))]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = mixing.plan(df, calibrated=True).collect()
-    again = {r["doc_id"]: r["copies"] for r in mixing.plan(df.repartition(5), calibrated=True).collect()}
+    got = mixing.plan(df, spaced=True).collect()
+    again = {r["doc_id"]: r["copies"] for r in mixing.plan(df.repartition(5), spaced=True).collect()}
     sizes = Counter()
     for _, t, s in rows:
         sizes[s] += len(t.split())
@@ -658,7 +658,10 @@ def test_mixing(spark, n):
         assert 0 <= r["copies"] <= 3 and again[r["doc_id"]] == r["copies"]
         taken[r["source"]] += r["copies"] * r["size"]
     assert all(abs(taken[s] - t) <= 70 for s, t in want.items())
-    assert mixing.mix(df, calibrated=True).count() == sum(again.values())
+    for source in sizes:  # the number of copies is off by one at most, and larger documents have theirs as smaller ones
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["copies"] for r in own) - own[0]["rate"] * len(own)) < 1 + 1e-6 and {r["copies"] - int(r["rate"]) for r in own} <= {0, 1}
+    assert mixing.mix(df, spaced=True).count() == sum(again.values())
 
 
 def draws(key):
@@ -667,20 +670,35 @@ def draws(key):
 
 @pytest.mark.parametrize(("cap", "weights", "few"), [(3, (5, 2, 1), 10_000), (6, (1, 9), 10_000), (3, (5, 2, 1), 0)])
 def test_plain_draws(spark, monkeypatch, cap, weights, few):
-    """Without calibration the extra copy's probability is the fraction; other caps and weights, and many sources, too."""
+    """Draws of their own; other caps and weights, and many sources, too."""
     monkeypatch.setattr(mixing, "FEW", few)
     rows = [(i, "w " * (i % 7), f"s{i % 3 if i % 5 else 0}") for i in range(400)]
     got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), cap=cap, weights=weights).collect()
     assert len(got) == 400
     for r in got:
         rate = min(r["target"] / r["source_size"], cap)
-        assert r["rate"] == rate and r["probability"] == rate - int(rate) == r["fraction"]
+        assert r["rate"] == rate and rate - int(rate) == r["fraction"]
         assert r["copies"] == int(rate) + (draws(r["doc_id"]) < rate - int(rate))
     sizes = {r["source"]: r["source_size"] for r in got}
     targets = {r["source"]: r["target"] for r in got}
     assert math.isclose(sum(targets.values()), sum(sizes.values())) and all(t <= cap * sizes[s] for s, t in targets.items())
 
 
+def test_spaced_draws_have_their_probability(spark, monkeypatch):
+    """Over many seeds each document has its extra copy as often as the fraction says, whatever its size; equal rows, too."""
+    rows = [(i // 2, "w " * (i % 11), "ab"[i % 3 > 0]) for i in range(60)] + [(None, "w", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    sized = df.select("*", mixing.words(F.col("text")).alias("words")).cache()
+    extra, n = Counter(), 15
+    for seed in range(n):
+        for r in mixing.plan(sized, size="words", spaced=True, seed=f"s{seed}", weights=(5, 4, 1)).collect():
+            extra[r["doc_id"], r["source"], r["size"], round(r["fraction"], 6)] += r["copies"] - int(r["rate"])
+    times = Counter((i, s, len(t.split())) for i, t, s in rows)
+    for (i, s, size, f), got in extra.items():
+        mean = got / n / times[i, s, size]
+        assert abs(mean - f) < 5 * math.sqrt(f * (1 - f) / n) + 1e-9, (i, s, f, mean)
+
+
 def test_caps_beyond_three_are_reached(spark):
     rows = [(i, "w", "a" if i < 100 else "b") for i in range(1100)]
     got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"), cap=6).where("source = 'a'").first()
@@ -979,7 +997,7 @@ def test_pipeline(spark, sf_dir, tokenizer):
     assert set(ids["language_id"][1]) == {r[0] for r in kept["language_id"][0].where(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
     before = {r[0]: r[1] for r in kept["simhash_dedup"][0].select("doc_id", "text").collect()}
     assert sorted(ids["simhash_dedup"][1]) == sorted(set(similar_components(before).values()))
-    plan = {r["doc_id"]: r["copies"] for r in mixing.plan(kept["mixing"][0], calibrated=True).collect()}
+    plan = {r["doc_id"]: r["copies"] for r in mixing.plan(kept["mixing"][0], spaced=True).collect()}
     assert Counter(ids["mixing"][1]) == Counter({k: n for k, n in plan.items() if n})
     want = {r[0]: tokenizer.encode(r[1], add_special_tokens=False).ids + [1] for r in kept["packing"][0].select("doc_id", "text").distinct().collect()}
     check_packing(kept["packing"][1].collect(), want, Counter(ids["packing"][0]))
