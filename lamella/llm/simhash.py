@@ -26,15 +26,15 @@ WORDS, SIMILARITY = 5, 0.8
 #: 64-bit parts of a wide fingerprint, and the share of just similar pairs that may share no segment.
 PARTS, MISSED = 8, 0.01
 #: Texts after each in a segment's order that the first look compares it with, and its segments.
-NEXT, EARLY = 2, 8
+NEXT, EARLY = 2, 6
 #: Standard deviations that a radius allows for: 1 in 4000 of the pairs just at the threshold is beyond it.
 DEVIATIONS = 3.5
 #: Columns of texts that meet, and texts of a segment that one task compares with each other.
 MET, BLOCK = ("segment", "node", "first", "second", "size", "component"), 2048
 #: Texts of segments whose pairs are looked at many segments together.
-SMALL = 16
+SMALL = 6
 #: Candidates a text above which a segment's texts are a crowd, and texts and shingles of a crowd's block.
-MANY, CROWD, SHINGLES = 4, 1024, 1 << 20
+MANY, CROWD, SHINGLES = 2, 1024, 1 << 20
 #: Pairs that share a hash, above which it is a column of a matrix.
 RARE = 64
 #: Kinds of findings.
@@ -149,7 +149,7 @@ def text_hashes(text: str) -> dict[str, Column]:
     return {"h1": F.xxhash64(x), "h2": F.xxhash64(F.lit(1), x)}
 
 
-def samples(n: int, similarity: float) -> tuple[int, int, Callable[[int], int]]:
+def samples(n: int, similarity: float) -> tuple[int, int, Callable[..., int]]:
     """Bits of a segment, number of segments, and the radius by the number of bits compared, for ``n`` texts.
 
     Sets of equal size with Jaccard s have the cosine 2 s / (1 + s), other
@@ -162,7 +162,7 @@ def samples(n: int, similarity: float) -> tuple[int, int, Callable[[int], int]]:
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = min(max(math.ceil(math.log2(max(n, 2))), 8), 48)
     tables = max(math.ceil(math.log(MISSED) / math.log1p(-((1 - p) ** bits))), 1)
-    return bits, tables, lambda size: math.ceil(size * p + DEVIATIONS * math.sqrt(size * p * (1 - p)))
+    return bits, tables, lambda size, deviations=DEVIATIONS: math.ceil(size * p + deviations * math.sqrt(size * p * (1 - p)))
 
 
 def spread(prints: DataFrame, bits: int, which: range) -> DataFrame:
@@ -185,12 +185,13 @@ def spread(prints: DataFrame, bits: int, which: range) -> DataFrame:
     return prints.select("node", "parts", "size", "component").mapInArrow(make, ", ".join(f"{c} long" for c in MET))
 
 
-def chains(prints: DataFrame, bits: int, radius: Callable[[int], int], similarity: float) -> DataFrame:
+def chains(prints: DataFrame, bits: int, radius: Callable[..., int], similarity: float) -> DataFrame:
     """Candidates from ``EARLY`` segments, each text with the ``NEXT`` after it: enough to link most of a family of copies.
 
-    Nothing rests on what this leaves out: ``meetings`` looks at all pairs.
+    Nothing rests on what this leaves out: ``meetings`` looks at all pairs. So the
+    radius is only what a pair at the threshold differs by in the mean.
     """
-    near = radius(128)
+    near = radius(128, 0)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [np.zeros(0, np.int64)] * 5
@@ -271,7 +272,7 @@ def found(kind: int, a: np.ndarray, b: np.ndarray, **more: np.ndarray) -> pa.Rec
 FOUND = "kind long, a long, b long, side long, first long, second long, size long, component long"
 
 
-def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radius: Callable[[int], int]) -> tuple[DataFrame, DataFrame]:
+def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radius: Callable[..., int]) -> tuple[DataFrame, DataFrame]:
     """What all pairs of different components in all segments leave: pairs ``a, b``, and crowds ``group, side, node, component``.
 
     ``prints`` has ``node, parts, size, component``, each node once. A task
@@ -376,7 +377,7 @@ def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radiu
     return few, both.where(F.col("kind") == CROWDED).select(F.col("a").alias("group"), "side", F.col("b").alias("node"), "component")
 
 
-def closer(pairs: DataFrame, prints: DataFrame, similarity: float, radius: Callable[[int], int]) -> DataFrame:
+def closer(pairs: DataFrame, prints: DataFrame, similarity: float, radius: Callable[..., int]) -> DataFrame:
     """Those of the pairs whose sizes and whole fingerprints are within the radius."""
     own = lambda side: prints.select(F.col("node").alias(side), F.col("parts").alias(f"parts_{side}"), F.col("size").alias(f"size_{side}"))
     differ = sum((F.bit_count(F.col("parts_a")[k].bitwiseXOR(F.col("parts_b")[k])) for k in range(PARTS)), F.lit(0))
