@@ -185,6 +185,24 @@ def images_of(row) -> dict[int, np.ndarray]:
     return {int(c): np.asarray(p, np.float64).reshape(int(row.h), int(row.w)) for c, p in zip(row.channels, row.planes)}
 
 
+def top_hats(tiles: DataFrame, channel: int, radius: int = 10) -> DataFrame:
+    """``image_id, tile_y, tile_x, total, most``: sum and greatest value of the top-hat of a channel in every tile.
+
+    Tiles without the channel, and those with an error, have nulls.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for t in pdf.itertuples():
+                image = images_of(t).get(channel) if t.planes is not None and not t.error else None
+                rest = top_hat(image, radius) if image is not None else None
+                rows.append((t.image_id, t.tile_y, t.tile_x, *((float(rest.sum()), float(rest.max())) if rest is not None else (None, None))))
+            yield pd.DataFrame(rows, columns=["image_id", "tile_y", "tile_x", "total", "most"])
+
+    return tiles.select("image_id", "tile_y", "tile_x", "h", "w", "channels", "planes", "error").mapInPandas(run, "image_id string, tile_y long, tile_x long, total double, most double")
+
+
 def measured(tiles: DataFrame, reference: int) -> DataFrame:
     """One pass over the pixels: ``drift``, ``products`` (of channels) and the reference's ``sharpness`` of every tile.
 

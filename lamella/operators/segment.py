@@ -6,34 +6,153 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.graph import components
+from ..functions.shared import cut
 from .qc import blur
 
 #: A cell reaches this many nucleus radii, and this share of the distance to the nearest nucleus at most.
 SCALE, NEAREST = 1.8, 0.6
 
 
+def areas(mask: np.ndarray) -> np.ndarray:
+    """Labels of the 4-connected areas, numbered by their first pixel in row order: runs of rows, joined where they touch."""
+    h, w = mask.shape
+    wide = np.zeros((h, w + 2), np.int8)
+    wide[:, 1:-1] = mask
+    step = np.diff(wide, axis=1)
+    (row, begin), (_, end) = np.nonzero(step == 1), np.nonzero(step == -1)
+    # Runs of the next row that overlap: those that end behind a run's begin and begin before its end.
+    low = np.searchsorted(row * (w + 2) + end, (row + 1) * (w + 2) + begin, "right")
+    high = np.searchsorted(row * (w + 2) + begin, (row + 1) * (w + 2) + end, "left")
+    n = np.maximum(high - low, 0)
+    i = np.repeat(np.arange(len(row)), n)
+    j = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    root = np.arange(len(row))
+    while len(i):
+        least = np.minimum(root[i], root[j])
+        np.minimum.at(root, root[i], least)
+        np.minimum.at(root, root[j], least)
+        root = root[root]
+        apart = root[i] != root[j]
+        i, j = i[apart], j[apart]
+    while (root[root] != root).any():
+        root = root[root]
+    out = np.zeros((h, w), np.int32)
+    out[mask.astype(bool)] = np.repeat(np.unique(root, return_inverse=True)[1] + 1, end - begin)
+    return out
+
+
 def threshold_segmenter(image: np.ndarray, least: float = 0.0) -> np.ndarray:
     """Labels of the 4-connected areas brighter than ``least`` and the mean plus one standard deviation, in row order."""
-    bright = image > max(image.mean() + image.std(), least)
-    ids = np.where(bright, np.arange(1, image.size + 1).reshape(image.shape), 0)
+    return areas(image > max(image.mean() + image.std(), least))
+
+
+def parting(image: np.ndarray, bins: int = 256) -> float:
+    """The level that parts an image's values into two classes with the greatest variance between them; the value of a flat image."""
+    low, high = float(image.min()), float(image.max())
+    if high <= low:
+        return high
+    counts, edges = np.histogram(image, bins, (low, high))
+    middle = (edges[:-1] + edges[1:]) / 2
+    below, sums = np.cumsum(counts), np.cumsum(counts * middle)
+    above, rest = below[-1] - below, sums[-1] - sums
+    between = np.where((below > 0) & (above > 0), below * above * (sums / np.maximum(below, 1) - rest / np.maximum(above, 1)) ** 2, 0)
+    return float(edges[int(between.argmax()) + 1])
+
+
+def squared_distance(mask: np.ndarray) -> np.ndarray:
+    """Exact squared distance of each pixel of the mask to the nearest one outside it, in the image; without any, to its border."""
+    h, w = mask.shape
+    far = h + w
+    if mask.all():
+        y, x = np.ogrid[:h, :w]
+        return np.minimum(np.minimum(y + 1, h - y), np.minimum(x + 1, w - x)).astype(np.int64) ** 2
+    column = np.where(mask, far, 0).astype(np.int64)
+    for y in range(1, h):
+        np.minimum(column[y], column[y - 1] + 1, out=column[y])
+    for y in range(h - 2, -1, -1):
+        np.minimum(column[y], column[y + 1] + 1, out=column[y])
+    column *= column
+    out, k = column.copy(), 1
+    while k < w and k * k < out.max():  # no column further away can be nearer
+        np.minimum(out[:, k:], column[:, :-k] + k * k, out=out[:, k:])
+        np.minimum(out[:, :-k], column[:, k:] + k * k, out=out[:, :-k])
+        k += 1
+    return out
+
+
+def peaks(height: np.ndarray, rise: float) -> np.ndarray:
+    """Labels of the tops that stand ``rise`` above every way to a higher one."""
+    level = height - rise
     while True:
-        low = np.where(bright, ids, image.size + 1)
-        for axis in (0, 1):
-            for step in (1, -1):
-                moved = np.roll(low, step, axis)
-                edge = [slice(None)] * 2
-                edge[axis] = 0 if step == 1 else -1
-                moved[tuple(edge)] = image.size + 1
-                low = np.where(bright, np.minimum(low, moved), low)
-        low = np.where(bright, low, 0)
-        if (low == ids).all():
+        grown = np.pad(level, 1, mode="edge")
+        grown = np.maximum.reduce([grown[y : y + level.shape[0], x : x + level.shape[1]] for y in range(3) for x in range(3)])
+        grown = np.minimum(grown, height)
+        if (grown == level).all():
             break
-        ids = low
-    return np.unique(ids, return_inverse=True)[1].reshape(image.shape) + (0 if (ids == 0).any() else 1)
+        level = grown
+    return areas(height - level >= rise - 1e-9)
+
+
+def flooded(markers: np.ndarray, height: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Markers grown over the mask from the highest pixels to the lowest (whole numbers), first come, first served."""
+    h, w = mask.shape
+    wide = np.zeros((h + 2, w + 2), np.int32)
+    wide[1:-1, 1:-1] = markers
+    free = np.zeros((h + 2, w + 2), bool)
+    free[1:-1, 1:-1] = mask & (markers == 0)
+    levels = np.zeros((h + 2, w + 2), np.int64)
+    levels[1:-1, 1:-1] = height
+    label, open_, level = wide.ravel().tolist(), free.ravel().tolist(), levels.ravel().tolist()
+    waiting: dict[int, list[int]] = {}
+    for at in np.flatnonzero(wide).tolist():
+        waiting.setdefault(level[at], []).append(at)
+    order = sorted({*waiting, *np.unique(levels[free]).tolist()}, reverse=True)
+    for now in order:
+        queue = waiting.pop(now, [])
+        for at in queue:  # grows as it is read
+            for to in (at - w - 2, at - 1, at + 1, at + w + 2):
+                if open_[to]:
+                    open_[to], label[to] = False, label[at]
+                    if level[to] >= now:
+                        queue.append(to)
+                    else:
+                        waiting.setdefault(level[to], []).append(to)
+    return np.array(label, np.int32).reshape(h + 2, w + 2)[1:-1, 1:-1]
+
+
+def watershed_segmenter(image: np.ndarray, least: float = 0.0, rise: float = 1.0, smallest: int = 1) -> np.ndarray:
+    """Labels of nuclei in row order, touching ones apart: areas above ``parting`` and ``least``, divided where they are narrow.
+
+    Nuclei are the tops of the distance to the background that stand ``rise``
+    pixels above the neck to a higher one; areas of fewer than ``smallest``
+    pixels are dropped. An empty or flat tile has none.
+    """
+    image = np.asarray(image, np.float64)
+    mask = image > max(parting(blur(image, 1.0, 3)), least) if image.size else np.zeros(image.shape, bool)
+    if not mask.any():
+        return np.zeros(image.shape, np.int32)
+    square = squared_distance(mask)
+    markers, whole = peaks(np.sqrt(square), rise) * mask, areas(mask)
+    # An area without a top of that height is one nucleus.
+    bare = np.setdiff1d(np.arange(1, whole.max() + 1), whole[markers > 0])
+    lone = np.isin(whole, bare)
+    markers = np.where(lone, markers.max() + whole, markers)
+    out = flooded(markers, square, mask)
+    ids, inverse, n = np.unique(out, return_inverse=True, return_counts=True)
+    out = np.where(n[inverse].reshape(out.shape) >= smallest, out, 0)
+    _, first, inverse = np.unique(out, return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int32)
+    rank[np.argsort(first)] = np.arange(len(first))
+    named = rank[inverse].reshape(out.shape)
+    zero = named[out == 0][0] if (out == 0).any() else -1
+    named = np.where(named < zero, named + 1, named) if zero >= 0 else named + 1  # in order of first pixels, 0 for none
+    return np.where(out > 0, named, 0).astype(np.int32)
 
 
 def prepared(image: np.ndarray, sigma: float = 1.0, background: int = 15, clip: float = 3.0) -> np.ndarray:
@@ -112,6 +231,73 @@ def unique_labels(cells: DataFrame, by: tuple[str, ...] = ("image_id",)) -> Data
     return cells.withColumn("__own", own).join(before, [*by, "tile_y", "tile_x"]).withColumn("global_label", F.col("__before") + F.col("__own")).drop("__own", "__before")
 
 
+def merged_cells(tiles: DataFrame, tile: int, halo: int, share: float = 0.5) -> DataFrame:
+    """``image_id, cell, area, global_x, global_y, sums`` of labelled tiles that carry a halo: cells across borders are one.
+
+    ``tiles`` has ``image_id, tile_y, tile_x, h, w, planes, labels``, read with
+    ``layout=stack`` and those ``tile`` and ``halo``. Two labels of neighbouring
+    tiles are one cell if they share ``share`` of the smaller one's pixels in the
+    overlap of the tiles; chains of them, too. Areas, centres and ``sums`` (of
+    each plane) count every pixel once, in the tile that it belongs to. ``cell``
+    is the first of a cell's ``tile_y/tile_x/label``. Only labels near borders
+    leave a tile as pixels. Labels that have no pixel in any tile's own part
+    don't count; an empty table gives no rows.
+    """
+
+    def placed(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        label = np.asarray(t.labels).reshape(int(t.h), int(t.w))
+        y, x = np.mgrid[: label.shape[0], : label.shape[1]]
+        return label, y + int(t.tile_y) - min(halo, int(t.tile_y)), x + int(t.tile_x) - min(halo, int(t.tile_x))
+
+    def nodes(t, labels: np.ndarray) -> pa.Array:
+        return pa.array([f"{t.tile_y:012}/{t.tile_x:012}/{i:08}" for i in labels.tolist()], pa.string())
+
+    def own(batches):
+        for batch in batches:
+            for t in batch.to_pandas().itertuples():
+                label, y, x = placed(t)
+                core = (y >= t.tile_y) & (y < t.tile_y + tile) & (x >= t.tile_x) & (x < t.tile_x + tile) & (label > 0)
+                ids, at, n = np.unique(label[core], return_inverse=True, return_counts=True)
+                add = lambda v: np.bincount(at, v[core].astype(np.float64), len(ids))  # noqa: B023, E731
+                sums = np.stack([add(np.asarray(p).reshape(label.shape)) for p in t.planes], axis=1)
+                columns = (pa.array([t.image_id] * len(ids), pa.string()), nodes(t, ids), pa.array(n, pa.int64()), pa.array(add(y), pa.float64()), pa.array(add(x), pa.float64()), pa.array(sums.tolist(), pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["image_id", "node", "area", "y", "x", "sums"])
+
+    def strips(batches):
+        for batch in batches:
+            for t in batch.to_pandas().itertuples():
+                label, y, x = placed(t)
+                inner = (y >= t.tile_y + halo) & (y < t.tile_y + tile - halo) & (x >= t.tile_x + halo) & (x < t.tile_x + tile - halo)
+                at = (label > 0) & ~inner
+                columns = (pa.array([t.image_id] * int(at.sum()), pa.string()), pa.array(y[at], pa.int64()), pa.array(x[at], pa.int64()), nodes(t, label[at]))
+                yield pa.RecordBatch.from_arrays(list(columns), names=["image_id", "y", "x", "node"])
+
+    base = tiles.select("image_id", "tile_y", "tile_x", "h", "w", "planes", "labels").where(F.col("labels").isNotNull())
+    stats = base.mapInArrow(own, "image_id string, node string, area long, y double, x double, sums array<double>")
+    pixels = cut(base.drop("planes").mapInArrow(strips, "image_id string, y long, x long, node string"))
+    b = pixels.withColumnRenamed("node", "other")
+    met = pixels.join(b, ["image_id", "y", "x"]).where(F.col("node") < F.col("other")).groupBy("image_id", "node", "other").agg(F.count("*").alias("n"))
+    # A label's pixels where the two tiles overlap: those that lie in the other tile, halo and all.
+    spot = lambda c, i: F.split(c, "/")[i].cast("long")
+    inside = (
+        (F.col("y") >= spot("tile", 0) - halo) & (F.col("y") < spot("tile", 0) + tile + halo) & (F.col("x") >= spot("tile", 1) - halo) & (F.col("x") < spot("tile", 1) + tile + halo)
+    )
+    asked = met.select("image_id", "node", F.regexp_extract("other", "^[^/]*/[^/]*", 0).alias("tile")).union(met.select("image_id", "other", F.regexp_extract("node", "^[^/]*/[^/]*", 0))).distinct()
+    size = pixels.join(asked, ["image_id", "node"]).where(inside).groupBy("image_id", "node", "tile").agg(F.count("*").alias("size"))
+    of = lambda node, other, name: size.select("image_id", F.col("node").alias(node), F.col("tile").alias(f"tile_{other}"), F.col("size").alias(name))
+    met = met.withColumns({f"tile_{c}": F.regexp_extract(c, "^[^/]*/[^/]*", 0) for c in ("node", "other")})
+    met = met.join(of("node", "other", "size_node"), ["image_id", "node", "tile_other"]).join(of("other", "node", "size_other"), ["image_id", "other", "tile_node"])
+    key = lambda c: F.concat_ws("\n", "image_id", c)
+    part = components(met.where(F.col("n") >= share * F.least("size_node", "size_other")).select(key("node").alias("a"), key("other").alias("b")))
+    named = stats.withColumn("key", key("node")).join(part.withColumnRenamed("node", "key"), "key", "left")
+    each = named.withColumn("cell", F.element_at(F.split(F.coalesce("component", "key"), "\n"), -1))
+    total = F.sum("area")
+    plane = each.select("image_id", "cell", F.posexplode("sums").alias("plane", "x")).groupBy("image_id", "cell", "plane").agg(F.sum("x").alias("x"))
+    sums = plane.groupBy("image_id", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("plane", "x"))), lambda s: s["x"]).alias("sums"))
+    cells = each.groupBy("image_id", "cell").agg(total.alias("area"), (F.sum("x") / total).alias("global_x"), (F.sum("y") / total).alias("global_y"))
+    return cells.join(sums, ["image_id", "cell"])
+
+
 def regions(pixels: DataFrame, by: list[str]) -> DataFrame:
     """Centroid, area and equivalent radius (4.0 for an empty one) of every label above 0."""
     return (

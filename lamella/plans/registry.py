@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.ranks import quantiles
-from ..operators import analysis, cluster, export, features, qc, segment, tiles
+from ..operators import analysis, cluster, density, export, features, qc, segment, tiles
 from ..sources import panels, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -779,3 +779,58 @@ def cluster_report(spark, sf_dir):
 def subsample(spark, sf_dir):
     """About a hundred vectors (a sampling operator)."""
     return cluster.subsample(vectors(spark, sf_dir), "id", 100).select("id")
+
+
+# ---- Kernels over embeddings as tiles of 8 x 8 pixels, and density
+
+
+def embedded_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tile for each embedding, with its 64 values as the pixels of channel 1."""
+    zero = F.lit(0).cast("long")
+    return read(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("image_id"), zero.alias("tile_y"), zero.alias("tile_x"), F.lit(8).alias("h"), F.lit(8).alias("w"),
+        F.array(F.lit(1)).alias("channels"), F.array("embedding").alias("planes"), F.lit(None).cast("string").alias("error"),
+    )
+
+
+@query("""WITH t AS (SELECT vec_id, embedding::DOUBLE[] AS e, list_min(e) AS lo, list_max(e) AS hi FROM embeddings
+), b AS (SELECT vec_id, list_transform(e, lambda v: CASE WHEN hi - lo < 1e-6 THEN 0 ELSE floor((v - lo) / (hi - lo) * 255) END) AS b FROM t
+), p AS (SELECT vec_id, b, unnest(range(64)) AS i FROM b
+), l AS (
+  SELECT vec_id, b[abs(i // 8 - 1) * 8 + i % 8 + 1] + b[(7 - abs(i // 8 - 6)) * 8 + i % 8 + 1]
+    + b[i // 8 * 8 + abs(i % 8 - 1) + 1] + b[i // 8 * 8 + 7 - abs(i % 8 - 6) + 1] - 4 * b[i + 1] AS l FROM p
+)
+SELECT vec_id, round(var_pop(l) + 1e-7, 4) AS sharpness FROM l GROUP BY vec_id""")
+def tile_sharpness(spark, sf_dir):
+    """Variance of the Laplacian of every tile."""
+    got = qc.measured(embedded_tiles(spark, sf_dir), 1)
+    return got.select(F.col("image_id").cast("long").alias("vec_id"), F.round(F.col("sharpness") + 1e-7, 4).alias("sharpness"))  # no ties
+
+
+@query("""WITH p AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, embedding[i + 1]::DOUBLE AS v FROM embeddings, range(64) r(i)
+), disk AS (SELECT dy, dx FROM range(-2, 3) a(dy), range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4
+), worn AS (SELECT a.vec_id, a.y, a.x, min(b.v) AS v FROM p a, disk JOIN p b ON a.vec_id = b.vec_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL
+), opened AS (SELECT a.vec_id, a.y, a.x, max(b.v) AS v FROM worn a, disk JOIN worn b ON a.vec_id = b.vec_id AND b.y = a.y + dy AND b.x = a.x + dx GROUP BY ALL)
+SELECT vec_id, round(sum(p.v - o.v), 4) AS top_hat, round(max(p.v - o.v), 4) AS most FROM p JOIN opened o USING (vec_id, y, x) GROUP BY vec_id""")
+def tile_top_hat(spark, sf_dir):
+    """What a white top-hat of radius 2 leaves of every tile: its sum and its greatest value."""
+    return qc.top_hats(embedded_tiles(spark, sf_dir), 1, 2).select(
+        F.col("image_id").cast("long").alias("vec_id"), F.round("total", 4).alias("top_hat"), F.round("most", 4).alias("most")
+    )
+
+
+@query("""WITH RECURSIVE p AS (SELECT c_custkey, c_acctbal / 100 AS x, c_nationkey * 3.0::DOUBLE AS y FROM customer
+), near AS (SELECT a.c_custkey AS a, b.c_custkey AS b FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 3.1::DOUBLE * 3.1::DOUBLE
+), core AS (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 6
+), linked AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)
+), reach AS (SELECT id AS a, id AS b FROM core UNION SELECT r.a, n.b FROM reach r JOIN linked n ON r.b = n.a
+), named AS (SELECT a AS id, min(b) AS cluster FROM reach GROUP BY a
+), edge AS (SELECT n.a AS id, min(cluster) AS cluster FROM near n JOIN named ON n.b = named.id GROUP BY n.a)
+SELECT c_custkey, named.id IS NOT NULL AS core, coalesce(named.cluster, edge.cluster, -1) AS cluster
+FROM p LEFT JOIN named ON named.id = c_custkey LEFT JOIN edge ON edge.id = c_custkey""")
+def dbscan_clusters(spark, sf_dir):
+    """Density-based clusters of customers by balance and nation; noise is -1."""
+    v = F.array(F.col("c_acctbal") / 100, F.col("c_nationkey") * 3.0)
+    points = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), v.alias("v"))
+    told = density.dbscan(points, 3.1, 6)
+    return told.select(F.col("id").alias("c_custkey"), "core", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))

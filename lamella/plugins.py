@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from .operators.segment import threshold_segmenter
+from .operators.segment import threshold_segmenter, watershed_segmenter
 from .sources.codecs import CODECS
 
 #: Segmenters by name: an image to labels. Steps by name: a frame to a frame, for ``plans.pipeline.chain``.
-SEGMENTERS: dict[str, Callable] = {"threshold": threshold_segmenter}
+SEGMENTERS: dict[str, Callable] = {"threshold": threshold_segmenter, "watershed": watershed_segmenter}
 STEPS: dict[str, Callable] = {}
 KINDS = {"codec": CODECS, "segmenter": SEGMENTERS, "step": STEPS}
 
