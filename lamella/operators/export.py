@@ -5,6 +5,9 @@ from __future__ import annotations
 import json
 import os
 import re
+import shutil
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clip, nearest_pixel
 from ..functions.shared import small
-from ..sources.codecs import encode_png, write_tiff
+from ..sources import sinks
+from ..sources.codecs import encode_png, lay_out_tiff
 
 # Colours of classes, in order of their rank.
 PALETTE = ("#E41A1C", "#377EB8", "#4DAF4A", "#984EA3", "#FF7F00", "#FFFF33", "#A65628", "#F781BF", "#999999")
@@ -133,12 +137,14 @@ def write_pngs(tiles: DataFrame, folder: str, name: str) -> DataFrame:
 
     ``name`` is ``labels`` (16 bits), ``mask`` (labels above 0 as 255),
     ``colored`` (labels by colour) or ``raw`` (``pixels``, scaled to 8 bits).
-    Equal tiles give equal files, so a task that runs again writes the same.
+    All tiles are there when it returns, or none of this run (``sources.sinks``).
     """
+    prefix = {"raw": "raw", "mask": "mask", "labels": "roi_label", "colored": "roi_label_colored"}[name]
+    file = F.concat(F.col("image_id"), F.lit(f"/{prefix}_"), F.col("tile_x"), F.lit("_"), F.col("tile_y"), F.lit(".png"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            paths = []
+            images = []
             for t in pdf.itertuples():
                 x = np.asarray(t.pixels if name == "raw" else t.labels).reshape(t.h, t.w)
                 if name == "raw":
@@ -146,18 +152,14 @@ def write_pngs(tiles: DataFrame, folder: str, name: str) -> DataFrame:
                     x = (np.zeros_like(x) if span <= 0 else (x - x.min()) / span * 255).astype(np.uint8)
                 else:
                     x = {"labels": lambda v: v.astype(np.uint16), "mask": lambda v: ((v > 0) * 255).astype(np.uint8), "colored": colored}[name](x)
-                prefix = {"raw": "raw", "mask": "mask", "labels": "roi_label", "colored": "roi_label_colored"}[name]
-                path = os.path.join(folder, t.image_id, f"{prefix}_{t.tile_x}_{t.tile_y}.png")
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                part = f"{path}.{os.getpid()}"
-                with open(part, "wb") as f:
-                    f.write(encode_png(x))
-                os.replace(part, path)
-                paths.append((t.image_id, t.tile_x, t.tile_y, path))
-            yield pd.DataFrame(paths, columns=["image_id", "tile_x", "tile_y", "path"])
+                images.append(encode_png(x))
+            yield pd.DataFrame({"name": pdf["name"], "data": images, "note": [None] * len(images)})
 
     raster = "pixels" if name == "raw" else "labels"
-    return tiles.select("image_id", "tile_x", "tile_y", "h", "w", raster).mapInPandas(run, "image_id string, tile_x long, tile_y long, path string")
+    sinks.register(tiles.sparkSession)
+    rows = tiles.select(file.alias("name"), "h", "w", raster).mapInPandas(run, sinks.SCHEMA)
+    rows.write.format("files").mode("append").save(folder)
+    return tiles.select("image_id", "tile_x", "tile_y", F.concat(F.lit(f"{folder}/"), file).alias("path"))
 
 
 def colored(labels: np.ndarray) -> np.ndarray:
@@ -170,27 +172,57 @@ def colored(labels: np.ndarray) -> np.ndarray:
 
 
 def write_map(cells: DataFrame, path: str, height: int, width: int, order: str, value: str = "value", cell: int = 512, least: int = 512) -> None:
-    """The cluster map as a pyramidal TIFF of 8-bit tiles at a local ``path``.
+    """The cluster map as a pyramidal TIFF of 8-bit tiles at ``path``, in a folder that all machines share.
 
-    Rasters are made and dealt into tiles on Spark; tiles with a pixel come to
-    the writer one after another, so it holds one of them.
+    Tasks deflate the tiles with a pixel and write them as parts; the driver gets
+    their sizes alone, lays out the file and writes its directories, and tasks
+    copy the parts to their places. The file gets its name when it is whole.
     """
     if not cells.where(F.col(value) > MOST_CLASSES).isEmpty():
         raise ValueError(f"values above {MOST_CLASSES} do not fit into a raster of 8 bits")
+    spark = cells.sparkSession
     shapes = [(height, width)] + [(h, w) for _, h, w in level_sizes(height, width, least=least)]
     base = raster(cells, height, width, order, value).select(F.lit(0).alias("level"), "py", "px", value)
-    parts = base.unionByName(pyramid(cells, height, width, order, value, least=least).select("level", "py", "px", value)) if len(shapes) > 1 else base
-    tiles = parts.groupBy("level", F.floor(F.col("py") / cell).alias("r"), F.floor(F.col("px") / cell).alias("c")).agg(
+    pixels = base.unionByName(pyramid(cells, height, width, order, value, least=least).select("level", "py", "px", value)) if len(shapes) > 1 else base
+    tiles = pixels.groupBy("level", F.floor(F.col("py") / cell).alias("r"), F.floor(F.col("px") / cell).alias("c")).agg(
         F.collect_list((F.col("py") % cell * cell + F.col("px") % cell).cast("int")).alias("at"), F.collect_list(F.col(value).cast("int")).alias("v")
     )
 
-    def images():
-        for t in tiles.toLocalIterator():
-            out = np.zeros(cell * cell, np.uint8)
-            out[t["at"]] = t["v"]
-            yield t["level"], t["r"], t["c"], out.reshape(cell, cell)
-
-    write_tiff(path, shapes, images(), cell)
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            data, index = [], []
+            for t in pdf.itertuples():
+                out = np.zeros(cell * cell, np.uint8)
+                out[np.asarray(t.at, np.int64)] = t.v
+                data.append(zlib.compress(out.tobytes()))
+                index.append((int(t.level), int(t.r), int(t.c), len(data[-1])))
+            if index:  # a batch of tiles is a part
+                yield pd.DataFrame({"name": [f"{uuid.uuid4().hex}.part"], "data": [b"".join(data)], "note": [json.dumps(index)]})
+
+    def copied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf.itertuples():
+                with open(t.part, "rb") as f, open(t.file, "r+b") as out:
+                    out.seek(t.start)
+                    shutil.copyfileobj(f, out)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    os.makedirs(parts)
+    try:
+        sinks.register(spark)
+        tiles.mapInPandas(packed, sinks.SCHEMA).write.format("files").mode("append").save(parts)
+        notes = os.path.join(parts, sinks.NOTES)
+        index = {n: json.loads(x) for n, x in json.loads(open(notes, encoding="utf-8").read()).items()} if os.path.exists(notes) else {}
+        file = os.path.join(parts, "whole")
+        starts = lay_out_tiff(file, shapes, index, cell)
+        rows = [(os.path.join(parts, n), file, start) for n, start in starts.items()]
+        if rows:
+            todo = spark.createDataFrame(rows, "part string, file string, start long").repartition(min(len(rows), spark.sparkContext.defaultParallelism))
+            todo.mapInPandas(copied, "n long").agg(F.sum("n")).first()
+        os.replace(file, path)
+    finally:
+        shutil.rmtree(parts, ignore_errors=True)
 
 
 def thumbnail_rectangle(x0: Column, y0: Column, w: Column, h: Column, width: Column, height: Column, thumb_w: Column, thumb_h: Column) -> Column:

@@ -273,11 +273,12 @@ def encode_png(image: np.ndarray) -> bytes:
     return PNG + chunk(b"IHDR", head) + chunk(b"IDAT", packed) + chunk(b"IEND", b"")
 
 
-def write_tiff(path: str, shapes: list[tuple[int, int]], tiles, cell: int = 512) -> None:
-    """A big TIFF of 8-bit levels, each ``cell`` x ``cell`` tiles, deflated; levels after the first are its sub-directories.
+def lay_out_tiff(path: str, shapes: list[tuple[int, int]], parts: dict[str, list[tuple[int, int, int, int]]], cell: int = 512) -> dict[str, int]:
+    """A big TIFF of 8-bit levels, each ``cell`` x ``cell`` tiles, deflated, but for the tiles' bytes; gives where each part's begin.
 
-    ``tiles`` yields (level, row, column, array) in any order; a tile that is
-    not given is empty. One tile is in memory at a time.
+    ``parts`` are the (level, row, column, bytes) of the tiles that stand one
+    after another in each. Levels after the first are the first one's
+    sub-directories; a tile that is in no part is empty.
     """
     blank = zlib.compress(bytes(cell * cell))
     grids = [(-(-h // cell), -(-w // cell)) for h, w in shapes]
@@ -286,12 +287,13 @@ def write_tiff(path: str, shapes: list[tuple[int, int]], tiles, cell: int = 512)
         f.write(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 0))
         empty = (f.tell(), len(blank))
         f.write(blank)
-        for level, r, c, image in tiles:
-            full = np.zeros((cell, cell), np.uint8)
-            full[: image.shape[0], : image.shape[1]] = image
-            data = zlib.compress(full.tobytes())
-            where[level][r * grids[level][1] + c] = (f.tell(), len(data))
-            f.write(data)
+        starts, at = {}, f.tell()
+        for name, tiles in parts.items():
+            starts[name] = at
+            for level, r, c, size in tiles:
+                where[level][r * grids[level][1] + c] = (at, size)
+                at += size
+        f.seek(at)
 
         def directory(level: int, subs: list[int]) -> int:
             h, w = shapes[level]
@@ -315,6 +317,7 @@ def write_tiff(path: str, shapes: list[tuple[int, int]], tiles, cell: int = 512)
         main = directory(0, subs)
         f.seek(8)
         f.write(struct.pack("<Q", main))
+    return starts
 
 
 #: How a file is opened, by its suffix; more plug in as a class with ``shape`` and ``window``.
