@@ -111,6 +111,7 @@ class Rows:
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple]:
     """(key, ids) of every document, the end id last."""
+    tokens.trim()  # what earlier stages left in this worker
     encode, end = tokens.encoder(path), end_id.to_bytes(4, "little")
     for b in batches:
         keys, texts = b.column(0), b.column(1)

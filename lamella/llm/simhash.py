@@ -336,6 +336,7 @@ def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radiu
             yield hand_on(held, block)
         else:
             yield from end(held)
+        tokens.trim()
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -358,6 +359,7 @@ def meetings(prints: DataFrame, similarity: float, bits: int, tables: int, radiu
                 held.append([b.column(c).to_numpy()[u:v] for c in (3, 0, 4, 5, 6, 7, 8)])
         if held:
             yield from end()
+        tokens.trim()
 
     dealt = spread(prints, bits, range(tables)).repartition("segment").sortWithinPartitions("segment", "component", "node")
     met = cut(dealt.mapInArrow(first, FOUND))
@@ -472,6 +474,8 @@ def crowded(groups: DataFrame, prints: DataFrame, docs: DataFrame, text: str, wo
                 held[side].append((node, component, np.array([xxh64_intdigest(x, SEED) for x in shingles(t, words)], np.uint64)))
         if held[0] or held[1]:
             yield end()
+        held = ([], [])
+        tokens.trim()
 
     texts = texts_of(groups.select("node"), prints, docs, text)
     met = groups.join(texts, "node").select("group", "side", "node", "component", "t")

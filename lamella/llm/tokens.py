@@ -15,7 +15,7 @@ import numpy as np
 #: ASCII white space: every pre-token ends there, so what lies between is encoded on its own.
 SPACE = re.compile(r"[ \t-\r]+")
 #: Characters of cached chunks at most, in two generations: what the older one has and nobody meets again is forgotten.
-CACHE_CHARS = 10_000_000
+CACHE_CHARS = 5_000_000
 #: Sentence marks that form a pre-token of their own after a letter.
 MARKS = (".", ",")
 #: Such a mark after anything but a letter, where it may belong to a longer pre-token.
@@ -157,7 +157,12 @@ def forget() -> None:
     """
     if encoder.cache_info().currsize:
         encoder.cache_clear()
-        gc.collect()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim is not None:
-            trim(0)
+        trim()
+
+
+def trim() -> None:
+    """Give what this Python worker has freed back to the system: large arrays leave holes that the allocator keeps."""
+    gc.collect()
+    back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if back is not None:
+        back(0)
