@@ -31,8 +31,8 @@ END = b"\n"
 TOP, UNITS, CLASS = 200_000, 512, 64
 #: Classes of other words, by their first bytes; the last is for those of all other beginnings.
 HEAD, OTHERS = 2, 40
-#: Width of the state, steps of a window, and every which of them has its loss taken (by turns, so that all steps count alike).
-WIDTH, WINDOW, STRIDE = 16, 16, 2
+#: Width of the state, and steps of a window: gradients end there, losses are taken of every step.
+WIDTH, WINDOW = 16, 16
 #: Texts side by side in training: one for so many tokens of a shard, within bounds; few make more steps of a small shard.
 PER_LANE, LANES = 2048, (16, 512)
 #: Step length of Adagrad, and what its sums of squares begin with.
@@ -94,41 +94,62 @@ class Model:
     def forward(self, units: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
         """States after each of the units (steps x lanes), from ``h``; ``keep`` is 0 where a text begins. Also what ``backward`` needs."""
         w = h.shape[1]
-        given, state = self.values["input"][units], self.values["state"]
+        # Lanes run along the last axis, so that all parts of the gates are contiguous; gates and tanh come from exp, which is faster.
+        table, state = (np.ascontiguousarray(self.values[k].T) for k in ("input", "state"))
+        table[: 2 * w] *= -1
+        state[: 2 * w] *= -1
+        given, h = np.take(table, units, axis=1), np.ascontiguousarray(h.T)
         out, kept = np.empty((*units.shape, w), np.float32), []
         for t in range(len(units)):
-            h = h * keep[t, :, None]
-            g = h @ state
-            gates = given[t, :, : 2 * w] + g[:, : 2 * w]
-            gates *= 0.5
-            np.tanh(gates, out=gates)
+            h = h * keep[t]
+            g = state @ h
+            gates = given[: 2 * w, t] + g[: 2 * w]
+            np.minimum(gates, HIGH, out=gates)
+            np.exp(gates, out=gates)
             gates += 1
-            gates *= 0.5
-            r, z, gn = gates[:, :w], gates[:, w:], g[:, 2 * w :]
-            n = np.tanh(given[t, :, 2 * w :] + r * gn)
+            np.divide(1, gates, out=gates)
+            r, z, gn = gates[:w], gates[w:], g[2 * w :]
+            n = r * gn
+            n += given[2 * w :, t]
+            n *= -2
+            np.minimum(n, HIGH, out=n)
+            np.exp(n, out=n)
+            n += 1
+            np.divide(2, n, out=n)
+            n -= 1
             kept.append((h, r, z, n, gn))
-            h = n + z * (h - n)
-            out[t] = h
+            h = h - n
+            h *= z
+            h += n
+            out[t] = h.T
         return out, kept
 
     def backward(self, kept: list, keep: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of what each step was given and of the state's weights, from those of the states; none leaves the window."""
         w, state = grads.shape[2], self.values["state"]
-        own = np.empty((*grads.shape[:2], 3 * w), np.float32)
-        through = np.empty_like(own)
-        carry = np.zeros_like(grads[0])
+        own = np.empty((len(grads), 3 * w, grads.shape[1]), np.float32)
+        carry, weights = np.zeros(own.shape[2:], grads.dtype), np.zeros_like(state)
         for t in range(len(grads) - 1, -1, -1):
             h, r, z, n, gn = kept[t]
-            d = grads[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            own[t, :, :w] = dn * gn * r * (1 - r)
-            own[t, :, w : 2 * w] = d * (h - n) * z * (1 - z)
-            own[t, :, 2 * w :] = dn
-            through[t] = own[t]
-            through[t, :, 2 * w :] *= r
-            carry = (d * z + through[t] @ state.T) * keep[t, :, None]
-        before = np.concatenate([k[0] for k in kept])
-        return own, before.T @ through.reshape(-1, 3 * w)
+            d = grads[t].T + carry
+            rest = 1 - z
+            dn = d * rest
+            dn *= 1 - n * n
+            rest *= z
+            rest *= h - n
+            rest *= d
+            own[t, w : 2 * w] = rest
+            own[t, 2 * w :] = dn
+            np.multiply(r, 1 - r, out=own[t, :w], casting="same_kind")
+            own[t, :w] *= gn
+            own[t, :w] *= dn
+            through = own[t].copy()
+            through[2 * w :] *= r
+            weights += h @ through.T
+            carry = state @ through
+            carry += d * z
+            carry *= keep[t]
+        return own.transpose(0, 2, 1), weights
 
     def output(self, states: np.ndarray, units: np.ndarray, learn: int = 0) -> tuple[np.ndarray, dict, np.ndarray | None]:
         """Natural log of the probability of each unit after its state; with ``learn`` also the gradients of their sum, divided by it."""
@@ -212,15 +233,14 @@ def windows(units: np.ndarray, which: np.ndarray, begins: np.ndarray, end: int,
 
 
 def learn(model: Model, texts: list[np.ndarray], end: int) -> None:
-    """One pass over the texts, with states carried across windows, gradients cut at them and the loss of every ``STRIDE``-th step."""
+    """One pass over the texts, with states carried across windows, gradients cut at them and the loss of every step."""
     lanes = min(max(sum(map(len, texts)) // PER_LANE, LANES[0]), LANES[1])
     h = np.zeros((lanes, len(model.values["state"])), np.float32)
-    for turn, (given, units, which, going) in enumerate(windows(*side_by_side(texts, lanes, False), end, WINDOW)):
+    for given, units, which, going in windows(*side_by_side(texts, lanes, False), end, WINDOW):
         states, kept = model.forward(given, going, h[: given.shape[1]])
-        told = (np.arange(len(given)) + turn) % STRIDE == 0
-        h, real = states[-1], ((which >= 0) & told[:, None]).ravel()
+        h, real = states[-1], (which >= 0).ravel()
         flat = states.reshape(-1, states.shape[2])
-        _, grads, back = model.output(flat[real], units.ravel()[real], lanes * WINDOW // STRIDE)  # whatever is left in the last windows
+        _, grads, back = model.output(flat[real], units.ravel()[real], lanes * WINDOW)  # whatever is left in the last windows
         whole = np.zeros_like(flat)
         whole[real] = back
         own, grads["state"] = model.backward(kept, going, whole.reshape(states.shape))

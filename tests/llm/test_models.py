@@ -241,3 +241,15 @@ def test_lm_beats_counts(spark, sf_dir):
     bits = lambda c: -sum(r[c] for r in rows) / sum(r["n_tokens"] for r in rows) / math.log10(2)
     assert bits("score") < bits("base_score") - 0.7
     assert np.mean([r["score"] > r["base_score"] for r in rows]) > 0.85
+
+
+def test_learning_tells_every_step(monkeypatch):
+    """No unit of a text is left out of the losses that are learned from."""
+    rng = np.random.default_rng(10)
+    units = recurrent.CLASS + recurrent.OTHERS
+    m = recurrent.Model.new(np.ones(1 + recurrent.OTHERS), np.ones((1, recurrent.CLASS)), units, 8)
+    texts = [np.r_[rng.integers(1, units, n), 0].astype(np.uint16) for n in (0, 1, 15, 16, 17, 40, 300)]
+    told, output = [], recurrent.Model.output
+    monkeypatch.setattr(recurrent.Model, "output", lambda self, states, units, learn=0: told.extend(units.tolist()) or output(self, states, units, learn))
+    recurrent.learn(m, texts, 0)
+    assert Counter(told) == Counter(np.concatenate(texts).tolist())
