@@ -17,6 +17,8 @@ from .qc import blur
 
 #: A cell reaches this many nucleus radii, and this share of the distance to the nearest nucleus at most.
 SCALE, NEAREST = 1.8, 0.6
+#: Halvings of the reach down to the finest grid on which nearest neighbours are looked for.
+BITS = 26
 
 
 def areas(mask: np.ndarray) -> np.ndarray:
@@ -308,28 +310,66 @@ def regions(pixels: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def z_order(x: Column, y: Column) -> Column:
+    """The bits of two numbers of ``BITS`` bits by turns."""
+    bit = lambda c, i: F.call_function("shiftleft", F.call_function("shiftright", c, i).bitwiseAND(F.lit(1).cast("long")), i)
+    add = lambda z, i: z.bitwiseOR(F.call_function("shiftleft", bit(x, i), i)).bitwiseOR(F.call_function("shiftleft", bit(y, i), i + 1))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), add)
+
+
 def nearest_neighbour(points: DataFrame, by: list[str], key: str, reach: float | Column) -> DataFrame:
     """Distance of every point (``cx, cy``) to the nearest other of its group, null beyond ``reach``.
 
-    Points meet in an equi-join on grid cells of side ``reach``: each one
-    looks at its own cell and the eight around it, so no group is crossed with
-    itself. ``reach`` may be a column that is the same for a whole group. A cell's reach never needs more than 3 radii, as R is the smaller of
-    1.8 r and 0.6 d.
+    ``reach`` may be a column that is the same for a whole group. A cell's reach never needs more than 3 radii, as R is the smaller of
+    1.8 r and 0.6 d. Points of one key are no neighbours; null and non-finite places have none and are none.
+
+    A point's neighbours in the Z-order of its group bound its distance. It
+    looks around itself on the grid whose cells are just wider than that: in
+    the order's quarter of such a cell it is alone, so that a cell is looked at
+    by few points, however dense a group or a part of it is. Points of one
+    place are one.
     """
-    points = points.withColumn("__reach_of", reach if isinstance(reach, Column) else F.lit(float(reach)))
-    cell = lambda c: F.floor(F.col(c) / F.col("__reach_of"))
-    home = points.withColumns({"__gx": cell("cx"), "__gy": cell("cy")})
-    around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    out = (
-        home.withColumn("__dx", F.explode(around))
-        .withColumn("__dy", F.explode(around))
-        .select(*by, F.col(key).alias("__key"), F.col("cx").alias("__x"), F.col("cy").alias("__y"),
-                (F.col("__gx") + F.col("__dx")).alias("__gx"), (F.col("__gy") + F.col("__dy")).alias("__gy"))
-    )
-    d = F.sqrt(F.pow(F.col("cx") - F.col("__x"), 2) + F.pow(F.col("cy") - F.col("__y"), 2))
-    pairs = home.join(out, [*by, "__gx", "__gy"]).where((F.col(key) != F.col("__key")) & (d <= F.col("__reach_of")))
-    near = pairs.groupBy(*by, key).agg(F.min(d).alias("nearest"))
-    return points.drop("__reach_of").join(near, [*by, key], "left")
+    finite = lambda c: F.col(c).isNotNull() & (F.abs(F.col(c)) < float("inf"))
+    rows = points.select(*by, F.col(key).alias("__key"), "cx", "cy", (reach if isinstance(reach, Column) else F.lit(float(reach))).alias("__reach_of"))
+    rows = rows.where(finite("cx") & finite("cy") & F.col("__key").isNotNull() & (F.col("__reach_of") > 0))
+    fine = lambda c: F.floor(F.col(c) / F.col("__reach_of") * float(2**BITS)).bitwiseAND(F.lit(2**BITS - 1).cast("long"))
+    places = (
+        rows.groupBy(*by, "__reach_of", "cx", "cy")
+        .agg(F.min("__key").alias("__key"), (F.min("__key") != F.max("__key")).alias("__many"))
+        .withColumns({"__gx": F.floor(F.col("cx") / F.col("__reach_of")), "__gy": F.floor(F.col("cy") / F.col("__reach_of")), "__z": z_order(fine("cx"), fine("cy"))})
+    )
+    order = [*by, "__gx", "__gy", "__z"]
+    dealt = places.repartitionByRange(*order).withColumn("__range", F.spark_partition_id())
+    w = W.partitionBy("__range").orderBy(*order)
+    d = lambda x, y: F.sqrt(F.pow(F.col("cx") - x, 2) + F.pow(F.col("cy") - y, 2))
+
+    def bound(move) -> Column:
+        o = move(F.struct(*by, "cx", "cy", "__key", "__many")).over(w)
+        other = o["__many"] | (o["__key"] != F.col("__key"))
+        for c in by:
+            other = other & (o[c] == F.col(c))
+        return F.when(other, d(o["cx"], o["cy"]))
+
+    side = F.col("__reach_of")
+    # What rounding may take away is added.
+    far = F.least(side, bound(F.lag), bound(F.lead)) * (1 + 1e-12) + (F.abs("cx") + F.abs("cy")) * 1e-15
+    level = F.least(F.lit(BITS), F.greatest(F.lit(0), 2 * F.floor(F.log2(side / F.col("__far")) / 2))).cast("int")
+    bounded = dealt.withColumn("__far", F.greatest(F.least(far, 2 * side), side * 2.0**-BITS)).withColumn("__level", level)
+    bounded = cut(bounded.select(*by, "__reach_of", "cx", "cy", "__key", "__many", "__far", "__level"))
+    asking = bounded.where(~F.col("__many"))
+    levels = [r[0] for r in asking.select("__level").distinct().collect()]  # ``BITS`` / 2 + 1 at most
+    cell = lambda x: F.floor(x / side * F.pow(F.lit(2.0), F.col("__level")))
+    around = lambda c: F.explode(F.sequence(cell(F.col(c) - F.col("__far")), cell(F.col(c) + F.col("__far"))))
+    asked = asking.withColumn("__gx", around("cx")).withColumn("__gy", around("cy")).drop("__many", "__far")
+    there = bounded.withColumn("__level", F.explode(F.array(*[F.lit(i) for i in levels]).cast("array<int>"))).select(
+        *by, "__level", F.col("__key").alias("__other"), "__many", F.col("cx").alias("__x"), F.col("cy").alias("__y"), cell(F.col("cx")).alias("__gx"), cell(F.col("cy")).alias("__gy")
+    )
+    between = d(F.col("__x"), F.col("__y"))
+    pairs = asked.join(there, [*by, "__level", "__gx", "__gy"]).where((F.col("__many") | (F.col("__key") != F.col("__other"))) & (between <= side))
+    shared = rows.join(bounded.where("__many").select(*by, "cx", "cy"), [*by, "cx", "cy"])
+    found = pairs.select(*by, "__key", between.alias("d")).union(shared.select(*by, "__key", F.lit(0.0)))
+    near = found.groupBy(*by, F.col("__key").alias(key)).agg(F.min("d").alias("nearest"))
+    return points.join(near, [*by, key], "left")
 
 
 def reach_of(nuclei: DataFrame) -> DataFrame:

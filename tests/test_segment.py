@@ -1,9 +1,11 @@
 """Touching nuclei, distances, areas, and cells that tile borders cut."""
 
+import time
 from functools import partial
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamella.operators import segment
 from lamella.plans import flows
@@ -97,3 +99,31 @@ def test_cells_across_borders_are_one(spark, tmp_path, segmenter):
     else:  # tiles part at levels of their own: the same cells, and nearly the same pixels
         assert len(got[64]) == len(got[512]) == truth.max()
         assert abs(sum(a for a, *_ in got[64]) / sum(a for a, *_ in got[512]) - 1) < 0.03
+
+
+def test_nearest_of_odd_points(spark):
+    """Places of several keys, keys of several places, nulls, no numbers, all scales, groups of one."""
+    rng = np.random.default_rng(3)
+    rows = [("a", i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(0, 40, (120, 2)))]
+    rows += [("a", 200 + i, float(x), float(y)) for i, (x, y) in enumerate(rng.normal(-7, 1e-7, (60, 2)))]
+    rows += [("a", 300, 1.0, 1.0), ("a", 301, 1.0, 1.0), ("a", 301, 55.0, -3.0), ("a", 301, 55.0, -3.1), ("a", 302, -0.0, 0.0), ("a", 303, 0.0, -0.0)]
+    rows += [("b", 1, 5.0, 5.0), ("b", 1, 5.0, 6.0), ("c", 1, 0.0, 0.0), ("c", 2, 10.0, 0.0), ("c", 3, 0.0, 10.5), ("c", 4, 1e18, 0.0), ("c", 5, 1e18, 3.0)]
+    rows += [("a", 400, None, 1.0), ("a", None, 1.0, 1.0), (None, 1, 1.0, 1.0), ("a", 401, float("nan"), 1.0), ("a", 402, float("inf"), 1.0)]
+    points = spark.createDataFrame(rows, "t string, k long, cx double, cy double")
+    want = set()
+    for t, k, x, y in rows:
+        others = [np.hypot(u - a, v - b) for s, j, u, v in rows for q, m, a, b in rows if (q, m) == (t, k) and s == t and t is not None and None not in (j, k, u, v, a, b) and j != k]
+        near = min((d for d in others if d <= 10.0), default=None)
+        want.add((t, k, None if near is None else round(float(near), 9)))
+    got = segment.nearest_neighbour(points, ["t"], "k", 10.0).collect()
+    assert len(got) == len(rows)
+    assert {(r["t"], r["k"], None if r["nearest"] is None else round(r["nearest"], 9)) for r in got} == want
+
+
+def test_nearest_in_a_crowd(spark):
+    """A group whose points all lie within reach of each other is not crossed with itself: 10 billion pairs took minutes."""
+    began = time.monotonic()
+    points = spark.range(100_000).select(F.lit(1).alias("t"), F.col("id").alias("k"), (F.col("id") % 317 * 0.25).alias("cx"), (F.floor(F.col("id") / 317) * 0.5).alias("cy"))
+    got = segment.nearest_neighbour(points, ["t"], "k", 300.0).groupBy("nearest").count().collect()
+    assert [tuple(r) for r in got] == [(0.25, 100_000)]
+    assert time.monotonic() - began < 60
