@@ -21,8 +21,14 @@ NOT_FEATURES = (
     "source_csv", "__source_csv",
 )
 UNEQUAL = "vectors of different lengths"
-#: Vectors in a block of the silhouette; a task compares two blocks.
-BLOCK = 2048
+#: Vectors in a block of the silhouette, at least and at most (a task compares two blocks), and sums that it returns of one at most.
+BLOCK, WIDEST, RETURNED = 2048, 32_768, 1 << 22
+#: Blocks that smaller tables are cut into at most, for the sake of all cores.
+FEW = 8
+#: Vectors compared at once, and pairs of near ones whose distance is taken from their difference.
+ROWS, COLUMNS, NEAR = 512, 2048, 16_384
+#: Squared distances below this share of the squared norms lose too much by products.
+LOST = 1e-6
 
 
 def feature_columns(df: DataFrame, with_positions: bool = False) -> list[str]:
@@ -318,38 +324,78 @@ def mixture(points: DataFrame, k: int, seed: int = 42) -> DataFrame:
     return out.select("id", "v", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("confidence"))
 
 
+def summed_distances(x: np.ndarray, y: np.ndarray, at: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the distances of each of ``x`` to each run of ``y``, and of each of ``y`` to each run of ``x``; runs begin at ``begin`` and ``at``.
+
+    Squared distances come from products of matrices; those too small for
+    that, and those that are no numbers, from differences.
+    """
+    to_y, to_x = np.zeros((len(x), len(begin))), np.zeros((len(y), len(at)))
+    whole = x[np.isfinite(x).all(axis=1)]
+    middle = whole.mean(axis=0) if len(whole) else 0.0
+    with np.errstate(invalid="ignore", over="ignore"):
+        u, v = x - middle, y - middle
+        u2, v2 = (u * u).sum(axis=1), (v * v).sum(axis=1)
+        for i in range(0, len(x), ROWS):
+            for j in range(0, len(y), COLUMNS):
+                a, b = slice(i, i + ROWS), slice(j, j + COLUMNS)
+                d = u[a] @ (-2 * v[b].T)
+                d += u2[a, None]
+                d += v2[b]
+                flat = d.ravel()
+                near = np.flatnonzero(~(flat > LOST * (u2[a].max() + v2[b].max())))
+                np.sqrt(d, out=d)
+                for k in range(0, len(near), NEAR):
+                    r, c = np.divmod(near[k : k + NEAR], d.shape[1])
+                    flat[near[k : k + NEAR]] = np.sqrt(((x[i + r] - y[j + c]) ** 2).sum(axis=1))
+                # The runs within these rows and columns.
+                first, last = np.searchsorted(begin, j, "right") - 1, np.searchsorted(begin, j + d.shape[1])
+                to_y[a, first:last] += np.add.reduceat(d, np.maximum(begin[first:last] - j, 0), axis=1)
+                first, last = np.searchsorted(at, i, "right") - 1, np.searchsorted(at, i + len(d))
+                to_x[b, first:last] += np.add.reduceat(d, np.maximum(at[first:last] - i, 0), axis=0).T
+    return to_y, to_x
+
+
 def silhouette(points: DataFrame, blocks: int | None = None) -> DataFrame:
     """Euclidean silhouette of every point (``id, v, cluster``); 0 for a cluster of one.
 
-    Pairs of blocks of about ``BLOCK`` points are compared in tasks of their
-    own, which return sums of distances by cluster, never pairs. The work is
+    Every two blocks of points are compared once, in a task of their own, which
+    returns sums of distances by cluster, never pairs. Blocks are as large as
+    memory allows, as each travels once for every other. The work is
     quadratic: take a ``subsample`` of millions.
     """
-    blocks = blocks or max(1, -(-points.count() // BLOCK))
-    dealt = points.select("id", "v", "cluster", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("long").alias("block"))
-    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    left = dealt.withColumn("other", every)
-    right = dealt.select(F.col("v").alias("u"), F.col("cluster").alias("of"), F.col("block").alias("other")).withColumn("block", every)
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"id": [], "own": [], "cluster": [], "total": [], "n": []})
-        x, y = np.stack(a["v"].to_numpy()), np.stack(b["u"].to_numpy())
-        kinds, at = np.unique(b["of"].to_numpy(), return_inverse=True)
-        member = np.eye(len(kinds))[at]
-        total = np.concatenate([np.sqrt(((x[i : i + 32, None] - y[None]) ** 2).sum(axis=2)) @ member for i in range(0, len(x), 32)])
-        n = np.bincount(at)
+    if not blocks:
+        n, kinds = points.agg(F.count("*"), F.count_distinct("cluster")).first()
+        blocks = max(-(-n // max(BLOCK, min(WIDEST, RETURNED // max(kinds, 1)))), min(-(-n // BLOCK), FEW), 1)
+    dealt = points.select("id", "v", "cluster", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"))
+    every = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = every.select("id", "v", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def side(part: pd.DataFrame) -> tuple:
+        codes, kinds = pd.factorize(part["cluster"], use_na_sentinel=False)
+        order, n = np.argsort(codes, kind="stable"), np.bincount(codes)
+        return part.iloc[order], np.stack(part["v"].to_numpy()[order]), kinds, n, np.cumsum(n) - n
+
+    def told(part: pd.DataFrame, total: np.ndarray, kinds, n: np.ndarray) -> pd.DataFrame:
         return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), len(kinds)), "own": np.repeat(a["cluster"].to_numpy(), len(kinds)),
-            "cluster": np.tile(kinds, len(a)), "total": total.ravel(), "n": np.tile(n, len(a)),
+            "id": np.repeat(part["id"].to_numpy(), len(kinds)), "own": np.repeat(part["cluster"].to_numpy(), len(kinds)),
+            "cluster": np.tile(kinds, len(part)), "total": total.ravel(), "n": np.tile(n, len(part)),
         })
 
+    def sums(pair: pd.DataFrame) -> pd.DataFrame:
+        low, high = pair["low"].iloc[0], pair["high"].iloc[0]
+        both = [pair[pair["block"] == b] for b in (low, high)]
+        if both[0].empty or both[1].empty:
+            return pd.DataFrame({"id": [], "own": [], "cluster": [], "total": [], "n": []})
+        a, x, of_x, n_x, at = side(both[0])
+        b, y, of_y, n_y, begin = (a, x, of_x, n_x, at) if low == high else side(both[1])
+        to_y, to_x = summed_distances(x, y, at, begin)
+        one = told(a, to_y, of_y, n_y)
+        return one if low == high else pd.concat([one, told(b, to_x, of_x, n_x)])
+
     kind, of = dict(points.dtypes)["id"], dict(points.dtypes)["cluster"]
-    parts = (
-        left.groupBy("block", "other")
-        .cogroup(right.groupBy("block", "other"))
-        .applyInPandas(sums, f"id {kind}, own {of}, cluster {of}, total double, n long")
-    )
+    pairs = met.repartition(blocks * (blocks + 1) // 2, "low", "high")
+    parts = pairs.groupBy("low", "high").applyInPandas(sums, f"id {kind}, own {of}, cluster {of}, total double, n long")
     means = parts.groupBy("id", "own", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     same = F.col("own") == F.col("cluster")
     scored = means.groupBy("id", "own").agg(

@@ -661,3 +661,29 @@ def test_reports(spark):
     shapes = spark.createDataFrame([("i", 3, 10, 20)], "image_id string, n_channels int, height long, width long")
     r = qc.report(qc.drift_summary(d, ["image_id", "channel"]), cross, quality, shapes).first()
     assert r["drift"]["c1"]["max_px"] == 5.0 and r["crosstalk"]["matrix_summary"]["max"] == 1.0 and r["quality"]["threshold"] == 5.0
+
+
+def test_silhouette_far_from_zero(spark):
+    """Tight clusters far from the origin, copies, a cluster of one; blocks of any number give the same."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(c, 1e-3, (40, 5)) for c in (1e5, 1e5 + 1, -3)])
+    x[7] = x[8]
+    of = [*np.repeat([0, 1, 2], 40).tolist()]
+    of[5] = 9
+    df = spark.createDataFrame([(i, v.tolist(), c) for i, (v, c) in enumerate(zip(x, of))], "id long, v array<double>, cluster int")
+    d, own = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), np.array(of)
+    want = []
+    for i, c in enumerate(of):
+        b = min(d[i, own == k].mean() for k in {*of} - {c})
+        a = d[i, own == c].sum() / max((own == c).sum() - 1, 1)
+        want.append((b - a) / max(a, b) if (own == c).sum() > 1 else 0.0)
+    for blocks in (None, 3):
+        got = {r["id"]: r["silhouette"] for r in cluster.silhouette(df, blocks).collect()}
+        assert np.allclose([got[i] for i in range(len(x))], want, rtol=0, atol=1e-8)
+
+
+def test_silhouette_compares_blocks_once(spark):
+    """A point is sent once to the tasks of few large blocks, not twice to one for each 2048 others (196 of them)."""
+    points = spark.range(400_000).select("id", F.array(F.lit(0.0)).alias("v"), (F.col("id") % 2).alias("cluster"))
+    plan = cluster.silhouette(points)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1 and "195" not in plan
