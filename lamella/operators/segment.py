@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.graph import components
 from ..functions.shared import cut
@@ -19,6 +22,8 @@ from .qc import blur
 SCALE, NEAREST = 1.8, 0.6
 #: Halvings of the reach down to the finest grid on which nearest neighbours are looked for.
 BITS = 26
+#: Side of the blocks of pixels that are given to nuclei at once.
+SIDE = 256
 
 
 def areas(mask: np.ndarray) -> np.ndarray:
@@ -382,17 +387,51 @@ def reach_of(nuclei: DataFrame) -> DataFrame:
 def assign_pixels(nuclei: DataFrame, by: list[str], h: int, w: int) -> DataFrame:
     """Pixels within ``R`` of a nucleus (``cx, cy, label, ord``), each to the nearest, ties to the earlier.
 
-    Only pixels of each nucleus' bounding box are made, not the tile's.
+    Nuclei travel, not pixels: they go through the blocks of a tile that their
+    boxes touch, and a task holds one block of pixels, whatever the number of
+    nuclei or the size of a tile.
     """
     low = lambda c, top: F.greatest(F.lit(0), F.ceil(F.col(c) - F.col("R"))).cast("long")
     high = lambda c, top: F.least(F.lit(top - 1), F.floor(F.col(c) + F.col("R"))).cast("long")
-    inside = nuclei.where((low("cy", h) <= high("cy", h)) & (low("cx", w) <= high("cx", w)))
-    box = inside.withColumn("y", F.explode(F.sequence(low("cy", h), high("cy", h)))).withColumn(
-        "x", F.explode(F.sequence(low("cx", w), high("cx", w)))
+    block = lambda x: F.floor(x / SIDE).cast("long")
+    known = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    inside = nuclei.where(known("cy") & known("cx") & known("R")).where((low("cy", h) <= high("cy", h)) & (low("cx", w) <= high("cx", w)))
+    boxed = inside.withColumn("__by", F.explode(F.sequence(block(low("cy", h)), block(high("cy", h))))).withColumn(
+        "__bx", F.explode(F.sequence(block(low("cx", w)), block(high("cx", w))))
     )
-    d2 = F.pow(F.col("y") - F.col("cy"), 2) + F.pow(F.col("x") - F.col("cx"), 2)
-    hit = box.withColumn("d2", d2).where(F.col("d2") <= F.col("R") * F.col("R"))
-    return hit.groupBy(*by, "y", "x").agg(F.min_by("label", F.struct("d2", "ord")).alias("label"))
+    key = [*by, "__by", "__bx"]
+    dealt = boxed.repartition(*key).sortWithinPartitions(*key, "ord")
+    own = dealt.select(*key, "label", *[F.col(c).cast("double").alias(c) for c in ("cy", "cx", "R")])
+    schema = StructType([*nuclei.select(*by).schema, StructField("y", LongType()), StructField("x", LongType()), nuclei.schema["label"]])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, best, label = None, np.empty((SIDE, SIDE)), np.empty((SIDE, SIDE), object)
+
+        def told() -> pa.RecordBatch:
+            y, x = np.nonzero(best < np.inf)
+            columns = [*[[k] * len(y) for k in now[:-2]], y + now[-2] * SIDE, x + now[-1] * SIDE, label[y, x].tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+
+        for batch in batches:
+            for *place, name, cy, cx, r in zip(*(c.to_pylist() for c in batch.columns)):
+                if place != now:
+                    if now is not None:
+                        yield told()
+                    now = place
+                    best.fill(np.inf)
+                y0, x0 = now[-2] * SIDE, now[-1] * SIDE
+                top, left = math.ceil(max(cy - r, y0)), math.ceil(max(cx - r, x0))
+                end, right = math.floor(min(cy + r, h - 1, y0 + SIDE - 1)), math.floor(min(cx + r, w - 1, x0 + SIDE - 1))
+                d2 = (np.arange(top, end + 1) - cy)[:, None] ** 2 + (np.arange(left, right + 1) - cx) ** 2
+                part = slice(top - y0, end + 1 - y0), slice(left - x0, right + 1 - x0)
+                nearer = (d2 <= r * r) & (d2 < best[part])
+                best[part][nearer] = d2[nearer]
+                label[part][nearer] = name
+        if now is not None:
+            yield told()
+
+    return own.mapInArrow(run, schema)
 
 
 def build_cells(nuclei: DataFrame, by: list[str], h: int, w: int) -> DataFrame:

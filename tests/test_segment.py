@@ -127,3 +127,23 @@ def test_nearest_in_a_crowd(spark):
     got = segment.nearest_neighbour(points, ["t"], "k", 300.0).groupBy("nearest").count().collect()
     assert [tuple(r) for r in got] == [(0.25, 100_000)]
     assert time.monotonic() - began < 60
+
+
+def test_disks_across_blocks_of_a_tile(spark):
+    """Tiles larger than a block, ties, disks over edges and beyond them, null tiles; no row is made for a pixel on its way."""
+    rng = np.random.default_rng(5)
+    rows = [(t, i, i, float(x), float(y), float(r)) for t in ("a", None) for i, (x, y, r) in enumerate(zip(rng.integers(-4, 320, 150), rng.integers(-4, 620, 150), rng.random(150) * 12))]
+    rows += [("c", 7, 2, 255.5, 255.5, 3.0), ("c", 8, 1, 256.5, 256.5, 3.0), ("c", 9, 3, 255.5, 255.5, 3.0), ("c", 10, 4, None, 1.0, 3.0), ("c", 11, 5, -50.0, 1.0, 3.0)]
+    df = spark.createDataFrame(rows, "t string, label int, ord int, cx double, cy double, R double")
+    best = {}
+    for t, label, order, cx, cy, r in rows:
+        for y in range(600 if cx is not None else 0):
+            for x in range(max(0, int(cx - r)), min(300, int(cx + r) + 2)):
+                d = (y - cy) ** 2 + (x - cx) ** 2
+                if d <= r * r:
+                    best[t, y, x] = min(best.get((t, y, x), (np.inf,)), (d, order, label))
+    out = segment.assign_pixels(df, ["t"], 600, 300)
+    assert out.dtypes == [("t", "string"), ("y", "bigint"), ("x", "bigint"), ("label", "int")]
+    got = out.collect()
+    assert len(got) == len(best) and {(r["t"], r["y"], r["x"]): r["label"] for r in got} == {k: v[2] for k, v in best.items()}
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
