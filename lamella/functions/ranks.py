@@ -84,4 +84,6 @@ def quantiles(df: DataFrame, column: str, shares: list[float], by: list[str] | N
     low = lambda s: F.min(F.when(F.col("last") > F.floor(place(s)), F.col("v")))
     high = lambda s: F.min(F.when(F.col("last") > F.ceil(place(s)), F.col("v")))
     part = lambda s: F.max(place(s) - F.floor(place(s)))
-    return row.groupBy(*by).agg(F.array(*[low(s) + (high(s) - low(s)) * part(s) for s in shares]).alias("q"))
+    # Of two equal values (infinite ones, too) it is that one.
+    between = lambda s: F.when(low(s) == high(s), low(s)).otherwise(low(s) + (high(s) - low(s)) * part(s))
+    return row.groupBy(*by).agg(F.array(*[between(s) for s in shares]).alias("q"))

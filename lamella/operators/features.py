@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_uint8, unit_scale
+from ..functions.ranks import quantiles
 from ..functions.shared import small
 
 TILE = ["tile_x", "tile_y"]
@@ -19,20 +20,35 @@ LONG = [
 ]
 
 
+def medians(pixels: DataFrame, by: list[str], name: str) -> DataFrame:
+    """Exact median of the values of each group, without a task that holds a group's values."""
+    return quantiles(pixels, "value", [0.5], by).select(*by, F.col("q")[0].alias(name))
+
+
+def beside(rows: DataFrame, levels: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with the columns of their group's row in ``levels``, null where there is none; null keys are equal."""
+    right = levels.withColumnsRenamed({c: f"__{c}" for c in by})
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return rows.join(right, on, "left").drop(*[f"__{c}" for c in by])
+
+
 def background(pixels: DataFrame) -> DataFrame:
     """Exact median of the pixels outside cells for each tile and channel."""
-    return pixels.where(F.col("label") == 0).groupBy(*TILE, "channel").agg(F.median("value").alias("background"))
+    return medians(pixels.where(F.col("label") == 0), [*TILE, "channel"], "background")
 
 
 def long(pixels: DataFrame) -> DataFrame:
     """Statistics of every cell and channel; without background pixels the background is 0.0. Never clipped."""
-    stats = pixels.where(F.col("label") > 0).groupBy(*CELL, "channel").agg(
+    cells, by = pixels.where(F.col("label") > 0), [*CELL, "channel"]
+    stats = cells.groupBy(*by).agg(
         F.avg("value").alias("mean"),
-        F.median("value").alias("median"),
         F.sum("value").alias("sum"),
         F.stddev_pop("value").alias("std"),
         F.count("*").alias("n_pixels"),
     )
+    stats = beside(stats, medians(cells, by, "median"), by).select(*by, "mean", "median", "sum", "std", "n_pixels")
     level = F.coalesce("background", F.lit(0.0))
     return (
         stats.join(background(pixels), [*TILE, "channel"], "left")
@@ -92,8 +108,7 @@ def measure(tiles: DataFrame, channels: dict[int, str]) -> DataFrame:
 
 def background_of_rows(pixels: DataFrame) -> DataFrame:
     """The background beside every pixel row; a row for each tile and channel meets them, no window gathers them."""
-    level = pixels.groupBy(*TILE, "channel").agg(F.coalesce(F.median(F.when(F.col("label") == 0, F.col("value"))), F.lit(0.0)).alias("background"))
-    return pixels.join(level, [*TILE, "channel"])
+    return beside(pixels, background(pixels), [*TILE, "channel"]).withColumn("background", F.coalesce("background", F.lit(0.0)))
 
 
 def scaled(pixels: DataFrame, by: list[str]) -> DataFrame:
