@@ -42,7 +42,7 @@ ROUNDS = 4
 #: Tokens of a shard in a round.
 SHARD = 1_000_000
 #: Tokens scored together, texts side by side in that, and steps of a window.
-SCORED, SIDE, SPAN = 800_000, 1024, 16
+SCORED, SIDE, SPAN = 3_000_000, 512, 16
 #: Different words that a task counts before it hands them on.
 HELD = 200_000
 #: Logits end here, so that none overflows.
@@ -94,99 +94,123 @@ class Model:
     def forward(self, units: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
         """States after each of the units (steps x lanes), from ``h``; ``keep`` is 0 where a text begins. Also what ``backward`` needs."""
         w = h.shape[1]
-        # Lanes run along the last axis, so that all parts of the gates are contiguous; gates and tanh come from exp, which is faster.
-        table, state = (np.ascontiguousarray(self.values[k].T) for k in ("input", "state"))
-        table[: 2 * w] *= -1
-        state[: 2 * w] *= -1
-        given, h = np.take(table, units, axis=1), np.ascontiguousarray(h.T)
-        out, kept = np.empty((*units.shape, w), np.float32), []
-        for t in range(len(units)):
-            h = h * keep[t]
-            g = state @ h
-            gates = given[: 2 * w, t] + g[: 2 * w]
-            np.minimum(gates, HIGH, out=gates)
-            np.exp(gates, out=gates)
-            gates += 1
-            np.divide(1, gates, out=gates)
-            r, z, gn = gates[:w], gates[w:], g[2 * w :]
-            n = r * gn
-            n += given[2 * w :, t]
-            n *= -2
-            np.minimum(n, HIGH, out=n)
-            np.exp(n, out=n)
-            n += 1
-            np.divide(2, n, out=n)
-            n -= 1
-            kept.append((h, r, z, n, gn))
-            h = h - n
-            h *= z
-            h += n
-            out[t] = h.T
+        # Each gate is an array of its own, lanes x width without gaps; gates and tanh come from exp, which is faster and may overflow.
+        table, state = (np.ascontiguousarray(self.values[k].reshape(-1, 3, w).transpose(1, 0, 2)) for k in ("input", "state"))
+        table[:2] *= -1
+        state[:2] *= -1
+        given = np.take(table, units, axis=1)
+        begun = keep == 0
+        some = begun.any(axis=1).tolist()
+        out, kept = np.empty((*units.shape, w), given.dtype), []
+        with np.errstate(over="ignore"):
+            for t in range(len(units)):
+                if some[t]:
+                    h = h.copy()
+                    h[begun[t]] = 0
+                g = h @ state
+                gates = g[:2]
+                gates += given[:2, t]
+                np.exp(gates, out=gates)
+                gates += 1
+                np.divide(1, gates, out=gates)
+                r, z, gn = g
+                n = r * gn
+                n += given[2, t]
+                n *= -2
+                np.exp(n, out=n)
+                n += 1
+                np.divide(2, n, out=n)
+                n -= 1
+                kept.append((h, r, z, n, gn))
+                last, h = h, out[t]
+                np.subtract(last, n, out=h, casting="same_kind")
+                h *= z
+                h += n
         return out, kept
 
     def backward(self, kept: list, keep: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of what each step was given and of the state's weights, from those of the states; none leaves the window."""
         w, state = grads.shape[2], self.values["state"]
-        own = np.empty((len(grads), 3 * w, grads.shape[1]), np.float32)
-        carry, weights = np.zeros(own.shape[2:], grads.dtype), np.zeros_like(state)
+        # Side by side: what the state's weights get for n, what they get for r and z, what the unit gets for n; no part is copied.
+        parts = np.empty((*grads.shape[:2], 4 * w), np.float32)
+        turned = np.ascontiguousarray(np.roll(state, w, axis=1).T)
+        carry, weights = np.zeros(grads.shape[1:], grads.dtype), np.zeros_like(state)
+        begun = keep == 0
+        some = begun.any(axis=1).tolist()
         for t in range(len(grads) - 1, -1, -1):
-            h, r, z, n, gn = kept[t]
-            d = grads[t].T + carry
+            (h, r, z, n, gn), own = kept[t], parts[t]
+            d = grads[t] + carry
             rest = 1 - z
-            dn = d * rest
-            dn *= 1 - n * n
+            dn = n * n
+            np.subtract(1, dn, out=dn)
+            dn *= rest
+            dn *= d
+            own[:, 3 * w :] = dn
+            np.multiply(dn, r, out=own[:, :w], casting="same_kind")
+            dn *= gn
+            dn *= r
+            np.multiply(dn, 1 - r, out=own[:, w : 2 * w], casting="same_kind")
             rest *= z
             rest *= h - n
-            rest *= d
-            own[t, w : 2 * w] = rest
-            own[t, 2 * w :] = dn
-            np.multiply(r, 1 - r, out=own[t, :w], casting="same_kind")
-            own[t, :w] *= gn
-            own[t, :w] *= dn
-            through = own[t].copy()
-            through[2 * w :] *= r
-            weights += h @ through.T
-            carry = state @ through
-            carry += d * z
-            carry *= keep[t]
-        return own.transpose(0, 2, 1), weights
+            np.multiply(rest, d, out=own[:, 2 * w : 3 * w], casting="same_kind")
+            through = own[:, : 3 * w]
+            weights += h.T @ through
+            d *= z
+            carry = through @ turned
+            carry += d
+            if some[t]:
+                carry[begun[t]] = 0
+        return parts[:, :, w:], np.roll(weights, -w, axis=1)
 
     def output(self, states: np.ndarray, units: np.ndarray, learn: int = 0) -> tuple[np.ndarray, dict, np.ndarray | None]:
         """Natural log of the probability of each unit after its state; with ``learn`` also the gradients of their sum, divided by it."""
-        v, frequent = self.values, len(self.values["word"]) * CLASS
-        classes = np.where(units < frequent, units // CLASS, units - frequent + len(v["word"]))
-        rows = np.arange(len(units))
-        raw = states @ v["class"] + v["class_bias"]
-        np.minimum(raw, HIGH, out=raw)
-        told = raw[rows, classes]
-        np.exp(raw, out=raw)
-        sums = raw @ np.ones(raw.shape[1], raw.dtype)
-        told = told - np.log(sums)
+        v, w = self.values, states.shape[1]
+        groups, frequent = len(v["word"]), len(v["word"]) * CLASS
+        classes = np.where(units < frequent, units // CLASS, units - frequent + groups)
+        # Biases are the weights of a 1 beside the state.
+        whole = np.ones((len(states), w + 1), states.dtype)
+        whole[:, :w] = states
+
+        def told_of(raw: np.ndarray, places: np.ndarray) -> np.ndarray:
+            """The log of each row's softmax at its place; ``raw`` becomes its gradients if they are asked for."""
+            if raw.size and raw.max() > HIGH:
+                np.minimum(raw, HIGH, out=raw)
+            at = np.arange(0, raw.size, raw.shape[1]) + places
+            flat = raw.reshape(-1)
+            told = flat[at]
+            np.exp(raw, out=raw)
+            sums = raw @ np.ones(raw.shape[1], raw.dtype)
+            if learn:
+                raw *= (1 / (learn * sums))[:, None]
+                flat[at] -= 1 / learn
+            return told - np.log(sums)
+
+        raw = whole @ np.concatenate([v["class"], v["class_bias"][None]])
+        told = told_of(raw, classes)
         grads, back = {}, None
         if learn:
-            raw *= (1 / (learn * sums))[:, None]
-            raw[rows, classes] -= 1 / learn
-            grads = {"class": states.T @ raw, "class_bias": raw.sum(axis=0), "word": np.zeros_like(v["word"]), "word_bias": np.zeros_like(v["word_bias"])}
+            own = whole.T @ raw
+            grads = {"class": own[:w], "class_bias": own[w], "word": np.zeros_like(v["word"]), "word_bias": np.zeros_like(v["word_bias"])}
             back = raw @ v["class"].T
+        # The frequent words lie class by class.
         order = np.argsort(classes.astype(np.int16), kind="stable")
-        ends = np.searchsorted(classes[order], np.arange(len(v["word"]) + 1))
-        for c in range(len(v["word"])):
-            at = order[ends[c] : ends[c + 1]]
-            if not len(at):
-                continue
-            own, place, some = states[at], units[at] % CLASS, np.arange(len(at))
-            x = own @ v["word"][c] + v["word_bias"][c]
-            np.minimum(x, HIGH, out=x)
-            hit = x[some, place]
-            np.exp(x, out=x)
-            sums = x @ np.ones(CLASS, x.dtype)
-            told[at] += hit - np.log(sums)
+        ends = np.cumsum(np.bincount(classes, minlength=groups)[:groups]).tolist()
+        parts = [(c, slice(a, b)) for c, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+        if parts:
+            at = order[: ends[-1]]
+            own = whole[at]
+            x = np.empty((len(at), CLASS), raw.dtype)
+            both = np.concatenate([v["word"], v["word_bias"][:, None]], axis=1)
+            for c, part in parts:
+                np.matmul(own[part], both[c], out=x[part])
+            told[at] += told_of(x, units[at] % CLASS)
             if learn:
-                x *= (1 / (learn * sums))[:, None]
-                x[some, place] -= 1 / learn
-                grads["word"][c] = own.T @ x
-                grads["word_bias"][c] = x.sum(axis=0)
-                back[at] += x @ v["word"][c].T
+                more = np.empty((len(at), w), x.dtype)
+                for c, part in parts:
+                    grad = own[part].T @ x[part]
+                    grads["word"][c], grads["word_bias"][c] = grad[:w], grad[w]
+                    np.matmul(x[part], v["word"][c].T, out=more[part])
+                back[at] += more
         return told, grads, back
 
     def adapt(self, name: str, grad: np.ndarray, rows: np.ndarray | slice = slice(None)) -> None:
@@ -194,8 +218,8 @@ class Model:
         self.values[name][rows] -= RATE * grad / np.sqrt(self.squares[name][rows])
 
 
-def side_by_side(texts: list[np.ndarray], lanes: int, longest_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Texts one after another in lanes of about equal length: units (steps x lanes), number of the text (-1: none), whether it begins.
+def side_by_side(texts: list[np.ndarray], lanes: int, longest_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Texts one after another in lanes of about equal length: all lanes' units behind each other, the number of each unit's text, where lanes begin and end.
 
     Lanes come by falling length, so those that still have units are the first.
     """
@@ -206,48 +230,47 @@ def side_by_side(texts: list[np.ndarray], lanes: int, longest_first: bool) -> tu
         size, k = heapq.heappop(free)
         own[k].append(i)
         heapq.heappush(free, (size + len(texts[i]), k))
-    sizes = dict((k, s) for s, k in free)
-    ranked = sorted(sizes, key=lambda k: -sizes[k])
-    steps = max(sizes.values(), default=0)
-    units = np.zeros((steps, len(ranked)), np.int32)
-    which = np.full((steps, len(ranked)), -1, np.int32)
-    begins = np.zeros((steps, len(ranked)), bool)
-    for j, k in enumerate(ranked):
-        at = 0
-        for i in own[k]:
-            n = len(texts[i])
-            units[at : at + n, j], which[at : at + n, j], begins[at, j] = texts[i], i, True
-            at += n
-    return units, which, begins
-
-
-def windows(units: np.ndarray, which: np.ndarray, begins: np.ndarray, end: int, span: int) -> Iterator[tuple]:
-    """Windows of lanes that still have units: what each step is given, what it is to tell, its text and where texts go on."""
-    given = np.full_like(units, end)
-    given[1:] = units[:-1]
-    given[begins] = end
-    going = (~begins).astype(np.float32)
-    for t in range(0, len(units), span):
-        part = slice(t, t + span), slice(0, int((which[t] >= 0).sum()))
-        yield given[part], units[part], which[part], going[part]
+    ranked = sorted(free, reverse=True)
+    laid = [i for _, k in ranked for i in own[k]]
+    units = np.concatenate([np.zeros(0, np.uint16), *[texts[i] for i in laid]]).astype(np.int32)
+    which = np.repeat(np.array(laid, np.int32), [len(texts[i]) for i in laid])
+    ends = np.cumsum([s for s, _ in ranked], dtype=np.int64)
+    return units, which, np.r_[0, ends[:-1]] if len(ends) else ends, ends
+
+
+def windows(units: np.ndarray, which: np.ndarray, starts: np.ndarray, ends: np.ndarray, end: int, span: int) -> Iterator[tuple]:
+    """Windows of lanes that still have units: what each step is given, what it is to tell, its text, where texts go on and what is real."""
+    given, going = np.full_like(units, end), np.zeros(len(units), np.float32)
+    going[1:] = which[1:] == which[:-1]
+    np.copyto(given[1:], units[:-1], where=going[1:] > 0)
+    sizes = ends - starts
+    for t in range(0, int(sizes.max(initial=0)), span):
+        n = int((sizes > t).sum())
+        at = starts[:n] + np.arange(t, min(t + span, int(sizes[0])))[:, None]
+        real = at < ends[:n]
+        if not real.all():
+            at = np.minimum(at, ends[:n] - 1)
+        yield given[at], units[at], which[at], going[at], real
 
 
 def learn(model: Model, texts: list[np.ndarray], end: int) -> None:
     """One pass over the texts, with states carried across windows, gradients cut at them and the loss of every step."""
     lanes = min(max(sum(map(len, texts)) // PER_LANE, LANES[0]), LANES[1])
     h = np.zeros((lanes, len(model.values["state"])), np.float32)
-    for given, units, which, going in windows(*side_by_side(texts, lanes, False), end, WINDOW):
+    for given, units, _, going, real in windows(*side_by_side(texts, lanes, False), end, WINDOW):
         states, kept = model.forward(given, going, h[: given.shape[1]])
-        h, real = states[-1], (which >= 0).ravel()
-        flat = states.reshape(-1, states.shape[2])
-        _, grads, back = model.output(flat[real], units.ravel()[real], lanes * WINDOW)  # whatever is left in the last windows
-        whole = np.zeros_like(flat)
-        whole[real] = back
-        own, grads["state"] = model.backward(kept, going, whole.reshape(states.shape))
+        h, real = states[-1], real.ravel()
+        flat, told = states.reshape(-1, states.shape[2]), units.ravel()
+        whole = real.all()
+        _, grads, back = model.output(flat if whole else flat[real], told if whole else told[real], lanes * WINDOW)  # whatever is left in the last windows
+        if not whole:
+            back, some = np.zeros_like(flat), back
+            back[real] = some
+        own, grads["state"] = model.backward(kept, going, back.reshape(states.shape))
         ids = given.ravel()
         order = np.argsort(ids.astype(np.uint16), kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-        model.adapt("input", np.add.reduceat(own.reshape(len(ids), -1)[order], first), ids[order][first])
+        model.adapt("input", np.add.reduceat(own.reshape(len(ids), -1)[order], first), ids[order[first]])
         for name, grad in grads.items():
             model.adapt(name, grad)
 
@@ -256,9 +279,9 @@ def log_likelihood(model: Model, texts: list[np.ndarray], end: int) -> np.ndarra
     """Natural log of the probability of each whole text's units, in double precision."""
     out = np.zeros(len(texts))
     h = np.zeros((SIDE, len(model.values["state"])), np.float32)
-    for given, units, which, going in windows(*side_by_side(texts, SIDE, True), end, SPAN):
+    for given, units, which, going, real in windows(*side_by_side(texts, SIDE, True), end, SPAN):
         states, _ = model.forward(given, going, h[: given.shape[1]])
-        h, real = states[-1], which.ravel() >= 0
+        h, real = states[-1], real.ravel()
         told, _, _ = model.output(states.reshape(-1, states.shape[2])[real], units.ravel()[real])
         out += np.bincount(which.ravel()[real], told.astype(np.float64), len(texts))
     return out
@@ -329,10 +352,6 @@ class Words:
         #: Tokens and different words of each class of others, and of the classes of frequent words.
         self.others, self.mass = mass, np.r_[self.words.sum(axis=1), mass[:, 0]]
 
-    def unit_of(self, word: bytes) -> int:
-        unit = self.unit.get(word)
-        return self.head.get(word[:HEAD], self.rest) if unit is None else unit
-
     def below(self) -> np.ndarray:
         """log10 of what c + 0.5 is divided by, for each unit's word: 1 (0) for frequent words, which the model tells itself."""
         return np.r_[np.zeros(self.frequent), np.log10(self.others[:, 0] + 0.5 * (self.others[:, 1] + 1))]
@@ -347,8 +366,13 @@ def marked(docs: DataFrame, key: str, text: str, train: Column, words: Words) ->
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         place = {w: i for i, w in enumerate(words.count)}
-        units = np.array([words.unit_of(w) for w in words.count], np.uint16)
-        logs = np.array([math.log10(c + 0.5) for c in words.count.values()])
+        # No other word begins like the end, which is a unit even where no text was learned from.
+        head, rest = (words.head | {END: words.unit[END]}).get, words.rest
+        units = np.array([head(w[:HEAD], rest) for w in place], np.uint16)
+        for w, unit in words.unit.items():
+            if w in place:
+                units[place[w]] = unit
+        logs = np.log10(np.fromiter(words.count.values(), np.float64, len(place)) + 0.5)
         other = units >= words.frequent
         get, unknown = place.get, repeat(-1)
         for b in batches:
@@ -363,7 +387,7 @@ def marked(docs: DataFrame, key: str, text: str, train: Column, words: Words) ->
                     if missing:
                         strange = [part[k] for k in missing]
                         rare.update(strange)
-                        unit[missing] = list(map(words.unit_of, strange))
+                        unit[missing] = [head(w[:HEAD], rest) for w in strange]
                         index = index[index >= 0]
                     own.append(unit.tobytes())
                     found = logs[index], other[index]

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -253,3 +254,35 @@ def test_learning_tells_every_step(monkeypatch):
     monkeypatch.setattr(recurrent.Model, "output", lambda self, states, units, learn=0: told.extend(units.tolist()) or output(self, states, units, learn))
     recurrent.learn(m, texts, 0)
     assert Counter(told) == Counter(np.concatenate(texts).tolist())
+
+
+def test_a_long_text_costs_its_own_units():
+    """Lanes are not filled up to the longest of them, in memory or in work, and each unit is told once, where it belongs."""
+    rng = np.random.default_rng(11)
+    units = recurrent.CLASS + recurrent.OTHERS
+    m = recurrent.Model.new(np.ones(1 + recurrent.OTHERS), np.ones((1, recurrent.CLASS)), units, 8)
+    texts = [np.r_[rng.integers(1, units, n), 0].astype(np.uint16) for n in (20_000, *[3] * 2000)]
+    laid = recurrent.side_by_side(texts, 1024, True)
+    told = Counter()
+    for given, tell, which, going, real in recurrent.windows(*laid, 0, 16):
+        assert not given[going == 0].any() and real.any(axis=0).all()
+        told.update(zip(which[real].tolist(), tell[real].tolist()))
+    assert told == Counter((i, int(u)) for i, t in enumerate(texts) for u in t)
+    tracemalloc.start()
+    recurrent.log_likelihood(m, texts, 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6  # 28,001 units
+
+
+def test_logits_beyond_bounds():
+    """Large weights give finite scores and gradients, and whole distributions."""
+    rng = np.random.default_rng(12)
+    units = 2 * recurrent.CLASS + recurrent.OTHERS
+    m = recurrent.Model.new(np.ones(2 + recurrent.OTHERS), np.ones((2, recurrent.CLASS)), units, 8)
+    m.values = {k: v + rng.standard_normal(v.shape).astype(np.float32) * 300 for k, v in m.values.items()}
+    texts = [np.r_[rng.integers(1, units, n), 0].astype(np.uint16) for n in (5, 40)]
+    with np.errstate(all="raise", under="ignore"):
+        assert np.isfinite(recurrent.log_likelihood(m, texts, 0)).all()
+        recurrent.learn(m, texts, 0)
+    assert all(np.isfinite(v).all() for v in m.values.values())
