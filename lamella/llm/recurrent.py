@@ -11,17 +11,16 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import buffer_of, cut, runs, stored, utf8
+from .common import buffer_of, cut, stored, utf8
 
 #: Blanks between words, and A-Z in lower case.
 TABLE = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -45,6 +44,8 @@ SHARD = 1_000_000
 SCORED, SIDE, SPAN = 3_000_000, 512, 16
 #: Different words that a task counts before it hands them on.
 HELD = 200_000
+#: Bytes whose words are told apart at once.
+BLOCK = 4 << 20
 #: Logits end here, so that none overflows.
 HIGH = 60.0
 #: Numbers in a piece of a model.
@@ -91,76 +92,73 @@ class Model:
                 at += v.size
         return Model(*out)
 
-    def forward(self, units: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, list]:
+    def forward(self, units: np.ndarray, keep: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         """States after each of the units (steps x lanes), from ``h``; ``keep`` is 0 where a text begins. Also what ``backward`` needs."""
         w = h.shape[1]
-        # Each gate is an array of its own, lanes x width without gaps; gates and tanh come from exp, which is faster and may overflow.
+        # Each gate is an array of its own, lanes x width without gaps; gates come from exp, which may overflow.
         table, state = (np.ascontiguousarray(self.values[k].reshape(-1, 3, w).transpose(1, 0, 2)) for k in ("input", "state"))
         table[:2] *= -1
         state[:2] *= -1
         given = np.take(table, units, axis=1)
         begun = keep == 0
         some = begun.any(axis=1).tolist()
-        out, kept = np.empty((*units.shape, w), given.dtype), []
+        # r, z and n's part from the state; n; the states before and after each step.
+        parts = np.empty((len(units), 3, *h.shape), given.dtype)
+        inner, before, after = (np.empty((*units.shape, w), given.dtype) for _ in range(3))
         with np.errstate(over="ignore"):
-            for t in range(len(units)):
+            for t, (g, n, new) in enumerate(zip(parts, inner, after)):
+                before[t] = h
+                h = before[t]
                 if some[t]:
-                    h = h.copy()
                     h[begun[t]] = 0
-                g = h @ state
+                np.matmul(h, state, out=g, casting="same_kind")
                 gates = g[:2]
                 gates += given[:2, t]
                 np.exp(gates, out=gates)
                 gates += 1
                 np.divide(1, gates, out=gates)
-                r, z, gn = g
-                n = r * gn
+                np.multiply(gates[0], g[2], out=n)
                 n += given[2, t]
-                n *= -2
-                np.exp(n, out=n)
-                n += 1
-                np.divide(2, n, out=n)
-                n -= 1
-                kept.append((h, r, z, n, gn))
-                last, h = h, out[t]
-                np.subtract(last, n, out=h, casting="same_kind")
-                h *= z
-                h += n
-        return out, kept
-
-    def backward(self, kept: list, keep: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                np.tanh(n, out=n)
+                np.subtract(h, n, out=new)
+                new *= gates[1]
+                new += n
+                h = new
+        return after, (parts, inner, before)
+
+    def backward(self, kept: tuple, keep: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Gradients of what each step was given and of the state's weights, from those of the states; none leaves the window."""
-        w, state = grads.shape[2], self.values["state"]
-        # Side by side: what the state's weights get for n, what they get for r and z, what the unit gets for n; no part is copied.
-        parts = np.empty((*grads.shape[:2], 4 * w), np.float32)
+        (steps, lanes, w), state = grads.shape, self.values["state"]
+        parts, n, before = kept
+        r, z, gn = (parts[:, k] for k in range(3))
+        # What a state's gradient is multiplied by, side by side: n's for the state's weights, r's, z's, and n's for the unit. The rest waits for no step.
+        slopes = np.empty((steps, lanes, 4, w), parts.dtype)
+        rest = 1 - z
+        slope = n * n
+        np.subtract(1, slope, out=slope)
+        slope *= rest
+        slopes[:, :, 3] = slope
+        slope *= r
+        slopes[:, :, 0] = slope
+        slope *= gn
+        np.multiply(slope, 1 - r, out=slopes[:, :, 1])
+        rest *= z
+        np.multiply(rest, before - n, out=slopes[:, :, 2])
         turned = np.ascontiguousarray(np.roll(state, w, axis=1).T)
-        carry, weights = np.zeros(grads.shape[1:], grads.dtype), np.zeros_like(state)
         begun = keep == 0
         some = begun.any(axis=1).tolist()
-        for t in range(len(grads) - 1, -1, -1):
-            (h, r, z, n, gn), own = kept[t], parts[t]
+        carry = np.zeros((lanes, w), np.result_type(grads, parts))
+        for t in range(steps - 1, -1, -1):
             d = grads[t] + carry
-            rest = 1 - z
-            dn = n * n
-            np.subtract(1, dn, out=dn)
-            dn *= rest
-            dn *= d
-            own[:, 3 * w :] = dn
-            np.multiply(dn, r, out=own[:, :w], casting="same_kind")
-            dn *= gn
-            dn *= r
-            np.multiply(dn, 1 - r, out=own[:, w : 2 * w], casting="same_kind")
-            rest *= z
-            rest *= h - n
-            np.multiply(rest, d, out=own[:, 2 * w : 3 * w], casting="same_kind")
-            through = own[:, : 3 * w]
-            weights += h.T @ through
-            d *= z
-            carry = through @ turned
+            slopes[t] *= d[:, None]
+            carry = slopes[t].reshape(lanes, -1)[:, : 3 * w] @ turned
+            d *= z[t]
             carry += d
             if some[t]:
                 carry[begun[t]] = 0
-        return parts[:, :, w:], np.roll(weights, -w, axis=1)
+        own = slopes.reshape(steps, lanes, -1)
+        weights = before.reshape(-1, w).T @ own.reshape(-1, 4 * w)[:, : 3 * w]
+        return own[:, :, w:], np.roll(weights, -w, axis=1)
 
     def output(self, states: np.ndarray, units: np.ndarray, learn: int = 0) -> tuple[np.ndarray, dict, np.ndarray | None]:
         """Natural log of the probability of each unit after its state; with ``learn`` also the gradients of their sum, divided by it."""
@@ -205,11 +203,11 @@ class Model:
                 np.matmul(own[part], both[c], out=x[part])
             told[at] += told_of(x, units[at] % CLASS)
             if learn:
-                more = np.empty((len(at), w), x.dtype)
+                more, inner = np.empty((len(at), w), x.dtype), np.zeros(both.shape, x.dtype)
                 for c, part in parts:
-                    grad = own[part].T @ x[part]
-                    grads["word"][c], grads["word_bias"][c] = grad[:w], grad[w]
+                    np.matmul(own[part].T, x[part], out=inner[c])
                     np.matmul(x[part], v["word"][c].T, out=more[part])
+                grads["word"], grads["word_bias"] = inner[:, :w], inner[:, w]
                 back[at] += more
         return told, grads, back
 
@@ -290,26 +288,60 @@ def log_likelihood(model: Model, texts: list[np.ndarray], end: int) -> np.ndarra
 # ---- The corpus, in Spark
 
 
+def blocks(texts: pa.Array) -> Iterator[bytes]:
+    """The texts' bytes after ``TABLE``, each followed by ``END`` between blanks, about ``BLOCK`` at a time; no word is cut."""
+    data, at = buffer_of(texts)
+    held, size = [], 0
+    for i in range(len(texts)):
+        text, k = bytes(data[at[i] : at[i + 1]]).translate(TABLE), 0
+        while len(text) - k > BLOCK:
+            end = text.rfind(b" ", k, k + BLOCK)
+            if end <= k and (end := text.find(b" ", k + BLOCK)) < 0:
+                break
+            yield b"".join([*held, text[k:end]])
+            held, size, k = [], 0, end
+        held += text[k:], b" ", END, b" "
+        size += len(text) - k
+        if size > BLOCK:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
+def words_of(block: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The words between blanks, and the first two bytes of each as a number (65536 and the byte for a word of one)."""
+    seen = np.frombuffer(block + b" ", np.uint8)
+    inside = seen != 32
+    edges = np.flatnonzero(np.diff(inside, prepend=False))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(sizes, out=at[1:])
+    first = seen[starts].astype(np.int32)
+    heads = np.where(sizes > 1, first * 256 + seen[starts + 1], 65536 + first)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(seen[inside])]), heads
+
+
 def counted(docs: DataFrame, text: str) -> DataFrame:
     """``word, c``: tokens of all whole texts, ``END`` among them."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
-        held: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
 
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], names=["word", "c"])
+        def merged() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
         for b in batches:
-            data, at = buffer_of(b.column(0))
-            for i in range(len(b)):
-                held[END] += 1
-                for part in runs(bytes(data[at[i] : at[i + 1]]), TABLE):
-                    held.update(part)
-                if len(held) > HELD:
-                    yield told()
-                    held.clear()
-        yield told()
+            for block in blocks(b.column(0)):
+                found = pc.value_counts(words_of(block)[0])
+                held.append(pa.table({"word": found.field("values"), "c": found.field("counts")}))
+                if sum(map(len, held)) > 2 * HELD:
+                    held = [merged()]
+                    if len(held[0]) > HELD:
+                        yield from held.pop().to_batches()
+        if held:
+            yield from merged().to_batches()
 
     found = docs.select(utf8(F.col(f"`{text}`")).alias("bytes")).mapInArrow(make, "word binary, c long")
     return found.groupBy("word").agg(F.sum("c").alias("c"))
@@ -366,39 +398,48 @@ def marked(docs: DataFrame, key: str, text: str, train: Column, words: Words) ->
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens.forget()
         place = {w: i for i, w in enumerate(words.count)}
+        top = pa.array(place, pa.binary())
         # No other word begins like the end, which is a unit even where no text was learned from.
-        head, rest = (words.head | {END: words.unit[END]}).get, words.rest
-        units = np.array([head(w[:HEAD], rest) for w in place], np.uint16)
+        number = lambda w: w[0] * 256 + w[1] if len(w) > 1 else 65536 + w[0]
+        by_head = np.full(65536 + 256, words.rest, np.uint16)
+        for w, unit in [*words.head.items(), (END, words.unit[END])]:
+            by_head[number(w)] = unit
+        # What lies behind the last word is for words that aren't known here.
+        units, logs = np.zeros(len(place) + 1, np.uint16), np.zeros(len(place) + 1)
+        units[:-1] = by_head[np.fromiter(map(number, place), np.int32, len(place))]
         for w, unit in words.unit.items():
             if w in place:
                 units[place[w]] = unit
-        logs = np.log10(np.fromiter(words.count.values(), np.float64, len(place)) + 0.5)
-        other = units >= words.frequent
-        get, unknown = place.get, repeat(-1)
+        logs[:-1] = np.log10(np.fromiter(words.count.values(), np.float64, len(place)) + 0.5)
+        rare_logs = logs * (units >= words.frequent)
+        # The end is a unit all the same, whose probability the model tells.
+        ends = 0.0 if END in place else -math.log10(0.5)
         for b in batches:
-            data, at = buffer_of(b.column(b.num_columns - 1))
-            out: list[list] = [[] for _ in range(7)]
-            for i in range(len(b)):
-                own, rare, sums = [], Counter(), [0, 0, 0.0, 0.0]
-                for part in [*runs(bytes(data[at[i] : at[i + 1]]), TABLE), [END]]:
-                    index = np.fromiter(map(get, part, unknown), np.int32, len(part))
-                    unit = units[index] if len(units) else np.zeros(len(part), np.uint16)
-                    missing = np.flatnonzero(index < 0).tolist()
-                    if missing:
-                        strange = [part[k] for k in missing]
-                        rare.update(strange)
-                        unit[missing] = [head(w[:HEAD], rest) for w in strange]
-                        index = index[index >= 0]
-                    own.append(unit.tobytes())
-                    found = logs[index], other[index]
-                    sums = [x + y for x, y in zip(sums, (len(part), len(index), found[0].sum(), found[0] @ found[1]))]
-                if END in rare:
-                    sums[3] -= math.log10(0.5)  # a unit all the same, whose probability the model tells
-                for column, x in zip(out, (b"".join(own), *sums, list(rare), list(rare.values()))):
-                    column.append(x)
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()))
-            told = [pa.array(c, t) for c, t in zip(out, kinds)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *told], names=[*b.schema.names[:-1], "units", "n_tokens", "n_top", "top_log", "top_rare_log", "rare", "times"])
+            n, told, done = len(b), [], 0
+            size, known, log, rare_log = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.full(n, ends)
+            strange = [pa.table({"doc": pa.array([], pa.int64()), "word": pa.array([], pa.binary())})]
+            for block in blocks(b.column(b.num_columns - 1)):
+                own, heads = words_of(block)
+                index = pc.fill_null(pc.index_in(own, value_set=top), -1).to_numpy()
+                last = np.cumsum(heads == number(END))
+                doc = done + np.r_[0, last[:-1]]
+                done += int(last[-1]) if len(last) else 0
+                unit, missing = units[index], np.flatnonzero(index < 0)
+                unit[missing] = by_head[heads[missing]]
+                told.append(unit)
+                every = np.bincount(doc, minlength=n)
+                size += every
+                known += every - np.bincount(doc[missing], minlength=n)
+                log += np.bincount(doc, logs[index], n)
+                rare_log += np.bincount(doc, rare_logs[index], n)
+                strange.append(pa.table({"doc": doc[missing], "word": own.take(pa.array(missing))}))
+            found = pa.concat_tables(strange).group_by(["doc", "word"], use_threads=False).aggregate([([], "count_all")]).sort_by("doc").combine_chunks()
+            at = pa.array(np.searchsorted(found["doc"].to_numpy(), np.arange(n + 1)), pa.int32())
+            rare, times = (pa.ListArray.from_arrays(at, found[c].combine_chunks()) for c in ("word", "count_all"))
+            ranges = pa.py_buffer(np.cumsum(np.r_[0, 2 * size], dtype=np.int32))
+            flat = pa.Array.from_buffers(pa.binary(), n, [None, ranges, pa.py_buffer(np.concatenate(told, dtype="<u2") if told else b"")])
+            columns = [flat, *map(pa.array, (size, known, log, rare_log)), rare, times]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *columns], names=[*b.schema.names[:-1], "units", "n_tokens", "n_top", "top_log", "top_rare_log", "rare", "times"])
 
     k, t = F.col(f"`{key}`"), F.col(f"`{text}`")
     rows = docs.select(

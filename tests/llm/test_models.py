@@ -5,8 +5,10 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -286,3 +288,59 @@ def test_logits_beyond_bounds():
         assert np.isfinite(recurrent.log_likelihood(m, texts, 0)).all()
         recurrent.learn(m, texts, 0)
     assert all(np.isfinite(v).all() for v in m.values.values())
+
+
+@pytest.mark.parametrize("block", [recurrent.BLOCK, 40])
+def test_words_of_blocks(monkeypatch, block):
+    """All words of all texts with an end behind each, wherever blocks are cut."""
+    monkeypatch.setattr(recurrent, "BLOCK", block)
+    rng = np.random.default_rng(13)
+    texts = [(t or "").encode() for t in EDGE[:-1]] + [bytes(rng.choice(list(b"abZ \t\n\xc3\xa9"), n).astype(np.uint8)) for n in (0, 1, 39, 40, 41, 3000)]
+    want = [w for t in texts for w in [*t.translate(recurrent.TABLE).split(b" "), recurrent.END] if w]
+    cut = list(recurrent.blocks(pa.array(texts, pa.binary())))
+    found = [recurrent.words_of(b) for b in cut]
+    assert [w.as_py() for own, _ in found for w in own] == want
+    assert [h for _, heads in found for h in heads.tolist()] == [w[0] * 256 + w[1] if len(w) > 1 else 65536 + w[0] for w in want]
+    assert (len(cut) == 1) == (block > 40) and [w.as_py() for w in recurrent.words_of(b" ")[0]] == []
+
+
+class Caught:
+    """Stands for a table and keeps the function that would run in its tasks."""
+
+    schema = {"key": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}
+
+    def __getattr__(self, name):
+        return lambda *a: self
+
+    def mapInArrow(self, make, schema):
+        self.make = make
+        return self
+
+
+def test_tasks_work_in_blocks(spark, edge, monkeypatch):
+    """Counts and marks are whole when few words are held and texts go through many blocks, several or parts of one in each."""
+    docs = docs_of(edge)
+    texts = pa.array([(t or "").encode() for _, t in docs], pa.binary())
+    words = recurrent.Words(recurrent.counted(edge.where("doc_id % 3 != 1"), "text"))
+    seen = []
+    for block, held in ((recurrent.BLOCK, recurrent.HELD), (300, 100)):
+        monkeypatch.setattr(recurrent, "BLOCK", block)
+        monkeypatch.setattr(recurrent, "HELD", held)
+        recurrent.counted(counts := Caught(), "text")
+        recurrent.marked(marks := Caught(), "doc_id", "text", F.lit(True), words)
+        told = Counter()
+        for b in counts.make(iter([pa.record_batch([texts], names=["bytes"]), pa.record_batch([texts[:0]], names=["bytes"])])):
+            for r in b.to_pylist():
+                told[r["word"]] += r["c"]
+        rows = [r for b in marks.make(iter([pa.record_batch([pa.array(range(len(docs))), texts], names=["row", "bytes"])])) for r in b.to_pylist()]
+        seen.append((told, rows))
+    own = [[w for w in t.as_py().translate(recurrent.TABLE).split(b" ") if w] + [recurrent.END] for t in texts]
+    for told, rows in seen:
+        assert told == Counter(w for ws in own for w in ws)
+        for ws, r in zip(own, rows):
+            strange = Counter(w for w in ws if w not in words.count)
+            unit = [words.unit.get(w, words.head.get(w[: recurrent.HEAD], words.rest)) for w in ws]
+            assert np.frombuffer(r["units"], "<u2").tolist() == unit and dict(zip(r["rare"], r["times"])) == strange
+            assert (r["n_tokens"], r["n_top"]) == (len(ws), len(ws) - sum(strange.values()))
+            known = [(math.log10(words.count[w] + 0.5), u >= words.frequent) for w, u in zip(ws, unit) if w in words.count]
+            assert math.isclose(r["top_log"], sum(a for a, _ in known)) and math.isclose(r["top_rare_log"], sum(a for a, k in known if k), abs_tol=1e-9)
