@@ -6,7 +6,7 @@
 Tasks write below a staging folder of their own beside the target, one that a
 repeated attempt does not share; the commit moves what the successful ones
 have written to its name and notes (``NOTES``) what each file's row said of it,
-and an abort removes the staging folder. The driver sees names and notes, never
+and an abort removes the staging folder, after which no task can write. The driver sees names and notes, never
 bytes. The target is a folder that the driver and all executors have mounted.
 Names are relative; those of one job are different; a file that is there is
 replaced.
@@ -14,6 +14,7 @@ replaced.
 
 from __future__ import annotations
 
+import contextlib
 import json
 import os
 import shutil
@@ -40,14 +41,19 @@ class Writer(DataSourceWriter):
     def __init__(self, path: str):
         self.path = path.removeprefix("file://")
         self.staging = os.path.join(self.path, f"_staging-{uuid.uuid4().hex}")
+        # Tasks don't make this folder: what still runs after an abort finds it gone and leaves nothing.
+        os.makedirs(self.staging)
 
     def write(self, iterator: Iterator[Row]) -> Written:
         folder, files = os.path.join(self.staging, uuid.uuid4().hex), []
+        os.mkdir(folder)
         for row in iterator:
             if os.path.isabs(row["name"]) or ".." in row["name"].split("/"):
                 raise ValueError(f"{row['name']} is no name below the target")
             place = os.path.join(folder, row["name"])
-            os.makedirs(os.path.dirname(place), exist_ok=True)
+            for at in (i for i, c in enumerate(place) if c == "/" and i > len(folder)):
+                with contextlib.suppress(FileExistsError):
+                    os.mkdir(place[:at])
             with open(place, "wb") as f:
                 f.write(row["data"])
             files.append((row["name"], row["note"]))
@@ -67,14 +73,17 @@ class Writer(DataSourceWriter):
         notes = {name: note for m in done for name, note in m.files if note is not None}
         if notes:
             part = os.path.join(self.staging, NOTES)
-            os.makedirs(self.staging, exist_ok=True)
             with open(part, "w", encoding="utf-8") as f:
                 json.dump(notes, f)
             os.replace(part, os.path.join(self.path, NOTES))
         shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages: list[Written | None]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        # Under another name nothing comes to it any more while it is removed.
+        gone = f"{self.staging}-gone"
+        with contextlib.suppress(FileNotFoundError):
+            os.rename(self.staging, gone)
+        shutil.rmtree(gone, ignore_errors=True)
 
 
 class Files(DataSource):

@@ -46,6 +46,22 @@ def test_a_repeated_task_leaves_nothing_double(tmp_path):
     assert found(tmp_path) == ["_notes.json", "a", "b/c"] and (tmp_path / "_notes.json").read_text() == '{"a": "n"}'
 
 
+def test_a_task_that_outlives_an_abort_leaves_nothing(tmp_path):
+    from pyspark.sql import Row
+
+    w = sinks.Writer(str(tmp_path))
+
+    def rows():
+        yield Row(name="a/b//c", data=b"1", note=None)
+        w.abort([])
+        yield Row(name="d/e", data=b"2", note=None)
+
+    for given in (rows(), rows()):  # the second begins after the abort
+        with pytest.raises(FileNotFoundError):
+            w.write(given)
+    assert os.listdir(tmp_path) == []
+
+
 @pytest.mark.parametrize("cells", [0, 1, 400])
 def test_the_map_equals_its_rasters(spark, tmp_path, cells):
     rng = np.random.default_rng(cells)
