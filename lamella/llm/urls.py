@@ -60,8 +60,9 @@ def array_of(blocks: DataFrame, n: int) -> DataFrame:
     )
 
 
-def possible(places: DataFrame, keys: Column, listed: DataFrame) -> DataFrame:
-    """``host, path, key`` of the keys (an array) of each place that pass the blocked Bloom filter of the listed ones."""
+def possible(places: DataFrame, keys: Column | list[Column], listed: DataFrame) -> DataFrame:
+    """``host, path, key`` of the keys (an array, or a list of columns) of each place that pass the blocked Bloom filter of the listed ones."""
+    keys = F.array(*keys) if isinstance(keys, list) else keys
     each = places.select("host", "path", F.explode(F.array_compact(keys)).alias("key"))
     n = max(1, -(-listed.count() * BITS_PER_ENTRY // 64))
     blocks = blocks_of(listed.select("key"), n)
